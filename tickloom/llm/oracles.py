@@ -2,7 +2,43 @@
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACE = r"[^\x20\x09-\x0D]+"
+
 ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+        with iw as (select cast(item_id as varchar) item_id, regexp_extract_all({LOWER}, '{_ALNUM}') ws from benchmark),
+             win as (select distinct item_id, least(len(ws), 10) n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') w
+                     from (select item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) i from iw where len(ws) > 0)),
+             dw as (select doc_id, row_number() over () rid, regexp_extract_all({LOWER}, '{_ALNUM}') ws from documents),
+             ln as (select distinct n from win),
+             dwin as (select rid, n, i, array_to_string(ws[i : i + n - 1], ' ') w
+                      from (select rid, n, ws, unnest(range(1, len(ws) - n + 2)) i from dw, ln where len(ws) >= n)),
+             hit as (select rid, d.n, i, w from dwin d semi join win using (n, w)),
+             nh as (select rid, count(distinct p) n_hit from (select rid, unnest(range(i, i + n)) p from hit) group by rid),
+             ni as (select rid, count(*) n_items, string_agg(item_id, ',' order by item_id) ids
+                    from (select distinct rid, item_id from hit join win using (n, w)) group by rid)
+        select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+               sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+        from dw left join nh using (rid) left join ni using (rid)
+    """,
+    "op3_mixing": f"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACE}'))::bigint size,
+                          ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15))::bigint h from documents),
+             s as (select source, sum(size)::bigint source_size from d group by source),
+             w as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] w from s),
+             c as (select *, source_size * 2 cap, source_size * 2.0::double / w r from w),
+             l as (select *, ((sum(source_size) over ())::bigint * 1.5::double
+                       - coalesce(sum(cap) over (order by r, source nulls first rows between unbounded preceding and 1 preceding), 0)::bigint)
+                     / (sum(w) over () - coalesce(sum(w) over (order by r, source nulls first rows between unbounded preceding and 1 preceding), 0))::bigint lev from c),
+             t as (select source, source_size, least(cap::double, (max(lev) over ()) * w) target from l),
+             b as (select *, case when source_size > 0 then least(floor(target / source_size), 1) else 0 end::integer base from t),
+             u as (select source, h, sum(size)::bigint words from d group by source, h),
+             x as (select source, h, words, sum(words) over (partition by source order by h)::bigint upto from u)
+        select d.doc_id, d.size, b.source_size, b.target,
+               (d.size * (b.base + case when x.upto * 2 - x.words <= (b.target - b.base * b.source_size) * 2 then 1 else 0 end))::bigint taken
+        from d join b on d.source is not distinct from b.source join x on x.source is not distinct from d.source and x.h = d.h
+    """,
     "op9_exact_dedup": f"""
         with t as (select doc_id, sha256({LOWER}) as text_sha256 from documents),
              g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
