@@ -39,6 +39,17 @@ ORACLES: dict[str, str] = {
                (d.size * (b.base + case when x.upto * 2 - x.words <= (b.target - b.base * b.source_size) * 2 then 1 else 0 end))::bigint taken
         from d join b on d.source is not distinct from b.source join x on x.source is not distinct from d.source and x.h = d.h
     """,
+    "op6_jaccard_join": f"""
+        with recursive d as (select doc_id, regexp_extract_all({LOWER}, '{_SPACE}') ws from documents),
+             s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') g
+                   from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i from d where len(ws) > 0)),
+             n as (select doc_id, count(*) n from s group by doc_id),
+             o as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+             link as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+             reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join link l on r.b = l.a),
+             c as (select a doc_id, min(b) component_id, count(*) group_size from reach group by a)
+        select doc_id, coalesce(n, 0) n_shingles, component_id, group_size from c left join n using (doc_id)
+    """,
     "op9_exact_dedup": f"""
         with t as (select doc_id, sha256({LOWER}) as text_sha256 from documents),
              g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
