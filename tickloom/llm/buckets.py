@@ -33,17 +33,18 @@ def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], np.ndarra
     size, step = 1 << log2, min(1 << log2, 1 << _SLICE)
     small = top < 256
     kind = np.uint8 if small else np.uint32
+    limit = _TOP if small else top
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(size, np.uint16)
+        have = np.zeros(size, np.uint16 if small else np.uint32)
         for batch in batches:
             got = positions(batch)
             if len(got) * 8 > size:
                 more = np.bincount(got, minlength=size)
-                have = np.minimum(have + more, _TOP).astype(np.uint16)
+                have = np.minimum(have + more, limit).astype(have.dtype)
             elif len(got):
                 at, n = np.unique(got, return_counts=True)
-                have[at] = np.minimum(have[at] + n, _TOP)
+                have[at] = np.minimum(have[at] + n, limit)
         if small:
             np.minimum(have, top, out=have)
         for s in range(size // step):
@@ -60,8 +61,8 @@ def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], np.ndarra
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                have = sums.setdefault(s, np.zeros(step, np.uint32))
-                n = np.frombuffer(n, np.uint8 if small else np.uint16)
+                have = sums.setdefault(s, np.zeros(step, np.int64))
+                n = np.frombuffer(n, np.uint8 if small else np.uint32)
                 if at is None:
                     have += n
                 else:
