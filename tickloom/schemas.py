@@ -35,20 +35,28 @@ RISK_LIMITS = {
 LIVE_FEATURES = ("sigma_ewma", "obi_l5", "rsi_14", "macd_hist", "spread_bps", "funding_rate")
 
 
+_KINDS = {
+    "string": T.StringType(), "timestamp": T.TimestampType(), "double": T.DoubleType(), "int": T.IntegerType(), "short": T.ShortType(), "long": T.LongType(), "boolean": T.BooleanType(), "money": T.DecimalType(38, 18), "doubles": T.ArrayType(T.DoubleType()),
+}
+
+
 def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Columns as "name kind"; a kind with an exclamation mark is never null.  Needs no session, so workers can import it."""
+    out = T.StructType()
+    for name, kind in (part.split() for part in text.split(",")):
+        out.add(name, _KINDS[kind.rstrip("!")], not kind.endswith("!"))
+    return out
 
 
-_PX = "decimal(38,18)"
 TABLES: dict[str, T.StructType] = {
-    "ohlcv_bars": _table("symbol string not null, time timestamp not null, open double, high double, low double, close double, volume double, trades int, vwap double"),
-    "orderbook_snapshots": _table("symbol string not null, time timestamp not null, bid_px array<double>, bid_sz array<double>, ask_px array<double>, ask_sz array<double>"),
-    "funding_oi": _table("symbol string not null, time timestamp not null, funding_rate double, open_interest double, mark_px double, oracle_px double, premium double"),
-    "bar_features": _table("symbol string not null, time timestamp not null, " + ", ".join(f"{n} double" for n in FEATURE_NAMES)),
-    "labels": _table("symbol string not null, time timestamp not null, label short, ret double, sigma double, pt_level double, sl_level double, pt_mult double, sl_mult double, horizon_bars int, t1 timestamp, touch_time timestamp, touch_barrier string, sample_weight double"),
-    "model_predictions": _table("symbol string not null, time timestamp not null, model_version string not null, prob_down double, prob_flat double, prob_up double, signal short, sigma double"),
-    "orders": _table(f"order_id long, symbol string not null, time timestamp not null, side string, intent string, order_type string, price {_PX}, size {_PX}, status string, filled_size {_PX}, avg_fill_price {_PX}, exchange_oid string, cloid string, risk_passed boolean, reason string"),
-    "positions": _table(f"symbol string not null, time timestamp not null, size {_PX}, entry_price {_PX}, mark_price {_PX}, unrealized_pnl {_PX}, realized_pnl {_PX}, leverage double, liquidation_px {_PX}, margin_used {_PX}"),
+    "ohlcv_bars": _table("symbol string!, time timestamp!, open double, high double, low double, close double, volume double, trades int, vwap double"),
+    "orderbook_snapshots": _table("symbol string!, time timestamp!, bid_px doubles, bid_sz doubles, ask_px doubles, ask_sz doubles"),
+    "funding_oi": _table("symbol string!, time timestamp!, funding_rate double, open_interest double, mark_px double, oracle_px double, premium double"),
+    "bar_features": _table("symbol string!, time timestamp!, " + ", ".join(f"{n} double" for n in FEATURE_NAMES)),
+    "labels": _table("symbol string!, time timestamp!, label short, ret double, sigma double, pt_level double, sl_level double, pt_mult double, sl_mult double, horizon_bars int, t1 timestamp, touch_time timestamp, touch_barrier string, sample_weight double"),
+    "model_predictions": _table("symbol string!, time timestamp!, model_version string!, prob_down double, prob_flat double, prob_up double, signal short, sigma double"),
+    "orders": _table("order_id long, symbol string!, time timestamp!, side string, intent string, order_type string, price money, size money, status string, filled_size money, avg_fill_price money, exchange_oid string, cloid string, risk_passed boolean, reason string"),
+    "positions": _table("symbol string!, time timestamp!, size money, entry_price money, mark_price money, unrealized_pnl money, realized_pnl money, leverage double, liquidation_px money, margin_used money"),
 }
 KEYS = {t: ("symbol", "time") for t in TABLES} | {"model_predictions": ("symbol", "time", "model_version"), "orders": ("symbol", "time", "order_id")}
 #: How a second row of one key is treated: the later wins, the first wins, or both stay.

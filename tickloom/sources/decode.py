@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import SYMBOLS
 
 #: Numbers come as JSON strings or numbers; read as text, they are cast without failing.
-CANDLE = "channel string, data struct<t:string,T:string,s:string,i:string,o:string,h:string,l:string,c:string,v:string,n:string>"
+CANDLE = "channel string, data struct<t:string,s:string,o:string,h:string,l:string,c:string,v:string,n:string>"
 LEVEL = "array<struct<px:string,sz:string,n:string>>"
 BOOK = f"channel string, data struct<coin:string,time:string,levels:array<{LEVEL}>>"
 CONTEXT = "channel string, data struct<coin:string,ctx:struct<funding:string,openInterest:string,markPx:string,oraclePx:string,premium:string>>"
