@@ -6,8 +6,8 @@ Documents with equal shingle sets are one class, named by a 64-bit set hash; all
    the threshold share a shingle among the first n - ceil(t * n) + 1 of each, so classes meet in the groups of those
    shingles.  Shingles that only one class has there are dropped after one shuffle; frequent ones (known from the
    sketch) skip that shuffle.
-2. Each group's smallest class is checked against the others by exact overlap, and the links found are
-   joined into components.  A large group of near copies is settled here by one check per member.
+2. Each group's smallest class is checked against the others, by bitmaps and then by exact overlap, and the
+   links found are joined into components.  A large group of near copies is settled here by one check per member.
 3. Groups that still span components get a signature tree: nodes hold the OR of their members' shingle bitmaps and
    their range of sizes.  A dual traversal drops node pairs of one component, of unfitting sizes, or whose bitmaps
    cannot overlap enough; pairs of classes that are left are checked exactly.  Groups above BLOCK classes are cut
@@ -141,32 +141,57 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
-def _sets(active):
-    """(sig, n, tokens, bitmap) of the classes that share a shingle with another."""
+#: What is read of classes: their bitmaps (of fixed size, and of a size that follows theirs), or their shingles.
+_COLUMNS = {"bits": {"bits": "binary", "wide": "binary"}, "tokens": {"tokens": "array<long>"}}
+
+
+def _picked(wanted, kind: str):
+    """(sig, n, and the bitmaps or the sorted shingles) of the classes in a broadcast bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             for _, rows, row, grams in shingle_sets(batch.column(0)):
                 n, sig = set_hash(row, grams, rows)
-                on = active.value.has(mix64(sig.view(np.uint64))) & _fresh(sig, n, seen)
-                cuts = np.searchsorted(row, np.arange(rows + 1))
+                on = wanted.value.has(mix64(sig.view(np.uint64))) & _fresh(sig, n, seen)
                 picked = np.flatnonzero(on)
-                maps = [bitmap(grams[cuts[i] : cuts[i + 1]]).tobytes() for i in picked]
-                flat, off = grams[on[row]].view(np.int64), np.concatenate([[0], np.cumsum(n[picked])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[picked]), pa.array(n[picked], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(maps, pa.binary())], ["sig", "n", "tokens", "bits"])
+                if kind == "bits":
+                    cuts = np.searchsorted(row, np.arange(rows + 1))
+                    own = [grams[cuts[i] : cuts[i + 1]] for i in picked]
+                    more = [pa.array([bitmap(x, words).tobytes() for x in own], pa.binary()) for words in (BITMAP_WORDS, 0)]
+                else:
+                    more = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[picked])]).astype(np.int32)), pa.array(grams[on[row]].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[picked]), pa.array(n[picked], pa.int32()), *more], ["sig", "n", *_COLUMNS[kind]])
 
     return run
 
 
-def bitmap(grams: np.ndarray) -> np.ndarray:
-    """BITMAP_WORDS words of 64 bits with one bit set for each shingle."""
-    at = (grams >> np.uint64(40)).astype(np.int64) % (BITMAP_WORDS * 64)
-    flags = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    flags[at] = 1
+def _of_classes(texts: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
+    """(sig, n, bits or tokens) of the classes in the column `sig`; a fixed-size bit set picks them where texts are read."""
+
+    def positions(batch: pa.RecordBatch) -> np.ndarray:
+        return (mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << ACTIVE_LOG2) - 1)).astype(np.int64)
+
+    wanted = texts.sparkSession.sparkContext.broadcast(BitSet(bucket_counts(sigs.select("sig"), positions, ACTIVE_LOG2, top=1) > 0))
+    columns = _COLUMNS[kind]
+    found = texts.mapInArrow(_picked(wanted, kind), ", ".join(["sig long", "n int", *(f"{c} {k}" for c, k in columns.items())]))
+    return materialise(found.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", *columns)]), f"class-{kind}")
+
+
+def bitmap(grams: np.ndarray, words: int = 0) -> np.ndarray:
+    """Words of 64 bits with one bit set for each shingle: `words` of them, or about two bits a shingle."""
+    if not words:
+        words = min(max(BITMAP_WORDS, 1 << (len(grams) // 32).bit_length()), 1 << 18)
+    flags = np.zeros(words * 64, np.uint8)
+    flags[(grams >> np.uint64(40)).astype(np.int64) & (words * 64 - 1)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as it were with `words` words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words)) if len(bits) > words else bits
+
+
 def needed(total: np.ndarray) -> np.ndarray:
     """Least overlap of two sets of so many shingles together that meets the threshold."""
     return -((-PERCENT * total) // (100 + PERCENT))
@@ -247,12 +272,29 @@ def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact overlap meets the threshold."""
-    side = lambda k: sets.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    common = F.size(F.array_intersect("t_a", "t_b")).cast("long")
-    return met.filter(common * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")).cast("long") * PERCENT).select("a", "b")
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, n_a, wide_a, n_b, wide_b), the pairs whose bitmaps leave room for the overlap needed."""
+    for batch in batches:
+        n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+        most = np.minimum(n, m)
+        for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = fold(x, len(y)), fold(y, len(x))
+            both = int(np.bitwise_count(x & y).sum())
+            most[i] = min(n[i] - int(np.bitwise_count(x).sum()) + both, m[i] - int(np.bitwise_count(y).sum()) + both)
+        yield batch.select([0, 1]).filter(pa.array(most >= needed(n + m)))
+
+
+def _both_sides(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    side = lambda k: classes.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col(kind).alias(f"x_{k}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "x_a", "n_b", "x_b")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact overlap meets the threshold; shingles are read only for the classes in pairs."""
+    sets = _of_classes(texts, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "tokens")
+    common = F.size(F.array_intersect("x_a", "x_b")).cast("long")
+    return _both_sides(pairs, sets, "tokens").filter(common * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")).cast("long") * PERCENT).select("a", "b")
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
@@ -270,16 +312,14 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     frequent = entries.filter("hot").select("token", "sig", "n")
     groups = materialise(rare.unionByName(frequent), "groups")
 
-    active = bucket_counts(groups.select("sig").distinct(), lambda batch: (mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << ACTIVE_LOG2) - 1)).astype(np.int64), ACTIVE_LOG2, top=1)
-    held = spark.sparkContext.broadcast(BitSet(active > 0))
-    sets = texts.mapInArrow(_sets(held), "sig long, n int, tokens array<long>, bits binary")
-    sets = materialise(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "sets")
+    bitmaps = _of_classes(texts, groups.select("sig").distinct(), "bits")
 
     # Each group's smallest class against the others.
     leaders = materialise(groups.groupBy("token").agg(F.min(F.struct("n", "sig")).alias("lead")).select("token", F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
     stars = groups.join(leaders, "token").filter((F.col("sig") != F.col("lead")) & (F.col("lead_n") * 100 >= F.col("n") * PERCENT))
     stars = stars.select(F.least("lead", "sig").alias("a"), F.greatest("lead", "sig").alias("b")).distinct()
-    links = materialise(_linked(stars, sets), "links")
+    stars = materialise(_both_sides(stars, bitmaps, "wide").mapInArrow(_may_link, "a long, b long"), "star-pairs")
+    links = materialise(_linked(stars, texts), "links")
     labels = components(links, "stars")
 
     # Groups that still span components, without their leaders (those are settled).
@@ -288,11 +328,12 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     open_ = materialise(marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).filter("x <> y").select("token", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "open")
     cells = marked.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    cells = cells.select("token", "i", "j", "block", "sig", "n", "comp").join(sets.select("sig", "bits"), "sig")
-    pairs = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tree_join, "a long, b long").distinct()
-    more = materialise(_linked(pairs, sets), "more-links")
-    if more.isEmpty():
+    cells = cells.select("token", "i", "j", "block", "sig", "n", "comp").join(bitmaps.select("sig", "bits"), "sig")
+    pairs = materialise(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tree_join, "a long, b long").distinct(), "tree-pairs")
+    pairs = materialise(_both_sides(pairs, bitmaps, "wide").mapInArrow(_may_link, "a long, b long"), "joined-pairs")
+    if pairs.isEmpty():
         return labels
+    more = materialise(_linked(pairs, texts), "more-links")
     return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "joined")
 
 
