@@ -84,6 +84,8 @@ class TreeBuilder(HTMLParser):
             self._end(frozenset(("p",)), _WALLS, last=False)
         if tag[:1] == "h" and tag[1:].isdigit():
             self._end(frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), _WALLS | {"div", "section", "article"}, last=False)
+        if tag in CELLS and self.open[-1].tag in ("table", *PARTS):
+            self.handle_starttag("tr", [])
         if tag in ("html", "body"):
             return
         attrs = {k: v or "" for k, v in reversed(attrs)}

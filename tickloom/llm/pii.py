@@ -42,7 +42,7 @@ _HAS_DIGIT = re.compile(r"[0-9]")
 ENDINGS = frozenset("com net org edu gov info io de fr es uk eu us".split())
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
 NAMES = frozenset("anna maria john mary peter paul david michael thomas laura sarah james robert juan carlos ana jean pierre marie hans klaus julia".split())
-ANNOUNCE = re.compile(r"(?:phone|tel|telefon|téléphone|teléfono|call|mobile|fax|card|karte|carte|tarjeta|account|konto|iban|passport|ssn|mail|contact|token|password|secret|key|name)\W{0,3}(?:\w+\W{1,3}){0,2}$", re.IGNORECASE)
+ANNOUNCE = re.compile(r"(?:phone|tel|telefon|téléphone|teléfono|call|mobile|fax|card|karte|carte|tarjeta|account|konto|iban|passport|ssn|mail|contact|token|password|secret|key|name)\W{0,5}(?:\w+\W{1,3}){0,2}$", re.IGNORECASE)
 RULE_OUT = re.compile(r"(?:version|isbn|page|seite|year|jahr|order|price|preis|prix|chapter|section|figure|[$€£%#])\W{0,3}$", re.IGNORECASE)
 _DATE = re.compile(r"(?:19|20)\d\d[-./ ](?:0?\d|1[0-2])[-./ ](?:[0-2]?\d|3[01])$|(?:[0-2]?\d|3[01])[-./ ](?:0?\d|1[0-2])[-./ ](?:19|20)\d\d$")
 LABELERS = 7
@@ -164,13 +164,15 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     vote = np.stack([patterns // 3**i % 3 for i in range(LABELERS)], 1).astype(int).reshape(-1, LABELERS)
     post = np.clip(0.5 + 0.25 * ((vote == 1).sum(1) - (vote == 2).sum(1)), 0.05, 0.95)
     table = np.zeros((LABELERS, 2, 3))
+    # Labelers are taken to be better than chance, with the weight of a fortieth of the candidates.
+    trust = (10 + counts.sum() / 40) * np.array([[0.6, 0.1, 0.3], [0.6, 0.3, 0.1]])
     for _ in range(EM_STEPS):
         share = np.clip((post * counts).sum() / max(counts.sum(), 1), 0.01, 0.99)
         for i in range(LABELERS):
             for v in range(3):
                 on = vote[:, i] == v
-                table[i, 1, v] = (post * counts)[on].sum() + 1
-                table[i, 0, v] = ((1 - post) * counts)[on].sum() + 1
+                table[i, 1, v] = (post * counts)[on].sum() + trust[1, v]
+                table[i, 0, v] = ((1 - post) * counts)[on].sum() + trust[0, v]
         table /= table.sum(2, keepdims=True)
         z = np.full(len(vote), np.log(share / (1 - share)))
         for i in range(LABELERS):
