@@ -8,11 +8,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.series import latest
 from ..schemas import CONFLICT, KEYS, SEQ_LEN, TABLES, WARMUP_BARS
 
 
+def _stored(table: str) -> T.StructType:
+    """The schema of a table's files and partition folders."""
+    return T.StructType([*TABLES[table].fields, T.StructField("date", T.DateType())])
+
+
 def resolve_root(env: Mapping[str, str] | None = None) -> str:
     """Where the tables lie: TICKLOOM_ROOT, or a folder under TICKLOOM_HOME."""
     env = os.environ if env is None else env
@@ -27,12 +33,12 @@ def create_tables(spark: SparkSession, root: str) -> None:
 
 def scan(spark: SparkSession, root: str, table: str, columns: Sequence[str] | None = None, symbols: Sequence[str] | None = None, since=None) -> DataFrame:
     """Columns of a table; symbol and time bounds prune partitions and reach the Parquet scan."""
-    df = spark.read.schema(TABLES[table].add("date", "date") if "date" not in TABLES[table].names else TABLES[table]).parquet(f"{root}/{table}")
+    df = spark.read.schema(_stored(table)).parquet(f"{root}/{table}")
     if symbols:
         df = df.filter(F.col("symbol").isin(*symbols))
     if since is not None:
         df = df.filter((F.col("time") >= F.lit(since)) & (F.col("date") >= F.to_date(F.lit(since))))
-    return df.select(*(columns or [f for f in TABLES[table].names if f != "date"]))
+    return df.select(*(columns or TABLES[table].names))
 
 
 def recent(bars: DataFrame, others: Sequence[DataFrame], n: int = WARMUP_BARS + SEQ_LEN) -> tuple[DataFrame, list[DataFrame]]:
@@ -66,7 +72,7 @@ def write_keyed(df: DataFrame, root: str, table: str, order: str = "_seq") -> No
     fresh = fresh.persist()
     try:
         touched = F.broadcast(fresh.select("symbol", "date").distinct())
-        there = spark.read.schema(TABLES[table].add("date", "date") if "date" not in TABLES[table].names else TABLES[table]).parquet(path)
+        there = spark.read.schema(_stored(table)).parquet(path)
         there = there.join(touched, ["symbol", "date"], "left_semi").select(*names).withColumn("_new", F.lit(0)).withColumn(order, F.lit(None).cast(fresh.schema[order].dataType))
         both = there.unionByName(fresh.withColumn("_new", F.lit(1)))
         kept = last_by_key(both, keys, ("_new", order), first=how == "first").drop("_new", order)
