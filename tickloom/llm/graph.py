@@ -11,17 +11,29 @@ from .common import materialise
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) from links (a, b): label is the least node that links reach; nodes without links are absent.
 
-    Every round takes the least label of the neighbours and then that of the label's own node, so long chains
-    shorten by more than half a round.  Both sides of each join are read from written tables, so skewed nodes
+    Every round each node takes the least of itself and its neighbours as its parent, chains of parents are shortened,
+    and the links are drawn anew between the roots, where links inside a component vanish.  So the links shrink from
+    round to round, and each round reads what is left of them twice.  All joins read written tables, so skewed nodes
     can be split.
     """
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{name}-links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")).select("node", F.least("node", "l").alias("label")), name)
+    edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-links")
+    labels = None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("near_node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["node"] == near["near_node"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("up_node"), F.col("label").alias("up"))
-        after = materialise(met.join(up, met["label"] == up["up_node"], "left").select("node", "old", F.least("label", "up").alias("label")), name)
-        labels = after.select("node", "label")
-        if after.filter("old <> label").isEmpty():
+        ends = edges.select(F.col("b").alias("node"), F.col("a").alias("near")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("near")))
+        roots = materialise(ends.groupBy("node").agg(F.min("near").alias("root")), f"{name}-roots")
+        while True:
+            up = roots.select(F.col("node").alias("up_node"), F.col("root").alias("up"))
+            after = materialise(roots.join(up, roots["root"] == up["up_node"]).select("node", F.col("root").alias("old"), F.col("up").alias("root")), f"{name}-roots")
+            roots = after.select("node", "root")
+            if after.filter("old <> root").isEmpty():
+                break
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            to = roots.select(F.col("node").alias("to_node"), "root")
+            labels = materialise(labels.join(to, labels["label"] == to["to_node"], "left").select("node", F.coalesce("root", "label").alias("label")), name)
+        of = lambda k: roots.select(F.col("node").alias(f"{k}_node"), F.col("root").alias(f"{k}_root"))  # noqa: E731, B023
+        met = edges.join(of("a"), F.col("a") == F.col("a_node")).filter("b <> a_root").join(of("b"), F.col("b") == F.col("b_node"))
+        edges = materialise(met.filter("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), f"{name}-links")
+        if edges.isEmpty():
             return labels

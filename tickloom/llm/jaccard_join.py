@@ -29,7 +29,8 @@ from .graph import components
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_LOG2, ACTIVE_LOG2 = 20, 24
-BITMAP_WORDS, FANOUT, BLOCK = 32, 8, 4096
+#: Words of 64 bits of the least and the greatest bitmap (two bits a shingle between them); children of a node; leaves of a block.
+BITMAP_WORDS, MOST_WORDS, FANOUT, BLOCK = 32, 512, 8, 4096
 #: Classes remembered by one task, so that copies in it are not emitted again.
 SEEN = 200_000
 #: Keys of dropped documents are broadcast up to this number, else joined by shuffle.
@@ -98,7 +99,7 @@ def _fresh(sigs: np.ndarray, n: np.ndarray, seen: set) -> np.ndarray:
 
 
 def _prefixes(levels):
-    """Entries (token, sig, n, hot): the first shingles of each class in the global order."""
+    """Entries (token, sig, n, left, hot): the first shingles of each class in the global order; `left` counts those from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -113,8 +114,8 @@ def _prefixes(levels):
                 size = np.bincount(row, minlength=rows)
                 place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 on = place < (n - (PERCENT * n + 99) // 100 + 1)[row]
-                row = row[on]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[on].view(np.int64)), pa.array(sig[row]), pa.array(n[row], pa.int32()), pa.array(level[on] > 0)], ["token", "sig", "n", "hot"])
+                row, left = row[on], (n[row] - place)[on]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[on].view(np.int64)), pa.array(sig[row]), pa.array(n[row], pa.int32()), pa.array(left, pa.int32()), pa.array(level[on] > 0)], ["token", "sig", "n", "left", "hot"])
 
     return run
 
@@ -141,8 +142,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
-#: What is read of classes: their bitmaps (of fixed size, and of a size that follows theirs), or their shingles.
-_COLUMNS = {"bits": {"bits": "binary", "wide": "binary"}, "tokens": {"tokens": "array<long>"}}
+#: What is read of classes: their bitmaps, or their shingles.
+_COLUMNS = {"bits": {"bits": "binary"}, "tokens": {"tokens": "array<long>"}}
 
 
 def _picked(wanted, kind: str):
@@ -158,7 +159,7 @@ def _picked(wanted, kind: str):
                 if kind == "bits":
                     cuts = np.searchsorted(row, np.arange(rows + 1))
                     own = [grams[cuts[i] : cuts[i + 1]] for i in picked]
-                    more = [pa.array([bitmap(x, words).tobytes() for x in own], pa.binary()) for words in (BITMAP_WORDS, 0)]
+                    more = [pa.array([bitmap(x).tobytes() for x in own], pa.binary())]
                 else:
                     more = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[picked])]).astype(np.int32)), pa.array(grams[on[row]].view(np.int64)))]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[picked]), pa.array(n[picked], pa.int32()), *more], ["sig", "n", *_COLUMNS[kind]])
@@ -181,7 +182,7 @@ def _of_classes(texts: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
 def bitmap(grams: np.ndarray, words: int = 0) -> np.ndarray:
     """Words of 64 bits with one bit set for each shingle: `words` of them, or about two bits a shingle."""
     if not words:
-        words = min(max(BITMAP_WORDS, 1 << (len(grams) // 32).bit_length()), 1 << 18)
+        words = min(max(BITMAP_WORDS, 1 << (len(grams) // 32).bit_length()), MOST_WORDS)
     flags = np.zeros(words * 64, np.uint8)
     flags[(grams >> np.uint64(40)).astype(np.int64) & (words * 64 - 1)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
@@ -198,37 +199,37 @@ def needed(total: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """Levels of nodes, leaves first; each node has the OR of its leaves' bitmaps and ranges of size and component."""
+    """Levels of nodes, leaves first; each node has the OR of its leaves' bitmaps, and ranges of size, rest and component."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> None:
+    def __init__(self, n: np.ndarray, left: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> None:
         slack = n - np.bitwise_count(bits).sum(1)
-        self.levels = [(bits, n, n, slack, comp, comp)]
+        self.levels = [(bits, n, n, left, slack, comp, comp)]
         while len(self.levels[-1][0]) > 1:
-            b, lo, hi, s, c, d = self.levels[-1]
+            b, lo, hi, rest, s, c, d = self.levels[-1]
             at = np.arange(0, len(b), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at)))
+            most = np.maximum.reduceat
+            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), most(hi, at), most(rest, at), most(s, at), np.minimum.reduceat(c, at), most(d, at)))
 
 
-def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, cross: np.ndarray | None = None, budget: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(n: np.ndarray, left: np.ndarray, bits: np.ndarray, comp: np.ndarray, apart: tuple[np.ndarray, ...] = (), budget: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of different components that may meet the threshold; leaves should come sorted by component.
 
-    With `cross` (two flags' halves), only pairs of one leaf of each half.  `budget` bounds the node pairs expanded at a time.
+    Only pairs that differ in every array of `apart`.  `budget` bounds the node pairs expanded at a time.
     """
-    tree = SignatureTree(n, bits, comp).levels
+    tree = SignatureTree(n, left, bits, comp).levels
     todo = [(len(tree) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         level, u, v = todo.pop()
-        b, lo, hi, slack, c, d = tree[level]
+        b, lo, hi, rest, slack, c, d = tree[level]
         on = ~((c[u] == d[u]) & (c[u] == d[v]) & (c[v] == d[v]))
-        on &= (100 * hi[u] >= PERCENT * lo[v]) & (100 * hi[v] >= PERCENT * lo[u])
-        u, v = u[on], v[on]
+        on &= (100 * hi[u] >= PERCENT * lo[v]) & (100 * hi[v] >= PERCENT * lo[u]) & (np.minimum(rest[u], rest[v]) >= needed(lo[u] + lo[v]))
         if level == 0:
-            on = (u < v) if cross is None else (u < v) & (cross[u] != cross[v])
-            u, v = u[on], v[on]
-            most = np.minimum(n[u] - np.bitwise_count(b[u] & ~b[v]).sum(1), n[v] - np.bitwise_count(b[v] & ~b[u]).sum(1))
-        else:
-            most = np.bitwise_count(b[u] & b[v]).sum(1) + np.minimum(slack[u], slack[v])
-        on = most >= needed(lo[u] + lo[v])
+            on &= u < v
+            for x in apart:
+                on &= x[u] != x[v]
+        u, v = u[on], v[on]
+        both = np.bitwise_count(b[u] & b[v]).sum(1)
+        on = both + np.minimum(slack[u], slack[v]) >= needed(lo[u] + lo[v])
         u, v = u[on], v[on]
         if level == 0:
             if len(u):
@@ -243,6 +244,21 @@ def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, cross: np.ndar
             todo.append((level - 1, cu[ok], cv[ok]))
 
 
+def group_pairs(n: np.ndarray, left: np.ndarray, bits: list[bytes], comp: np.ndarray, apart: tuple[np.ndarray, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """tree_pairs of leaves with bitmaps of several widths: a tree for each width, and one across each width and the next.
+
+    Sets that can meet the threshold differ by less than a factor of two in size, so no other widths need to meet.
+    """
+    width = np.array([len(x) // 8 for x in bits])
+    for w in np.unique(width).tolist():
+        own, both = np.flatnonzero(width == w), np.flatnonzero((width == w) | (width == 2 * w))
+        for at, more in ((own, ()), *([(both, (width,))] if len(both) > len(own) else [])):
+            if len(at) > 1:
+                whole = np.stack([fold(np.frombuffer(bits[i], np.uint64), w) for i in at])
+                for u, v in tree_pairs(n[at], left[at], whole, comp[at], tuple(x[at] for x in (*apart, *more))):
+                    yield at[u], at[v]
+
+
 def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each group in rows sorted by (token, i, j); two blocks of a group meet only across."""
 
@@ -250,9 +266,9 @@ def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         comp, n = group.column("comp").to_numpy(), group.column("n").to_numpy().astype(np.int64)
         order = np.lexsort((n, comp))
-        sig, block = group.column("sig").to_numpy()[order], group.column("block").to_numpy()[order]
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)[order]
-        found = list(tree_pairs(n[order], bits, comp[order], None if i == j else block))
+        sig, block, left = (group.column(k).to_numpy()[order] for k in ("sig", "block", "left"))
+        bits = group.column("bits").to_pylist()
+        found = list(group_pairs(n[order], left.astype(np.int64), [bits[k] for k in order], comp[order], () if i == j else (block,)))
         if not found:
             return None
         u, v = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -273,7 +289,7 @@ def _tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, n_a, wide_a, n_b, wide_b), the pairs whose bitmaps leave room for the overlap needed."""
+    """Of rows (a, b, n_a, bits_a, n_b, bits_b), the pairs whose bitmaps leave room for the overlap needed."""
     for batch in batches:
         n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
         most = np.minimum(n, m)
@@ -307,30 +323,31 @@ def similar_classes(texts: DataFrame) -> DataFrame:
         return np.concatenate(got) if got else np.zeros(0, np.int64)
 
     levels = spark.sparkContext.broadcast(_levels(bucket_counts(texts, positions, SKETCH_LOG2, top=1 << 31)))
-    entries = texts.mapInArrow(_prefixes(levels), "token long, sig long, n int, hot boolean")
-    rare = entries.filter("not hot").select("token", "sig", "n").repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_shared, "token long, sig long, n int")
-    frequent = entries.filter("hot").select("token", "sig", "n")
+    entries = texts.mapInArrow(_prefixes(levels), "token long, sig long, n int, left int, hot boolean")
+    rare = entries.filter("not hot").drop("hot").repartition("token").sortWithinPartitions("token", "sig").mapInArrow(_shared, "token long, sig long, n int, left int")
+    frequent = entries.filter("hot").drop("hot")
     groups = materialise(rare.unionByName(frequent), "groups")
 
     bitmaps = _of_classes(texts, groups.select("sig").distinct(), "bits")
 
-    # Each group's smallest class against the others.
-    leaders = materialise(groups.groupBy("token").agg(F.min(F.struct("n", "sig")).alias("lead")).select("token", F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
-    stars = groups.join(leaders, "token").filter((F.col("sig") != F.col("lead")) & (F.col("lead_n") * 100 >= F.col("n") * PERCENT))
+    # Each group's smallest class against the others.  At the first shingle that two classes share they share at most
+    # what either has from there on, so a pair for which that is too little is either settled in an earlier group or apart.
+    leaders = materialise(groups.groupBy("token").agg(F.min(F.struct("n", "sig", "left")).alias("lead")).select("token", F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.left").alias("lead_left")), "leaders")
+    room = F.least("left", "lead_left").cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("lead_n")).cast("long") * PERCENT
+    stars = groups.join(leaders, "token").filter((F.col("sig") != F.col("lead")) & (F.col("lead_n") * 100 >= F.col("n") * PERCENT) & room)
     stars = stars.select(F.least("lead", "sig").alias("a"), F.greatest("lead", "sig").alias("b")).distinct()
-    stars = materialise(_both_sides(stars, bitmaps, "wide").mapInArrow(_may_link, "a long, b long"), "star-pairs")
+    stars = materialise(_both_sides(stars, bitmaps, "bits").mapInArrow(_may_link, "a long, b long"), "star-pairs")
     links = materialise(_linked(stars, texts), "links")
     labels = components(links, "stars")
 
     # Groups that still span components, without their leaders (those are settled).
-    marked = groups.join(labels, groups["sig"] == labels["node"], "left").select("token", "sig", "n", F.coalesce("label", "sig").alias("comp"))
+    marked = groups.join(labels, groups["sig"] == labels["node"], "left").select("token", "sig", "n", "left", F.coalesce("label", "sig").alias("comp"))
     marked = materialise(marked.join(leaders.select("token", "lead"), "token").filter("sig <> lead").drop("lead"), "marked")
     open_ = materialise(marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).filter("x <> y").select("token", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "open")
     cells = marked.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    cells = cells.select("token", "i", "j", "block", "sig", "n", "comp").join(bitmaps.select("sig", "bits"), "sig")
+    cells = cells.select("token", "i", "j", "block", "sig", "n", "left", "comp").join(bitmaps.select("sig", "bits"), "sig")
     pairs = materialise(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tree_join, "a long, b long").distinct(), "tree-pairs")
-    pairs = materialise(_both_sides(pairs, bitmaps, "wide").mapInArrow(_may_link, "a long, b long"), "joined-pairs")
     if pairs.isEmpty():
         return labels
     more = materialise(_linked(pairs, texts), "more-links")
