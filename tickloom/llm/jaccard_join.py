@@ -6,8 +6,8 @@ Documents with equal shingle sets are one class, named by a 64-bit set hash; all
    the threshold share a shingle among the first n - ceil(t * n) + 1 of each, so classes meet in the groups of those
    shingles.  Shingles that only one class has there are dropped after one shuffle; frequent ones (known from the
    sketch) skip that shuffle.
-2. Each group's smallest class is checked against the others, by bitmaps and then by exact overlap, and the
-   links found are joined into components.  A large group of near copies is settled here by one check per member.
+2. Two leaders of each group are checked against the others, by bitmaps and then by exact overlap, and the
+   links found are joined into components.  A large group of near copies is settled here by two checks per member.
 3. Groups that still span components get a signature tree: nodes hold the OR of their members' shingle bitmaps and
    their range of sizes.  A dual traversal drops node pairs of one component, of unfitting sizes, or whose bitmaps
    cannot overlap enough; pairs of classes that are left are checked exactly.  Groups above BLOCK classes are cut
@@ -330,19 +330,23 @@ def similar_classes(texts: DataFrame) -> DataFrame:
 
     bitmaps = _of_classes(texts, groups.select("sig").distinct(), "bits")
 
-    # Each group's smallest class against the others.  At the first shingle that two classes share they share at most
-    # what either has from there on, so a pair for which that is too little is either settled in an earlier group or apart.
-    leaders = materialise(groups.groupBy("token").agg(F.min(F.struct("n", "sig", "left")).alias("lead")).select("token", F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.left").alias("lead_left")), "leaders")
-    room = F.least("left", "lead_left").cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("lead_n")).cast("long") * PERCENT
-    stars = groups.join(leaders, "token").filter((F.col("sig") != F.col("lead")) & (F.col("lead_n") * 100 >= F.col("n") * PERCENT) & room)
-    stars = stars.select(F.least("lead", "sig").alias("a"), F.greatest("lead", "sig").alias("b")).distinct()
+    # Each group's leaders, the classes of least and greatest hash, against the others: a class of typical content leads,
+    # not the shortest.  At the first shingle that two classes share they share at most what either has from there on, so
+    # a pair for which that is too little is either settled in an earlier group or apart.
+    member = F.struct("sig", "n", "left")
+    leaders = materialise(groups.groupBy("token").agg(F.min(member).alias("lo"), F.max(member).alias("hi")), "leaders")
+    stars = groups.join(leaders, "token").select("sig", "n", "left", F.explode(F.array("lo", "hi")).alias("lead"))
+    fits = (F.col("lead.n") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("lead.n") * PERCENT)
+    room = F.least("left", "lead.left").cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("lead.n")).cast("long") * PERCENT
+    stars = stars.filter((F.col("sig") != F.col("lead.sig")) & fits & room)
+    stars = stars.select(F.least("lead.sig", "sig").alias("a"), F.greatest("lead.sig", "sig").alias("b")).distinct()
     stars = materialise(_both_sides(stars, bitmaps, "bits").mapInArrow(_may_link, "a long, b long"), "star-pairs")
     links = materialise(_linked(stars, texts), "links")
     labels = components(links, "stars")
 
     # Groups that still span components, without their leaders (those are settled).
     marked = groups.join(labels, groups["sig"] == labels["node"], "left").select("token", "sig", "n", "left", F.coalesce("label", "sig").alias("comp"))
-    marked = materialise(marked.join(leaders.select("token", "lead"), "token").filter("sig <> lead").drop("lead"), "marked")
+    marked = materialise(marked.join(leaders, "token").filter("sig <> lo.sig and sig <> hi.sig").drop("lo", "hi"), "marked")
     open_ = materialise(marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("g")).filter("x <> y").select("token", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "open")
     cells = marked.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
