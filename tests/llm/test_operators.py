@@ -435,6 +435,30 @@ def test_lm_learns(spark):
     assert all(r.score > 0.9 * r.base_score for r in rows)
 
 
+def test_lm_tail_words_keep_their_share(spark, monkeypatch):
+    """Scores don't change with the number of words that are broadcast."""
+    docs = spark.createDataFrame([(k, f"red green blue word{k % 7} once{k}") for k in range(60)], "doc_id long, text string").repartition(2).cache()
+    got = []
+    for n in (1 << 19, 3):
+        monkeypatch.setattr(LM, "HEAD_WORDS", n)
+        got.append({r.doc_id: r.score for r in LM.lm_scores(docs, BYTE, public_tokenizers.PATTERN).collect()})
+    assert all(math.isclose(got[0][k], got[1][k], abs_tol=1e-6) for k in range(60))
+
+
+def test_lm_trains_on_all_documents(spark):
+    rows = [(k, " ".join(["red green blue"] * (k % 40))) for k in range(300)]
+    code = LM._subwords(BYTE, public_tokenizers.PATTERN)
+    sizes = [len(code.code.encode_ordinary("".join(f" {w}" for w in t.split()))) for _, t in rows]
+    vocabulary = LM.make_vocabulary(np.ones(code.size), code.spaced)
+    model = LM.AttentionModel(np.zeros(LM.CLASSES))
+    ids = np.array(code.code.encode_ordinary(" red green blue" * 20))
+    put, aim, _ = LM.windows(ids, np.array([0, len(ids)]), code.end)
+    loss = lambda: model.gradient(*LM._numbered(put, aim, vocabulary))[0]
+    before = loss()
+    seen = LM.train_on_all(spark.createDataFrame(rows, "doc_id long, text string"), model, vocabulary, BYTE, public_tokenizers.PATTERN)
+    assert seen == sum((n + LM.TARGETS) // LM.TARGETS for n in sizes) and loss() < before
+
+
 # HTML
 
 

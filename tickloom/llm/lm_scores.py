@@ -2,10 +2,12 @@
 
 Two statistics cover the whole training part of the corpus: counts of words (for the unigram base score) and counts of
 subword ids (for the shares of ids within their class).  The attention model predicts the class of the next id; the
-frequent ids are classes of their own.  It is trained on a bounded sample of windows.  Scoring cuts a text into
-overlapping windows of CONTEXT + TARGETS ids; each id is a target once and sees at least CONTEXT ids before it (or the
-start), by batched masked attention.  A word's probability is the mean of the attention model's (over its ids) and, for
-the most frequent words, their share among those; the mixture weight is a parameter.
+frequent ids are classes of their own.  It is started on a bounded sample of windows and then trained on every window of
+every training document, each once: in each of a few rounds every task takes steps over its documents of the round, and
+the mean of the tasks' models, weighted by windows, goes on.  Scoring cuts a text into overlapping windows of
+CONTEXT + TARGETS ids; each id is a target once and sees at least CONTEXT ids before it (or the start), by batched masked
+attention.  A word's probability is the mean of the attention model's (over its ids) and the word's share of all training
+tokens; the mixture weight is a parameter.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ CONTEXT, TARGETS = 16, 16
 WIDTH, CLASSES, BANDS, INPUTS = 16, 256, 32, 2048
 #: Windows scored at a time: their arrays stay in a core's cache.
 AT_ONCE = 256
-#: Weight of the frequent words' unigram shares, mixed word by word with the attention model.
+#: Weight of the words' unigram shares, mixed word by word with the attention model.
 UNIGRAM = 0.85
-#: Bounds: windows on which the model is trained, documents they come from, and windows of one document.
+#: Bounds of the start: windows on which the model is started, documents they come from, and windows of one document.
 SAMPLE_WINDOWS, SAMPLE_DOCS, DOC_WINDOWS = 20_000, 4_000, 64
 STEPS, BATCH, RATE, SEED = 500, 128, 4e-3, 11
+#: Rounds over all training documents (each document is in one), their first rate, and rows a round that the driver gets.
+ROUNDS, ROUND_RATE, SUMS = 4, 1e-3, 8
 #: The most frequent words, whose counts are broadcast (12 bytes each); all others are joined by shuffle.
 HEAD_WORDS = 1 << 19
 #: Words whose ids one task keeps.
@@ -154,6 +158,11 @@ _SEEN = (np.arange(CONTEXT + TARGETS)[None, :] <= np.arange(CONTEXT, CONTEXT + T
 _MASK = np.where(np.arange(CONTEXT + TARGETS)[None, :] <= np.arange(CONTEXT, CONTEXT + TARGETS)[:, None], 0, -1e9).astype(np.float32)
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for a stack of matrices a, as one product."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+
+
 class AttentionModel:
     """One head of causal self-attention over embedded ids, with a residual path to class logits."""
 
@@ -167,15 +176,16 @@ class AttentionModel:
         p = self.p
         x = p["e"][put] + p["pos"]
         xq = x[:, CONTEXT:]
-        q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
+        q, k, v = _times(xq, p["q"]), _times(x, p["k"]), _times(x, p["v"])
         s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
         s += np.where(put == INPUTS, np.float32(-1e9), np.float32(0))[:, None, :]
         s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(2, keepdims=True)
         av = s @ v
-        h = xq + av @ p["o"]
-        z = h @ p["u"] + p["b"]
+        h = xq + _times(av, p["o"])
+        z = _times(h, p["u"])
+        z += p["b"]
         z -= z.max(2, keepdims=True)
         return z, (x, xq, q, k, v, s, av, h)
 
@@ -204,7 +214,7 @@ class AttentionModel:
 
     def gradient(self, put: np.ndarray, aim: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, (z, (x, xq, q, k, v, s, av, h)) = self.p, self._forward(put)
-        probs = np.exp(z)
+        probs = np.exp(z, out=z)
         probs /= probs.sum(2, keepdims=True)
         picked = np.take_along_axis(probs, aim[:, :, None], 2)[:, :, 0]
         n = max(there.sum(), 1)
@@ -214,42 +224,113 @@ class AttentionModel:
         d *= (there / np.float32(n))[:, :, None]
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g = {"u": flat(h).T @ flat(d), "b": flat(d).sum(0)}
-        dh = d @ p["u"].T
+        dh = _times(d, p["u"].T)
         g["o"] = flat(av).T @ flat(dh)
-        dav = dh @ p["o"].T
+        dav = _times(dh, p["o"].T)
         ds = dav @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ dav
         ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g |= {"q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, CONTEXT:] += dh + dq @ p["q"].T
+        dx = _times(dk, p["k"].T) + _times(dv, p["v"].T)
+        dx[:, CONTEXT:] += dh + _times(dq, p["q"].T)
         g["pos"] = dx.sum(0)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], put.ravel(), flat(dx))
+        at = put.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(at.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(p["e"].dtype)
         return loss, g
 
 
+class Adam:
+    """Steps on a model with running means of gradients and their squares."""
+
+    def __init__(self, model: AttentionModel) -> None:
+        self.model, self.t = model, 0
+        self.first = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in model.p.items()}
+
+    def step(self, put: np.ndarray, aim: np.ndarray, there: np.ndarray, rate: float) -> None:
+        self.t += 1
+        _, g = self.model.gradient(put, aim, there)
+        for k, d in g.items():
+            self.first[k] += 0.1 * (d - self.first[k])
+            self.second[k] += 0.01 * (d * d - self.second[k])
+            self.model.p[k] -= np.float32(rate) * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.99**self.t)) + 1e-8)
+
+
+def _numbered(put: np.ndarray, aim: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input numbers, classes and presence of the targets of windows of ids."""
+    return np.where(put < 0, INPUTS, vocabulary.input[put]), vocabulary.of[np.maximum(aim, 0)], (aim >= 0).astype(np.float32)
+
+
 def train(put: np.ndarray, aim: np.ndarray, vocabulary: Vocabulary, prior: np.ndarray, steps: int = STEPS) -> AttentionModel:
     """Adam with a falling rate on the sampled windows; without any the model is the prior over classes."""
     model = AttentionModel(prior)
     if not len(put):
         return model
-    put, there = np.where(put < 0, INPUTS, vocabulary.input[put]), (aim >= 0).astype(np.float32)
-    aim = vocabulary.of[np.maximum(aim, 0)]
-    rng = np.random.default_rng(SEED)
-    first = {k: np.zeros_like(v) for k, v in model.p.items()}
-    second = {k: np.zeros_like(v) for k, v in model.p.items()}
+    put, aim, there = _numbered(put, aim, vocabulary)
+    rng, adam = np.random.default_rng(SEED), Adam(model)
     for t in range(1, steps + 1):
         on = rng.integers(0, len(put), BATCH)
-        _, g = model.gradient(put[on], aim[on], there[on])
-        for k, d in g.items():
-            first[k] += 0.1 * (d - first[k])
-            second[k] += 0.01 * (d * d - second[k])
-            model.p[k] -= np.float32(RATE * (1 - 0.9 * t / steps)) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
+        adam.step(put[on], aim[on], there[on], RATE * (1 - 0.9 * t / steps))
     return model
 
 
+def _learn(held, rate: float, path: str, pattern: str):
+    """(n, p): windows of the task's texts and the parameters after steps on each of them once, by chunks in random order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, (start, vocabulary) = _subwords(path, pattern), held.value
+        model = AttentionModel(start["b"])
+        model.p = {k: v.copy() for k, v in start.items()}
+        rng, adam, n = np.random.default_rng(SEED), Adam(model), 0
+        for batch in batches:
+            for _, _, data, off in text_chunks(batch.column(0)):
+                starts, ends, first = words_of(data, off, SPACE_WORDS)
+                ids, size = code.ids_of(data.tobytes(), starts, ends, word_hashes(data, starts, ends))
+                put, aim, _ = windows(ids, np.concatenate([[0], np.cumsum(size)])[first], code.end)
+                order, n = rng.permutation(len(put)), n + len(put)
+                for a in range(0, len(put), BATCH):
+                    on = order[a : a + BATCH]
+                    adam.step(*_numbered(put[on], aim[on], vocabulary), rate * len(on) / BATCH)
+        if n:
+            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(np.float64) * n
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the task's rows (n, p)."""
+    n, total = 0, None
+    for batch in batches:
+        for more, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p = np.frombuffer(p)
+            n, total = n + more, p if total is None else total + p
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
+
+
+def train_on_all(docs: DataFrame, model: AttentionModel, vocabulary: Vocabulary, path: str, pattern: str) -> int:
+    """Goes on with training on every window of the rows (doc_id, text) and gives their number; data and models of tasks stay on executors."""
+    windows_seen, context = 0, docs.sparkSession.sparkContext
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS))
+    for r in range(ROUNDS):
+        held = context.broadcast((model.p, vocabulary))
+        made = docs.filter(part == r).select("text").mapInArrow(_learn(held, ROUND_RATE * (1 - 0.9 * r / ROUNDS), path, pattern), "n long, p binary")
+        found = made.repartition(SUMS).mapInArrow(_add_up, "n long, p binary").collect()
+        n = sum(x["n"] for x in found)
+        if n:
+            mean, at = sum(np.frombuffer(x["p"]) for x in found) / n, 0
+            new = {}
+            for k in sorted(model.p):
+                new[k] = mean[at : at + model.p[k].size].reshape(model.p[k].shape).astype(np.float32)
+                at += model.p[k].size
+            model.p = new
+        windows_seen += n
+        held.unpersist()
+    return windows_seen
+
+
 @dataclass
 class Scorer:
     """Everything of fixed size that scoring needs."""
@@ -259,7 +340,7 @@ class Scorer:
     head: np.ndarray
     head_counts: np.ndarray
     ends: int
-    head_total: int
+    total: int
 
     def log10_ids(self, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
         """log10 P of the targets of all rows: each row's ids, then its end."""
@@ -274,22 +355,21 @@ class Scorer:
         out[(place[:, None] + np.arange(TARGETS))[there]] = (got + voc.share[aim])[there]
         return out
 
-    def log10(self, ids: np.ndarray, size: np.ndarray, word_first: np.ndarray, shares: np.ndarray, end: int) -> np.ndarray:
-        """log10 P of each row of words; `size` ids a word, `shares` the unigram share of each word (0 for rare ones)."""
+    def log10(self, ids: np.ndarray, size: np.ndarray, word_first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The attention model's log10 P of each word and of each row's end; `size` ids a word."""
         stop = np.cumsum(size)
         first = np.concatenate([[0], stop])[word_first]
         got = self.log10_ids(ids, first, end)
         upto = np.concatenate([[0.0], np.cumsum(got)])
         row = np.repeat(np.arange(len(word_first) - 1), np.diff(word_first))
-        word = upto[stop + row] - upto[stop - size + row]
-        ends = got[first[1:] + np.arange(len(first) - 1)]
-        mix = lambda a, u: np.log10((1 - UNIGRAM) * 10.0 ** np.maximum(a, -290) + UNIGRAM * u)
-        rare = shares == 0
-        word = np.where(rare, word + np.log10(1 - UNIGRAM), mix(word, shares))
-        return np.bincount(row, word, len(word_first) - 1) + mix(ends, self.ends / max(self.head_total, 1))
+        return upto[stop + row] - upto[stop - size + row], got[first[1:] + np.arange(len(first) - 1)]
+
+    def mix(self, attention: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
+        """log10 of the mixture of the attention model's probability and the share of all training tokens."""
+        return np.log10((1 - UNIGRAM) * 10.0 ** np.maximum(attention, -290) + UNIGRAM * counts / max(self.total, 1))
 
 
-_ROWS = "rid long, doc_id {id}, held_out boolean, n_tokens long, known long, logs double, score double, tail array<struct<h:long,n:int>>"
+_ROWS = "rid long, doc_id {id}, held_out boolean, n_tokens long, known long, logs double, score double, tail array<struct<h:long,a:array<double>>>"
 
 
 def _score(held, path: str, pattern: str):
@@ -304,15 +384,16 @@ def _score(held, path: str, pattern: str):
                 ids, size = code.ids_of(data.tobytes(), starts, stops, h)
                 at = np.minimum(np.searchsorted(it.head, h.view(np.int64)), max(len(it.head) - 1, 0))
                 on = it.head[at] == h.view(np.int64) if len(it.head) else np.zeros(len(h), bool)
-                shares = np.where(on, it.head_counts[at], 0) / max(it.head_total, 1) if len(it.head) else np.zeros(len(h))
-                score = it.log10(ids, size, first, shares, code.end)
+                attention, last = it.log10(ids, size, first, code.end)
+                score = np.bincount(row[on], it.mix(attention[on], it.head_counts[at[on]]), rows) + it.mix(last, it.ends)
                 logs = np.bincount(row[on], np.log10(it.head_counts[at[on]] + SMOOTH), rows) + ends
                 known = np.bincount(row[on], minlength=rows) + (it.ends > 0)
-                rest, rest_row = h[~on], row[~on]
+                rest, rest_row, attention = h[~on], row[~on], attention[~on]
                 order = np.lexsort((rest, rest_row))
-                rest, rest_row = rest[order], rest_row[order]
+                rest, rest_row, attention = rest[order], rest_row[order], attention[order]
                 new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (rest_row[1:] != rest_row[:-1]))) if len(rest) else np.zeros(0, np.int64)
-                tail = pa.StructArray.from_arrays([pa.array(rest[new].view(np.int64)), pa.array(np.diff(np.append(new, len(rest))), pa.int32())], ["h", "n"])
+                each = pa.ListArray.from_arrays(pa.array(np.append(new, len(rest)).astype(np.int32)), pa.array(attention))
+                tail = pa.StructArray.from_arrays([pa.array(rest[new].view(np.int64)), each], ["h", "a"])
                 cuts = np.searchsorted(rest_row[new], np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, rows) for i in range(3)), pa.array(words + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), tail)],
@@ -326,9 +407,10 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; the end of a text is a token too.  base_score
-    is the smoothed unigram log10 probability of the words, score the attention model's of the words' subword ids.
+    is the smoothed unigram log10 probability of the words, score that of the attention model over the words' subword ids
+    mixed with the words' shares of all training tokens.
     Null and empty texts are only their end; a null id is held out; without training rows every count is 0;
-    equal texts score alike; other columns are not read.  `tokenizer_path` is a byte-level BPE that executors can read.
+    equal texts score alike up to rounding; the tasks' share of the rows may move score a little; other columns are not read.  `tokenizer_path` is a byte-level BPE that executors can read.
     """
     spark = docs.sparkSession
     fold = remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT
@@ -348,17 +430,22 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     vocabulary = make_vocabulary(by_id, code.spaced)
     prior = np.log(np.bincount(vocabulary.of, by_id + SMOOTH, CLASSES) / (by_id + SMOOTH).sum())
     put, aim = _sample(named, tokenizer_path, pattern)
-    scorer = Scorer(train(put, aim, vocabulary, prior), vocabulary, head.column("h").to_numpy()[order], head.column("c").to_numpy()[order], int(ends), int(head.column("c").to_numpy().sum() + ends))
+    model = train(put, aim, vocabulary, prior)
+    train_on_all(named.filter("not held_out").select("doc_id", "text"), model, vocabulary, tokenizer_path, pattern)
+    scorer = Scorer(model, vocabulary, head.column("h").to_numpy()[order], head.column("c").to_numpy()[order], int(ends), int(total))
     held = spark.sparkContext.broadcast(scorer)
 
     rows = named.mapInArrow(_score(held, tokenizer_path, pattern), _ROWS.format(id=named.schema["doc_id"].dataType.simpleString()))
     rows = materialise(rows, "lm-rows")
-    tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.n").join(words, "h", "left")
-    tail = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("tail_logs"))
+    tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.a", F.size("t.a").alias("n")).join(words, "h", "left")
+    unigram = F.coalesce("c", F.lit(0)) * (UNIGRAM / max(total, 1))
+    mixed = F.aggregate("a", F.lit(0.0), lambda s, a: s + F.when(F.col("c") > 0, F.log10((1 - UNIGRAM) * F.pow(F.lit(10.0), F.greatest(a, F.lit(-290.0))) + unigram)).otherwise(a + float(np.log10(1 - UNIGRAM))))
+    tail = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("tail_logs"), F.sum(mixed).alias("tail_score"))
     share = float(np.log10(total + SMOOTH * (distinct + 1)))
     return rows.drop("tail").join(tail, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * share).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * share).alias("base_score"),
+        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
 
 
