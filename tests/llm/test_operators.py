@@ -475,6 +475,24 @@ def test_rendering():
     assert page_text(None) == (None, "") and page_text("<div>" * 3000 + "x")[1] == "x" and page_text("<table><td>漢<td>b<tr><td>a<td>c</table>")[1] == "漢  b\na   c"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div><li>x", "- x"), ("<li>x<li>y", "- x\n- y"), ("<ul><div><li>x</div><li>y</ul>", "- x\n- y"), ("<div><td>x", "x"), ("<div><tr><td>a<td>b<tr><td>cc<td>d</div>e", "a   b\ncc  d\ne"),
+    ("<table><form><tr><td>a<td>b</form></table>", "a  b"), ("<ul><td>x</td><tr><td>y</ul>", "x\ny"), ("<div><li></div>x", "x"),
+    ("<head><title>t</title><p>text", "text"), ("<head><title>t</title>text", "text"), ("<head><meta charset=x><style>p{}</style>\n<body>text", "text"),
+    ("<table><tr>s<b>t</b><td>a</table>", "st\na"), ("<table><tbody>s<tr><td>a</table>", "s\na"), ("<table><b><td>a<td>b</table>", "a  b"), ("<table><tr><div>s</div><td>a</table>", "s\na"),
+    ("<textarea>\na\nb</textarea>", "a\nb"), ("<select><option>a<option selected>b</select> c", "b c"), ("<select><option disabled>a<option>b</select>", "b"), ("<select multiple><optgroup><option>a<option>b</select>", "a\nb"),
+    ("<input value=x><input type=hidden value=y><input type=submit value=z><button>w</button>", "xzw"), ("<textarea hidden>a</textarea>", ""),
+])
+def test_untidy_pages(html, text):
+    assert page_text(html)[1] == text
+
+
+def test_broken_markup_never_fails():
+    rng, tags = np.random.default_rng(0), "div p li ul ol td tr table tbody form pre b head title body select option textarea dd q caption br input".split()
+    for _ in range(3000):
+        page_text("".join(f"{rng.choice(['<', '</'])}{rng.choice(tags)}>{rng.choice(['', 'x', ' '])}" for _ in range(12)))
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None), (2, "u", ""), (2, "u", "<p>a")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     assert Counter((r.page_id, r.title, r.text, r.n_chars) for r in extract_text(pages).collect()) == Counter([(1, None, "a", 1), (None, None, "", 0), (2, None, "", 0), (2, None, "a", 1)])

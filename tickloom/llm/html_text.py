@@ -3,7 +3,8 @@
 A tree builder closes elements whose end tags HTML lets authors leave out.  Rendering works from the leaves up:
 inline text is collapsed as browsers do, blocks stand on lines of their own (with a blank line around paragraphs,
 headings, lists and tables), list items keep markers and indentation, preformatted text keeps its spacing, and table
-cells are padded to their column's width.  Hidden elements emit nothing.
+cells are padded to their column's width.  Text in a table outside its cells comes before it.  Controls show their text
+(a select its chosen option).  Hidden elements emit nothing.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 #: Elements without content, elements never shown, and elements laid out as blocks (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist select textarea area base link meta".split())
+UNSEEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist area base link meta".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu".split())
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main address details summary dialog fieldset form li dt dd figcaption legend center caption hgroup search".split())
+#: Elements that may stand in head (any other, and text, ends it), and kinds of input elements whose value is shown.
+IN_HEAD = frozenset("html head base link meta title script style template noscript noframes".split())
+SHOWN_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "reset", "button"))
 CELLS, ROWS, PARTS = frozenset(("td", "th")), frozenset(("tr",)), frozenset(("thead", "tbody", "tfoot"))
 #: For a start tag: the open elements that it ends, and those that bound the search.
 ENDS: dict[str, tuple[frozenset, frozenset]] = {
@@ -31,6 +35,7 @@ ENDS: dict[str, tuple[frozenset, frozenset]] = {
     "tr": (CELLS | ROWS, frozenset(("table",))),
     **dict.fromkeys(("thead", "tbody", "tfoot", "caption"), (CELLS | ROWS | PARTS | {"caption"}, frozenset(("table",)))),
     **dict.fromkeys(("option", "optgroup"), (frozenset(("option",)), frozenset(("select",)))),
+    **dict.fromkeys(("input", "textarea"), (frozenset(("select",)), frozenset())),
     "body": (frozenset(("head",)), frozenset()),
 }
 _WALLS = frozenset(("td", "th", "caption", "table", "button", "html"))
@@ -77,7 +82,13 @@ class TreeBuilder(HTMLParser):
         if found:
             self._pop(found)
 
+    def _end_head(self) -> None:
+        while self.open[-1].tag == "head":
+            self._pop(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ENDS:
             self._end(*ENDS[tag], last=True)
         if tag in BLOCKS:
@@ -86,8 +97,8 @@ class TreeBuilder(HTMLParser):
             self._end(frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), _WALLS | {"div", "section", "article"}, last=False)
         if tag in CELLS and self.open[-1].tag in ("table", *PARTS):
             self.handle_starttag("tr", [])
-        if tag in ("html", "body"):
-            return
+        if tag in ("html", "body") or (tag == "form" and self.open[-1].tag in ("table", "tr", *PARTS)):
+            return  # a form between the parts of a table holds none of them
         attrs = {k: v or "" for k, v in reversed(attrs)}
         seen = tag not in UNSEEN and "hidden" not in attrs and not ("style" in attrs and _STYLE.search(attrs["style"])) and self.open[-1].seen
         node = Node(tag, attrs, seen)
@@ -107,6 +118,8 @@ class TreeBuilder(HTMLParser):
             self._end(frozenset((tag,)), frozenset() if tag in ("table", *PARTS) else frozenset(("table",)) if tag not in CELLS | ROWS | {"li"} else frozenset(("table",)) | ({"ul", "ol"} if tag == "li" else frozenset()), last=False)
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         top = self.open[-1]
         if top.seen:
             top.children.append(data.replace(BREAK, "�"))
@@ -121,6 +134,28 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _marked(lines: list[str], mark: str) -> list[str]:
+    """A list item's lines, further ones indented below the text."""
+    return [mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])] if lines else []
+
+
+def _plain(items: list) -> list:
+    """List items, cells and rows that are outside of their list or table as blocks; rows below each other are a table."""
+    if all(isinstance(x, str) or len(x) < 3 for x in items):
+        return items
+    out, rows = [], []
+    for item in items:
+        kind = item[2] if not isinstance(item, str) and len(item) > 2 else None
+        if kind == "row":
+            rows.append(item[3])
+        elif not rows or not isinstance(item, str) or item.strip(" \t\n\r\f"):
+            if rows:
+                out.append((_table(rows), False))
+                rows = []
+            out.append(item if kind is None else (_marked(item[0], "- ") if kind == "li" else item[0], False))
+    return [*out, (_table(rows), False)] if rows else out
+
+
 def _stack(items: list) -> list[str]:
     """Lines of a block's content: inline runs collapsed and cut at breaks, blocks below each other."""
     lines: list[str] = []
@@ -145,7 +180,7 @@ def _stack(items: list) -> list[str]:
                     parts.pop()
                 put(parts, False)
 
-    for item in items:
+    for item in _plain(items):
         if isinstance(item, str):
             run.append(item)
         else:
@@ -169,16 +204,31 @@ def _list(node: Node, items: list) -> list[str]:
             continue
         lines, kind = item[0], item[2] if len(item) > 2 else None
         if kind != "li":
-            out.extend(lines if kind is None else [])
+            out.extend(lines if kind is None else _stack([item]))
             continue
         mark = f"{at}. " if node.tag == "ol" else "- "
         at += 1
-        if lines:
-            out.append(mark + lines[0])
-            out.extend(" " * len(mark) + x if x else "" for x in lines[1:])
+        out.extend(_marked(lines, mark))
     return out
 
 
+def _options(select: Node) -> list[str]:
+    """Texts that a select element shows: all of a list box, else the chosen or first option that can be chosen."""
+    found, stack = [], [(x, None) for x in reversed(select.children)]
+    while stack:
+        node, option = stack.pop()
+        if isinstance(node, str):
+            if option is not None:
+                option[1].append(node)
+            continue
+        if node.tag == "option":
+            found.append(option := (node, []))
+        stack.extend((x, option) for x in reversed(node.children))
+    if "multiple" not in select.attrs and _number(select.attrs.get("size", ""), 1) <= 1:
+        found = [x for x in found if "selected" in x[0].attrs][-1:] or [x for x in found if "disabled" not in x[0].attrs][:1]
+    return [_SPACE.sub(" ", "".join(texts)).strip() for _, texts in found]
+
+
 def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Cells padded to the width of their column, two spaces apart; a cell over several columns widens none."""
     widths: list[int] = []
@@ -201,6 +251,11 @@ def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return out
 
 
+def _loose(items: list) -> list:
+    """Content of a row besides its cells, which stands before the table."""
+    return [x for x in items if (x.strip(" \t\n\r\f") if isinstance(x, str) else len(x) < 4 or x[2] != "cell")]
+
+
 def _layout(node: Node, items: list, pre: bool) -> list:
     """What an element adds to its parent: inline strings, or (lines, spaced[, kind[, more]])."""
     tag = node.tag
@@ -211,18 +266,29 @@ def _layout(node: Node, items: list, pre: bool) -> list:
     if tag in CELLS:
         return [(_stack(items), False, "cell", min(max(_number(node.attrs.get("colspan", ""), 1), 1), 1000))]
     if tag == "tr":
-        cells = [(x[0], x[3]) if len(x) > 3 else (x[0], 1) for x in items if not isinstance(x, str)]
-        return [([], False, "row", cells)]
+        cells = [(x[0], x[3]) for x in items if not isinstance(x, str) and len(x) > 3 and x[2] == "cell"]
+        return [*_loose(items), ([], False, "row", cells)]
     if tag in PARTS:
-        return [x for x in items if not isinstance(x, str)]
+        return [x for x in items if not isinstance(x, str) or x.strip(" \t\n\r\f")]
     if tag == "table":
-        rows = [x[3] for x in items if not isinstance(x, str) and len(x) > 3 and x[2] == "row"]
-        loose = [x for x in items if isinstance(x, str) or len(x) < 4]
-        return [(_stack(loose) + _table(rows), True)]
+        rows, bare = [], False
+        for x in items:
+            if not isinstance(x, str) and len(x) > 3:
+                if x[2] == "row" or not bare:
+                    rows.append([])
+                rows[-1].extend(x[3] if x[2] == "row" else [(x[0], x[3])])
+                bare = x[2] == "cell"
+        return [(_stack([x for x in items if isinstance(x, str) or len(x) < 4]) + _table(rows), True)]
+    if tag == "input":
+        return [node.attrs["value"].replace(BREAK, "�")] if node.attrs.get("value") and node.attrs.get("type", "").lower() in SHOWN_INPUTS else []
+    if tag == "textarea":
+        return ["".join(x for x in items if isinstance(x, str)).removeprefix("\n").rstrip("\n").replace("\n", BREAK)]
+    if tag == "select":
+        return [BREAK.join(_options(node))]
     if tag in ("ul", "ol", "menu"):
         return [(_list(node, items), True)]
     if tag == "pre":
-        text = "".join(x if isinstance(x, str) else "\n".join(x[0]) for x in items).replace(BREAK, "\n")
+        text = "".join(x if isinstance(x, str) else "\n".join(x[0]) for x in _plain(items)).replace(BREAK, "\n")
         return [([x.rstrip() for x in text.removeprefix("\n").rstrip("\n").split("\n")] if text.strip() else [], True)]
     if tag in ("dd", "blockquote") and not pre:
         return [(["  " + x if x else "" for x in _stack(items)], tag == "blockquote")]
@@ -248,7 +314,7 @@ def render(root: Node) -> list[str]:
         elif stack:
             stack[-1][2].extend(_layout(node, items, pre and node.tag != "pre"))
         else:
-            return _stack([x if isinstance(x, str) or len(x) < 4 else (x[0] if x[2] != "row" else _table([x[3]]), False) for x in items])
+            return _stack(items)
 
 
 def page_text(html: str | None) -> tuple[str | None, str]:
