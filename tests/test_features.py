@@ -108,3 +108,16 @@ def test_self_correlation(spark, at):
     both = bars.unionByName(bars.withColumn("symbol", F.lit("ETH")))
     rows = O.compute_features(both).filter("cross_corr_60 is not null").select("cross_corr_60", "cross_beta_60").collect()
     assert rows and all(math.isclose(v, 1, rel_tol=1e-9) for r in rows for v in r)
+
+
+def test_all_features_have_the_book_of_the_hour(spark):
+    """features_all gives the book columns of features_book on its hourly bars."""
+    from tickloom.plans.market import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = {name: {(r.symbol, r.time): r for r in QUERIES[name](spark, sf).select("symbol", "time", *O.BOOK_FEATURES).collect()} for name in ("features_all", "features_book")}
+    assert rows["features_all"].keys() == rows["features_book"].keys()
+    for key, want in rows["features_book"].items():
+        for c in O.BOOK_FEATURES:
+            a, b = rows["features_all"][key][c], want[c]
+            assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6)), (key, c)

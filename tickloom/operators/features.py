@@ -166,12 +166,12 @@ def cross_features(rets: DataFrame) -> DataFrame:
     return df.withColumns({"cross_corr_60": s.corr("_x", "_y", 60), "cross_beta_60": beta, "cross_ret_spread": F.col("_x") - F.col("_y")}).select("symbol", "time", *CROSS_FEATURES)
 
 
-def compute_features(bars: DataFrame, book: DataFrame | None = None, funding: DataFrame | None = None, chunk_seconds: int | None = None, finite: bool = False) -> DataFrame:
+def compute_features(bars: DataFrame, book: DataFrame | None = None, funding: DataFrame | None = None, chunk_seconds: int | None = None, finite: bool = False, bar: str = "5 minutes", seconds: int = 300) -> DataFrame:
     """[symbol, time, 58 features] for all symbols in one plan.
 
-    Missing inputs give null columns.  With `finite`, NaN and infinities become null at the end.
+    `bar` and `seconds` are the length of the bars, into which book snapshots fall.  Missing inputs give null columns.  With `finite`, NaN and infinities become null at the end.
     """
     df = bar_features(bars, chunk_seconds)
-    for part, names in ((book and book_features(book), BOOK_FEATURES), (funding and funding_features(bars, funding), FUNDING_FEATURES), (cross_features(df.select("symbol", "time", "ret_1")), CROSS_FEATURES)):
+    for part, names in ((book and book_features(book, bar, seconds), BOOK_FEATURES), (funding and funding_features(bars, funding), FUNDING_FEATURES), (cross_features(df.select("symbol", "time", "ret_1")), CROSS_FEATURES)):
         df = df.join(part, ["symbol", "time"], "left") if part is not None else df.withColumns({n: F.lit(None).cast("double") for n in names})
     return df.select("symbol", "time", *[finite_or_null(n).alias(n) if finite else F.col(n) for n in FEATURE_NAMES])

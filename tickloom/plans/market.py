@@ -115,7 +115,7 @@ def q_adx(spark, sf):
 
 def q_features(spark, sf):
     """All 58 features of the hourly bars."""
-    return features.compute_features(bars(spark, sf), book(spark, sf).withColumn("time", F.col("time")), funding(spark, sf).drop("seq"), finite=True)
+    return features.compute_features(bars(spark, sf), book(spark, sf).withColumn("time", F.col("time")), funding(spark, sf).drop("seq"), finite=True, bar="1 hour", seconds=HOUR)
 
 
 def _labelled(spark, sf, horizon=12):
