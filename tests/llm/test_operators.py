@@ -396,41 +396,92 @@ def test_lm_base_scores(odd, empty):
     assert all(r.score < 0 for r in got) and LM.lm_scores(empty, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def random_targets(rng, rows):
+    return rng.integers(0, LM.INPUTS, (rows, LM.LENGTH)), rng.integers(0, LM.GROUPS, (rows, LM.LENGTH)), rng.integers(0, LM.PLACES, (rows, LM.LENGTH))
+
+
 def test_lm_gradient_and_masks():
     rng = np.random.default_rng(0)
-    model = LM.AttentionModel(np.zeros(LM.CLASSES))
+    model = LM.AttentionModel(np.ones((LM.GROUPS, LM.PLACES)))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    put, aim = rng.integers(0, LM.INPUTS, (3, LM.CONTEXT + LM.TARGETS)), rng.integers(0, LM.CLASSES, (3, LM.TARGETS))
-    put[0, :4] = LM.INPUTS
-    there = np.ones((3, LM.TARGETS))
-    _, g = model.gradient(put, aim, there)
-    for k in ("q", "k", "v", "o", "u", "pos", "e"):
+    put, group, place = random_targets(rng, LM.BLOCK + 3)
+    there = rng.random(put.shape) < 0.8
+    loss, g = model.gradient(put, group, place, there)
+    assert math.isclose(loss, -model.log_places(put, group, place)[there].mean(), rel_tol=1e-9)
+    assert set(g) == set(model.p)
+    for k in g:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         old, ends = model.p[k][at], []
         for step in (1e-5, -1e-5):
             model.p[k][at] = old + step
-            ends.append(model.gradient(put, aim, there)[0])
+            ends.append(model.gradient(put, group, place, there)[0])
         model.p[k][at] = old
         assert math.isclose((ends[0] - ends[1]) / 2e-5, g[k][at], rel_tol=1e-3, abs_tol=1e-9), k
     later = put.copy()
     later[:, -1] = (later[:, -1] + 1) % LM.INPUTS  # the last input may change the last target only
-    a, b = model.log10_classes(put, aim), model.log10_classes(later, aim)
+    a, b = model.log_places(put, group, place), model.log_places(later, group, place)
     assert np.allclose(a[:, :-1], b[:, :-1]) and not np.allclose(a[:, -1], b[:, -1])
+    q = LM.CONTEXT
+    assert np.allclose(model.log_places(put, group[:, q:], place[:, q:], q), a[:, q:])
 
 
-def test_windows_score_each_id_once():
-    ids, first = np.arange(100, 150), np.array([0, 0, 1, 33, 50])
-    put, aim, row = LM.windows(ids, first, 7)
+@pytest.mark.parametrize("step", [LM.LENGTH, LM.LENGTH - LM.CONTEXT])
+def test_windows_have_each_id_as_target(step):
+    ids, first = np.arange(100, 200).astype(np.uint16), np.array([0, 0, 1, 1 + LM.LENGTH, 100])
+    found, row, k = LM.windows(ids, first, 7, step)
     for r in range(4):
-        own = ids[first[r] : first[r + 1]]
-        assert aim[row == r].ravel()[aim[row == r].ravel() >= 0].tolist() == [*own, 7]
-        assert put[row == r][0, LM.CONTEXT] == 7 and (put[row == r][0, : LM.CONTEXT] == -1).all()
-    assert put[row == 2][1, : LM.CONTEXT].tolist() == [7, *range(101, 116)]
+        own = [7, *ids[first[r] : first[r + 1]].tolist(), 7]
+        for w, n in zip(found[row == r], k[row == r], strict=True):
+            want = own[n * step : n * step + LM.LENGTH + 1]
+            assert w.tolist() == want + [LM.NOTHING] * (LM.LENGTH + 1 - len(want))
+        mine = found[row == r]
+        targets = [*mine[0, 1:], *(x for w in mine[1:] for x in w[1 + LM.LENGTH - step :])]
+        assert [x for x in targets if x != LM.NOTHING] == own[1:]
+
+
+def plain_log10(model, voc, ids, end):
+    """log10 P of each id and the end, one at a time, from the window that scoring uses, without matrices of windows."""
+    p, seq, step, out = model.p, [end, *ids, end], LM.LENGTH - LM.CONTEXT, []
+    for t in range(1, len(seq)):
+        begin = 0 if t <= LM.LENGTH else -(-(t - LM.LENGTH) // step) * step
+        x = np.array([p["e"][voc.input[i]] for i in seq[begin:t]], np.float64)
+        scores = np.array([x[-1] @ p["a"] @ x[j] + p["lag"][len(x) - 1 - j] for j in range(len(x))])
+        share = np.exp(scores) / np.exp(scores).sum()
+        h = x[-1] + (share @ x) @ p["b"] + (x[-2] @ p["c"] if len(x) > 1 else 0)
+        h, log = np.append(h, 1), float(voc.share[seq[t]])
+        for matrix, chosen in ((p["u"], voc.group[seq[t]]), (p["v"][voc.group[seq[t]]], voc.place[seq[t]])):
+            z = h @ matrix
+            log += z[chosen] - np.log(np.exp(z).sum())
+        out.append(log / np.log(10))
+    return out
+
+
+def test_lm_scores_like_plain_loops():
+    rng, code = np.random.default_rng(3), LM._subwords(BYTE, public_tokenizers.PATTERN)
+    voc = LM.make_vocabulary(rng.integers(0, 50, code.size) ** 3.0, code.tokens)
+    model = LM.AttentionModel(voc.mass)
+    model.p = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in model.p.items()}
+    first = np.cumsum([0, 0, 1, LM.LENGTH - 1, LM.LENGTH, LM.LENGTH + 1, 61, 5])
+    ids = rng.integers(0, code.size, first[-1]).astype(np.uint16)
+    got = LM.Scorer(model, voc, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0).log10_ids(ids, first, code.end)
+    want = [x for r in range(len(first) - 1) for x in plain_log10(model, voc, ids[first[r] : first[r + 1]].tolist(), code.end)]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_lm_probabilities_add_up():
+    code = LM._subwords(BYTE, public_tokenizers.PATTERN)
+    voc = LM.make_vocabulary(np.random.default_rng(1).integers(0, 9, code.size).astype(float), code.tokens)
+    model = LM.AttentionModel(voc.mass)
+    one = np.full((code.size, LM.LENGTH), LM.INPUTS)
+    one[:, 0] = 5
+    on = np.arange(code.size)
+    log = np.concatenate([model.log_places(one[a : a + 4096], np.repeat(voc.group[on[a : a + 4096], None], LM.LENGTH, 1), np.repeat(voc.place[on[a : a + 4096], None], LM.LENGTH, 1))[:, 0] for a in range(0, code.size, 4096)])
+    assert math.isclose(np.exp(log + voc.share[: code.size]).sum(), 1, rel_tol=1e-4)
 
 
 def test_lm_learns(spark):
     text = " ".join(["red green blue"] * 30)
-    docs = spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, text) for k in range(1500)], "doc_id long, text string").coalesce(1)  # the model sees each window once
     rows = LM.lm_scores(docs, BYTE, public_tokenizers.PATTERN).collect()
     assert all(r.score > 0.9 * r.base_score for r in rows)
 
@@ -446,17 +497,30 @@ def test_lm_tail_words_keep_their_share(spark, monkeypatch):
 
 
 def test_lm_trains_on_all_documents(spark):
-    rows = [(k, " ".join(["red green blue"] * (k % 40))) for k in range(300)]
     code = LM._subwords(BYTE, public_tokenizers.PATTERN)
-    sizes = [len(code.code.encode_ordinary("".join(f" {w}" for w in t.split()))) for _, t in rows]
-    vocabulary = LM.make_vocabulary(np.ones(code.size), code.spaced)
-    model = LM.AttentionModel(np.zeros(LM.CLASSES))
-    ids = np.array(code.code.encode_ordinary(" red green blue" * 20))
-    put, aim, _ = LM.windows(ids, np.array([0, len(ids)]), code.end)
-    loss = lambda: model.gradient(*LM._numbered(put, aim, vocabulary))[0]
+    rows = [(k % LM.PARTS, np.array(code.code.encode_ordinary(" red green blue" * (k % 40)), np.uint16).tobytes()) for k in range(300)]
+    voc = LM.make_vocabulary(np.ones(code.size), code.tokens)
+    model = LM.AttentionModel(voc.mass)
+    ids = np.array(code.code.encode_ordinary(" red green blue" * 20), np.uint16)
+    found, _, _ = LM.windows(ids, np.array([0, len(ids)]), code.end, LM.LENGTH)
+    loss = lambda: model.gradient(voc.input[found[:, :-1]], voc.group[found[:, 1:]], voc.place[found[:, 1:]], found[:, 1:] != LM.NOTHING)[0]
     before = loss()
-    seen = LM.train_on_all(spark.createDataFrame(rows, "doc_id long, text string"), model, vocabulary, BYTE, public_tokenizers.PATTERN)
-    assert seen == sum((n + LM.TARGETS) // LM.TARGETS for n in sizes) and loss() < before
+    seen = LM.train_on_all(spark.createDataFrame(rows, "part int, ids binary"), model, voc, code.end)
+    assert seen == sum(1 + max(0, -(-(len(x) // 2 + 1 - LM.LENGTH) // LM.LENGTH)) for _, x in rows) and loss() < before
+
+
+def test_lm_beats_the_base(spark):
+    """Held-out texts of the test tables are likelier than under smoothed word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = LM.lm_scores(docs, BYTE, public_tokenizers.PATTERN).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
+def test_frequent_words(spark):
+    words = spark.createDataFrame([(k, 1 + k // 10) for k in range(1000)], "h long, c long")
+    for most in (0, 5, 50, 999, 1000):
+        got = [r.c for r in LM.frequent(words, most).collect()]
+        assert len(got) <= most and (most < 50 or len(got) > most / 2) and (not got or len(got) == sum(1 + k // 10 >= min(got) for k in range(1000)))
 
 
 # HTML

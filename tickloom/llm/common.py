@@ -7,6 +7,7 @@ name equal word sequences; 64 bits are used throughout.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,9 +33,11 @@ def ascii_lower(col):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; only a master of one machine may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -93,8 +96,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, lower-cased bytes, row offsets) of about `limit` bytes each; null is empty."""
+def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES, table: np.ndarray | None = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, lower-cased bytes, row offsets) of about `limit` bytes each; null is empty.
+
+    `table` maps the bytes; with None they stay as they are.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -107,7 +113,8 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
-        yield a, b, _LOWER[data[off[a] : off[b]]], off[a : b + 1] - off[a]
+        part = data[off[a] : off[b]]
+        yield a, b, part if table is None else table[part], off[a : b + 1] - off[a]
         a = b
 
 

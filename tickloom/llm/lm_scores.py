@@ -1,13 +1,13 @@
 """Language-model scores of texts by a small causal self-attention model, trained in numpy on subword ids.
 
-Two statistics cover the whole training part of the corpus: counts of words (for the unigram base score) and counts of
-subword ids (for the shares of ids within their class).  The attention model predicts the class of the next id; the
-frequent ids are classes of their own.  It is started on a bounded sample of windows and then trained on every window of
-every training document, each once: in each of a few rounds every task takes steps over its documents of the round, and
-the mean of the tasks' models, weighted by windows, goes on.  Scoring cuts a text into overlapping windows of
-CONTEXT + TARGETS ids; each id is a target once and sees at least CONTEXT ids before it (or the start), by batched masked
-attention.  A word's probability is the mean of the attention model's (over its ids) and the word's share of all training
-tokens; the mixture weight is a parameter.
+One pass turns texts into subword ids and counts words and ids of the whole training part; ids are written, so nothing
+is split into subwords twice.  The model is one head of causal attention with learned weights by distance, a path from
+the id before, and a residual; an id's probability is that of its group times that of its place in the group, both by
+softmax, and rare ids share a place by their counts.  It is trained on every id of every training document, each once,
+in a few rounds that grow: in a round every task takes steps over its documents of the round, and the mean of the tasks'
+models, weighted by windows, goes on.  Scoring cuts a text into windows of LENGTH ids that overlap by CONTEXT; each id is
+a target once and sees at least CONTEXT ids before it (or the start).  A word's probability is the product of those of its
+ids, mixed with the word's share of all training tokens at the weight SHARE.
 """
 
 from __future__ import annotations
@@ -27,23 +27,24 @@ from .labelled import remainder
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
-CONTEXT, TARGETS = 16, 16
-WIDTH, CLASSES, BANDS, INPUTS = 16, 256, 32, 2048
-#: Windows scored at a time: their arrays stay in a core's cache.
-AT_ONCE = 256
-#: Weight of the words' unigram shares, mixed word by word with the attention model.
-UNIGRAM = 0.85
-#: Bounds of the start: windows on which the model is started, documents they come from, and windows of one document.
-SAMPLE_WINDOWS, SAMPLE_DOCS, DOC_WINDOWS = 20_000, 4_000, 64
-STEPS, BATCH, RATE, SEED = 500, 128, 4e-3, 11
-#: Rounds over all training documents (each document is in one), their first rate, and rows a round that the driver gets.
-ROUNDS, ROUND_RATE, SUMS = 4, 1e-3, 8
-#: The most frequent words, whose counts are broadcast (12 bytes each); all others are joined by shuffle.
+LENGTH, CONTEXT, WIDTH = 16, 8, 16
+#: Ids with embeddings of their own; groups of ids, places in a group, and places that one id has for itself.
+INPUTS, GROUPS, PLACES, OWN = 4096, 32, 32, 24
+#: Weight of the word's share of all training tokens.
+SHARE = 0.2
+#: Last of the 64 parts of the training documents in each round, the rounds' rates, and model sums a round that the driver gets.
+PARTS, ROUNDS, RATES, SUMS = 64, (1, 4, 16, 64), (8e-3, 6e-3, 4e-3, 3e-3), 8
+#: Windows of a step: one for SEEN_A_WINDOW seen so far, between these bounds; steps over which the model is averaged.
+LEAST_BATCH, MOST_BATCH, SEEN_A_WINDOW, AVERAGED = 32, 512, 512, 50
+#: Windows in one block of the attention (their arrays stay in a core's cache), and ids handled at a time.
+BLOCK, IDS_AT_ONCE = 64, 1 << 20
+SEED = 11
+#: Counts of at most this many frequent words are broadcast (12 bytes each); all others are joined by shuffle.
 HEAD_WORDS = 1 << 19
 #: Words whose ids one task keeps.
-KEPT = 400_000
-#: Stands for the end of a text among the word hashes.
-END_WORD = -1
+KEPT = 500_000
+#: Stands for the end of a text among the word hashes, and for nothing among ids.
+END_WORD, NOTHING = -1, 65535
 WORDS, IDS = 0, 1
 
 
@@ -57,29 +58,39 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.code = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 2
+        if self.size >= NOTHING:
+            raise ValueError("ids must fit 16 bits")
         self.end = self.size - 1
-        self.spaced = np.zeros(self.size, bool)
-        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-        self.known: dict[int, np.ndarray] = {}
-
-    def ids_of(self, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in order, ids of each word)."""
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self.tokens = [b""] * self.size
+        for token, i in ranks.items():
+            self.tokens[i] = token
+        #: Ids that begin with a space: the first of each word, and no other.
+        self.first = np.array([t[:1] == b" " for t in self.tokens])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.begin = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def ids_of(self, data: bytes, starts: np.ndarray, ends: np.ndarray, unique: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, ids of each word); `unique`, `at`, `which` as np.unique gives them for the words' hashes."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        parts = []
-        for h, i in zip(unique.tolist(), first.tolist(), strict=True):
-            ids = self.known.get(h)
-            if ids is None:
-                ids = self.known[h] = np.array(self.code.encode_ordinary(" " + data[starts[i] : ends[i]].decode("utf-8", "replace")), np.uint16)
-            parts.append(ids)
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        size = np.array([len(x) for x in parts])
-        flat, begin = np.concatenate(parts), np.cumsum(size) - size
-        n = size[which]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[which], n)
-        return flat[at].astype(np.int64), n
+            self._forget()
+        known = self.known
+        places = [known.get(h, -1) for h in unique.tolist()]
+        place = np.array(places, np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            words = [data[starts[i] : ends[i]] for i in at[new].tolist()]
+            ids = np.array(self.code.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.uint16)
+            cuts = np.append(np.flatnonzero(self.first[ids]), len(ids))
+            place[new] = np.arange(len(new)) + len(known)
+            known.update(zip(unique[new].tolist(), place[new].tolist(), strict=True))
+            self.begin = np.concatenate([self.begin, cuts[1:] + len(self.flat)])
+            self.flat = np.concatenate([self.flat, ids])
+        begin = self.begin[place][which]
+        n = self.begin[place + 1][which] - begin
+        return self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)], n
 
 
 @cache
@@ -87,245 +98,328 @@ def _subwords(path: str, pattern: str) -> Subwords:
     return Subwords(path, pattern)
 
 
-def _tally(path: str, pattern: str):
-    """(kind, h, c): counts of word hashes and of subword ids, once a batch."""
+_ENCODED = "rid long, doc_id {id}, held_out boolean, part int, text string, ids binary, word_h binary, word_c binary, id_c binary"
+
+
+def _encode(path: str, pattern: str):
+    """The rows with their ids; the last rows of a batch hold its counts of training words and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _subwords(path, pattern)
         for batch in batches:
-            words, ids = [], np.zeros(code.size, np.int64)
-            for _, rows, data, off in text_chunks(batch.column(0)):
-                starts, ends, _ = words_of(data, off, SPACE_WORDS)
-                h = word_hashes(data, starts, ends)
-                words.append(h)
-                ids += np.bincount(code.ids_of(data.tobytes(), starts, ends, h)[0], minlength=code.size)
-            h, c = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_counts=True)
-            on, n = np.flatnonzero(ids), batch.num_rows
-            kind = np.concatenate([np.full(len(h) + 1, WORDS, np.int8), np.full(len(on) + 1, IDS, np.int8)])
-            key = np.concatenate([h.view(np.int64), [END_WORD], on, [code.end]])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([c, [n], ids[on], [n]]))], ["kind", "h", "c"])
+            held, words, counts, by_id = batch.column(2).to_numpy(zero_copy_only=False), [], [], np.zeros(code.size, np.int64)
+            for a, b, data, off in text_chunks(batch.column(4)):
+                starts, ends, first = words_of(data, off, SPACE_WORDS)
+                unique, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                ids, n = code.ids_of(data.tobytes(), starts, ends, unique, at, which)
+                upto = np.concatenate([[0], np.cumsum(n)])[first]
+                learn = ~held[a:b]
+                c = np.bincount(which[np.repeat(learn, np.diff(first))], minlength=len(unique))
+                words.append(unique[c > 0])
+                counts.append(c[c > 0])
+                by_id += np.bincount(ids[np.repeat(learn, np.diff(upto))], minlength=code.size)
+                more = [[None] * (b - a) for _ in range(3)]
+                if b == batch.num_rows:
+                    by_id[code.end] += (~held).sum()
+                    h, c = np.concatenate(words), np.concatenate(counts)
+                    more = [[None] * (b - a - 1) + [x.tobytes()] for x in (*_summed(h, c), by_id)]
+                raw = ids.tobytes()
+                cut = (upto * 2).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a) for i in range(5)), pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(x, pa.binary()) for x in more)],
+                    ["rid", "doc_id", "held_out", "part", "text", "ids", "word_h", "word_c", "id_c"],
+                )
 
     return run
 
 
+def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, with the sum of its counts."""
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[new], np.add.reduceat(c, new) if len(h) else c
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, h, c): counts of word hashes and of subword ids."""
+    for batch in batches:
+        for h, c, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            h, c, ids = (np.frombuffer(x, np.int64) for x in (h, c, ids))
+            on = np.flatnonzero(ids)
+            kind = np.concatenate([np.full(len(h) + 1, WORDS, np.int8), np.full(len(on), IDS, np.int8)])
+            # The end of a text is the last id and counts as a word.
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([h, [END_WORD], on])), pa.array(np.concatenate([c, ids[-1:], ids[on]]))], ["kind", "h", "c"])
+
+
 @dataclass
 class Vocabulary:
-    """Class of every id, log10 share of each id in its class, and the input number of every id."""
+    """By id (and for NOTHING): group, place in the group, natural log of the share of the place, input number; counts by group and place."""
 
-    of: np.ndarray
+    group: np.ndarray
+    place: np.ndarray
     share: np.ndarray
     input: np.ndarray
+    mass: np.ndarray
+
 
+def make_vocabulary(counts: np.ndarray, tokens: list[bytes]) -> Vocabulary:
+    """The most frequent ids, in order of their bytes (words' first ids apart), fill the groups' own places.
 
-def make_vocabulary(counts: np.ndarray, spaced: np.ndarray) -> Vocabulary:
-    """The most frequent ids are classes of their own; the others fall into bands of about equal frequency, words' first ids apart."""
-    order = np.argsort(-counts, kind="stable")
-    heads = CLASSES - BANDS
-    of = np.zeros(len(counts), np.int64)
-    of[order[:heads]] = np.arange(heads)
-    for k, flag in enumerate((False, True)):
-        rest = order[heads:][spaced[order[heads:]] == flag]
-        mass = np.cumsum(np.sqrt(counts[rest] + SMOOTH))
-        of[rest] = heads + k * (BANDS // 2) + np.minimum((mass / mass[-1] * (BANDS // 2)).astype(np.int64), BANDS // 2 - 1)
-    weight = counts + SMOOTH
-    share = np.log10(weight / np.bincount(of, weight, CLASSES)[of])
-    number = np.minimum(INPUTS - 1, INPUTS - BANDS + of - heads)
-    number[order[: INPUTS - BANDS]] = np.arange(INPUTS - BANDS)
-    return Vocabulary(of, share, number)
+    Every other id joins the group of the id before it in that order, in one of the places that are shared by ids of
+    about equal frequency.
+    """
+    by_count = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(tokens), np.int64)
+    rank[sorted(range(len(tokens)), key=lambda i: (tokens[i][:1] == b" ", tokens[i]))] = np.arange(len(tokens))
+    own, rest = by_count[: GROUPS * OWN], by_count[GROUPS * OWN :]
+    own = own[np.argsort(rank[own])]
+    group = np.maximum(np.searchsorted(rank[own], rank, "right") - 1, 0) // OWN
+    place = np.empty(len(counts), np.int64)
+    place[own] = np.arange(len(own)) % OWN
+    for g in range(GROUPS):
+        some = rest[group[rest] == g]
+        upto = np.cumsum(np.sqrt(counts[some] + SMOOTH))
+        place[some] = OWN + np.minimum(upto / upto[-1:] * (PLACES - OWN), PLACES - OWN - 1).astype(np.int64)
+    weight, leaf = counts + SMOOTH, group * PLACES + place
+    mass = np.bincount(leaf, weight, GROUPS * PLACES)
+    number = np.full(len(counts), INPUTS - 1)
+    number[by_count[: INPUTS - 1]] = np.arange(INPUTS - 1)
+
+    def table(values: np.ndarray, nothing: int, kind: type) -> np.ndarray:
+        out = np.full(NOTHING + 1, nothing, kind)
+        out[: len(values)] = values
+        return out
 
+    return Vocabulary(table(group, 0, np.uint8), table(place, 0, np.intp), table(np.log(weight / mass[leaf]), 0, np.float32), table(number, INPUTS, np.intp), mass.reshape(GROUPS, PLACES))
 
-def windows(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, row) of all windows of the rows ids[first[r]:first[r+1]]; -1 where there is nothing.
 
-    A row's inputs are the end id (as its start) and its ids, its targets its ids and the end id.
+def windows(ids: np.ndarray, first: np.ndarray, end: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, row, number) of the windows of the rows ids[first[r]:first[r+1]], each between two end ids.
+
+    Window k of a row holds LENGTH inputs from place k * step on and one more id, since the target of an input is the
+    next id; NOTHING stands beyond the row.
     """
     size = np.diff(first)
-    many = (size + TARGETS) // TARGETS
+    many = 1 + np.maximum(0, -(-(size + 1 - LENGTH) // step))
     row = np.repeat(np.arange(len(size)), many)
     k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    flat = np.append(ids, end)
-    at = (k * TARGETS)[:, None] + np.arange(-CONTEXT, TARGETS)
-    n, base = size[row][:, None], first[:-1][row][:, None]
-    put = np.where(at == 0, end, flat[np.clip(base + at - 1, 0, len(ids))])
-    put[(at < 0) | (at > n)] = -1
-    to = at[:, CONTEXT:]
-    aim = np.where(to == n, end, flat[np.clip(base + to, 0, len(ids))])
-    aim[to > n] = -1
-    return put, aim, row
+    at = (k * step)[:, None] + np.arange(LENGTH + 1)
+    n = size[row][:, None]
+    flat = np.append(ids, np.uint16(end))
+    out = flat[np.clip(first[:-1][row][:, None] + at - 1, 0, len(ids))]
+    out[(at == 0) | (at == n + 1)] = end
+    out[at > n + 1] = NOTHING
+    return out, row, k
+
 
+_LAG = np.maximum(np.arange(LENGTH)[:, None] - np.arange(LENGTH)[None, :], 0)
+_SEEN = np.arange(LENGTH)[:, None] >= np.arange(LENGTH)[None, :]
 
-_SEEN = (np.arange(CONTEXT + TARGETS)[None, :] <= np.arange(CONTEXT, CONTEXT + TARGETS)[:, None]).astype(np.float32)
-_MASK = np.where(np.arange(CONTEXT + TARGETS)[None, :] <= np.arange(CONTEXT, CONTEXT + TARGETS)[:, None], 0, -1e9).astype(np.float32)
 
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b for a stack of matrices a, as one product."""
-    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
+
+def _ones(n: int, like: np.ndarray) -> np.ndarray:
+    return np.ones((n, 1), like.dtype)
+
+
+def _choice(h: np.ndarray, matrix: np.ndarray, chosen: np.ndarray, weight: np.ndarray | None = None):
+    """log P(chosen) under softmax(h @ matrix); with `weight`, also the weighted loss's gradients by h and matrix."""
+    z = h @ matrix
+    flat, at = z.ravel(), np.arange(0, z.size, z.shape[1]) + chosen
+    log = flat.take(at)
+    np.exp(z, out=z)
+    total = z @ _ones(z.shape[1], z)
+    log -= np.log(total[:, 0])
+    if weight is None:
+        return log, None
+    z *= weight[:, None] / total
+    flat[at] -= weight
+    return log, (z @ matrix.T, h.T @ z)
 
 
 class AttentionModel:
-    """One head of causal self-attention over embedded ids, with a residual path to class logits."""
+    """One head of causal self-attention over embedded ids; s = x A x', so A and B stand for the products of its four matrices."""
 
-    def __init__(self, prior: np.ndarray, seed: int = SEED) -> None:
+    def __init__(self, mass: np.ndarray, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         make = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.p = {"e": make(INPUTS + 1, WIDTH), "pos": make(CONTEXT + TARGETS, WIDTH), "q": make(WIDTH, WIDTH), "k": make(WIDTH, WIDTH), "v": make(WIDTH, WIDTH), "o": make(WIDTH, WIDTH), "u": make(WIDTH, CLASSES), "b": prior.astype(np.float32)}
-
-    def _forward(self, put: np.ndarray):
-        """`put`: input numbers, INPUTS where there is nothing."""
+        of_groups = mass.sum(1) / mass.sum()
+        self.p = {
+            "e": make(INPUTS + 1, WIDTH), "a": make(WIDTH, WIDTH), "b": make(WIDTH, WIDTH), "c": make(WIDTH, WIDTH), "lag": np.zeros(LENGTH, np.float32), "u": make(WIDTH + 1, GROUPS), "v": make(GROUPS, WIDTH + 1, PLACES),
+        }
+        # The last row of the output matrices is the bias (the hidden rows end with a one), which starts at the counts.
+        self.p["u"][-1] = np.log(of_groups)
+        self.p["v"][:, -1] = np.log(np.maximum(mass / mass.sum(1, keepdims=True), 1e-9))
+
+    def _attend(self, put: np.ndarray, q: int):
+        """Hidden rows of the inputs from place q on, and what the gradient needs."""
         p = self.p
-        x = p["e"][put] + p["pos"]
-        xq = x[:, CONTEXT:]
-        q, k, v = _times(xq, p["q"]), _times(x, p["k"]), _times(x, p["v"])
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
-        s += np.where(put == INPUTS, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(2, keepdims=True)
+        x = p["e"].take(put, axis=0)
+        own = x[:, q:]
+        y = (_flat(own) @ p["a"]).reshape(own.shape)
+        s = y @ x.transpose(0, 2, 1)
+        s += np.where(_SEEN[q:], p["lag"][_LAG[q:]], np.float32(-1e9))
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        av = s @ v
-        h = xq + _times(av, p["o"])
-        z = _times(h, p["u"])
-        z += p["b"]
-        z -= z.max(2, keepdims=True)
-        return z, (x, xq, q, k, v, s, av, h)
-
-    def tables(self) -> dict[str, np.ndarray]:
-        """Queries, keys and projected values of every input and position, for scoring."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        out = p["v"] @ p["o"]
-        return {"q": p["e"] @ p["q"] * scale, "pq": p["pos"][CONTEXT:] @ p["q"] * scale, "k": p["e"] @ p["k"], "pk": p["pos"] @ p["k"], "v": p["e"] @ out, "pv": p["pos"] @ out}
-
-    def log10_classes(self, put: np.ndarray, aim: np.ndarray, tables: dict[str, np.ndarray] | None = None) -> np.ndarray:
-        """log10 P(class of each target); sums of exponentials are taken as they are, since trained logits are small."""
-        p, t = self.p, tables or self.tables()
-        s = (t["q"][put[:, CONTEXT:]] + t["pq"]) @ (t["k"][put] + t["pk"]).transpose(0, 2, 1)
-        np.exp(np.minimum(s, 60, out=s), out=s)
-        s *= _SEEN
-        s *= (put != INPUTS)[:, None, :]
-        h = s @ (t["v"][put] + t["pv"])
-        h /= s.sum(2, keepdims=True)
-        h += p["e"][put[:, CONTEXT:]]
-        h += p["pos"][CONTEXT:]
-        z = h.reshape(-1, WIDTH) @ p["u"]
-        z += p["b"]
-        chosen = z[np.arange(len(z)), aim.ravel()]
-        total = np.exp(np.minimum(z, 60, out=z), out=z).sum(1)
-        return ((np.minimum(chosen, 60) - np.log(total)) / np.log(10)).reshape(aim.shape)
-
-    def gradient(self, put: np.ndarray, aim: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p, (z, (x, xq, q, k, v, s, av, h)) = self.p, self._forward(put)
-        probs = np.exp(z, out=z)
-        probs /= probs.sum(2, keepdims=True)
-        picked = np.take_along_axis(probs, aim[:, :, None], 2)[:, :, 0]
-        n = max(there.sum(), 1)
-        loss = float(-(np.log(np.maximum(picked, 1e-30)) * there).sum() / n)
-        d = probs
-        np.put_along_axis(d, aim[:, :, None], picked[:, :, None] - 1, 2)
-        d *= (there / np.float32(n))[:, :, None]
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"u": flat(h).T @ flat(d), "b": flat(d).sum(0)}
-        dh = _times(d, p["u"].T)
-        g["o"] = flat(av).T @ flat(dh)
-        dav = _times(dh, p["o"].T)
-        ds = dav @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dav
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = _times(dk, p["k"].T) + _times(dv, p["v"].T)
-        dx[:, CONTEXT:] += dh + _times(dq, p["q"].T)
-        g["pos"] = dx.sum(0)
+        s /= s @ _ones(LENGTH, s)
+        c = s @ x
+        before = np.zeros_like(own)
+        before[:, 0 if q else 1 :] = x[:, q - 1 if q else 0 : -1]
+        h = np.empty((len(y) * y.shape[1], WIDTH + 1), x.dtype)
+        h[:, WIDTH] = 1
+        np.add(_flat(own), _flat(c) @ p["b"], out=h[:, :WIDTH])
+        h[:, :WIDTH] += _flat(before) @ p["c"]
+        return h, (x, y, s, c, before)
+
+    def log_places(self, put: np.ndarray, group: np.ndarray, place: np.ndarray, q: int = 0) -> np.ndarray:
+        """Natural log of P(group and place of each target)."""
+        return self._run(put, group, place, q, None)[0].reshape(group.shape)
+
+    def _run(self, put: np.ndarray, group: np.ndarray, place: np.ndarray, q: int, weight: np.ndarray | None):
+        p, blocks = self.p, [slice(a, a + BLOCK) for a in range(0, len(put), BLOCK)]
+        group, place = group.ravel(), place.ravel()
+        hidden, kept, log = [], [], np.empty(len(group), p["e"].dtype)
+        g = {k: np.zeros_like(v) for k, v in p.items()} if weight is not None else None
+        n, back = LENGTH - q, []
+        for b in blocks:
+            h, more = self._attend(put[b], q)
+            rows = slice(b.start * n, b.start * n + len(h))
+            log[rows], d = _choice(h, p["u"], group[rows], None if g is None else weight[rows])
+            hidden.append(h)
+            if g is not None:
+                kept.append(more)
+                back.append(d[0])
+                g["u"] += d[1]
+        order = np.argsort(group, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+        h, place, found = np.concatenate(hidden).take(order, axis=0), place.take(order), np.empty(len(group), p["e"].dtype)
+        w, dh = (None, None) if g is None else (weight.take(order), np.empty_like(h))
+        for j in range(GROUPS):
+            some = slice(cuts[j], cuts[j + 1])
+            if cuts[j] < cuts[j + 1]:
+                found[some], d = _choice(h[some], p["v"][j], place[some], None if g is None else w[some])
+                if g is not None:
+                    dh[some], g["v"][j] = d
+        log[order] += found
+        if g is None:
+            return log, None
+        whole = np.empty_like(dh)
+        whole[order] = dh
+        dx = np.empty((*put.shape, WIDTH), p["e"].dtype)
+        for b, d, more in zip(blocks, back, kept, strict=True):
+            d += whole[b.start * n : b.start * n + len(d)]
+            dx[b] = self._back(d[:, :WIDTH], more, g)
         at = put.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        g["e"] = np.bincount(at.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(p["e"].dtype)
-        return loss, g
+        g["e"] = np.bincount(at.ravel(), dx.ravel(), g["e"].size).reshape(g["e"].shape).astype(p["e"].dtype)
+        return log, g
+
+    def _back(self, dh: np.ndarray, kept, g: dict[str, np.ndarray]) -> np.ndarray:
+        """Gradient by the embedded inputs of one block; adds those of the matrices to g."""
+        p, (x, y, s, c, before) = self.p, kept
+        g["b"] += _flat(c).T @ dh
+        g["c"] += _flat(before).T @ dh
+        dc = (dh @ p["b"].T).reshape(x.shape)
+        dx = dh.reshape(x.shape) + s.transpose(0, 2, 1) @ dc
+        dx[:, :-1] += (dh @ p["c"].T).reshape(x.shape)[:, 1:]
+        ds = dc @ x.transpose(0, 2, 1)
+        ds -= (dc * c) @ _ones(WIDTH, c)
+        ds *= s
+        g["lag"] += np.bincount(_LAG.ravel(), ds.sum(0).ravel(), LENGTH).astype(g["lag"].dtype)
+        dy = ds @ x
+        dx += ds.transpose(0, 2, 1) @ y
+        g["a"] += _flat(x).T @ _flat(dy)
+        dx += (_flat(dy) @ p["a"].T).reshape(x.shape)
+        return dx
+
+    def gradient(self, put: np.ndarray, group: np.ndarray, place: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of the targets that are there, and its gradient."""
+        weight = there.ravel().astype(self.p["e"].dtype)
+        weight /= max(weight.sum(), 1)
+        log, g = self._run(put, group, place, 0, weight)
+        return float(-(log * weight).sum()), g
 
 
 class Adam:
-    """Steps on a model with running means of gradients and their squares."""
+    """Steps on a model with running means of gradients and their squares; `mean` is the model averaged over about AVERAGED steps."""
 
     def __init__(self, model: AttentionModel) -> None:
         self.model, self.t = model, 0
         self.first = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.second = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.mean = {k: v.copy() for k, v in model.p.items()}
 
-    def step(self, put: np.ndarray, aim: np.ndarray, there: np.ndarray, rate: float) -> None:
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        _, g = self.model.gradient(put, aim, there)
+        size, scale, keep = rate / (1 - 0.9**self.t), 1 / (1 - 0.99**self.t), max(1 / AVERAGED, 1 / self.t)
         for k, d in g.items():
-            self.first[k] += 0.1 * (d - self.first[k])
-            self.second[k] += 0.01 * (d * d - self.second[k])
-            self.model.p[k] -= np.float32(rate) * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.99**self.t)) + 1e-8)
+            one, two, p = self.first[k], self.second[k], self.model.p[k]
+            one += 0.1 * (d - one)
+            two += 0.01 * (d * d - two)
+            p -= np.float32(size) * one / (np.sqrt(two * np.float32(scale)) + np.float32(1e-8))
+            self.mean[k] += np.float32(keep) * (p - self.mean[k])
 
 
-def _numbered(put: np.ndarray, aim: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input numbers, classes and presence of the targets of windows of ids."""
-    return np.where(put < 0, INPUTS, vocabulary.input[put]), vocabulary.of[np.maximum(aim, 0)], (aim >= 0).astype(np.float32)
+def id_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, ids, row offsets) of about IDS_AT_ONCE ids each."""
+    for a, b, data, off in text_chunks(column, 2 * IDS_AT_ONCE, None):
+        yield a, b, np.frombuffer(data.tobytes(), np.uint16), off // 2
 
 
-def train(put: np.ndarray, aim: np.ndarray, vocabulary: Vocabulary, prior: np.ndarray, steps: int = STEPS) -> AttentionModel:
-    """Adam with a falling rate on the sampled windows; without any the model is the prior over classes."""
-    model = AttentionModel(prior)
-    if not len(put):
-        return model
-    put, aim, there = _numbered(put, aim, vocabulary)
-    rng, adam = np.random.default_rng(SEED), Adam(model)
-    for t in range(1, steps + 1):
-        on = rng.integers(0, len(put), BATCH)
-        adam.step(put[on], aim[on], there[on], RATE * (1 - 0.9 * t / steps))
-    return model
-
-
-def _learn(held, rate: float, path: str, pattern: str):
-    """(n, p): windows of the task's texts and the parameters after steps on each of them once, by chunks in random order."""
+def _learn(held, rate: float, seen: int):
+    """(n, p): windows of the task's rows and the parameters after steps on each of them once, by chunks in random order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, (start, vocabulary) = _subwords(path, pattern), held.value
-        model = AttentionModel(start["b"])
+        start, voc, end = held.value
+        model = AttentionModel(voc.mass)
         model.p = {k: v.copy() for k, v in start.items()}
         rng, adam, n = np.random.default_rng(SEED), Adam(model), 0
         for batch in batches:
-            for _, _, data, off in text_chunks(batch.column(0)):
-                starts, ends, first = words_of(data, off, SPACE_WORDS)
-                ids, size = code.ids_of(data.tobytes(), starts, ends, word_hashes(data, starts, ends))
-                put, aim, _ = windows(ids, np.concatenate([[0], np.cumsum(size)])[first], code.end)
-                order, n = rng.permutation(len(put)), n + len(put)
-                for a in range(0, len(put), BATCH):
-                    on = order[a : a + BATCH]
-                    adam.step(*_numbered(put[on], aim[on], vocabulary), rate * len(on) / BATCH)
+            for _, _, ids, first in id_chunks(batch.column(0)):
+                found, _, _ = windows(ids, first, end, LENGTH)
+                order, done = rng.permutation(len(found)), 0
+                while done < len(found):
+                    size = int(np.clip((seen + n) // SEEN_A_WINDOW, LEAST_BATCH, MOST_BATCH))
+                    on = found[order[done : done + size]]
+                    aim = on[:, 1:]
+                    _, g = model.gradient(voc.input[on[:, :-1]], voc.group[aim], voc.place[aim], aim != NOTHING)
+                    adam.step(g, rate * min(1, len(on) / LEAST_BATCH))
+                    done, n = done + len(on), n + len(on)
         if n:
-            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
+            flat = np.concatenate([adam.mean[k].ravel() for k in sorted(adam.mean)]) * np.float64(n)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([1]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["n", "tasks", "p"])
 
     return run
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the task's rows (n, p)."""
-    n, total = 0, None
+    """The sum of the task's rows (n, tasks, p)."""
+    n, tasks, total = 0, 0, None
     for batch in batches:
-        for more, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            p = np.frombuffer(p)
-            n, total = n + more, p if total is None else total + p
+        for more, k, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            p = np.frombuffer(p, np.float32).astype(np.float64)
+            n, tasks, total = n + more, tasks + k, p if total is None else total + p
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([tasks]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "tasks", "p"])
 
 
-def train_on_all(docs: DataFrame, model: AttentionModel, vocabulary: Vocabulary, path: str, pattern: str) -> int:
-    """Goes on with training on every window of the rows (doc_id, text) and gives their number; data and models of tasks stay on executors."""
-    windows_seen, context = 0, docs.sparkSession.sparkContext
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS))
-    for r in range(ROUNDS):
-        held = context.broadcast((model.p, vocabulary))
-        made = docs.filter(part == r).select("text").mapInArrow(_learn(held, ROUND_RATE * (1 - 0.9 * r / ROUNDS), path, pattern), "n long, p binary")
-        found = made.repartition(SUMS).mapInArrow(_add_up, "n long, p binary").collect()
+def train_on_all(rows: DataFrame, model: AttentionModel, vocabulary: Vocabulary, end: int) -> int:
+    """Trains on every window of the rows (part, ids), each once, and gives their number; data and models of tasks stay on executors."""
+    windows_seen, each, context = 0, 0, rows.sparkSession.sparkContext
+    for low, high, rate in zip((0, *ROUNDS[:-1]), ROUNDS, RATES, strict=True):
+        held = context.broadcast((model.p, vocabulary, end))
+        made = rows.filter((F.col("part") >= low) & (F.col("part") < high)).select("ids").mapInArrow(_learn(held, rate, each), "n long, tasks long, p binary")
+        found = made.repartition(SUMS).mapInArrow(_add_up, "n long, tasks long, p binary").collect()
         n = sum(x["n"] for x in found)
         if n:
-            mean, at = sum(np.frombuffer(x["p"]) for x in found) / n, 0
+            mean, at = sum(np.frombuffer(x["p"], np.float32).astype(np.float64) for x in found) / n, 0
             new = {}
             for k in sorted(model.p):
                 new[k] = mean[at : at + model.p[k].size].reshape(model.p[k].shape).astype(np.float32)
                 at += model.p[k].size
             model.p = new
+            each += n // sum(x["tasks"] for x in found)
         windows_seen += n
         held.unpersist()
     return windows_seen
@@ -344,15 +438,16 @@ class Scorer:
 
     def log10_ids(self, ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
         """log10 P of the targets of all rows: each row's ids, then its end."""
-        voc, out = self.vocabulary, np.empty(len(ids) + len(first) - 1)
-        put, aim, row = windows(ids, first, end)
-        many = np.bincount(row, minlength=len(first) - 1)
-        place = (first[:-1] + np.arange(len(first) - 1))[row] + (np.arange(len(row)) - (np.cumsum(many) - many)[row]) * TARGETS
-        put, tables = np.where(put < 0, INPUTS, voc.input[put]), self.model.tables()
-        there, aim = aim >= 0, np.maximum(aim, 0)
-        of = voc.of[aim]
-        got = np.concatenate([self.model.log10_classes(put[a : a + AT_ONCE], of[a : a + AT_ONCE], tables) for a in range(0, len(put), AT_ONCE)] or [np.zeros((0, TARGETS))])
-        out[(place[:, None] + np.arange(TARGETS))[there]] = (got + voc.share[aim])[there]
+        voc, out, step = self.vocabulary, np.empty(len(ids) + len(first) - 1), LENGTH - CONTEXT
+        found, row, k = windows(ids, first, end, step)
+        for q, on in ((0, np.flatnonzero(k == 0)), (CONTEXT, np.flatnonzero(k > 0))):
+            for a in range(0, len(on), MOST_BATCH):
+                some = on[a : a + MOST_BATCH]
+                put, aim = found[some, :-1], found[some, 1 + q :]
+                log = self.model.log_places(voc.input[put], voc.group[aim], voc.place[aim], q) + voc.share[aim]
+                at = (first[row[some]] + row[some] + k[some] * step)[:, None] + np.arange(q, LENGTH)
+                there = aim != NOTHING
+                out[at[there]] = log[there] / np.log(10)
         return out
 
     def log10(self, ids: np.ndarray, size: np.ndarray, word_first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +461,7 @@ class Scorer:
 
     def mix(self, attention: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
         """log10 of the mixture of the attention model's probability and the share of all training tokens."""
-        return np.log10((1 - UNIGRAM) * 10.0 ** np.maximum(attention, -290) + UNIGRAM * counts / max(self.total, 1))
+        return np.log10((1 - SHARE) * 10.0 ** np.maximum(attention, -290) + SHARE * counts / max(self.total, 1))
 
 
 _ROWS = "rid long, doc_id {id}, held_out boolean, n_tokens long, known long, logs double, score double, tail array<struct<h:long,a:array<double>>>"
@@ -381,10 +476,11 @@ def _score(held, path: str, pattern: str):
                 starts, stops, first = words_of(data, off, SPACE_WORDS)
                 h, rows, words = word_hashes(data, starts, stops), b - a, np.diff(first)
                 row = np.repeat(np.arange(rows), words)
-                ids, size = code.ids_of(data.tobytes(), starts, stops, h)
+                ids = np.frombuffer(b"".join(batch.column(4).slice(a, rows).to_pylist()), np.uint16)
+                begin = np.append(np.flatnonzero(code.first[ids]), len(ids))
                 at = np.minimum(np.searchsorted(it.head, h.view(np.int64)), max(len(it.head) - 1, 0))
                 on = it.head[at] == h.view(np.int64) if len(it.head) else np.zeros(len(h), bool)
-                attention, last = it.log10(ids, size, first, code.end)
+                attention, last = it.log10(ids, np.diff(begin), first, code.end)
                 score = np.bincount(row[on], it.mix(attention[on], it.head_counts[at[on]]), rows) + it.mix(last, it.ends)
                 logs = np.bincount(row[on], np.log10(it.head_counts[at[on]] + SMOOTH), rows) + ends
                 known = np.bincount(row[on], minlength=rows) + (it.ends > 0)
@@ -403,6 +499,18 @@ def _score(held, path: str, pattern: str):
     return run
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words (h, c) above the least count that at most `most` words exceed; found from a histogram, without a sort."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    seen, least = 0, None
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect():  # at most 8 rows for each doubling
+        seen += r["count"]
+        if seen > most:
+            break
+        least = r["step"]
+    return words.filter(step >= least) if least is not None else words.filter("false")
+
+
 def lm_scores(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -410,63 +518,42 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     is the smoothed unigram log10 probability of the words, score that of the attention model over the words' subword ids
     mixed with the words' shares of all training tokens.
     Null and empty texts are only their end; a null id is held out; without training rows every count is 0;
-    equal texts score alike up to rounding; the tasks' share of the rows may move score a little; other columns are not read.  `tokenizer_path` is a byte-level BPE that executors can read.
+    equal texts score alike up to rounding; repeated rows count as often as they are there; the tasks' share of the rows
+    may move score a little; other columns are not read.  `tokenizer_path` is a byte-level BPE that executors can read.
     """
     spark = docs.sparkSession
-    fold = remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT
-    named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), fold.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    tally = named.filter("not held_out").select("text").mapInArrow(_tally(tokenizer_path, pattern), "kind byte, h long, c long")
-    counts = materialise(tally.groupBy("kind", "h").agg(F.sum("c").alias("c")), "lm-counts")
+    fold, text = remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT, F.col(f"`{text_col}`")
+    part = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), text), F.lit(PARTS)).cast("int")
+    named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), fold.alias("held_out"), part.alias("part"), text.alias("text"))
+    id_type = named.schema["doc_id"].dataType.simpleString()
+    rows = materialise(named.mapInArrow(_encode(tokenizer_path, pattern), _ENCODED.format(id=id_type)), "lm-ids")
+    tally = rows.filter("word_h is not null").select("word_h", "word_c", "id_c").mapInArrow(_tally, "kind byte, h long, c long")
+    counts = materialise(tally.groupBy("kind", "h").agg(F.sum("c").alias("c")).filter("c > 0"), "lm-counts")
     words = counts.filter(F.col("kind") == WORDS).select("h", "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = words.filter(F.col("h") == END_WORD).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    head = words.filter(F.col("h") != END_WORD).orderBy(F.col("c").desc(), "h").limit(HEAD_WORDS).toArrow()
+    head = frequent(words.filter(F.col("h") != END_WORD), HEAD_WORDS).toArrow()
     order = np.argsort(head.column("h").to_numpy())
 
     code = _subwords(tokenizer_path, pattern)
     by_id = np.zeros(code.size)
     for r in counts.filter(F.col("kind") == IDS).toLocalIterator():  # at most one row for each id of the vocabulary
         by_id[r["h"]] = r["c"]
-    vocabulary = make_vocabulary(by_id, code.spaced)
-    prior = np.log(np.bincount(vocabulary.of, by_id + SMOOTH, CLASSES) / (by_id + SMOOTH).sum())
-    put, aim = _sample(named, tokenizer_path, pattern)
-    model = train(put, aim, vocabulary, prior)
-    train_on_all(named.filter("not held_out").select("doc_id", "text"), model, vocabulary, tokenizer_path, pattern)
+    vocabulary = make_vocabulary(by_id, code.tokens)
+    model = AttentionModel(vocabulary.mass)
+    train_on_all(rows.filter("not held_out").select("part", "ids"), model, vocabulary, code.end)
     scorer = Scorer(model, vocabulary, head.column("h").to_numpy()[order], head.column("c").to_numpy()[order], int(ends), int(total))
     held = spark.sparkContext.broadcast(scorer)
 
-    rows = named.mapInArrow(_score(held, tokenizer_path, pattern), _ROWS.format(id=named.schema["doc_id"].dataType.simpleString()))
-    rows = materialise(rows, "lm-rows")
-    tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.a", F.size("t.a").alias("n")).join(words, "h", "left")
-    unigram = F.coalesce("c", F.lit(0)) * (UNIGRAM / max(total, 1))
-    mixed = F.aggregate("a", F.lit(0.0), lambda s, a: s + F.when(F.col("c") > 0, F.log10((1 - UNIGRAM) * F.pow(F.lit(10.0), F.greatest(a, F.lit(-290.0))) + unigram)).otherwise(a + float(np.log10(1 - UNIGRAM))))
+    scored = rows.select("rid", "doc_id", "held_out", "text", "ids").mapInArrow(_score(held, tokenizer_path, pattern), _ROWS.format(id=id_type))
+    scored = materialise(scored, "lm-rows")
+    tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.a", F.size("t.a").alias("n")).join(words, "h", "left")
+    unigram = F.coalesce("c", F.lit(0)) * (SHARE / max(total, 1))
+    mixed = F.aggregate("a", F.lit(0.0), lambda s, a: s + F.when(F.col("c") > 0, F.log10((1 - SHARE) * F.pow(F.lit(10.0), F.greatest(a, F.lit(-290.0))) + unigram)).otherwise(a + float(np.log10(1 - SHARE))))
     tail = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("tail_logs"), F.sum(mixed).alias("tail_score"))
     share = float(np.log10(total + SMOOTH * (distinct + 1)))
-    return rows.drop("tail").join(tail, "rid", "left").select(
+    return scored.drop("tail").join(tail, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_tokens") * share).alias("base_score"),
         (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
-
-
-def _sample(named: DataFrame, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE_WINDOWS windows of the training documents with the least hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _subwords(path, pattern)
-        for batch in batches:
-            for _, rows, data, off in text_chunks(batch.column(0)):
-                starts, ends, first = words_of(data, off, SPACE_WORDS)
-                ids, size = code.ids_of(data.tobytes(), starts, ends, word_hashes(data, starts, ends))
-                put, aim, row = windows(ids, np.concatenate([[0], np.cumsum(size)])[first], code.end)
-                many = np.bincount(row, minlength=rows)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                step = -(-many // DOC_WINDOWS)[row]
-                on = (place % step == 0) | (place == many[row] - 1)
-                both = np.hstack([put, aim])[on].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in both], pa.binary())], ["w"])
-
-    docs = named.filter("not held_out").select("rid", "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "rid").limit(SAMPLE_DOCS).select("rid")
-    found = named.join(F.broadcast(docs), "rid").select("text").mapInArrow(run, "w binary").orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WINDOWS).collect()
-    both = np.array([np.frombuffer(r["w"], np.int32) for r in found], np.int64).reshape(len(found), CONTEXT + 2 * TARGETS)
-    return both[:, : CONTEXT + TARGETS], both[:, CONTEXT + TARGETS :]
