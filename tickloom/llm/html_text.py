@@ -1,10 +1,13 @@
 """Visible text of HTML pages by layout-aware rendering.
 
-A tree builder closes elements whose end tags HTML lets authors leave out.  Rendering works from the leaves up:
+A tokenizer reads tags, comments and raw text in one pass over the page, as browsers do: what is cut off by the end of
+the page inside a tag or comment is no text.  A tree builder closes elements whose end tags HTML lets authors leave out.  Rendering works from the leaves up:
 inline text is collapsed as browsers do, blocks stand on lines of their own (with a blank line around paragraphs,
 headings, lists and tables), list items keep markers and indentation, preformatted text keeps its spacing, and table
-cells are padded to their column's width.  Text in a table outside its cells comes before it.  Controls show their text
-(a select its chosen option).  Hidden elements emit nothing.
+cells are padded to their column's width (cells over several rows keep their columns free below).  Text in a table outside
+its cells comes before it.  Controls show their text (a select its chosen option).  Hidden elements emit nothing, but for
+visible elements inside ones with visibility: hidden.  Indents and padding are bounded, so the text of a page is at most
+a constant times as long as the page.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ BLOCKS = SPACED | frozenset("html body div section article aside header footer n
 #: Elements that may stand in head (any other, and text, ends it), and kinds of input elements whose value is shown.
 IN_HEAD = frozenset("html head base link meta title script style template noscript noframes".split())
 SHOWN_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "reset", "button"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS, ROWS, PARTS = frozenset(("td", "th")), frozenset(("tr",)), frozenset(("thead", "tbody", "tfoot"))
 #: For a start tag: the open elements that it ends, and those that bound the search.
 ENDS: dict[str, tuple[frozenset, frozenset]] = {
@@ -40,27 +44,114 @@ ENDS: dict[str, tuple[frozenset, frozenset]] = {
 }
 _WALLS = frozenset(("td", "th", "caption", "table", "button", "html"))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(?:!important\s*)?(?=;|$)", re.IGNORECASE)
 BREAK = "\x00"
+#: Elements whose content is text up to their end tag; in the last ones character references count.
+RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
+REFERENCES_IN_RAW = frozenset(("textarea", "title"))
+_NAME = re.compile(r"[^\t\n\r\f />]+")
+_ATTRIBUTE = re.compile(r"[\t\n\r\f /]*+(?:([^\t\n\r\f />][^\t\n\r\f />=]*+)(?:[\t\n\r\f ]*+=[\t\n\r\f ]*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\t\n\r\f >]*+)))?+)?+")
+#: Columns of text to which cells are padded at most, and columns of a table that are kept apart.
+WIDEST, MOST_COLUMNS = 120, 1000
+#: Elements inside each other within which lists and quotes are indented.
+DEEPEST = 100
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(kind, name or text, attributes) of a page: kinds are start, end and text; every character is looked at once or twice."""
+    at, n = 0, len(html)
+    while at < n:
+        open_ = html.find("<", at)
+        if open_ < 0 or open_ + 1 == n:
+            yield "text", unescape(html[at:]), {}
+            return
+        after = html[open_ + 1]
+        named = after == "/" and html[open_ + 2 : open_ + 3].isalpha() or after.isalpha()
+        if not (named or after in "!?/"):
+            follow = html.find("<", open_ + 1)
+            follow = n if follow < 0 else follow
+            yield "text", unescape(html[at:follow]), {}
+            at = follow
+            continue
+        if open_ > at:
+            yield "text", unescape(html[at:open_]), {}
+        if not named:
+            at = _after_comment(html, open_)
+            continue
+        end, name, attrs = _tag(html, open_ + (2 if after == "/" else 1))
+        if end < 0:
+            return
+        at = end
+        if after == "/":
+            yield "end", name, {}
+            continue
+        yield "start", name, attrs
+        if name == "plaintext":
+            yield "text", html[at:], {}
+            return
+        if name in RAW:
+            close = re.compile(f"</{name}(?=[\\t\\n\\r\\f />])", re.IGNORECASE).search(html, at)
+            stop = close.start() if close else n
+            yield "text", unescape(html[at:stop]) if name in REFERENCES_IN_RAW else html[at:stop], {}
+            at = stop
+
+
+def _after_comment(html: str, at: int) -> int:
+    """Place after a comment, a declaration or the like that begins at `at`; the end of the page ends it too."""
+    if not html.startswith("<!--", at):
+        end = html.find(">", at)
+        return end + 1 if end >= 0 else len(html)
+    for short in (">", "->"):
+        if html.startswith(short, at + 4):
+            return at + 4 + len(short)
+    end = html.find("-->", at + 4)
+    return end + 3 if end >= 0 else len(html)
+
+
+def _tag(html: str, at: int) -> tuple[int, str, dict[str, str]]:
+    """(place after the tag or -1 where the page ends in it, name, attributes) of a tag whose name begins at `at`."""
+    name, attrs = _NAME.match(html, at), {}
+    at = name.end()
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        key, at = m[1], m.end()
+        if m[3] == "" or m[5] == "":  # an open quote
+            return -1, "", {}
+        if key is not None:
+            value = m[2] if m[2] is not None else m[4] if m[4] is not None else m[6]
+            attrs.setdefault(key.lower(), unescape(value) if value else "")
+        if at >= len(html):
+            return -1, "", {}
+        if html[at] == ">":
+            return at + 1, name[0].lower(), attrs
 
 
 class Node:
-    __slots__ = ("attrs", "children", "seen", "tag")
+    __slots__ = ("attrs", "children", "seen", "shown", "tag")
 
-    def __init__(self, tag: str, attrs: dict, seen: bool) -> None:
-        self.tag, self.attrs, self.children, self.seen = tag, attrs, [], seen
+    def __init__(self, tag: str, attrs: dict, seen: bool, shown: bool) -> None:
+        self.tag, self.attrs, self.children, self.seen, self.shown = tag, attrs, [], seen, shown
 
 
-class TreeBuilder(HTMLParser):
+class TreeBuilder:
     """Nodes with implied end tags; text of unseen elements is not kept, except the first title."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("body", {}, True)
+        self.root = Node("body", {}, True, True)
         self.open = [self.root]
         self.count: dict[str, int] = {}
         self.title: str | None = None
 
+    def read(self, html: str) -> None:
+        for kind, what, attrs in tokens(html):
+            if kind == "text":
+                self.text(what)
+            elif kind == "start":
+                self.start(what, attrs)
+            else:
+                self.end(what)
+
     def _pop(self, upto: int) -> None:
         for node in self.open[upto:]:
             self.count[node.tag] -= 1
@@ -86,43 +177,44 @@ class TreeBuilder(HTMLParser):
         while self.open[-1].tag == "head":
             self._pop(len(self.open) - 1)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag not in IN_HEAD:
             self._end_head()
         if tag in ENDS:
             self._end(*ENDS[tag], last=True)
         if tag in BLOCKS:
             self._end(frozenset(("p",)), _WALLS, last=False)
-        if tag[:1] == "h" and tag[1:].isdigit():
-            self._end(frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), _WALLS | {"div", "section", "article"}, last=False)
+        if tag in HEADINGS:
+            self._end(HEADINGS, _WALLS | {"div", "section", "article"}, last=False)
         if tag in CELLS and self.open[-1].tag in ("table", *PARTS):
-            self.handle_starttag("tr", [])
+            self.start("tr", {})
         if tag in ("html", "body") or (tag == "form" and self.open[-1].tag in ("table", "tr", *PARTS)):
             return  # a form between the parts of a table holds none of them
-        attrs = {k: v or "" for k, v in reversed(attrs)}
-        seen = tag not in UNSEEN and "hidden" not in attrs and not ("style" in attrs and _STYLE.search(attrs["style"])) and self.open[-1].seen
-        node = Node(tag, attrs, seen)
+        top, style = self.open[-1], attrs.get("style", "")
+        seen = top.seen and tag not in UNSEEN and "hidden" not in attrs and not (style and _NO_DISPLAY.search(style))
+        said = _VISIBILITY.findall(style) if style else []
+        node = Node(tag, attrs, seen, said[-1].lower() == "visible" if said else top.shown)
         if seen:
-            self.open[-1].children.append(node)
+            top.children.append(node)
         if tag not in VOID:
             self.open.append(node)
             self.count[tag] = self.count.get(tag, 0) + 1
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "br":
-            self.handle_starttag(tag, [])
-        elif tag not in ("html", "body"):
-            self._end(frozenset((tag,)), frozenset() if tag in ("table", *PARTS) else frozenset(("table",)) if tag not in CELLS | ROWS | {"li"} else frozenset(("table",)) | ({"ul", "ol"} if tag == "li" else frozenset()), last=False)
+    def end(self, tag: str) -> None:
+        if tag in ("br", "p") and not self.count.get(tag):
+            self.start(tag, {})  # as browsers do
+        if tag in ("html", "body", "br"):
+            return
+        walls = frozenset() if tag in ("table", *PARTS) else frozenset(("table", "ul", "ol")) if tag == "li" else frozenset(("table",))
+        self._end(frozenset((tag,)), walls, last=False)
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if data.strip(" \t\n\r\f"):
             self._end_head()
         top = self.open[-1]
         if top.seen:
-            top.children.append(data.replace(BREAK, "�"))
+            if top.shown:
+                top.children.append(data.replace(BREAK, "�"))
         elif top.tag == "title" and self.title is None:
             self.title = _SPACE.sub(" ", data).strip()
 
@@ -134,9 +226,14 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _marked(lines: list[str], mark: str) -> list[str]:
+def _marked(lines: list[str], mark: str, depth: int = 0) -> list[str]:
     """A list item's lines, further ones indented below the text."""
-    return [mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])] if lines else []
+    return [mark + lines[0], *_indented(lines[1:], len(mark), depth)] if lines else []
+
+
+def _indented(lines: list[str], n: int, depth: int) -> list[str]:
+    """Lines moved n columns to the right, but for elements deeper than DEEPEST."""
+    return [" " * n + x if x else x for x in lines] if depth <= DEEPEST else lines
 
 
 def _plain(items: list) -> list:
@@ -194,7 +291,7 @@ def _number(text: str, other: int) -> int:
     return int(text) if re.fullmatch(r"-?[0-9]{1,6}", text.strip()) else other
 
 
-def _list(node: Node, items: list) -> list[str]:
+def _list(node: Node, items: list, depth: int) -> list[str]:
     """Items with a bullet or their number; their further lines are indented below the text."""
     at, out = _number(node.attrs.get("start", ""), 1), []
     for item in items:
@@ -208,7 +305,7 @@ def _list(node: Node, items: list) -> list[str]:
             continue
         mark = f"{at}. " if node.tag == "ol" else "- "
         at += 1
-        out.extend(_marked(lines, mark))
+        out.extend(_marked(lines, mark, depth))
     return out
 
 
@@ -229,25 +326,44 @@ def _options(select: Node) -> list[str]:
     return [_SPACE.sub(" ", "".join(texts)).strip() for _, texts in found]
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells padded to the width of their column, two spaces apart; a cell over several columns widens none."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
-                widths[at] = max([widths[at], *map(_width, lines)])
+def _grid(rows: list[list[tuple]]) -> list[list[tuple[int, list[str], int]]]:
+    """(column, lines, columns) of the cells (lines, columns, rows) of each row; columns that a cell above covers are left free."""
+    out, busy = [], {}  # busy: the first row that is free again, by column
+    for r, row in enumerate(rows):
+        placed, at = [], 0
+        for lines, span, down in row:
+            while busy.get(at, 0) > r:
+                at += 1
+            if at + span > MOST_COLUMNS:
+                span = 1
+            placed.append((at, lines, span))
+            for c in range(at, at + span if down > 1 else at):
+                busy[c] = r + down
             at += span
+        out.append(placed)
+    return out
+
+
+def _table(rows: list[list[tuple]]) -> list[str]:
+    """Cells padded to the width of their column, two spaces apart; cells over several columns or wider than WIDEST widen none."""
+    widths: dict[int, int] = {}
+    grid = _grid(rows)
+    for row in grid:
+        for at, lines, span in row:
+            if span == 1:
+                widths[at] = max([widths.get(at, 0), *(w for w in map(_width, lines) if w <= WIDEST)])
+    begin = [0]
+    for c in range(max((at + span for row in grid for at, _, span in row), default=0)):
+        begin.append(begin[-1] + widths.get(c, 0) + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
-                text = lines[k] if k < len(lines) else ""
-                line += text + " " * max(0, sum(widths[at : at + span]) + 2 * (span - 1) - _width(text)) + "  "
-                at += span
-            out.append(line.rstrip())
+    for row in grid:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line, wide = "", 0
+            for at, lines, _ in row:
+                if k < len(lines) and lines[k]:
+                    gap = max(begin[at] - wide, 2 if line else 0)
+                    line, wide = line + " " * min(gap, 2 * WIDEST) + lines[k], wide + gap + _width(lines[k])
+            out.append(line)
     return out
 
 
@@ -256,17 +372,18 @@ def _loose(items: list) -> list:
     return [x for x in items if (x.strip(" \t\n\r\f") if isinstance(x, str) else len(x) < 4 or x[2] != "cell")]
 
 
-def _layout(node: Node, items: list, pre: bool) -> list:
+def _layout(node: Node, items: list, pre: bool, depth: int) -> list:
     """What an element adds to its parent: inline strings, or (lines, spaced[, kind[, more]])."""
     tag = node.tag
     if tag == "br":
         return [BREAK]
     if tag == "hr":
-        return [(["---"], True)]
+        return [(["---"], True)] if node.shown else []
     if tag in CELLS:
-        return [(_stack(items), False, "cell", min(max(_number(node.attrs.get("colspan", ""), 1), 1), 1000))]
+        span = lambda name, most: min(max(_number(node.attrs.get(name, ""), 1), 1), most)
+        return [(_stack(items), False, "cell", span("colspan", 1000), span("rowspan", 65534))]
     if tag == "tr":
-        cells = [(x[0], x[3]) for x in items if not isinstance(x, str) and len(x) > 3 and x[2] == "cell"]
+        cells = [(x[0], x[3], x[4]) for x in items if not isinstance(x, str) and len(x) > 3 and x[2] == "cell"]
         return [*_loose(items), ([], False, "row", cells)]
     if tag in PARTS:
         return [x for x in items if not isinstance(x, str) or x.strip(" \t\n\r\f")]
@@ -276,22 +393,22 @@ def _layout(node: Node, items: list, pre: bool) -> list:
             if not isinstance(x, str) and len(x) > 3:
                 if x[2] == "row" or not bare:
                     rows.append([])
-                rows[-1].extend(x[3] if x[2] == "row" else [(x[0], x[3])])
+                rows[-1].extend(x[3] if x[2] == "row" else [(x[0], x[3], x[4])])
                 bare = x[2] == "cell"
         return [(_stack([x for x in items if isinstance(x, str) or len(x) < 4]) + _table(rows), True)]
     if tag == "input":
-        return [node.attrs["value"].replace(BREAK, "�")] if node.attrs.get("value") and node.attrs.get("type", "").lower() in SHOWN_INPUTS else []
+        return [node.attrs["value"].replace(BREAK, "�")] if node.attrs.get("value") and node.attrs.get("type", "").lower() in SHOWN_INPUTS and node.shown else []
     if tag == "textarea":
         return ["".join(x for x in items if isinstance(x, str)).removeprefix("\n").rstrip("\n").replace("\n", BREAK)]
     if tag == "select":
-        return [BREAK.join(_options(node))]
+        return [BREAK.join(_options(node))] if node.shown else []
     if tag in ("ul", "ol", "menu"):
-        return [(_list(node, items), True)]
+        return [(_list(node, items, depth), True)]
     if tag == "pre":
         text = "".join(x if isinstance(x, str) else "\n".join(x[0]) for x in _plain(items)).replace(BREAK, "\n")
         return [([x.rstrip() for x in text.removeprefix("\n").rstrip("\n").split("\n")] if text.strip() else [], True)]
     if tag in ("dd", "blockquote") and not pre:
-        return [(["  " + x if x else "" for x in _stack(items)], tag == "blockquote")]
+        return [(_indented(_stack(items), 2, depth), tag == "blockquote")]
     if tag in BLOCKS and not pre:
         return [(_stack(items), tag in SPACED, *(["li"] if tag == "li" else []))]
     if tag == "q":
@@ -312,7 +429,7 @@ def render(root: Node) -> list[str]:
             else:
                 stack.append((child, 0, [], pre or child.tag == "pre"))
         elif stack:
-            stack[-1][2].extend(_layout(node, items, pre and node.tag != "pre"))
+            stack[-1][2].extend(_layout(node, items, pre and node.tag != "pre", len(stack)))
         else:
             return _stack(items)
 
@@ -320,8 +437,7 @@ def render(root: Node) -> list[str]:
 def page_text(html: str | None) -> tuple[str | None, str]:
     """(title, visible text) of a page; null and empty pages have neither."""
     builder = TreeBuilder()
-    builder.feed(html or "")
-    builder.close()
+    builder.read(html or "")
     return builder.title, "\n".join(render(builder.root)).replace(BREAK, "\n")
 
 
