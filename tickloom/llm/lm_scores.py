@@ -1,7 +1,7 @@
 """Language-model scores of texts by a small causal self-attention model, trained in numpy on subword ids.
 
-One pass turns texts into subword ids and counts words and ids of the whole training part; ids are written, so nothing
-is split into subwords twice.  The model is one head of causal attention with learned weights by distance, a path from
+One pass turns texts into subword ids and counts words and ids of the whole training part; only ids are written (a word is
+the run of ids from one that begins with a space to the next), so no text is read twice.  The model is one head of causal attention with learned weights by distance, a path from
 the id before, and a residual; an id's probability is that of its group times that of its place in the group, both by
 softmax, and rare ids share a place by their counts.  It is trained on every id of every training document, each once,
 in a few rounds that grow: in a round every task takes steps over its documents of the round, and the mean of the tasks'
@@ -28,21 +28,23 @@ from .labelled import remainder
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
 LENGTH, CONTEXT, WIDTH = 16, 8, 16
-#: Ids with embeddings of their own; groups of ids, places in a group, and places that one id has for itself.
-INPUTS, GROUPS, PLACES, OWN = 4096, 32, 32, 24
+#: Groups of ids, places in a group, and places that one id has for itself; group and place together number the inputs.
+GROUPS, PLACES, OWN = 32, 32, 24
+INPUTS = GROUPS * PLACES
 #: Weight of the word's share of all training tokens.
 SHARE = 0.2
 #: Last of the 64 parts of the training documents in each round, the rounds' rates, and model sums a round that the driver gets.
-PARTS, ROUNDS, RATES, SUMS = 64, (1, 4, 16, 64), (8e-3, 6e-3, 4e-3, 3e-3), 8
-#: Windows of a step: one for SEEN_A_WINDOW seen so far, between these bounds; steps over which the model is averaged.
-LEAST_BATCH, MOST_BATCH, SEEN_A_WINDOW, AVERAGED = 32, 512, 512, 50
+PARTS, ROUNDS, RATES, SUMS = 64, (1, 4, 16, 64), (1e-2, 1e-2, 8e-3, 4e-3), 8
+#: Windows of a step: the least up to FEW windows seen by a task, from there on with their square; steps over which the
+#: model is averaged.
+LEAST_BATCH, MOST_BATCH, FEW, AVERAGED = 32, 1024, 1 << 14, 50
 #: Windows in one block of the attention (their arrays stay in a core's cache), and ids handled at a time.
-BLOCK, IDS_AT_ONCE = 64, 1 << 20
+BLOCK, IDS_AT_ONCE = 64, 1 << 19
 SEED = 11
 #: Counts of at most this many frequent words are broadcast (12 bytes each); all others are joined by shuffle.
 HEAD_WORDS = 1 << 19
 #: Words whose ids one task keeps.
-KEPT = 500_000
+KEPT = 300_000
 #: Stands for the end of a text among the word hashes, and for nothing among ids.
 END_WORD, NOTHING = -1, 65535
 WORDS, IDS = 0, 1
@@ -98,11 +100,11 @@ def _subwords(path: str, pattern: str) -> Subwords:
     return Subwords(path, pattern)
 
 
-_ENCODED = "rid long, doc_id {id}, held_out boolean, part int, text string, ids binary, word_h binary, word_c binary, id_c binary"
+_ENCODED = "rid long, doc_id {id}, held_out boolean, part int, ids binary, word_h binary, word_c binary, id_c binary"
 
 
 def _encode(path: str, pattern: str):
-    """The rows with their ids; the last rows of a batch hold its counts of training words and ids."""
+    """The rows with ids instead of their texts; the last row of a batch holds its counts of training words and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _subwords(path, pattern)
@@ -112,22 +114,21 @@ def _encode(path: str, pattern: str):
                 starts, ends, first = words_of(data, off, SPACE_WORDS)
                 unique, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
                 ids, n = code.ids_of(data.tobytes(), starts, ends, unique, at, which)
-                upto = np.concatenate([[0], np.cumsum(n)])[first]
+                stop = np.cumsum(n)
+                upto = np.concatenate([[0], stop])[first]
                 learn = ~held[a:b]
                 c = np.bincount(which[np.repeat(learn, np.diff(first))], minlength=len(unique))
-                words.append(unique[c > 0])
+                words.append(word_hashes(ids, (stop - n)[at], stop[at])[c > 0])
                 counts.append(c[c > 0])
                 by_id += np.bincount(ids[np.repeat(learn, np.diff(upto))], minlength=code.size)
                 more = [[None] * (b - a) for _ in range(3)]
                 if b == batch.num_rows:
                     by_id[code.end] += (~held).sum()
-                    h, c = np.concatenate(words), np.concatenate(counts)
-                    more = [[None] * (b - a - 1) + [x.tobytes()] for x in (*_summed(h, c), by_id)]
-                raw = ids.tobytes()
-                cut = (upto * 2).tolist()
+                    more = [[None] * (b - a - 1) + [x.tobytes()] for x in (*_summed(np.concatenate(words), np.concatenate(counts)), by_id)]
+                raw, cut = ids.tobytes(), (upto * 2).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(5)), pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(x, pa.binary()) for x in more)],
-                    ["rid", "doc_id", "held_out", "part", "text", "ids", "word_h", "word_c", "id_c"],
+                    [*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(x, pa.binary()) for x in more)],
+                    ["rid", "doc_id", "held_out", "part", "ids", "word_h", "word_c", "id_c"],
                 )
 
     return run
@@ -183,15 +184,13 @@ def make_vocabulary(counts: np.ndarray, tokens: list[bytes]) -> Vocabulary:
         place[some] = OWN + np.minimum(upto / upto[-1:] * (PLACES - OWN), PLACES - OWN - 1).astype(np.int64)
     weight, leaf = counts + SMOOTH, group * PLACES + place
     mass = np.bincount(leaf, weight, GROUPS * PLACES)
-    number = np.full(len(counts), INPUTS - 1)
-    number[by_count[: INPUTS - 1]] = np.arange(INPUTS - 1)
 
     def table(values: np.ndarray, nothing: int, kind: type) -> np.ndarray:
         out = np.full(NOTHING + 1, nothing, kind)
         out[: len(values)] = values
         return out
 
-    return Vocabulary(table(group, 0, np.uint8), table(place, 0, np.intp), table(np.log(weight / mass[leaf]), 0, np.float32), table(number, INPUTS, np.intp), mass.reshape(GROUPS, PLACES))
+    return Vocabulary(table(group, 0, np.uint8), table(place, 0, np.intp), table(np.log(weight / mass[leaf]), 0, np.float32), table(leaf, INPUTS, np.intp), mass.reshape(GROUPS, PLACES))
 
 
 def windows(ids: np.ndarray, first: np.ndarray, end: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,7 +379,7 @@ def _learn(held, rate: float, seen: int):
                 found, _, _ = windows(ids, first, end, LENGTH)
                 order, done = rng.permutation(len(found)), 0
                 while done < len(found):
-                    size = int(np.clip((seen + n) // SEEN_A_WINDOW, LEAST_BATCH, MOST_BATCH))
+                    size = int(np.clip(LEAST_BATCH * ((seen + n) / FEW) ** 2, LEAST_BATCH, MOST_BATCH))
                     on = found[order[done : done + size]]
                     aim = on[:, 1:]
                     _, g = model.gradient(voc.input[on[:, :-1]], voc.group[aim], voc.place[aim], aim != NOTHING)
@@ -450,14 +449,12 @@ class Scorer:
                 out[at[there]] = log[there] / np.log(10)
         return out
 
-    def log10(self, ids: np.ndarray, size: np.ndarray, word_first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The attention model's log10 P of each word and of each row's end; `size` ids a word."""
-        stop = np.cumsum(size)
-        first = np.concatenate([[0], stop])[word_first]
+    def log10(self, ids: np.ndarray, first: np.ndarray, begin: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The attention model's log10 P of each word and of each row's end; words begin at ids[begin[:-1]]."""
         got = self.log10_ids(ids, first, end)
         upto = np.concatenate([[0.0], np.cumsum(got)])
-        row = np.repeat(np.arange(len(word_first) - 1), np.diff(word_first))
-        return upto[stop + row] - upto[stop - size + row], got[first[1:] + np.arange(len(first) - 1)]
+        row = np.searchsorted(first, begin[:-1], "right") - 1
+        return upto[begin[1:] + row] - upto[begin[:-1] + row], got[first[1:] + np.arange(len(first) - 1)]
 
     def mix(self, attention: np.ndarray, counts: np.ndarray | int) -> np.ndarray:
         """log10 of the mixture of the attention model's probability and the share of all training tokens."""
@@ -472,15 +469,12 @@ def _score(held, path: str, pattern: str):
         code, it = _subwords(path, pattern), held.value
         ends = np.log10(it.ends + SMOOTH)
         for batch in batches:
-            for a, b, data, off in text_chunks(batch.column(3)):
-                starts, stops, first = words_of(data, off, SPACE_WORDS)
-                h, rows, words = word_hashes(data, starts, stops), b - a, np.diff(first)
-                row = np.repeat(np.arange(rows), words)
-                ids = np.frombuffer(b"".join(batch.column(4).slice(a, rows).to_pylist()), np.uint16)
-                begin = np.append(np.flatnonzero(code.first[ids]), len(ids))
+            for a, b, ids, first in id_chunks(batch.column(3)):
+                rows, begin = b - a, np.append(np.flatnonzero(code.first[ids]), len(ids))
+                h, row = word_hashes(ids, begin[:-1], begin[1:]), np.searchsorted(first, begin[:-1], "right") - 1
                 at = np.minimum(np.searchsorted(it.head, h.view(np.int64)), max(len(it.head) - 1, 0))
                 on = it.head[at] == h.view(np.int64) if len(it.head) else np.zeros(len(h), bool)
-                attention, last = it.log10(ids, np.diff(begin), first, code.end)
+                attention, last = it.log10(ids, first, begin, code.end)
                 score = np.bincount(row[on], it.mix(attention[on], it.head_counts[at[on]]), rows) + it.mix(last, it.ends)
                 logs = np.bincount(row[on], np.log10(it.head_counts[at[on]] + SMOOTH), rows) + ends
                 known = np.bincount(row[on], minlength=rows) + (it.ends > 0)
@@ -492,7 +486,7 @@ def _score(held, path: str, pattern: str):
                 tail = pa.StructArray.from_arrays([pa.array(rest[new].view(np.int64)), each], ["h", "a"])
                 cuts = np.searchsorted(rest_row[new], np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, rows) for i in range(3)), pa.array(words + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), tail)],
+                    [*(batch.column(i).slice(a, rows) for i in range(3)), pa.array(np.bincount(row, minlength=rows) + 1), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), tail)],
                     ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail"],
                 )
 
@@ -545,7 +539,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
     scorer = Scorer(model, vocabulary, head.column("h").to_numpy()[order], head.column("c").to_numpy()[order], int(ends), int(total))
     held = spark.sparkContext.broadcast(scorer)
 
-    scored = rows.select("rid", "doc_id", "held_out", "text", "ids").mapInArrow(_score(held, tokenizer_path, pattern), _ROWS.format(id=id_type))
+    scored = rows.select("rid", "doc_id", "held_out", "ids").mapInArrow(_score(held, tokenizer_path, pattern), _ROWS.format(id=id_type))
     scored = materialise(scored, "lm-rows")
     tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.a", F.size("t.a").alias("n")).join(words, "h", "left")
     unigram = F.coalesce("c", F.lit(0)) * (SHARE / max(total, 1))
