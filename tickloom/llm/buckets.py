@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _SLICE = 16
-_TOP = 65535
 
 
 def _schema(kind: str) -> str:
@@ -33,20 +32,17 @@ def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], np.ndarra
     size, step = 1 << log2, min(1 << log2, 1 << _SLICE)
     small = top < 256
     kind = np.uint8 if small else np.uint32
-    limit = _TOP if small else top
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(size, np.uint16 if small else np.uint32)
+        have = np.zeros(size, kind)
         for batch in batches:
             got = positions(batch)
             if len(got) * 8 > size:
                 more = np.bincount(got, minlength=size)
-                have = np.minimum(have + more, limit).astype(have.dtype)
+                have = np.minimum(have + more, top).astype(kind)
             elif len(got):
                 at, n = np.unique(got, return_counts=True)
-                have[at] = np.minimum(have[at] + n, limit)
-        if small:
-            np.minimum(have, top, out=have)
+                have[at] = np.minimum(have[at] + n, top)
         for s in range(size // step):
             part = have[s * step : (s + 1) * step]
             at = np.flatnonzero(part)
@@ -54,7 +50,7 @@ def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], np.ndarra
                 dense = len(at) * 3 > step if small else len(at) * 2 > step
                 n = part if dense else part[at]
                 yield pa.RecordBatch.from_pydict(
-                    {"slice": pa.array([s], pa.int32()), "at": pa.array([None if dense else at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([(n.astype(np.uint8) if small else n).tobytes()], pa.binary())}
+                    {"slice": pa.array([s], pa.int32()), "at": pa.array([None if dense else at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())}
                 )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,14 +43,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    `folder` is a column of which each value gets a folder, so a filter on it reads only that.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(folder) if folder else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of rows to drop are broadcast up to this number, else joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` whose id and text hash are not among `keys` (doc_id, text_hash); names of `docs` may be any."""
+    names = docs.columns
+    keys = keys.select(F.struct(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("t")).alias("mine"))
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    kept = rows.join(keys, F.col("mine.i").eqNullSafe(F.col("key.i")) & (F.col("mine.t") == F.col("key.t")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: close inputs give unrelated outputs."""
     x = x ^ (x >> np.uint64(32))

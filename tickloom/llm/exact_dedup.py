@@ -1,10 +1,12 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Pass one adds every text hash to a fixed-size table of saturating counters.  A text
+Pass one adds every text hash to a table of saturating counters of a fixed size.  A text
 that occurs twice finds all its counters at two or more, so pass two splits the rows:
 those below two in any counter are unique and pass straight through; only the others
-are shuffled and grouped by their full SHA-256.  A filter too small for the corpus
-costs shuffle, never a wrong answer.
+are shuffled and grouped by their full SHA-256.  A corpus with more rows than one filter
+serves is written by ranges of the hash, and each range has a filter of its own, so the
+share of rows that shuffle does not grow with the corpus.  Beyond MOST_RANGES filters are
+fuller, which costs shuffle, never a wrong answer.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import ascii_lower, materialise, mix64
 #: Counters per row, and hash functions per row.
 BUCKETS_A_ROW = 16
 HASHES = 5
-#: Bounds of the filter: 2**27 counters are 128 MB on the driver, 16 MB as broadcast bits.
-LOG2_LEAST, LOG2_MOST = 12, 27
+#: Bounds of a filter (2**26 counters are 64 MB in a task and on the driver, 8 MB as broadcast bits), and of ranges.
+LOG2_LEAST, LOG2_MOST, MOST_RANGES = 12, 26, 256
 #: A text held by more than this share of all rows is met by broadcast: at most 1 / HOT_SHARE such texts exist.
 HOT_SHARE = 0.001
 
@@ -58,6 +60,21 @@ def maybe_repeated(df: DataFrame, key: str, rows: int, log2: int | None = None):
     return seen_twice(F.col(key))
 
 
+def mark_repeated(df: DataFrame, key: str, rows: int, log2: int | None = None) -> DataFrame:
+    """`df` with maybe_repeated in the column `again`, by ranges of `key` where one filter would be too small."""
+    ranges = min(MOST_RANGES, -(-BUCKETS_A_ROW * rows // (1 << (log2 or LOG2_MOST))))
+    if ranges <= 1:
+        return df.withColumn("again", maybe_repeated(df, key, rows, log2))
+    names = df.columns
+    cut = materialise(df.withColumn("range", F.pmod(F.col(key), F.lit(ranges)).cast("int")), "dedup-ranges", "range")
+    out = None
+    for r in range(ranges):
+        part = cut.filter(F.col("range") == r).select(*names)
+        part = part.withColumn("again", maybe_repeated(part, key, -(-rows // ranges), log2))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -66,13 +83,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives an empty result; other columns of `docs` are not read.
     """
     rows = materialise(
-        docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_sha256(F.col(text_col)).alias("sha")).select(
+        docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), text_sha256(F.col(f"`{text_col}`")).alias("sha")).select(
             "rid", "doc_id", F.unhex("sha").alias("sha"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("h")
         ),
         "dedup",
     )
     n = rows.count()
-    marked = rows.withColumn("again", maybe_repeated(rows, "h", n, log2))
+    marked = mark_repeated(rows, "h", n, log2)
     columns = lambda keep, size, kept: [F.col("doc_id"), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
     alone = marked.filter("not again").select(*columns(F.col("doc_id"), F.lit(1).cast("long"), F.lit(True)))
 
@@ -98,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = text_sha256(F.col(f"`{text_col}`"))
     keyed = docs.select(row.alias("r"), F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(*plain).alias("t")).alias("rank"), sha.alias("sha")).withColumn("h", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
     n = docs.count()
-    marked = keyed.withColumn("again", maybe_repeated(keyed, "h", n, log2))
+    marked = mark_repeated(keyed, "h", n, log2)
     alone = marked.filter("not again").select("r")
     best = marked.filter("again").groupBy("sha").agg(F.max_by("r", "rank").alias("r")).select("r")
     return alone.unionByName(best).select(*[F.col(f"r.`{c}`").alias(c) for c in names])
