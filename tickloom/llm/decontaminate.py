@@ -1,11 +1,11 @@
 """Benchmark decontamination by winnowing.
 
-Of the K-grams of each window of WINDOW words the one with the least hash is its fingerprint (the last of
-equals), so equal windows have equal fingerprints wherever they stand, and every shared span of WINDOW words
-shares one.  Fingerprints of the benchmark fill a fixed-size bit set; document windows whose fingerprint it lacks
-are dropped where they are read.  The few others are joined with the benchmark's windows by the MD5 of their
-words, and the exact hits are extended to the spans they cover.  Items of fewer than WINDOW words are looked
-up by one rolling hash per length.
+Of the K-grams of each window of WINDOW words the one with the least hash is kept (the last of equals), so equal
+windows keep the same K-gram wherever they stand, and every shared span of WINDOW words shares a kept one.  The hashes of
+kept K-grams are the fingerprints.  Those of the benchmark also fill a fixed-size bit set, so document fingerprints that
+it lacks are dropped where they are read.  The others are joined with the benchmark's by fingerprint, and a hit is
+extended: the words on both sides of the K-gram are compared, and the spans of WINDOW words or more that agree are united.
+Items of fewer than WINDOW words are their own fingerprint, one for each length.
 """
 
 from __future__ import annotations
@@ -19,27 +19,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import BitSet, bucket_counts
-from .common import ALNUM_WORDS, gram_hashes, materialise, starts_within, text_chunks, word_hashes, words_of
+from .common import ALNUM_WORDS, drop_rows, gram_hashes, materialise, starts_within, text_chunks, word_hashes, words_of
 
 WINDOW, K = 10, 8
 #: Bits of the benchmark's filter by window, and its bounds (2**27 bits are 16 MB).
 BITS_A_WINDOW = 32
 LOG2_LEAST, LOG2_MOST = 16, 27
-#: The benchmark's distinct windows (a 16-byte key each) are broadcast up to this number, else joined by shuffle.
+#: The benchmark's distinct windows (some 100 bytes each) are broadcast up to this number, else joined by shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Words on each side of a K-gram that a window with it may have, and bytes of a word's hash.
+SIDE, WORD_BYTES = WINDOW - K, 8
 
-_WINDOWS = "item_id string, n int, fp long, w binary"
-_CANDIDATES = "rid long, doc_id {id}, text_hash long, n_words long, found array<struct<at:int,n:int,w:binary>>"
+_WINDOWS = "item_id string, n int, fp long, place int, w binary"
+_CANDIDATES = "rid long, doc_id {id}, text_hash long, n_words long, found array<struct<at:int,n:int,fp:long,around:binary>>"
 
 
-def window_prints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, fingerprint) of every window of WINDOW words inside a row."""
+def window_prints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, place of the kept K-gram in it, fingerprint) of every window of WINDOW words inside a row."""
     at, _ = starts_within(first, WINDOW)
     grams = gram_hashes(words, K)
-    best = grams[at]
-    for j in range(1, WINDOW - K + 1):
-        best = np.minimum(best, grams[at + j])
-    return at, best
+    best, place = grams[at], np.zeros(len(at), np.int64)
+    for j in range(1, SIDE + 1):
+        other = grams[at + j]
+        place[other <= best] = j
+        best = np.minimum(best, other)
+    return at, place, best
+
+
+def kept_prints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of the K-grams that some window of the row keeps, each once."""
+    at, place, print_ = window_prints(words, first)
+    kept = at + place
+    new = np.append(True, kept[1:] != kept[:-1])[: len(kept)]  # kept K-grams never go back
+    return kept[new], print_[new]
 
 
 def short_prints(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,56 +60,57 @@ def short_prints(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarr
     return at, gram_hashes(words, n)[at] ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
-def _key(data: bytes, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> bytes:
-    return hashlib.md5(b" ".join(data[starts[j] : ends[j]] for j in range(at, at + n))).digest()
+def _words_at(words: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """The hashes of words at..at+n-1 as bytes, zero past either end of `words`."""
+    padded = np.concatenate([np.zeros(SIDE, np.uint64), words, np.zeros(n, np.uint64)])
+    raw = padded[(at + SIDE)[:, None] + np.arange(n)].tobytes()
+    size = n * WORD_BYTES
+    return pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary())
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_pylist()
+        ids = batch.column(0)
         for a, b, data, off in text_chunks(batch.column(1)):
             starts, ends, first = words_of(data, off, ALNUM_WORDS)
-            h, raw, counts = word_hashes(data, starts, ends), data.tobytes(), np.diff(first)
-            out = {"item_id": [], "n": [], "fp": [], "w": []}
-            found = [(WINDOW, *window_prints(h, first))] + [(n, *short_prints(h, first, n)) for n in sorted({int(c) for c in counts if 0 < c < WINDOW})]
-            for n, at, fp in found:
-                rows = np.searchsorted(first, at, "right") - 1
-                for p, f, r in zip(at.tolist(), fp.view(np.int64).tolist(), rows.tolist(), strict=True):
-                    if n == WINDOW or counts[r] == n:
-                        out["item_id"].append(ids[a + r])
-                        out["n"].append(n)
-                        out["fp"].append(f)
-                        out["w"].append(_key(raw, starts, ends, p, n))
-            yield pa.RecordBatch.from_pydict({"item_id": pa.array(out["item_id"], pa.string()), "n": pa.array(out["n"], pa.int32()), "fp": pa.array(out["fp"], pa.int64()), "w": pa.array(out["w"], pa.binary())})
+            h, counts = word_hashes(data, starts, ends), np.diff(first)
+            found = [(WINDOW, *window_prints(h, first))]
+            for n in sorted({int(c) for c in counts if 0 < c < WINDOW}):
+                at, fp = short_prints(h, first, n)
+                on = counts[np.searchsorted(first, at, "right") - 1] == n
+                found.append((n, at[on], np.zeros(on.sum(), np.int64), fp[on]))
+            for n, at, place, fp in found:
+                row = np.searchsorted(first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a).take(pa.array(row)), pa.array(np.full(len(at), n), pa.int32()), pa.array(fp.view(np.int64)), pa.array(place, pa.int32()), _words_at(h, at, n)], ["item_id", "n", "fp", "place", "w"]
+                )
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, fp, w): the windows of each item; one of fewer words is one window, one without words has none."""
+    """(item_id, n, fp, place, w): the windows of each item with their kept K-gram; one of fewer words is one window, one without words has none."""
     return items.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).mapInArrow(_item_windows, _WINDOWS).distinct()
 
 
 def _candidates(bits, lengths: list[int]):
-    """Per document: its words and the windows whose fingerprint the benchmark may have."""
+    """Per document: its words and the fingerprints that the benchmark may have, with the words around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in text_chunks(batch.column(3)):
                 starts, ends, first = words_of(data, off, ALNUM_WORDS)
-                h, raw = word_hashes(data, starts, ends), None
-                where, sizes = [], []
-                for n, (at, fp) in [(WINDOW, window_prints(h, first)), *((n, short_prints(h, first, n)) for n in lengths)]:
-                    at = at[bits.value.has(fp)]
-                    where.append(at)
-                    sizes.append(np.full(len(at), n))
-                where, sizes = np.concatenate(where), np.concatenate(sizes)
+                h = word_hashes(data, starts, ends)
+                where, sizes, prints = [], [], []
+                for n, (at, fp) in [(WINDOW, kept_prints(h, first)), *((n, short_prints(h, first, n)) for n in lengths)]:
+                    on = bits.value.has(fp)
+                    where.append(at[on])
+                    prints.append(fp[on])
+                    sizes.append(np.full(on.sum(), n))
+                where, sizes, prints = (np.concatenate(x) for x in (where, sizes, prints))
                 order = np.argsort(where, kind="stable")
-                where, sizes = where[order], sizes[order]
-                if len(where):
-                    raw = data.tobytes()
-                keys = [_key(raw, starts, ends, p, n) for p, n in zip(where.tolist(), sizes.tolist(), strict=True)]
+                where, sizes, prints = where[order], sizes[order], prints[order]
                 cuts = np.searchsorted(where, first).astype(np.int32)
                 local = where - first[np.searchsorted(first, where, "right") - 1]
-                found = pa.StructArray.from_arrays([pa.array(local, pa.int32()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["at", "n", "w"])
+                found = pa.StructArray.from_arrays([pa.array(local, pa.int32()), pa.array(sizes, pa.int32()), pa.array(prints.view(np.int64)), _words_at(h, where - SIDE, 2 * SIDE + K)], ["at", "n", "fp", "around"])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), found)], ["rid", "doc_id", "text_hash", "n_words", "found"]
                 )
@@ -111,7 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z in lower case.  A word is hit if any
     occurrence of a benchmark window covers it.  Null or empty texts have no words and no hits; rows of one id are
     told apart by `rid`; items of one id count once; items with a null id hit but are not listed; an empty benchmark
-    hits nothing.  Other columns are not read.
+    hits nothing.  Words are compared by 64-bit hashes, all of a window's.  Other columns are not read.
     """
     spark = docs.sparkSession
     windows = materialise(benchmark_windows(items, item_id_col, item_text_col), "windows")
@@ -125,17 +138,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     rows = materialise(named.mapInArrow(_candidates(bits, lengths), _CANDIDATES.format(id=named.schema["doc_id"].dataType.simpleString())), "candidates")
 
-    keys = windows.select("w").distinct()
-    hits = rows.filter(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.at", (F.col("f.at") + F.col("f.n")).alias("end"), "f.w")
-    hits = hits.join(F.broadcast(keys) if size <= BROADCAST_WINDOWS else keys, "w", "left_semi")
+    # Hits by fingerprint, extended: the words around the document's K-gram hold the window where its K-gram stands in it.
+    keys = windows.select("n", "fp", "place", "w").distinct()
+    hits = rows.filter(F.size("found") > 0).select("rid", "n_words", F.explode("found").alias("f")).select("rid", "n_words", "f.*")
+    hits = hits.join(F.broadcast(keys) if size <= BROADCAST_WINDOWS else keys, ["n", "fp"])
+    same = F.substring("around", (SIDE - F.col("place")) * WORD_BYTES + 1, F.col("n") * WORD_BYTES) == F.col("w")
+    hits = hits.filter((F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.col("n") <= F.col("n_words")) & same)
+    hits = hits.select("rid", (F.col("at") - F.col("place")).alias("at"), (F.col("at") - F.col("place") + F.col("n")).alias("end"), F.md5("w").alias("w"))
     before = Window.partitionBy("rid").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(before), F.lit(0)))))
     by_doc = hits.groupBy("rid").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("w")).alias("ws"))
-    by_doc = materialise(by_doc.withColumn("set", F.md5(F.concat_ws("", F.transform("ws", F.hex)).cast("binary"))), "hits")
+    by_doc = materialise(by_doc.withColumn("set", F.md5(F.concat_ws("", "ws").cast("binary"))), "hits")
 
     # Documents with the same windows (copies of a passage) have the same items: those are looked up once a set.
     sets = by_doc.groupBy("set").agg(F.first("ws").alias("ws")).select("set", F.explode("ws").alias("w"))
-    listed = sets.join(windows.select("w", "item_id").distinct(), "w").groupBy("set").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    listed = sets.join(windows.select(F.md5("w").alias("w"), "item_id").distinct(), "w").groupBy("set").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     listed = listed.select("set", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids").cast("binary"), 256).alias("items_sha256"))
     found = by_doc.select("rid", "n_hit", "set").join(listed, "set", "left")
     zero, none = F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())
@@ -144,12 +161,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
-#: Keys (id and text hash) of contaminated documents are broadcast up to this number, else joined by shuffle.
-BROADCAST_KEYS = 500_000
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, whole, that no benchmark window touches; rows of one id and text share the decision."""
-    bad = materialise(contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("bad_hash")), "left_anti")
+    """The rows of `docs`, whole, that no benchmark window touches; rows of one id and text share the decision.
+
+    Rows with null or empty texts stay; column names of `docs` may be any.
+    """
+    bad = contamination(docs, items, id_col, text_col).filter("contaminated").select("doc_id", "text_hash").distinct()
+    return drop_rows(docs, materialise(bad, "contaminated"), id_col, text_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import BitSet, bucket_counts
-from .common import SPACE_WORDS, gram_hashes, materialise, mix64, text_chunks, word_hashes, words_of
+from .common import SPACE_WORDS, drop_rows, gram_hashes, materialise, mix64, text_chunks, word_hashes, words_of
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -33,8 +33,6 @@ SKETCH_LOG2, ACTIVE_LOG2 = 20, 24
 BITMAP_WORDS, MOST_WORDS, FANOUT, BLOCK = 32, 512, 8, 4096
 #: Classes remembered by one task, so that copies in it are not emitted again.
 SEEN = 200_000
-#: Keys of dropped documents are broadcast up to this number, else joined by shuffle.
-BROADCAST_KEYS = 500_000
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -389,6 +387,4 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(similar_documents(docs, id_col, text_col).filter("group_size > 1").select("doc_id", "text_hash", "component_id"), "similar")
     best = materialise(found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")), "similar-best")
     drop = found.join(best, found["component_id"].eqNullSafe(best["component_id"])).filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))))
-    drop = materialise(drop.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "similar-drop")
-    drop = F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop
-    return docs.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("bad_hash")), "left_anti")
+    return drop_rows(docs, materialise(drop.select("doc_id", "text_hash").distinct(), "similar-drop"), id_col, text_col)
