@@ -20,7 +20,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, hel
     With `most`, the labelled ids with the least hashes, as many as that.  Null labels are no labels; an id labelled
     twice has the larger label.
     """
-    ids = labels.select(F.col(id_col).alias("lid"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("lid").isNotNull() & (remainder(F.col("lid"), mod) != held))
+    ids = labels.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("lid").isNotNull() & (remainder(F.col("lid"), mod) != held))
     ids = ids.groupBy("lid").agg(F.max("y").alias("y"))
     if most:
         ids = ids.orderBy(F.xxhash64("lid"), "lid").limit(most)

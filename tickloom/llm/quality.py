@@ -118,11 +118,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], ["x", "y"])
 
-    rows = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
-    y = rows.column("y").to_numpy()
-    order = np.lexsort((*x[:, :8].T, y))  # the same model in whatever order the rows come
-    return fit_pairs(x[order].astype(np.float64), y[order])
+    sample = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int")
+    rows = sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).toArrow()  # an id may have any number of rows
+    both = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True))  # the same model in whatever order they come
+    x = np.frombuffer(b"".join(v for v, _ in both), np.float32).reshape(-1, FEATURES)
+    return fit_pairs(x.astype(np.float64), np.array([v for _, v in both], np.int64))
 
 
 def score_udf(docs: DataFrame, model):
@@ -139,8 +139,9 @@ def score_udf(docs: DataFrame, model):
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null and empty texts score alike; equal texts score alike; a null id is held out; without labels of both
-    classes every score is the same; other columns are not read.
+    Null and empty texts score alike; equal texts score alike; a null id is held out; an id with several labels has
+    the largest, and each row of an id counts; without labels of both classes every score is the same; other columns
+    are not read.
     """
     score = score_udf(docs, fit_quality(docs, labels, "quality", id_col, text_col))
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT).alias("held_out"), score(F.col(f"`{text_col}`")).alias("score"))
@@ -148,6 +149,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, whole, that are predicted good."""
+    """The rows of `docs`, whole, that are predicted good; rows of equal text share the decision, null text is empty."""
     score = score_udf(docs, fit_quality(docs, labels, "quality", id_col, text_col))
     return docs.filter(score(F.col(f"`{text_col}`")) >= CUT)

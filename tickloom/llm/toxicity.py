@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Document frequencies of hashed n-grams are counted by class over all labelled training rows, in a table of fixed
-size.  The n-grams with most evidence for the toxic class are the features; each is scaled by its log-count ratio, and a
-logistic regression on their presence is fitted on a bounded sample.
+size.  N-grams whose frequencies tell the classes apart, whichever they speak for, are the features: those that pass a
+significance level, so there are as many as the labels support (up to a bound that only broadcast size sets).  Each is
+scaled by its log-count ratio, and a logistic regression on their presence is fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from .labelled import labelled_texts, remainder
 from .quality import score_udf
 
 SIZES = (3, 4, 5, 6)
-LOG2 = 20
-#: Features kept, rows of the bounded sample on which the weights are fitted.
-FEATURES, MOST_LABELLED = 1024, 20_000
+LOG2 = 21
+#: Log-likelihood ratio from which a bucket is a feature (some hundred of 2**21 reach 8 by chance), features at most, and
+#: rows of the bounded sample on which the weights are fitted.
+EVIDENCE, FEATURES, MOST_LABELLED = 8.0, 1 << 16, 20_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
-RIDGE, STEPS, RATE, SMOOTH = 3e-3, 400, 0.5, 0.5
+RIDGE, STEPS, RATE, SMOOTH = 1e-3, 400, 0.5, 0.5
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -79,11 +81,11 @@ def log_count_ratios(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def evidence(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio statistic of each bucket that toxic texts hold more often; 0 for the others."""
-    both, share = toxic + clean, toxic.max() / (toxic.max() + clean.max())
+def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of each bucket against the same frequency in both classes; `share` of the rows are toxic."""
+    both = toxic + clean
     part = lambda k, e: k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9))
-    return np.where(toxic > both * share, part(toxic, both * share) + part(clean, both * (1 - share)), 0)
+    return part(toxic, both * share) + part(clean, both * (1 - share))
 
 
 def fit_presence(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, keep: np.ndarray) -> ToxicityModel:
@@ -114,15 +116,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
         found = [y[a + row] << LOG2 | at for a, _, row, at in present(batch.column(0))]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    counts = bucket_counts(labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col), positions, LOG2 + 1, top=1 << 31)
+    rows = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col)
+    n, toxic_rows = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if toxic_rows in (0, n):
+        return ToxicityModel(np.zeros(1 << LOG2, bool), np.zeros(1 << LOG2), 0.0 if not n else 30.0 if toxic_rows else -30.0)
+    counts = bucket_counts(rows, positions, LOG2 + 1, top=1 << 31)
     clean, toxic = counts[: 1 << LOG2].astype(float), counts[1 << LOG2 :].astype(float)
-    if not clean.any() or not toxic.any():
-        return ToxicityModel(np.zeros(1 << LOG2, bool), np.zeros(1 << LOG2), 0.0 if not clean.any() and not toxic.any() else 30.0 if toxic.any() else -30.0)
-    ratios = log_count_ratios(toxic, clean)
-    founded = evidence(toxic, clean)
-    keep = np.zeros(1 << LOG2, bool)
-    keep[np.argpartition(-founded, FEATURES)[:FEATURES]] = True
-    keep &= toxic + clean > 1
+    ratios, found = log_count_ratios(toxic, clean), evidence(toxic, clean, toxic_rows / n)
+    keep = found >= max(EVIDENCE, np.partition(found, -FEATURES)[-FEATURES])
     held = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,16 +132,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([at[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(1).slice(a, n)], ["x", "y"])
 
-    rows = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int").collect()
-    rows.sort()
+    sample = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int")
+    rows = sorted(sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).collect())  # an id may have any number of rows
     return fit_presence([np.frombuffer(r["x"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float), ratios, keep)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null and empty texts score alike; equal texts score alike; a null id counts as empty text for the folds;
-    without labels of both classes every score is the same; other columns are not read.
+    Null and empty texts score alike; equal texts score alike; a null id counts as empty text for the folds; an id with
+    several labels has the largest, and each row of an id counts; without labels of both classes every score is the
+    same; other columns are not read.
     """
     score = score_udf(docs, fit_toxicity(docs, labels, "toxic", id_col, text_col))
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (remainder(F.col(f"`{id_col}`"), FOLDS) == HELD_OUT).alias("held_out"), score(F.col(f"`{text_col}`")).alias("score"))
