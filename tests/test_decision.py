@@ -84,3 +84,25 @@ def test_throughput(spark, at):
     df = spark.createDataFrame([("A", at(k)) for k in range(10)], "symbol string, time timestamp")
     row = checks.throughput(checks.table_stats(df.limit(4)), checks.table_stats(df), 3.0, 500).first()
     assert tuple(row) == (2.0, 2.0 * 86400, 50.0)
+
+
+def test_pending_until_sent(spark):
+    df = spark.createDataFrame([("buy", "stop_loss", "market", 1.0, None, 10.0, 0.0, 0.0, 0.0, 0.0, 0, False, "BTC")], "side string, intent string, order_type string, size double, price double, mark double, position double, exposure double, equity double, daily_pnl double, open_orders int, kill_switch boolean, symbol string")
+    assert [decision.gate(df, sent=sent).first().status for sent in (False, True)] == ["pending", "open"]
+
+
+def test_latency_is_never_negative(spark, at):
+    row = spark.range(1).select(*[serving.latency(F.lit(at(0, s)), F.lit(at(0, 5))).alias(f"s{s}") for s in (3, 8)]).first()
+    assert tuple(row) == (0, 3000)
+
+
+def test_state_provider(spark, tmp_path, at):
+    from tickloom.sources.tables import closed_bars, create_tables, write_keyed
+
+    root = str(tmp_path)
+    create_tables(spark, root)
+    bars = spark.createDataFrame([("BTC", at(k), 1.0, 2.0, 0.5, float(k), 1.0, 1) for k in range(3)], "symbol string, time timestamp, open double, high double, low double, close double, volume double, trades int")
+    write_keyed(bars, root, "ohlcv_bars")
+    state = serving.StateProvider(spark, root).state(F.lit(at(3)))
+    assert [c["close"] for c in state["chart"]["candles"]] == [0.0, 1.0, 2.0] and state["metrics"]["openPnl"] == 0
+    assert closed_bars(bars, F.lit(at(2, 299))).count() == 2

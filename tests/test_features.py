@@ -121,3 +121,28 @@ def test_all_features_have_the_book_of_the_hour(spark):
         for c in O.BOOK_FEATURES:
             a, b = rows["features_all"][key][c], want[c]
             assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6)), (key, c)
+
+
+def test_numpy_pass_equals_windows(spark):
+    """Features of the one numpy pass are those of Spark's row windows, with gaps, flat stretches and zero volumes."""
+    from tickloom.functions.series import Series
+    from tickloom.plans.market import bars
+
+    df = bars(spark, "/root/testdata/sf0.001")
+    k = F.minute("time") + F.hour("time") * 60 + F.dayofmonth("time")
+    odd = df.withColumns({"volume": F.when(k % 7 == 0, 0.0).otherwise(F.col("volume")), "close": F.when(F.dayofmonth("time") == 9, F.col("open")).otherwise(F.col("close")), "trades": F.when(k % 5 != 0, F.col("trades"))}).persist()
+    s = Series()
+    windows = O.bands(O.microstructure(O.volumes(O.volatilities(O.returns(odd, s), s), s), s), s)
+    want = O.recursions(windows).join(O.cross_features(windows), ["symbol", "time"], "left").toPandas().sort_values(["symbol", "time"], ignore_index=True)
+    for chunk in (0, 200 * 3600):
+        got = O.series_features(odd, chunk).toPandas().sort_values(["symbol", "time"], ignore_index=True)
+        assert len(got) == len(want) and (got.time == want.time).all()
+        for n in (*O.FROM_BARS, *O.FROM_OTHER):
+            a, b = got[n].to_numpy(float), want[n].to_numpy(float)
+            assert np.allclose(a, b, rtol=1e-9, atol=1e-12, equal_nan=True), (n, chunk)
+
+
+def test_long_series_are_cut(spark, monkeypatch):
+    df = spark.range(1000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 300).alias("time"))
+    assert O.chunk_seconds_of(df) == 0 and O.chunk_seconds_of(df.limit(0)) == 0
+    assert 99 * 300 <= O.chunk_seconds_of(df, 100) <= 101 * 300

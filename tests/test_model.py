@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.operators import metrics, model
+from tickloom.operators import datasets, metrics, model
 
 
 def test_baseline_learns_and_saves(spark, tmp_path):
@@ -23,3 +23,23 @@ def test_window_scoring(spark, at):
     row = model.predictions(model.score_windows(df, lambda x: x[:, -1, :1] * np.array([[0.0, 0.0, 1.0]])), "v1").first()
     assert row.signal == 1 and row.prob_up > 0.8 and abs(row.prob_down + row.prob_flat + row.prob_up - 1) < 1e-12
     assert model.score_windows(df.filter(F.lit(False)), lambda x: x).count() == 0
+
+
+def test_walk_forward_and_refit(spark, at):
+    """A sign that the label follows is learnt in every fold, with normalisers of earlier bars only."""
+    rng = np.random.default_rng(0)
+    rows = [(s, at(k), float(v := rng.normal(5, 2)), 1.0, int(np.sign(v - 5))) for s in ("BTC", "ETH") for k in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, time timestamp, a double, b double, label int")
+    labels = df.select("symbol", "time", "label", F.col("time").alias("t1"), F.lit(1.0).alias("sample_weight"))
+    features = df.select("symbol", "time", "a", "b")
+    found = datasets.samples(features, labels, 3, ("a", "b"))
+    folds, fitted, stats = model.evaluate_and_refit(features, found, ("a", "b"), 3, 4, 5)
+    assert [f["fold"] for f in folds] == [1, 2, 3] and all(f["accuracy"] > 0.9 for f in folds)
+    assert stats["b"] == (1.0, 1.0) and abs(stats["a"][0] - 5) < 0.5 and fitted.numClasses == 3
+
+
+def test_latest_inference(spark, at):
+    rows = [(s, at(k), float(k), 0.01) for s, n in (("BTC", 5), ("ETH", 2), ("XRP", 4)) for k in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, time timestamp, a double, sigma_ewma double").withColumn("a", F.when((F.col("symbol") != "XRP") | (F.col("time") < at(3)), F.col("a")))
+    out = model.infer_latest(df, lambda x: np.stack([x[:, 0, 0], x[:, 1, 0], x[:, 2, 0]], 1), "v", 3, ("a",)).collect()
+    assert [(r.symbol, r.time, r.signal, r.sigma) for r in out] == [("BTC", at(4), 1, 0.01)]  # ETH is short, XRP has a gap

@@ -1,13 +1,16 @@
 """Decoding, keyed writes, history requests, streams and supervision."""
 
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
-from tickloom.sources import decode, history
+from tickloom.operators.features import compute_features
+from tickloom.sources import decode, history, tables
 from tickloom.sources.tables import create_tables, recent, resolve_root, scan, write_keyed
 from tickloom.streaming import ingest as S
-from tickloom.streaming.stateful import cusum_stream
+from tickloom.streaming.stateful import cusum_stream, incremental_features
 
 T0 = 1_700_000_000_000
 
@@ -35,6 +38,14 @@ def test_candles(spark):
     assert [(r.symbol, r.open, r.high, r.trades, r.vwap) for r in good] == [("BTC", 1.0, 2.0, 7, None), ("BTC", 1.0, 2.0, None, None)]
 
 
+def test_odd_numbers_never_fail(spark):
+    odd = [candle(n="x"), candle(n="NaN"), candle(n=1e300), candle(n="7.9"), candle(t=10**30), candle(t=-(10**17)), candle(t="x"), candle(n=[1]), json.dumps({"channel": "candle", "data": None}), json.dumps({"channel": "candle", "data": [1]}), "[]", "", None]
+    nulls = json.dumps({"channel": "candle", "data": {"t": T0, "s": "BTC", "o": None, "h": 2, "l": 1, "c": 1, "v": 1, "n": None}})
+    assert [(r.open, r.trades) for r in decode.candles(frame(spark, *odd, nulls)).collect()] == [(1.0, 7), (None, None)]
+    rows = frame(spark, json.dumps({"t": T0, "s": "ETH", "o": 1, "h": 2, "l": 1, "c": 1, "v": 1, "n": 3}), "{}")
+    assert [(r.symbol, r.trades) for r in decode.history_rows(rows).collect()] == [("ETH", 3)]
+
+
 def test_books_and_contexts(spark):
     rows = decode.books(frame(spark, book(), book(levels=[[]]), book(levels=[[{"px": "x", "sz": "1"}], []]), book(coin="X"), candle())).collect()
     assert [(r.bid_px, r.ask_sz) for r in rows] == [([10.0, 9.5], [1.0, 1.0])]
@@ -59,18 +70,67 @@ def test_keyed_writes(spark, tmp_path, at):
     assert tail.count() == 1 and books.count() == 0
 
 
+def test_writes_read_only_touched_partitions(spark, tmp_path, at, monkeypatch):
+    root = str(tmp_path)
+    create_tables(spark, root)
+    rows = spark.createDataFrame([(s, at(300 * k), 1.0) for s in ("BTC", "ETH") for k in range(4)], "symbol string, time timestamp, close double")
+    write_keyed(rows, root, "ohlcv_bars")
+    fresh = rows.filter("symbol = 'BTC'").limit(1).withColumn("date", F.to_date("time"))
+    plan = spark.read.parquet(f"{root}/ohlcv_bars").filter(tables.touched_partitions(fresh))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "PartitionFilters: []" not in text and len(plan.inputFiles()) >= 1 and plan.count() == 1
+    monkeypatch.setattr(tables, "MOST_PARTITIONS", 1)
+    write_keyed(rows.withColumn("close", F.lit(2.0)), root, "ohlcv_bars")
+    assert [r.close for r in scan(spark, root, "ohlcv_bars").collect()] == [2.0] * 8
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src, root = tmp_path / "in", str(tmp_path / "tables")
     src.mkdir()
     create_tables(spark, root)
     (src / "a.json").write_text("\n".join([candle(), candle(t=T0 + 300_000, c="9"), book(), context()]))
     (src / "b.json").write_text("\n".join([candle(c="7"), candle(s="ETH"), "broken"]))
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(src))
+    stream, counts = spark.readStream.option("maxFilesPerTrigger", 1).text(str(src)), S.Written()
     for _ in range(2):  # a second start finds nothing new
-        S.ingest(stream, root, str(tmp_path / "check"), trigger={"availableNow": True}).awaitTermination()
+        S.ingest(stream, root, str(tmp_path / "check"), trigger={"availableNow": True}, counts=counts).awaitTermination()
     rows = {(r.symbol, r.time.timestamp() * 1000 - T0): r.close for r in scan(spark, root, "ohlcv_bars").collect()}
     assert set(rows) == {("BTC", 0), ("BTC", 300_000), ("ETH", 0)} and rows["BTC", 300_000] == 9
     assert scan(spark, root, "orderbook_snapshots").count() == scan(spark, root, "funding_oi").count() == 1
+    assert counts.written == {"ohlcv_bars": 4, "orderbook_snapshots": 1, "funding_oi": 1} and not counts.dropped
+
+
+def test_bars_and_first_snapshots_of_streams(spark, tmp_path, at):
+    src = tmp_path / "in"
+    ticks = [("A", at(0, 1), 5.0, 1.0, 1), ("A", at(0, 9), 3.0, 1.0, 2), ("A", at(0, 299), 4.0, 2.0, 3), ("A", at(1), 9.0, 1.0, 4), ("A", at(1), 8.0, 1.0, 5), ("A", at(9), 1.0, 1.0, 6)]
+    schema = "symbol string, time timestamp, price double, size double, seq long"
+    for part in (ticks[:4], ticks[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    for name, df in (("bars_out", S.bars_of_ticks(stream)), ("first_out", S.first_snapshots(stream))):
+        df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    assert [tuple(r)[1:] for r in spark.table("bars_out").orderBy("time").collect()] == [(at(0), 5.0, 5.0, 3.0, 4.0, 4.0, 3), (at(1), 9.0, 9.0, 8.0, 8.0, 2.0, 2)]
+    assert sorted(r.time for r in spark.table("first_out").collect()) == sorted({t[1] for t in ticks})
+
+
+def test_incremental_features(spark, tmp_path, at):
+    """Features kept by micro-batches, one of which corrects a bar, are those of all bars at once."""
+    root, src, rng = str(tmp_path / "tables"), tmp_path / "in", random.Random(1)
+    create_tables(spark, root)
+    schema = "symbol string, time timestamp, open double, high double, low double, close double, volume double, trades int"
+    price = lambda: 100 * (1 + 0.1 * rng.random())
+    rows = {(s, k): (s, at(k), o := price(), max(o, c := price()) + 1, min(o, c) - 1, c, 10 + rng.random(), k) for s in ("BTC", "ETH") for k in range(80)}
+    fixed = {("BTC", 70): ("BTC", at(70), 100.0, 130.0, 90.0, 120.0, 5.0, 1)}
+    for part in ({k: v for k, v in rows.items() if k[1] < 75}, fixed | {k: v for k, v in rows.items() if k[1] >= 75}):
+        spark.createDataFrame(list(part.values()), schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        incremental_features(stream, root, str(tmp_path / "check"), warm_up=300).awaitTermination()
+    want = {(r.symbol, r.time): r for r in compute_features(spark.createDataFrame(list((rows | fixed).values()), schema)).collect()}
+    got = {(r.symbol, r.time): r for r in scan(spark, root, "bar_features").collect()}
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        for n in ("ret_1", "volume_z_60", "rsi_14", "sigma_ewma", "cross_corr_60"):
+            a, b = r[n], want[key][n]
+            assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9)), (key, n)
 
 
 def test_cusum_state_is_carried(spark, tmp_path, at):
@@ -95,7 +155,7 @@ def test_history(spark):
     assert got == [k * step for k in range(25)] and len(calls) == 3
     assert list(history.fetch(lambda *a: [], "BTC", "5m", 0, step)) == []
     df = history.read_history(spark, ["BTC", "ETH"], "5m", 0, 30 * step, bars=7)
-    assert df.count() == 60 and df.rdd.getNumPartitions() >= 1
+    assert df.count() == 60 and df.columns[-1] == "time"
     assert [(c.start, c.end) for c in history.chunks(["A"], "1m", 0, 150_000, 2)] == [(0, 120_000), (120_000, 150_000)]
 
 

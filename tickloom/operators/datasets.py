@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite, clip
-from ..functions.series import Series
-from ..schemas import BAR_MINUTES, CLIP_SIGMA, EMBARGO_BARS, FEATURE_NAMES, N_SPLITS, SEQ_LEN, VAL_FRACTION
+from ..functions.series import Series, latest
+from ..schemas import BAR_MINUTES, CLIP_SIGMA, EMBARGO_BARS, FEATURE_NAMES, N_SPLITS, SEQ_LEN, SYMBOLS, VAL_FRACTION
+from ..sources.tables import scan
 
 
 def labelled_events(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -35,6 +36,23 @@ def samples(features: DataFrame, labels: DataFrame, seq_len: int = SEQ_LEN, name
     return found.select("symbol", "e_idx", F.col("time").alias("t0"), F.coalesce("t1", "time").alias("t1"), (F.col("label") + 1).cast("int").alias("y"), F.coalesce("sample_weight", F.lit(1.0)).alias("w"), *(["x"] if windows else []))
 
 
+def stored_samples(spark: SparkSession, root: str, symbols: Sequence[str] = SYMBOLS, seq_len: int = SEQ_LEN, names: Sequence[str] = FEATURE_NAMES, windows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(features, samples) of the stored bar_features and labels."""
+    features, labels = scan(spark, root, "bar_features", symbols=symbols), scan(spark, root, "labels", symbols=symbols)
+    return features, samples(features, labels, seq_len, names, windows)
+
+
+def latest_windows(features: DataFrame, seq_len: int = SEQ_LEN, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
+    """(symbol, time, sigma, x) of each symbol's last `seq_len` rows; x is null where they are fewer or not all finite.
+
+    Rows are cut to the last ones before they are gathered, so a group holds `seq_len` rows at most.
+    """
+    rows = latest(features, n=seq_len).withColumn("_row", F.struct("time", F.array(*[F.col(n).cast("float") for n in names]).alias("v"), all_finite(names).alias("ok")))
+    last = rows.groupBy("symbol").agg(F.max("time").alias("time"), F.max_by("sigma_ewma", "time").alias("sigma") if "sigma_ewma" in features.columns else F.lit(None).cast("double").alias("sigma"), F.sort_array(F.collect_list("_row")).alias("r"))
+    whole = (F.size("r") == seq_len) & F.forall("r", lambda r: r["ok"])
+    return last.select("symbol", "time", "sigma", F.when(whole, F.transform("r", lambda r: r["v"])).alias("x"))
+
+
 def fold_edges(found: DataFrame, n_splits: int = N_SPLITS) -> DataFrame:
     """(fold, test_start, test_end): order statistics of t0 at equal steps, one row a fold.
 
@@ -88,9 +106,10 @@ def normalise(features: DataFrame, stats: dict[str, tuple[float, float]], bound:
 
 def final_split(found: DataFrame, val_frac: float = VAL_FRACTION, embargo_bars: int = EMBARGO_BARS, bar_minutes: int = BAR_MINUTES) -> DataFrame:
     """(… role): the last share by t0 is validation; training samples end before it by the embargo."""
-    total = found.count()
-    start = total - int(round(total * val_frac)) if total else 0
-    first = found.orderBy("t0", "symbol", "e_idx").offset(start).limit(1).select(F.col("t0").alias("val_start"))
+    w = Window.orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
+    times = found.groupBy("t0").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w))  # one row a time
+    start = times.agg((F.max("upto") - F.round(F.max("upto") * val_frac)).alias("start"))
+    first = times.join(F.broadcast(start), F.col("upto") > F.col("start")).agg(F.min("t0").alias("val_start"))
     gap = F.expr(f"make_dt_interval(0, 0, {int(embargo_bars * bar_minutes)}, 0)")
     met = found.join(F.broadcast(first), F.lit(True))
     role = F.when(F.col("t0") >= F.col("val_start"), "val").when(F.col("t1") < F.col("val_start") - gap, "train")

@@ -62,6 +62,18 @@ def exposure(positions: DataFrame) -> DataFrame:
     return positions.groupBy("account").agg(F.sum(F.when(F.col("mark") != 0, F.abs("position") * F.col("mark")).otherwise(0.0)).alias("exposure"))
 
 
+def risk_state(orders: DataFrame, positions: DataFrame, marks: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Orders (account, symbol, …) with what the risk rules need: mark, position, exposure and the account's equity, daily_pnl, open_orders, kill_switch.
+
+    `positions` are (account, symbol, position), `marks` (symbol, mark), `accounts` a row an account.  A symbol without
+    a price adds nothing to the exposure.
+    """
+    held = positions.join(marks, "symbol", "left").select("account", "symbol", "position", "mark")
+    state = accounts.join(exposure(held), "account", "left").na.fill(0.0, ["exposure"])
+    met = orders.join(positions.select("account", "symbol", "position"), ["account", "symbol"], "left").join(marks.select("symbol", "mark"), "symbol", "left")
+    return met.join(state, "account").na.fill(0.0, ["position"])
+
+
 def risk_reason(limits: dict | None = None) -> Column:
     """The first rule an order breaks, or null; needs side, intent, order_type, size, price, mark, position, exposure, equity, daily_pnl, open_orders, kill_switch.
 
@@ -100,11 +112,11 @@ def risk_reason(limits: dict | None = None) -> Column:
     return F.coalesce(*[F.when(F.coalesce(on, F.lit(False)), why) for on, why in rules])
 
 
-def gate(orders: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Orders with risk_passed, reason and the status they are recorded with; nothing is sent anywhere."""
+def gate(orders: DataFrame, limits: dict | None = None, sent: bool = True) -> DataFrame:
+    """Orders with risk_passed, reason and the status they are recorded with: open, or pending before they are `sent`, or rejected."""
     why = risk_reason(limits)
     ok = F.when(F.col("intent") == "entry", "ok").otherwise("ok (exit allowed)")
-    return orders.withColumn("reason", F.coalesce(why, ok)).withColumn("risk_passed", F.col("reason").startswith("ok")).withColumn("status", F.when(F.col("risk_passed"), "open").otherwise("rejected"))
+    return orders.withColumn("reason", F.coalesce(why, ok)).withColumn("risk_passed", F.col("reason").startswith("ok")).withColumn("status", F.when(F.col("risk_passed"), "open" if sent else "pending").otherwise("rejected"))
 
 
 def wire_order(tif: str = "Alo") -> Column:

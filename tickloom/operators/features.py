@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bar_series import FROM_BARS, FROM_FUNDING, FROM_OTHER, bar_arrays, funding_arrays, other_arrays
 from ..functions.exprs import day_cycle, fdiv, finite_or_null, flog
 from ..functions.recursive import HALO, RECURSIVE, recursive_features
 from ..functions.series import Series, with_halo
@@ -84,19 +88,56 @@ def recursions(df: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return df.join(found.select(*by, "time", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE]), [*by, "time"], "left")
 
 
-def bar_features(bars: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
-    """Everything that bars alone give.
+#: Bars of one chunk of a long series, and numbers a bar has on its way to the kernel.
+ROWS_A_CHUNK = 50_000
+BAR, OTHER = 0, 1
+_NUMBERS = ("open", "high", "low", "close", "volume", "trades", "_rate", "_interest")
 
-    With `chunk_seconds`, each series is cut into time chunks with a halo longer than any look-back, so groups are
-    bounded and long series are spread over tasks; without, each symbol is one group.
+
+def chunk_seconds_of(bars: DataFrame, rows: int = ROWS_A_CHUNK) -> int:
+    """Seconds of chunks that hold about `rows` bars of the longest series; 0 where no series is longer."""
+    each = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.unix_seconds(F.max("time")) - F.unix_seconds(F.min("time")) + 1).alias("span"))
+    most = each.agg(F.max(F.struct("n", "span")).alias("m")).select("m.*").first()
+    return 0 if not most["n"] or most["n"] <= rows else max(1, int(most["span"] * rows / most["n"]))
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def series_features(bars: DataFrame, chunk_seconds: int | None = None, funding: bool = False) -> DataFrame:
+    """(symbol, time, features) that bars give: their own, those of the funding known at each (columns _rate and
+    _interest), and those against the first other symbol.
+
+    Each series is one group of one numpy pass, with the other symbol's bars beside it.  Series of more than
+    ROWS_A_CHUNK bars are cut into time chunks with a halo longer than any look-back, so no task holds a whole one;
+    `chunk_seconds` sets the chunks, 0 for none.  Values that are missing or not numbers come back as null.
     """
-    by = ("symbol",)
+    chunk_seconds = chunk_seconds_of(bars) if chunk_seconds is None else chunk_seconds
+    missing = [F.lit(None).cast("double").alias(c) for c in ("_rate", "_interest")]
+    own = bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in _NUMBERS[:6]], *(_NUMBERS[6:] if funding else missing), F.lit(BAR).alias("_kind"))
+    beside = other_symbols(bars).withColumnsRenamed({"symbol": "_mine", "other": "symbol"})
+    others = bars.select("symbol", "time", F.col("close").cast("double").alias("close")).join(beside, "symbol").select(F.col("_mine").alias("symbol"), "time", "close", F.lit(OTHER).alias("_kind"))
+    rows, by = own.unionByName(others, allowMissingColumns=True), ["symbol"]
     if chunk_seconds:
-        bars, by = with_halo(bars, chunk_seconds, HALO), ("symbol", "chunk")
-    s = Series(by)
-    df = bands(microstructure(volumes(volatilities(returns(bars, s), s), s), s), s)
-    df = recursions(df.withColumns(day_cycle()), by)
-    return df.filter("own").drop("own", "chunk") if chunk_seconds else df
+        rows, by = with_halo(rows, chunk_seconds, 2 * HALO), ["symbol", "chunk"]
+    else:
+        rows = rows.withColumn("own", F.lit(True))
+    names = (*FROM_BARS, *(FROM_FUNDING if funding else ()), *FROM_OTHER)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("time")
+        bar = group.filter(pc.equal(group.column("_kind"), BAR))
+        other = group.filter(pc.equal(group.column("_kind"), OTHER))
+        time, other_time = (t.column("time").to_numpy() for t in (bar, other))
+        found = bar_arrays(*(_numbers(bar, c) for c in _NUMBERS[:6])) | other_arrays(time, _numbers(bar, "close"), other_time, _numbers(other, "close"))
+        if funding:
+            found |= funding_arrays(*(_numbers(bar, c) for c in _NUMBERS[6:]))
+        own = pa.table({"symbol": bar.column("symbol"), "time": bar.column("time")} | {n: pa.array(found[n], pa.float64(), from_pandas=True) for n in names})
+        return own.filter(bar.column("own"))
+
+    return rows.groupBy(*by).applyInArrow(run, ", ".join([f"symbol {kinds['symbol']}", f"time {kinds['time']}", *(f"{n} double" for n in names)]))
 
 
 def book_states(book: DataFrame, bar: str = "5 minutes", seconds: int = 300) -> DataFrame:
@@ -166,12 +207,16 @@ def cross_features(rets: DataFrame) -> DataFrame:
     return df.withColumns({"cross_corr_60": s.corr("_x", "_y", 60), "cross_beta_60": beta, "cross_ret_spread": F.col("_x") - F.col("_y")}).select("symbol", "time", *CROSS_FEATURES)
 
 
-def compute_features(bars: DataFrame, book: DataFrame | None = None, funding: DataFrame | None = None, chunk_seconds: int | None = None, finite: bool = False, bar: str = "5 minutes", seconds: int = 300) -> DataFrame:
+def compute_features(bars: DataFrame, book: DataFrame | None = None, funding: DataFrame | None = None, chunk_seconds: int | None = None, finite: bool = False, bar: str = "5 minutes", seconds: int = 300, funding_tie: tuple[str, ...] = ()) -> DataFrame:
     """[symbol, time, 58 features] for all symbols in one plan.
 
-    `bar` and `seconds` are the length of the bars, into which book snapshots fall.  Missing inputs give null columns.  With `finite`, NaN and infinities become null at the end.
+    Of funding rows of one time the last by `funding_tie` counts.  `bar` and `seconds` are the length of the bars, into which book snapshots fall.  Missing inputs give null columns.  With `finite`, infinities become null too.
     """
-    df = bar_features(bars, chunk_seconds)
-    for part, names in ((book and book_features(book, bar, seconds), BOOK_FEATURES), (funding and funding_features(bars, funding), FUNDING_FEATURES), (cross_features(df.select("symbol", "time", "ret_1")), CROSS_FEATURES)):
-        df = df.join(part, ["symbol", "time"], "left") if part is not None else df.withColumns({n: F.lit(None).cast("double") for n in names})
+    if funding is not None:
+        known = funding.select("symbol", "time", *funding_tie, F.col("funding_rate").alias("_rate"), F.col("open_interest").alias("_interest"))
+        bars = asof_join(bars, known, ["_rate", "_interest"], tie=funding_tie)
+    df = series_features(bars, chunk_seconds, funding is not None).withColumns(day_cycle())
+    if book is not None:
+        df = df.join(book_features(book, bar, seconds), ["symbol", "time"], "left")
+    df = df.withColumns({n: F.lit(None).cast("double") for n in FEATURE_NAMES if n not in df.columns})
     return df.select("symbol", "time", *[finite_or_null(n).alias(n) if finite else F.col(n) for n in FEATURE_NAMES])

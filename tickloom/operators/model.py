@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import argmax, softmax
-from .metrics import class_weights
+from ..schemas import BAR_MINUTES, EMBARGO_BARS, FEATURE_NAMES, N_SPLITS, SEQ_LEN, VAL_FRACTION
+from .datasets import final_split, fold_cutoffs, latest_windows, normalise, normaliser, walk_forward
+from .metrics import class_weights, scores
 
 
 def train_baseline(train: DataFrame, n_classes: int = 3, max_iter: int = 50):
@@ -37,6 +39,36 @@ def save_artifacts(folder: str, model, stats: dict[str, tuple[float, float]], co
     Path(folder, "metadata.json").write_text(text, encoding="utf-8")
 
 
+def _fitted(features: DataFrame, part: DataFrame, names: Sequence[str], cutoff, train_role: str) -> tuple:
+    """(model, normaliser, scored other rows) of one split (symbol, t0, y, w, role); features of a sample are those of its bar."""
+    stats = {r["name"]: (r["mean"], r["std"]) for r in normaliser(features, cutoff, names).collect()}  # a row a feature
+    x = normalise(features.select("symbol", F.col("time").alias("t0"), *names), stats).select("symbol", "t0", F.array(*names).alias("x"))
+    rows = part.join(x, ["symbol", "t0"])
+    model = train_baseline(rows.filter(F.col("role") == train_role))
+    return model, stats, predict_baseline(model, rows.filter(F.col("role") != train_role))
+
+
+def evaluate_and_refit(features: DataFrame, found: DataFrame, names: Sequence[str], n_splits: int = N_SPLITS, embargo_bars: int = EMBARGO_BARS, bar_minutes: int = BAR_MINUTES, val_frac: float = VAL_FRACTION) -> tuple[list[dict], object, dict]:
+    """(metrics of each fold, final model, its normaliser): a purged walk-forward evaluation, then a fit on all but the last share.
+
+    `found` are samples of `features`.  Each fold has its own normaliser, fitted on the bars before its cut-off.
+    """
+    split, out = walk_forward(found, n_splits, embargo_bars, bar_minutes).persist(), []
+    try:
+        cutoffs = fold_cutoffs(split, embargo_bars, bar_minutes).orderBy("fold").collect()  # a row a fold
+        for c in cutoffs:
+            cutoff = features.sparkSession.createDataFrame([c], "fold int, cutoff timestamp")
+            _, _, scored = _fitted(features, split.filter(F.col("fold") == c["fold"]), names, cutoff, "train")
+            out.append({"fold": c["fold"]} | scores(scored).select("accuracy", "macro_f1").first().asDict())
+    finally:
+        split.unpersist()
+    last = final_split(found, val_frac, embargo_bars, bar_minutes)
+    gap = F.expr(f"make_dt_interval(0, 0, {int(embargo_bars * bar_minutes)}, 0)")
+    cutoff = last.filter("role = 'val'").agg((F.min("t0") - gap).alias("cutoff")).select(F.lit(0).alias("fold"), "cutoff")
+    model, stats, _ = _fitted(features, last, names, cutoff, "train")
+    return out, model, stats
+
+
 @cache
 def onnx_session(path: str):
     """An ONNX Runtime session, once per Python worker."""
@@ -69,6 +101,11 @@ def score_windows(df: DataFrame, logits: Callable[[np.ndarray], np.ndarray], x:
     return rows.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keep), "logits array<double>"]))
 
 
+def infer_latest(features: DataFrame, logits: Callable[[np.ndarray], np.ndarray], version: str, seq_len: int = SEQ_LEN, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
+    """model_predictions rows of the latest bar of each symbol; none for a symbol whose last window is short or not finite."""
+    return predictions(score_windows(latest_windows(features, seq_len, names).filter("x is not null"), logits), version)
+
+
 def predictions(scored: DataFrame, version: str) -> DataFrame:
     """model_predictions rows: softmax of the logits; the stored signal is the likeliest class."""
     df = scored.withColumn("p", softmax(F.col("logits")))

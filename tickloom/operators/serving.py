@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import scale_to_horizon
 from ..functions.series import latest
 from ..schemas import BAR_SECONDS, HORIZON, LIVE_FEATURES, PROB_THRESHOLD, SYMBOLS
+from ..sources.tables import scan
 
 #: Seconds after which a table counts as stale (fixed values).
 STALE_AFTER = {"ohlcv_bars": 420, "orderbook_snapshots": 60, "funding_oi": 180}
@@ -48,6 +52,11 @@ def bars_held(entry: Column, now: Column, seconds: int = BAR_SECONDS) -> Column:
     return F.coalesce(F.greatest(F.floor((F.unix_micros(now) - F.unix_micros(entry)) / F.lit(seconds * 1e6)), F.lit(0)), F.lit(0)).cast("int")
 
 
+def latency(now: Column, stamp: Column) -> Column:
+    """Milliseconds since a snapshot's stamp, never below 0."""
+    return F.greatest(F.floor((F.unix_micros(now) - F.unix_micros(stamp)) / F.lit(1000)), F.lit(0)).cast("long")
+
+
 def sigma_view(per_bar: Column, horizon: int = HORIZON) -> Column:
     return F.struct(per_bar.alias("perBar"), F.lit(horizon).alias("horizon"), scale_to_horizon(per_bar, horizon).alias("scaled"))
 
@@ -92,3 +101,17 @@ def snapshot(predictions: DataFrame, bars: DataFrame, orders: DataFrame, feature
         F.struct(F.lit(symbol).alias("symbol"), "candles", "barriers").alias("chart"), "prediction", F.lit(PROB_THRESHOLD).alias("probThreshold"), "features", "positions",
     )
     return one.select(F.to_json(doc, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "ignoreNullFields": "false"}).alias("state"))
+
+
+@dataclass
+class StateProvider:
+    """The dashboard's state from stored tables: a new snapshot for each call."""
+
+    spark: SparkSession
+    root: str
+    symbol: str = SYMBOLS[0]
+
+    def state(self, now: Column | None = None) -> dict:
+        get = lambda table: scan(self.spark, self.root, table)
+        rows = snapshot(get("model_predictions"), get("ohlcv_bars"), get("orders"), get("bar_features"), get("positions"), F.current_timestamp() if now is None else now, self.symbol)
+        return json.loads(rows.first()["state"])

@@ -11,8 +11,9 @@ from ..functions import exprs as X
 from ..functions.series import Series, latest
 from ..operators import checks, datasets, decision, features, labels, metrics, serving
 from ..operators.asof import asof_join
+from ..schemas import FEATURE_NAMES
 from ..sources import decode
-from ..sources.tables import last_by_key
+from ..sources.tables import last_by_key, number_orders
 
 HOUR = 3600
 NOW = "2024-01-31 00:00:00"
@@ -47,8 +48,8 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ninth tick as a funding row of its symbol."""
-    return ticks(spark, sf_dir).filter("seq % 9 = 0").select("symbol", "time", (F.col("size").cast("double") / 1e4).alias("funding_rate"), (F.col("price") * 1000).alias("open_interest"), "seq")
+    """Every tick as a funding row of its symbol."""
+    return ticks(spark, sf_dir).select("symbol", "time", (F.col("size").cast("double") / 1e4).alias("funding_rate"), (F.col("price") * 1000).alias("open_interest"), "seq")
 
 
 def _round(df: DataFrame, names: Iterable[str], scale: dict[str, float] | None = None, digits: int = 6) -> list[Column]:
@@ -115,7 +116,8 @@ def q_adx(spark, sf):
 
 def q_features(spark, sf):
     """All 58 features of the hourly bars."""
-    return features.compute_features(bars(spark, sf), book(spark, sf).withColumn("time", F.col("time")), funding(spark, sf).drop("seq"), finite=True, bar="1 hour", seconds=HOUR)
+    df = features.compute_features(bars(spark, sf), book(spark, sf), funding(spark, sf), bar="1 hour", seconds=HOUR, funding_tie=("seq",))
+    return df.select("symbol", "time", *_round(df, FEATURE_NAMES, SCALE))
 
 
 def _labelled(spark, sf, horizon=12):
@@ -129,9 +131,9 @@ def q_cusum(spark, sf):
 
 
 def q_barriers(spark, sf):
-    """Barriers of every tenth bar, at a fixed volatility."""
+    """Barriers of every bar, at a fixed volatility."""
     df = labels.labelled_bars(bars(spark, sf)).withColumn("sigma", F.lit(0.02))
-    out = labels.average_uniqueness(df, labels.triple_barrier(df, df.filter("idx % 10 = 0").select("symbol", "idx"), 1.3, 0.7, 12))
+    out = labels.average_uniqueness(df, labels.triple_barrier(df, df.select("symbol", "idx"), 1.3, 0.7, 12))
     return out.select("symbol", "time", "label", "touch_barrier", "t1", "touch_time", *_round(out, ("ret", "pt_level", "sl_level", "sample_weight")))
 
 
@@ -141,10 +143,10 @@ def q_labels(spark, sf):
 
 
 def _toy(spark, sf):
-    """Samples for the dataset operators: three features of the bars and labels of every fifth bar."""
+    """Samples for the dataset operators: three features of the bars and labels of every bar."""
     df = features.volumes(features.returns(bars(spark, sf), Series()), Series()).select("symbol", "time", "ret_1", "ret_co", "volume_ratio_5_30")
     marks = labels.labelled_bars(bars(spark, sf)).withColumn("sigma", F.lit(0.02))
-    made = labels.triple_barrier(marks, marks.filter("idx % 5 = 0").select("symbol", "idx"), 1.0, 1.0, 12)
+    made = labels.triple_barrier(marks, marks.select("symbol", "idx"), 1.0, 1.0, 12)
     return df, made.withColumn("sample_weight", F.lit(1.0))
 
 
@@ -308,10 +310,11 @@ def q_table_stats(spark, sf):
 
 
 def q_softmax(spark, sf):
-    """Probabilities and likeliest class of the first three numbers of each vector."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("z"))
+    """Probabilities (all, and those of the first three) and likeliest class of each vector."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     p = X.softmax(F.col("z"))
-    return e.select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"), F.round(p[2], 6).alias("p2"), X.argmax(F.col("z")).alias("best"))
+    out = e.select("vec_id", p.alias("p"), X.argmax(F.col("z")).alias("best"))
+    return out.select("vec_id", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)], F.round(F.array_max("p"), 6).alias("most"), "best")
 
 
 def q_positions(spark, sf):
@@ -322,6 +325,35 @@ def q_positions(spark, sf):
     return out.select("symbol", "side", "sl_level", "entry_time", "bars_held", F.round("held_share", 6).alias("held_share"))
 
 
+def q_latest_windows(spark, sf):
+    """The last 40 bars' windows of three features, as their length and the last return."""
+    df = features.volumes(features.returns(bars(spark, sf), Series()), Series()).select("symbol", "time", *TOY)
+    out = datasets.latest_windows(df, 40, TOY)
+    return out.select("symbol", "time", F.coalesce(F.size("x"), F.lit(0)).alias("n"), F.round(F.col("x")[39][0].cast("double"), 5).alias("last_ret"))
+
+
+def q_labelled_events(spark, sf):
+    df, made = _toy(spark, sf)
+    return datasets.labelled_events(df, made)
+
+
+def q_numbered(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("time"), F.col("o_orderpriority").alias("symbol"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("intent"))
+    return number_orders(o, 1000)
+
+
+def q_risk_state(spark, sf):
+    """Suppliers' orders with the exposure of their nation, whose positions are its customers' balances by segment."""
+    c = table(spark, sf, "customer")
+    held = c.groupBy(F.col("c_nationkey").alias("account"), F.col("c_mktsegment").alias("symbol")).agg((F.sum(F.col("c_acctbal").cast("double")) / 1000).alias("position"))
+    marks = c.select(F.col("c_mktsegment").alias("symbol")).distinct().filter("symbol <> 'BUILDING'").withColumn("mark", F.length("symbol").cast("double"))
+    accounts = table(spark, sf, "nation").select(F.col("n_nationkey").alias("account"), (F.col("n_nationkey") * 1000.0).alias("equity"), F.lit(0.0).alias("daily_pnl"), F.col("n_regionkey").alias("open_orders"), (F.col("n_nationkey") == 3).alias("kill_switch"))
+    names = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE")])
+    orders = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("account"), F.get(names, (F.col("s_suppkey") % 6).cast("int")).alias("symbol"))
+    out = decision.risk_state(orders, held, marks, accounts)
+    return out.select("key", "account", "symbol", "mark", "equity", "open_orders", "kill_switch", *_round(out, ("position", "exposure"), digits=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bars": q_bars,
     "features_returns": _bar_query(RETURNS, features.returns),
@@ -334,5 +366,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "samples": q_samples, "walk_forward": q_folds, "normaliser": q_normaliser, "normalised": q_normalised,
     "class_weights": q_class_weights, "confusion": q_confusion, "classification_scores": q_scores, "weighted_cross_entropy": q_cross_entropy, "softmax_argmax": q_softmax,
     "order_plans": q_plans, "risk_gate": q_risk_gate, "latest_per_key": q_latest, "top_latest": q_top, "candles": q_candles, "monitoring": q_monitoring, "positions": q_positions,
-    "last_by_key": q_last_by_key, "bars_held": q_held, "decode_candles": q_decode, "decode_numbers": q_props, "filled_rates": q_filled_rates, "validation": q_validate, "table_stats": q_table_stats,
+    "last_by_key": q_last_by_key, "bars_held": q_held, "decode_candles": q_decode, "decode_numbers": q_props, "latest_windows": q_latest_windows, "labelled_events": q_labelled_events, "numbered_orders": q_numbered, "risk_state": q_risk_state, "filled_rates": q_filled_rates, "validation": q_validate, "table_stats": q_table_stats,
 }

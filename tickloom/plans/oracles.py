@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..schemas import FEATURE_CATEGORIES
+
 TICKS = "t as (select event_type symbol, ts as time, 100 + value price, cast(value as decimal(18,2)) size, event_id seq from events)"
 BARS = f"""{TICKS},
     b as (select symbol, time_bucket(interval '1 hour', time) as time, first(price order by time, seq) open, max(price) high, min(price) low,
@@ -59,8 +61,9 @@ TEMPORAL = f"""with {BARS} select symbol, time, {out({'hour_sin': 'sin(2 * pi()
 ASOF = """with v as (select event_id, user_id, ts as time from events where event_type = 'view'), c as (select user_id, ts as time, value click_value, event_id click_id from events where event_type = 'click')
 select v.event_id, v.user_id, v.time, c.click_value, c.click_id from v asof left join c on v.user_id = c.user_id and v.time >= c.time"""
 
-FUNDING = f"""with {BARS}, f as (select symbol, time, cast(size as double) / 1e4 funding_rate, price * 1000 open_interest from t where seq % 9 = 0),
-    j as (select b.symbol, b.time, f.funding_rate, f.open_interest from b asof left join f on b.symbol = f.symbol and b.time >= f.time), k as (select *, {LAG('open_interest')} as was from j)
+FUNDING = f"""with {BARS}, f as (select symbol, time, cast(size as double) / 1e4 funding_rate, price * 1000 open_interest, seq from t),
+    last as (select * from f qualify row_number() over (partition by symbol, time order by seq desc) = 1),
+    j as (select b.symbol, b.time, f.funding_rate, f.open_interest from b asof left join last f on b.symbol = f.symbol and b.time >= f.time), k as (select *, {LAG('open_interest')} as was from j)
 select symbol, time, {out({'funding_rate': 'funding_rate', 'funding_z_60': z('funding_rate', 60), 'oi_log': 'ln(1 + open_interest)', 'oi_change': 'ln(open_interest / was)'}, 6, {'funding_rate': 1e4})} from k"""
 
 _SZ = lambda side, i: f"coalesce({side}_sz[{i + 1}], 0)"
@@ -102,6 +105,28 @@ select symbol, time, {out({
     'rsi_14': 'case when idx >= 14 then case when d = 0 then case when u > 0 then 100.0 else 50.0 end else 100 - 100 / (1 + u / d) end end',
     'macd_line': 'e12 - e26', 'macd_signal': 'sg', 'macd_hist': 'e12 - e26 - sg', 'atr_14': 'case when idx >= 13 then a / close end'})} from s"""
 
+ADX = f"""with recursive {BARS},
+    p as (select symbol, time, idx, high - lag(high) over w u, lag(low) over w - low d from bi window w as (partition by symbol order by idx)),
+    q as (select symbol, time, idx, case when u > d and u > 0 then u else 0.0 end plus, case when d > u and d > 0 then d else 0.0 end minus from p),
+    s as (select symbol, time, idx, 0.0::double p, 0.0::double m, 0.0::double a from q where idx = 0
+          union all
+          select symbol, time, idx, p, m, case when idx < 14 then 0.0 when idx < 27 then a + dx when idx = 27 then (a + dx) / 14 else (a * 13 + dx) / 14 end
+          from (select *, case when p + m = 0 then 0.0 else 100 * abs(p - m) / (p + m) end dx
+                from (select n.symbol, n.time, n.idx, {_RMA('p', 'n.plus', 14)} p, {_RMA('m', 'n.minus', 14)} m, s.a from s join q n on n.symbol = s.symbol and n.idx = s.idx + 1)))
+select symbol, time, {out({'adx_14': 'case when idx >= 27 then a end'})} from s"""
+
+#: The parts of features_all that have a row for each bar, and those that may not.
+_WHOLE = (RETURNS, VOLATILITY, VOLUME, MICRO, BANDS, TEMPORAL, RECURSIVE, ADX, FUNDING)
+ALL = "select * from " + " join ".join(f"({q}) as part{k}" if not k else f"({q}) as part{k} using (symbol, time)" for k, q in enumerate(_WHOLE)) + f" left join ({BOOK}) as book using (symbol, time) left join ({CROSS}) as cross_ using (symbol, time)"
+
+
+def _filled(category: str, query: str) -> str:
+    cells = f"(select count(*) from (unpivot (select * exclude (symbol, time) from ({query})) on columns(*) into name k value v))"
+    return f"select '{category}' as category, round({cells}::double / (select count(*) * {len(FEATURE_CATEGORIES[category]) - (category == 'volatility')} from ({query})), 6) rate"
+
+
+FILLED = " union all ".join(_filled(c, q) for c, q in (("price_return", RETURNS), ("volatility", VOLATILITY), ("volume", VOLUME)))
+
 LOGRET = f"{BARS}, lr as (select *, ln(close / lag(close) over (partition by symbol order by idx)) r from bi)"
 CUSUM = f"""with recursive {LOGRET},
     s as (select symbol, idx, 0.0::double up, 0.0::double dn, false fired from lr where idx = 0
@@ -112,23 +137,23 @@ CUSUM = f"""with recursive {LOGRET},
 select symbol, idx from s where fired"""
 
 
-def barrier_sql(every: int, pt: float, sl: float, horizon: int) -> str:
-    """CTEs ending in `lab`: labels of every so many bars at volatility 0.02."""
+def barrier_sql(pt: float, sl: float, horizon: int) -> str:
+    """CTEs ending in `lab`: labels of every bar at volatility 0.02."""
     return f"""{BARS}, z as (select symbol, max(idx) n from bi group by symbol),
-    e as (select bi.symbol, idx, time, close c0, close * exp({pt} * 0.02 * sqrt({horizon})) pt_level, close * exp(-{sl} * 0.02 * sqrt({horizon})) sl_level from bi join z on bi.symbol = z.symbol where idx % {every} = 0 and idx + {horizon} <= n),
+    e as (select bi.symbol, idx, time, close c0, close * exp({pt} * 0.02 * sqrt({horizon})) pt_level, close * exp(-{sl} * 0.02 * sqrt({horizon})) sl_level from bi join z on bi.symbol = z.symbol where idx + {horizon} <= n),
     h as (select e.symbol, e.idx, min(case when y.low <= sl_level or y.high >= pt_level then y.idx end) hit, max(y.idx) last from e join bi y on y.symbol = e.symbol and y.idx between e.idx + 1 and e.idx + {horizon} group by 1, 2),
     lab as (select e.*, coalesce(hit, last) touch_idx, k.time touch_time, f.time t1, case when hit is null then 0 when k.low <= sl_level then -1 else 1 end::smallint label, ln(f.close / c0) drift
             from e join h using (symbol, idx) join bi k on k.symbol = e.symbol and k.idx = coalesce(hit, last) join bi f on f.symbol = e.symbol and f.idx = last)"""
 
 
-BARRIERS = f"""with {barrier_sql(10, 1.3, 0.7, 12)},
+BARRIERS = f"""with {barrier_sql(1.3, 0.7, 12)},
     open as (select y.symbol, y.idx, count(l.idx) c from bi y left join lab l on l.symbol = y.symbol and y.idx between l.idx and l.touch_idx group by 1, 2),
     w as (select l.symbol, l.idx, avg(1.0::double / c) sample_weight from lab l join open o on o.symbol = l.symbol and o.idx between l.idx and l.touch_idx group by 1, 2)
 select l.symbol, l.time, label, case label when 1 then 'pt' when -1 then 'sl' else 'vertical' end touch_barrier, t1, touch_time,
        {out({'ret': 'case label when 1 then 1.3 * 0.02 * sqrt(12) when -1 then -0.7 * 0.02 * sqrt(12) else drift end', 'pt_level': 'pt_level', 'sl_level': 'sl_level', 'sample_weight': 'least(sample_weight, 1.0)'})}
 from lab l join w using (symbol, idx)"""
 
-TOY = f"""{barrier_sql(5, 1.0, 1.0, 12)},
+TOY = f"""{barrier_sql(1.0, 1.0, 12)},
     f as (select symbol, time, idx, ln(close / {LAG('close')}) ret_1, ln(close / open) ret_co, {full('avg', 'volume', 5)} / {full('avg', 'volume', 30)} volume_ratio_5_30 from bi),
     ok as (select *, coalesce(isfinite(ret_1) and isfinite(ret_co) and isfinite(volume_ratio_5_30), false) fin from f),
     win as (select *, sum(fin::integer) over {_w(40)} n from ok),
@@ -156,8 +181,8 @@ SCORES = """with m as (select k::integer y, (select count(*) from labels where q
 select y, round(pr, 6)::double as precision, round(re, 6)::double recall, round(f, 6)::double f1, round((select avg((quality = toxic)::integer) from labels), 6) accuracy, round((select sum(f) / 3 from s), 6) macro_f1 from s"""
 CROSS_ENTROPY = f"""with {CW}, d as (select quality y, (doc_id % 5 + 1)::double w, case quality when 0 then 0.2 when 1 then 0.5 + toxic * 0.1 else 0.3 - toxic * 0.1 end p from labels)
 select round(sum(-ln(p) * ((select sum(n) from cw) / (3 * cw.n)) * w) / greatest(sum(w), 1e-8), 6) loss from d join cw on d.y = cw.y"""
-SOFTMAX = """with e as (select vec_id, embedding[1]::double a, embedding[2]::double b, embedding[3]::double c from embeddings), m as (select *, greatest(a, b, c) g from e), x as (select *, exp(a - g) ea, exp(b - g) eb, exp(c - g) ec from m)
-select vec_id, round(ea / (ea + eb + ec), 6) p0, round(eb / (ea + eb + ec), 6) p1, round(ec / (ea + eb + ec), 6) p2, case when a = g then 0 when b = g then 1 else 2 end::integer best from x"""
+SOFTMAX = """with e as (select vec_id, list_transform(embedding, lambda x: x::double) z from embeddings), x as (select vec_id, z, list_transform(z, lambda v: exp(v - list_max(z))) w from e), p as (select vec_id, z, list_transform(w, lambda v: v / list_sum(w)) q from x)
+select vec_id, round(q[1], 6) p0, round(q[2], 6) p1, round(q[3], 6) p2, round(list_max(q), 6) most, (list_position(z, list_max(z)) - 1)::integer best from p"""
 
 PLANS = """with c as (select c_custkey as key, c_mktsegment as symbol, (c_custkey * 37 % 100) / 100.0::double dn, (c_custkey * 53 % 100) / 100.0::double up, (c_custkey % 11) / 500.0::double sigma, (c_custkey % 13) * 50.0::double mark, ((c_custkey % 5) - 2)::double pos, c_acctbal equity from customer),
     s as (select *, case when up >= 0.5 and up >= dn then 1 when dn >= 0.5 and dn > up then -1 else 0 end::integer signal, sign(pos) ps, sigma * sqrt(48) wide from c),
@@ -180,9 +205,21 @@ RISK = """with l as (select distinct l_orderkey, l_linenumber, l_partkey k, l_qu
                  when nn > 50000 then 'position notional # above limit' when tt > 100000 then 'total notional # above limit' when tt / eq > 5 then 'leverage # above limit' else 'ok' end reason from e)
 select intent, side, case when reason like 'ok%' then 'open' else 'rejected' end status, reason like 'ok%' risk_passed, reason, count(*) n from r group by all"""
 
+LATEST_WINDOWS = f"""with {BARS}, f as (select symbol, time, ln(close / {LAG('close')}) ret_1, ln(close / open) ret_co, {full('avg', 'volume', 5)} / {full('avg', 'volume', 30)} volume_ratio_5_30 from b),
+    l as (select *, coalesce(isfinite(ret_1) and isfinite(ret_co) and isfinite(volume_ratio_5_30), false) fin from f qualify row_number() over (partition by symbol order by time desc) <= 40),
+    g as (select symbol, max(time) as time, count(*) = 40 and bool_and(fin) ok, max_by(ret_1, time) r from l group by symbol)
+select symbol, time, case when ok then 40 else 0 end::integer n, case when ok then round(r::float::double, 5) + 0.0 end last_ret from g"""
+LABELLED_EVENTS = f"with {TOY} select l.symbol, f.idx e_idx, l.time, l.t1, l.label, 1.0::double weight from lab l join f on f.symbol = l.symbol and f.time = l.time"
+RISK_STATE = """with h as (select c_nationkey account, c_mktsegment as symbol, sum(c_acctbal::double) / 1000 pos from customer group by all), m as (select distinct c_mktsegment as symbol, length(c_mktsegment)::double mark from customer where c_mktsegment <> 'BUILDING'),
+    e as (select account, sum(abs(pos) * mark) x from h join m using (symbol) group by 1), o as (select s_suppkey as key, s_nationkey account, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'NONE'][s_suppkey % 6 + 1] as symbol from supplier)
+select o.key, o.account, o.symbol, m.mark, n_nationkey * 1000.0::double equity, n_regionkey open_orders, n_nationkey = 3 kill_switch, round(coalesce(h.pos, 0), 4) + 0.0 as position, round(coalesce(x, 0), 4) + 0.0 exposure
+from o join nation on n_nationkey = o.account left join h on h.account = o.account and h.symbol = o.symbol left join m on m.symbol = o.symbol left join e on e.account = o.account"""
+
 ORACLES: dict[str, str] = {
+    "latest_windows": LATEST_WINDOWS, "labelled_events": LABELLED_EVENTS, "risk_state": RISK_STATE,
+    "numbered_orders": "select o_orderdate::timestamp as time, o_orderpriority as symbol, lpad(o_orderkey::varchar, 12, '0') intent, row_number() over (order by o_orderdate, o_orderpriority, lpad(o_orderkey::varchar, 12, '0')) + 1000 order_id from orders",
     "bars": f"with {BARS} select * from b", "features_returns": RETURNS, "features_volatility": VOLATILITY, "features_volume": VOLUME, "features_microstructure": MICRO, "features_bands": BANDS, "features_temporal": TEMPORAL,
-    "features_recursive": RECURSIVE, "features_book": BOOK, "features_funding": FUNDING, "features_cross": CROSS, "asof_join": ASOF, "cusum_events": CUSUM, "triple_barrier": BARRIERS,
+    "features_recursive": RECURSIVE, "features_adx": ADX, "features_all": ALL, "filled_rates": FILLED, "features_book": BOOK, "features_funding": FUNDING, "features_cross": CROSS, "asof_join": ASOF, "cusum_events": CUSUM, "triple_barrier": BARRIERS,
     "book_levels": """with l as (select l_orderkey, list(l_extendedprice order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) px, list(l_quantity order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) sz from lineitem group by 1)
         select l_orderkey, len(px)::integer n_levels, list_sum(sz[1:5]) depth_5, list_sum(sz[1:10]) depth_10, px[5] px_5, case when isfinite(list_sum(sz[1:5]) / (px[1] - px[5])) then round(list_sum(sz[1:5]) / (px[1] - px[5]), 6) end slope from l""",
     "samples": SAMPLES, "walk_forward": FOLDS, "normaliser": NORMALISER, "normalised": NORMALISED, "class_weights": CLASS_WEIGHTS, "confusion": CONFUSION, "classification_scores": SCORES, "weighted_cross_entropy": CROSS_ENTROPY, "softmax_argmax": SOFTMAX,

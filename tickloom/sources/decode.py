@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..schemas import SYMBOLS
 
 #: Numbers come as JSON strings or numbers; read as text, they are cast without failing.
-CANDLE = "channel string, data struct<t:string,s:string,o:string,h:string,l:string,c:string,v:string,n:string>"
+CANDLE = "channel string, data map<string,string>"
 LEVEL = "array<struct<px:string,sz:string,n:string>>"
 BOOK = f"channel string, data struct<coin:string,time:string,levels:array<{LEVEL}>>"
 CONTEXT = "channel string, data struct<coin:string,ctx:struct<funding:string,openInterest:string,markPx:string,oraclePx:string,premium:string>>"
-BAR = "t string, s string, o string, h string, l string, c string, v string, n string"
+#: Milliseconds of the years 1 to 9999, outside of which a time is none.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
 def number(text) -> Column:
@@ -20,30 +21,40 @@ def number(text) -> Column:
 
 
 def _time(ms) -> Column:
-    return F.timestamp_millis(F.col(ms).try_cast("long"))
+    ms = (F.col(ms) if isinstance(ms, str) else ms).try_cast("long")
+    return F.when(ms.between(FIRST_MS, LAST_MS), F.timestamp_millis(ms))
 
 
 def _known(name: str) -> Column:
     return F.col(name).isin(*SYMBOLS)
 
 
-def _candle(df: DataFrame, at: str) -> DataFrame:
-    """Rows with all required numbers; the volume-weighted price is never known."""
-    out = df.filter(_known(f"{at}s")).select(
-        F.col(f"{at}s").alias("symbol"), _time(f"{at}t").alias("time"), *[number(f"{at}{k}").alias(n) for k, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)],
-        F.col(f"{at}n").try_cast("double").cast("int").alias("trades"), F.lit(None).cast("double").alias("vwap"),
+def _candle(df: DataFrame, data: Column) -> DataFrame:
+    """Rows of maps with all prices and the volume present, each a number or null; a count of trades that is none rejects the row.
+
+    The volume-weighted price is never known.  Nothing in a message can make this fail.
+    """
+    get = lambda k: F.try_element_at(data, F.lit(k))
+    read = lambda k: number(get(k))
+    good = F.lit(True)
+    for k in "ohlcv":
+        good = good & F.map_contains_key(data, k) & (get(k).isNull() | read(k).isNotNull())
+    trades = F.when(F.abs(read("n")) < 2.0**31, read("n")).cast("int")  # NaN and larger numbers are none
+    good = good & (get("n").isNull() | trades.isNotNull())
+    out = df.filter(data.isNotNull() & get("s").isin(*SYMBOLS) & good).select(
+        get("s").alias("symbol"), _time(get("t")).alias("time"), *[read(k).alias(n) for k, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)], trades.alias("trades"), F.lit(None).cast("double").alias("vwap")
     )
-    return out.filter(" and ".join(f"{c} is not null" for c in ("time", "open", "high", "low", "close", "volume")))
+    return out.filter("time is not null")
 
 
 def candles(messages: DataFrame, value: str = "value") -> DataFrame:
     """ohlcv_bars rows of candle messages; other channels, unknown symbols and broken messages are dropped."""
-    return _candle(messages.select(F.from_json(F.col(value), CANDLE).alias("m")).filter("m.channel = 'candle'").select("m.data"), "data.")
+    return _candle(messages.select(F.from_json(F.col(value), CANDLE).alias("m")).filter("m.channel = 'candle'"), F.col("m.data"))
 
 
 def history_rows(rows: DataFrame, value: str = "value") -> DataFrame:
     """ohlcv_bars rows of JSON objects as history requests return them."""
-    return _candle(rows.select(F.from_json(F.col(value), BAR).alias("r")), "r.")
+    return _candle(rows.select(F.from_json(F.col(value), "map<string,string>").alias("r")), F.col("r"))
 
 
 def books(messages: DataFrame, value: str = "value") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .tables import last_by_key
+
 #: Bars of one request, and seconds of a bar by interval (fixed values).
 REQUEST_BARS = 4000
 INTERVALS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600}
@@ -50,7 +52,7 @@ class CandleHistory(DataSource):
         return "candle_history"
 
     def schema(self) -> str:
-        return "symbol string, time_ms long, open double, high double, low double, close double, volume double, trades int"
+        return "symbol string, time_ms long, open double, high double, low double, close double, volume double, trades int, seq long"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -69,8 +71,8 @@ class _Reader(DataSourceReader):
 
         module, _, name = self.options.get("ask", "tickloom.sources.history:generated").partition(":")
         ask = getattr(importlib.import_module(module), name)
-        for c in fetch(ask, part.symbol, self.options["interval"], part.start, part.end):
-            yield (part.symbol, int(c["t"]), *(float(c[k]) for k in "ohlcv"), int(c["n"]))
+        for seq, c in enumerate(fetch(ask, part.symbol, self.options["interval"], part.start, part.end)):
+            yield (part.symbol, int(c["t"]), *(float(c[k]) for k in "ohlcv"), int(c["n"]), seq)
 
 
 def generated(symbol: str, interval: str, start: int, end: int) -> list[dict]:
@@ -85,8 +87,8 @@ def generated(symbol: str, interval: str, start: int, end: int) -> list[dict]:
 
 
 def read_history(spark: SparkSession, symbols: list[str], interval: str, start_ms: int, end_ms: int, **options) -> DataFrame:
-    """ohlcv_bars rows, one for each symbol and time (the last of repeats)."""
+    """ohlcv_bars rows, one for each symbol and time: the last that came (repeats come in one chunk)."""
     spark.dataSource.register(CandleHistory)
     df = spark.read.format("candle_history").options(symbols=",".join(symbols), interval=interval, start_ms=start_ms, end_ms=end_ms, **options).load()
     rows = df.withColumn("time", F.timestamp_millis("time_ms")).drop("time_ms")
-    return rows.dropDuplicates(["symbol", "time"])
+    return last_by_key(rows, ["symbol", "time"], ("seq",)).drop("seq")

@@ -6,12 +6,12 @@ import json
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.series import latest
-from ..schemas import CONFLICT, KEYS, SEQ_LEN, TABLES, WARMUP_BARS
+from ..schemas import BAR_SECONDS, CONFLICT, KEYS, SEQ_LEN, TABLES, WARMUP_BARS
 
 
 def _stored(table: str) -> T.StructType:
@@ -55,13 +55,32 @@ def last_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), f
     return best.select("_r.*")
 
 
+#: Partitions that a write names one by one; with more, it reads all of the days between the first and the last.
+MOST_PARTITIONS = 2000
+
+
+def touched_partitions(fresh: DataFrame) -> Column:
+    """A predicate over the partition columns that holds for those of `fresh` (symbol, date), made of literals so that scans prune."""
+    pairs = fresh.select("symbol", "date").distinct().limit(MOST_PARTITIONS + 1).collect()
+    if len(pairs) > MOST_PARTITIONS:
+        first, last = fresh.agg(F.min("date"), F.max("date")).first()
+        return F.col("date").between(F.lit(first), F.lit(last))
+    days: dict[str, list] = {}
+    for p in pairs:
+        days.setdefault(p["symbol"], []).append(p["date"])
+    out = F.lit(False)
+    for symbol, some in sorted(days.items()):
+        out = out | ((F.col("symbol") == symbol) & F.col("date").isin(*some))
+    return out
+
+
 def write_keyed(df: DataFrame, root: str, table: str, order: str = "_seq") -> None:
     """Upsert (or insert-ignore, or append) into a table partitioned by symbol and date.
 
     `order` numbers the incoming rows and is not stored.  Only partitions that the rows touch are read and replaced.
     """
     spark, path, keys = df.sparkSession, f"{root}/{table}", KEYS[table]
-    df = df if order in df.columns else df.withColumn(order, F.lit(0))
+    df = df if order in df.columns else df.withColumn(order, F.monotonically_increasing_id())
     fresh = df.withColumn("date", F.to_date("time"))
     names = [*TABLES[table].names, "date"]
     fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(TABLES[table][c].dataType).alias(c) for c in names], order)
@@ -71,9 +90,8 @@ def write_keyed(df: DataFrame, root: str, table: str, order: str = "_seq") -> No
         return
     fresh = fresh.persist()
     try:
-        touched = F.broadcast(fresh.select("symbol", "date").distinct())
-        there = spark.read.schema(_stored(table)).parquet(path)
-        there = there.join(touched, ["symbol", "date"], "left_semi").select(*names).withColumn("_new", F.lit(0)).withColumn(order, F.lit(None).cast(fresh.schema[order].dataType))
+        there = spark.read.schema(_stored(table)).parquet(path).filter(touched_partitions(fresh))
+        there = there.select(*names).withColumn("_new", F.lit(0)).withColumn(order, F.lit(None).cast(fresh.schema[order].dataType))
         both = there.unionByName(fresh.withColumn("_new", F.lit(1)))
         kept = last_by_key(both, keys, ("_new", order), first=how == "first").drop("_new", order)
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").parquet(path)
@@ -82,8 +100,17 @@ def write_keyed(df: DataFrame, root: str, table: str, order: str = "_seq") -> No
 
 
 def number_orders(df: DataFrame, start: int = 0) -> DataFrame:
-    """order_id counting up from `start` by time."""
-    return df.withColumn("order_id", (F.row_number().over(Window.orderBy("time", "symbol", "intent")) + start).cast("long"))
+    """order_id counting up from `start` by time; rows are numbered within their day, after the rows of earlier days."""
+    days = df.groupBy(F.to_date("time").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.withColumn("_before", F.sum("_n").over(Window.orderBy("_day")) - F.col("_n"))  # one row a day
+    inside = F.row_number().over(Window.partitionBy("_day").orderBy("time", "symbol", "intent"))
+    met = df.withColumn("_day", F.to_date("time")).withColumn("_place", inside).join(days, "_day")
+    return met.withColumn("order_id", (F.col("_before") + F.col("_place") + start).cast("long")).drop("_day", "_n", "_before", "_place")
+
+
+def closed_bars(bars: DataFrame, now: Column, seconds: int = BAR_SECONDS) -> DataFrame:
+    """Bars that have ended by `now`."""
+    return bars.filter(F.unix_micros("time") + seconds * 1_000_000 <= F.unix_micros(now))
 
 
 def read_metadata(path: str) -> dict:

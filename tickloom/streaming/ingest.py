@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +20,39 @@ def decode_batch(messages: DataFrame, received: Column, value: str = "value") ->
     return {"ohlcv_bars": candles(messages, value), "orderbook_snapshots": books(messages, value), "funding_oi": contexts(messages, received, value)}
 
 
-def ingest(stream: DataFrame, root: str, checkpoint: str, value: str = "value", received: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+@dataclass
+class Written:
+    """Rows written and dropped so far, by table."""
+
+    written: Counter[str] = field(default_factory=Counter)
+    dropped: Counter[str] = field(default_factory=Counter)
+
+
+def ingest(stream: DataFrame, root: str, checkpoint: str, value: str = "value", received: str | None = None, trigger: dict | None = None, arrival: str | None = None, counts: Written | None = None, drop_failed: bool = False) -> StreamingQuery:
     """Start the ingest of a stream of messages.
 
     Every micro-batch is decoded once and written by key, so a batch that is run again after a failure changes nothing:
-    with the checkpoint this gives each row exactly one effect.
+    with the checkpoint this gives each row exactly one effect.  Of rows of one key in a batch the later counts: by the
+    column `arrival` (an offset, say) if there is one, else by their place in the files.  `counts` is added to after each
+    write; with `drop_failed`, rows of a failed write are counted as dropped and the stream goes on.
     """
+    counts = counts or Written()
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.sort(arrival) if arrival else batch
         batch = batch.withColumn("_at", F.col(received) if received else F.current_timestamp()).persist()
         try:
             for table, rows in decode_batch(batch, F.col("_at"), value).items():
-                if not rows.isEmpty():
+                n = rows.count()
+                if not n:
+                    continue
+                try:
                     write_keyed(rows.withColumn("_seq", F.monotonically_increasing_id()), root, table)
+                    counts.written[table] += n
+                except Exception:
+                    if not drop_failed:
+                        raise
+                    counts.dropped[table] += n
         finally:
             batch.unpersist()
 
