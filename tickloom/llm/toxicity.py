@@ -23,9 +23,9 @@ from .quality import score_udf
 
 SIZES = (3, 4, 5, 6)
 LOG2 = 21
-#: Log-likelihood ratio from which a bucket is a feature (some hundred of 2**21 reach 8 by chance), features at most, and
-#: rows of the bounded sample on which the weights are fitted.
-EVIDENCE, FEATURES, MOST_LABELLED = 8.0, 1 << 16, 20_000
+#: Log-likelihood ratio from which a bucket is a feature (some hundred of 2**21 reach 8 by chance), features at most (those
+#: with most evidence), and rows of the bounded sample on which the weights are fitted: the last two bound what the driver gets.
+EVIDENCE, FEATURES, MOST_LABELLED = 8.0, 4096, 10_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 RIDGE, STEPS, RATE, SMOOTH = 1e-3, 400, 0.5, 0.5
 
@@ -91,10 +91,10 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
 def fit_presence(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, keep: np.ndarray) -> ToxicityModel:
     """Logistic regression, by gradient descent with momentum, on ratio-scaled presence of the kept buckets."""
     size = np.array([len(r) for r in rows])
-    at, row = (np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)), np.repeat(np.arange(len(rows)), size)
-    place = np.zeros(len(keep), np.int64)
+    at, row = (np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)), np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    place = np.zeros(len(keep), np.int32)
     place[keep] = np.arange(keep.sum())
-    n, f, x = max(len(rows), 1), place[at], ratios[at]
+    n, f, x = max(len(rows), 1), place[at], ratios[at].astype(np.float32)
     w, b, v, vb = np.zeros(keep.sum()), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0, 0.0
     spread = np.sqrt(np.bincount(f, x * x, len(w)) / n) + 1e-6  # steps by the scale of each feature
     for _ in range(STEPS):
@@ -133,8 +133,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
                 yield pa.RecordBatch.from_arrays([pa.array([at[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(1).slice(a, n)], ["x", "y"])
 
     sample = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int")
-    rows = sorted(sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).collect())  # an id may have any number of rows
-    return fit_presence([np.frombuffer(r["x"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float), ratios, keep)
+    found = sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).toArrow()  # an id may have any number of rows
+    rows = sorted(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True))
+    return fit_presence([np.frombuffer(x, np.int32) for x, _ in rows], np.array([y for _, y in rows], float), ratios, keep)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
