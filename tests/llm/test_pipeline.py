@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
+from test_operators import brute_targets
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SF = "/root/testdata/sf0.001"
@@ -69,12 +70,39 @@ def test_benchmark(spark, kept):
     assert sorted(after.doc_id) == sorted(i for i, t in zip(before.doc_id, before.text, strict=True) if not hit(re.findall(pattern, (t or "").translate(LOWER))))
 
 
+def words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
 def test_mix(kept):
+    """Each source's words end within half of its largest document of the target; no row is taken more than twice."""
     before, after, _ = kept["mix"]
     assert set(after.doc_id) <= set(before.doc_id) and max(Counter(after.doc_id).values()) <= 2
     assert sorted(set(after.mix_copy)) in ([1], [1, 2])
-    size = lambda df: df.text.fillna("").map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))).sum()
-    assert abs(size(after) - 1.5 * size(before)) < 0.1 * size(before)
+    before, after = before.assign(size=before.text.map(words)), after.assign(size=after.text.map(words))
+    sizes = before.groupby("source")["size"].sum().to_dict()
+    targets, taken = brute_targets(sizes), after.groupby("source")["size"].sum().to_dict()
+    for source, target in targets.items():
+        assert abs(taken.get(source, 0) - target) <= before[before.source == source]["size"].max() / 2 + 1e-6
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Nulls, empty texts, repeated rows and columns with clashing names go through every stage."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, text.upper(), None, None), (None, None, None, None), (3, None, "en", "a"), (4, "", "en", "b"), (5, text + " more", "en", "b"), (None, "left alone", "en", "b"), (6, "kept words here", "en", None)]
+    names = ("rid", "h", "r", "key", "row", "mine", "again", "sha", "best", "component_id", "text_hash", "sk", "mix_copy", "range")
+    docs = spark.createDataFrame([(*r, 0, *("x" for _ in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    for start in (docs, docs.limit(0)):
+        kept = start
+        for name, stage in P.STAGES:
+            before, kept = kept, P.materialise(stage(spark, kept, SF), f"odd-{name}")
+            assert kept.columns == [*docs.columns, *(["mix_copy_"] if name == "mix" else [])]
+            assert name == "mix" or kept.exceptAll(before).count() == 0
+        assert start is docs or kept.count() == 0
+    exact = P.exact(spark, docs, SF)
+    assert Counter((r.text or "").translate(LOWER) for r in exact.collect()) == Counter({(r[1] or "").translate(LOWER) for r in rows})
+    near = P.near(spark, exact, SF).collect()
+    assert sorted(r.doc_id for r in near if r.text and r.text.lower().startswith("one two")) == [2]
 
 
 def test_run(spark, kept):

@@ -51,7 +51,17 @@ def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(folder) if folder else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no result reads any more; call it when all that was made of them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Keys of rows to drop are broadcast up to this number, else joined by shuffle.

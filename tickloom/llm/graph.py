@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -20,20 +20,25 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     labels = None
     while True:
         ends = edges.select(F.col("b").alias("node"), F.col("a").alias("near")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("near")))
-        roots = materialise(ends.groupBy("node").agg(F.min("near").alias("root")), f"{name}-roots")
+        roots = written = materialise(ends.groupBy("node").agg(F.min("near").alias("root")), f"{name}-roots")
         while True:
             up = roots.select(F.col("node").alias("up_node"), F.col("root").alias("up"))
             after = materialise(roots.join(up, roots["root"] == up["up_node"]).select("node", F.col("root").alias("old"), F.col("up").alias("root")), f"{name}-roots")
-            roots = after.select("node", "root")
-            if after.filter("old <> root").isEmpty():
+            done = after.filter("old <> root").isEmpty()
+            discard(written)
+            roots, written = after.select("node", "root"), after
+            if done:
                 break
         if labels is None:
-            labels = roots.withColumnRenamed("root", "label")
+            labels = materialise(roots.withColumnRenamed("root", "label"), name)
         else:
-            to = roots.select(F.col("node").alias("to_node"), "root")
+            to, old = roots.select(F.col("node").alias("to_node"), "root"), labels
             labels = materialise(labels.join(to, labels["label"] == to["to_node"], "left").select("node", F.coalesce("root", "label").alias("label")), name)
+            discard(old)
         of = lambda k: roots.select(F.col("node").alias(f"{k}_node"), F.col("root").alias(f"{k}_root"))  # noqa: E731, B023
         met = edges.join(of("a"), F.col("a") == F.col("a_node")).filter("b <> a_root").join(of("b"), F.col("b") == F.col("b_node"))
-        edges = materialise(met.filter("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), f"{name}-links")
+        before, edges = edges, materialise(met.filter("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), f"{name}-links")
+        discard(before, written)
         if edges.isEmpty():
+            discard(edges)
             return labels

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import BitSet, bucket_counts
-from .common import SPACE_WORDS, drop_rows, gram_hashes, materialise, mix64, text_chunks, word_hashes, words_of
+from .common import SPACE_WORDS, discard, drop_rows, gram_hashes, materialise, mix64, text_chunks, word_hashes, words_of
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -305,10 +305,13 @@ def _both_sides(pairs: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact overlap meets the threshold; shingles are read only for the classes in pairs."""
+    """The pairs (a, b), written, whose exact overlap meets the threshold; shingles are read only for the classes in pairs."""
     sets = _of_classes(texts, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "tokens")
     common = F.size(F.array_intersect("x_a", "x_b")).cast("long")
-    return _both_sides(pairs, sets, "tokens").filter(common * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")).cast("long") * PERCENT).select("a", "b")
+    found = _both_sides(pairs, sets, "tokens").filter(common * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")).cast("long") * PERCENT).select("a", "b")
+    found = materialise(found, "links")
+    discard(sets)
+    return found
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
@@ -339,8 +342,9 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     stars = stars.filter((F.col("sig") != F.col("lead.sig")) & fits & room)
     stars = stars.select(F.least("lead.sig", "sig").alias("a"), F.greatest("lead.sig", "sig").alias("b")).distinct()
     stars = materialise(_both_sides(stars, bitmaps, "bits").mapInArrow(_may_link, "a long, b long"), "star-pairs")
-    links = materialise(_linked(stars, texts), "links")
+    links = _linked(stars, texts)
     labels = components(links, "stars")
+    discard(stars, links)
 
     # Groups that still span components, without their leaders (those are settled).
     marked = groups.join(labels, groups["sig"] == labels["node"], "left").select("token", "sig", "n", "left", F.coalesce("label", "sig").alias("comp"))
@@ -350,10 +354,13 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     cells = cells.select("token", "i", "j", "block", "sig", "n", "left", "comp").join(bitmaps.select("sig", "bits"), "sig")
     pairs = materialise(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tree_join, "a long, b long").distinct(), "tree-pairs")
-    if pairs.isEmpty():
-        return labels
-    more = materialise(_linked(pairs, texts), "more-links")
-    return components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), "joined")
+    discard(groups, leaders, marked, open_, bitmaps)
+    if not pairs.isEmpty():
+        more, first = _linked(pairs, texts), labels
+        labels = components(more.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b"))), "joined")
+        discard(more, first)
+    discard(pairs)
+    return labels
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,6 +380,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = materialise(classes, "class-labels")
     groups = materialise(classes.groupBy("label").agg(F.min("least_id").alias("component_id"), F.sum("members").alias("group_size")), "class-groups")
     named = materialise(classes.select("sig", "label").join(groups, "label").select("sig", "component_id", "group_size"), "class-names")
+    discard(labels, classes, groups)
     one = F.lit(1).cast("long")
     linked = rows.filter("n > 0").join(named, "sig", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_size", one).alias("group_size"))
     empty = rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), one.alias("group_size"))
@@ -387,4 +395,6 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(similar_documents(docs, id_col, text_col).filter("group_size > 1").select("doc_id", "text_hash", "component_id"), "similar")
     best = materialise(found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")), "similar-best")
     drop = found.join(best, found["component_id"].eqNullSafe(best["component_id"])).filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))))
-    return drop_rows(docs, materialise(drop.select("doc_id", "text_hash").distinct(), "similar-drop"), id_col, text_col)
+    drop = materialise(drop.select("doc_id", "text_hash").distinct(), "similar-drop")
+    discard(found, best)
+    return drop_rows(docs, drop, id_col, text_col)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, materialise, text_chunks, word_hashes, words_of
+from .common import SPACE_WORDS, discard, materialise, text_chunks, word_hashes, words_of
 from .labelled import remainder
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
-LENGTH, CONTEXT, WIDTH = 16, 8, 16
+LENGTH, CONTEXT, WIDTH = 32, 8, 16
 #: Groups of ids, places in a group, and places that one id has for itself; group and place together number the inputs.
 GROUPS, PLACES, OWN = 32, 32, 24
 INPUTS = GROUPS * PLACES
@@ -37,9 +37,9 @@ SHARE = 0.2
 PARTS, ROUNDS, RATES, SUMS = 64, (1, 4, 16, 64), (1e-2, 1e-2, 8e-3, 4e-3), 8
 #: Windows of a step: the least up to FEW windows seen by a task, from there on with their square; steps over which the
 #: model is averaged.
-LEAST_BATCH, MOST_BATCH, FEW, AVERAGED = 32, 1024, 1 << 14, 50
+LEAST_BATCH, MOST_BATCH, FEW, AVERAGED = 16, 512, 1 << 13, 50
 #: Windows in one block of the attention (their arrays stay in a core's cache), and ids handled at a time.
-BLOCK, IDS_AT_ONCE = 64, 1 << 19
+BLOCK, IDS_AT_ONCE = 32, 1 << 19
 SEED = 11
 #: Counts of at most this many frequent words are broadcast (12 bytes each); all others are joined by shuffle.
 HEAD_WORDS = 1 << 19
@@ -541,6 +541,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str =
 
     scored = rows.select("rid", "doc_id", "held_out", "ids").mapInArrow(_score(held, tokenizer_path, pattern), _ROWS.format(id=id_type))
     scored = materialise(scored, "lm-rows")
+    discard(rows)
     tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.a", F.size("t.a").alias("n")).join(words, "h", "left")
     unigram = F.coalesce("c", F.lit(0)) * (SHARE / max(total, 1))
     mixed = F.aggregate("a", F.lit(0.0), lambda s, a: s + F.when(F.col("c") > 0, F.log10((1 - SHARE) * F.pow(F.lit(10.0), F.greatest(a, F.lit(-290.0))) + unigram)).otherwise(a + float(np.log10(1 - SHARE))))

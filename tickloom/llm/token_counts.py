@@ -3,8 +3,11 @@
 The tokenizer's text splitter is compiled to a deterministic transducer over character classes, whose
 transitions tell where pieces begin.  A text is cut into chunks of fixed length; each chunk's map from entry state
 to exit state is found for all states at once, the maps are composed by a parallel prefix scan, and a second sweep
-from the known entry states yields the pieces.  A transition that ends a piece emits the piece's number of tokens:
-those numbers are compiled from the merge list piece by piece as they are met, and kept.
+from the known entry states yields the pieces.
+
+Only the splitter is a transducer.  Merging inside a piece is ranked, not left to right, so counts of tokens cannot be put
+on transitions of a bounded number of states: each distinct piece is merged once by the merge list, its count is kept, and
+the transition that ends the piece emits that number.
 """
 
 from __future__ import annotations
