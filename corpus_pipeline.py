@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept and returns whole rows with the columns of documents; the last
 repeats rows as often as the mix takes them and numbers the copies in mix_copy.
+
+In every stage a null text counts as empty, rows repeat as often as they are there unless the stage drops them, an empty
+table gives an empty one, and further columns of any name go through.  Quality scores all empty texts alike; exact
+deduplication keeps one empty text; no empty text is similar to another or touched by the benchmark, and the mix takes none
+beyond its share of rows, since it has no words.
 """
 
 from __future__ import annotations
