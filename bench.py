@@ -60,8 +60,7 @@ def main() -> None:
     shapes = {"features_nobook": (1128, 0, 0), "features_200x60": (1128, 200, 60), "features_200x300": (1128, 200, 300), "features_1128x60": (1128, 1128, 60), "features_112800": (112_800, 0, 0)}
     for name, shape in shapes.items():
         bars, book, funding = feature_inputs(spark, *shape)
-        chunk = 120 * 86400 if shape[0] > 10_000 else None
-        times = [timed(lambda: compute_features(bars, book, funding, chunk_seconds=chunk)) for _ in range(REPEATS)]
+        times = [timed(lambda: compute_features(bars, book, funding)) for _ in range(REPEATS)]
         took[name] = round(median(times[1:]), 3)
         spark.catalog.clearCache()
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF, "cpus": int(CPUS)}))

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,26 @@ def test_barriers(spark, at):
     assert math.isclose(row.pt_level, 100 * math.exp(1.3 * 0.01 * math.sqrt(2))) and math.isclose(row.sl_level, 100 * math.exp(-0.7 * 0.01 * math.sqrt(2)))
 
 
+def test_groups_do_not_matter(spark, at, monkeypatch):
+    """Barriers found in short runs of bars are those of a plain loop over the whole series."""
+    rng = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 200)))
+    high, low = close * (1 + 0.01 * rng.random(200)), close * (1 - 0.01 * rng.random(200))
+    df = spark.createDataFrame([("A", k, at(k), float(high[k]), float(low[k]), float(close[k]), 0.01) for k in range(200)], "symbol string, idx long, time timestamp, high double, low double, close double, sigma double")
+    want = {}
+    for k in range(200 - 7):
+        wide = 0.01 * math.sqrt(7)
+        up, down = close[k] * math.exp(wide), close[k] * math.exp(-0.5 * wide)
+        hit = next(((j, -1 if low[j] <= down else 1) for j in range(k + 1, k + 8) if low[j] <= down or high[j] >= up), (k + 7, 0))
+        want[k] = (*hit, wide if hit[1] > 0 else -0.5 * wide if hit[1] < 0 else math.log(close[k + 7] / close[k]))
+    for size in (50_000, 10):
+        monkeypatch.setattr(L, "ROWS_A_GROUP", size)
+        got = {r.idx: (r.touch_idx, r.label, r.ret) for r in L.triple_barrier(df, df.select("symbol", "idx"), 1.0, 0.5, 7).collect()}
+        assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and math.isclose(got[k][2], want[k][2], abs_tol=1e-12) for k in want)
+    whole = L.labelled_bars(df).orderBy("time").collect()
+    assert [r.idx for r in whole] == list(range(200)) and whole[0].sigma is None and whole[9].sigma > 0
+
+
 def weights(spark, spans, n):
     bars = spark.createDataFrame([("A", i) for i in range(n)], "symbol string, idx long")
     got = L.average_uniqueness(bars, spark.createDataFrame([("A", a, b) for a, b in spans], "symbol string, idx long, touch_idx long"))

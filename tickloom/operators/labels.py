@@ -5,14 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import is_finite, log_return, scale_to_horizon
-from ..functions.series import Series
+from ..functions.exprs import log_return, scale_to_horizon
+from ..functions.recursive import HALO, sigma
+from ..functions.series import Series, with_halo
 from ..schemas import H_MULT, HORIZON, PT_MULT, SL_MULT
-from .features import recursions
+from .features import chunk_seconds_of
 
 
 class Cusum:
@@ -57,31 +61,62 @@ def cusum_events(df: DataFrame, move: str = "ret", bar: str = "threshold") -> Da
     return narrow.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInPandas(run, "symbol string, idx long")
 
 
+#: Bars of one group in the search for barriers, and events looked at together.
+ROWS_A_GROUP, EVENTS = 50_000, 4096
+
+
+def first_touches(high: np.ndarray, low: np.ndarray, at: np.ndarray, above: np.ndarray, below: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, place) of the first of the `horizon` bars after each place `at` that reaches a level; (0, the last of them) without one.
+
+    A bar that reaches both counts as the lower one.
+    """
+    label, place = np.zeros(len(at), np.int16), at + horizon
+    highs, lows = sliding_window_view(high, horizon), sliding_window_view(low, horizon)
+    for k in range(0, len(at), EVENTS):
+        some = at[k : k + EVENTS]
+        down = lows[some + 1] <= below[k : k + EVENTS, None]
+        hit = down | (highs[some + 1] >= above[k : k + EVENTS, None])
+        first = hit.argmax(1)
+        there = np.flatnonzero(hit.any(1))
+        label[k + there] = np.where(down[there, first[there]], -1, 1)
+        place[k + there] = some[there] + 1 + first[there]
+    return label, place
+
+
 def triple_barrier(bars: DataFrame, events: DataFrame, pt_mult: float = PT_MULT, sl_mult: float = SL_MULT, horizon: int = HORIZON) -> DataFrame:
     """Label events (symbol, idx) by the first barrier that bars (symbol, idx, time, high, low, close, sigma) touch.
 
     Events without a whole horizon or with no positive volatility are dropped.  A bar that touches both barriers counts
-    as the lower one.  The look-ahead is an equi-join: each event meets the `horizon` bars after it by number.
+    as the lower one.  Bars are numbered without gaps; runs of ROWS_A_GROUP of them are groups, each followed by the
+    `horizon` bars after it, so a long series is spread over tasks and no event is multiplied.
     """
-    n = bars.groupBy("symbol").agg(F.max("idx").alias("last"))
-    start = events.join(bars.select("symbol", "idx", F.col("time").alias("t0"), F.col("close").alias("c0"), "sigma"), ["symbol", "idx"]).join(n, "symbol")
-    wide = scale_to_horizon("sigma", horizon)
-    start = start.filter((F.col("idx") + horizon <= F.col("last")) & is_finite("sigma") & (F.col("sigma") > 0)).withColumns({
-        "pt_level": F.col("c0") * F.exp(wide * pt_mult), "sl_level": F.col("c0") * F.exp(-wide * sl_mult), "wide": wide,
-    }).drop("last")
-    ahead = start.select("symbol", F.col("idx").alias("e"), "pt_level", "sl_level", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + horizon)).alias("idx"))
-    met = ahead.join(bars.select("symbol", "idx", "time", "high", "low", "close"), ["symbol", "idx"])
-    hit = F.when(F.col("low") <= F.col("sl_level"), -1).when(F.col("high") >= F.col("pt_level"), 1)
-    first = met.withColumn("hit", hit).groupBy("symbol", "e").agg(
-        F.min(F.when(F.col("hit").isNotNull(), F.struct("idx", "hit", "time"))).alias("f"), F.max(F.struct("idx", "time", "close")).alias("end")
-    )
-    label = F.coalesce("f.hit", F.lit(0))
-    return start.withColumnRenamed("idx", "e").join(first, ["symbol", "e"]).select(
-        "symbol", F.col("e").alias("idx"), F.col("t0").alias("time"), label.cast("short").alias("label"),
-        F.when(label == 1, F.col("wide") * pt_mult).when(label == -1, -F.col("wide") * sl_mult).otherwise(F.ln(F.col("end.close") / F.col("c0"))).alias("ret"),
-        "sigma", "pt_level", "sl_level", F.lit(float(pt_mult)).alias("pt_mult"), F.lit(float(sl_mult)).alias("sl_mult"), F.lit(horizon).alias("horizon_bars"), F.col("end.time").alias("t1"),
-        F.coalesce("f.time", "end.time").alias("touch_time"), F.when(label == 1, "pt").when(label == -1, "sl").otherwise("vertical").alias("touch_barrier"), F.coalesce("f.idx", "end.idx").alias("touch_idx"),
-    )
+    size = max(ROWS_A_GROUP, horizon)
+    rows = bars.select("symbol", "idx", "time", "high", "low", "close", "sigma").join(events.select("symbol", "idx", F.lit(True).alias("_event")), ["symbol", "idx"], "left")
+    run = F.floor(F.col("idx") / size)
+    runs = F.when((F.col("idx") % size < horizon) & (run > 0), F.array(run, run - 1)).otherwise(F.array(run))
+    rows = rows.withColumn("_run", F.explode(runs)).withColumn("_event", F.coalesce("_event", F.lit(False)) & (F.col("_run") == run))
+    kinds, wide = {f.name: f.dataType.simpleString() for f in rows.schema}, math.sqrt(horizon)
+
+    def find(group: pa.Table) -> pa.Table:
+        group = group.sort_by("idx")
+        high, low, close, sigma = (group.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("high", "low", "close", "sigma"))
+        at = np.flatnonzero(group.column("_event").to_numpy(zero_copy_only=False))
+        at = at[(at + horizon < len(close)) & np.isfinite(sigma[at]) & (sigma[at] > 0)]
+        span = sigma[at] * wide
+        above, below = close[at] * np.exp(span * pt_mult), close[at] * np.exp(-span * sl_mult)
+        label, touch = first_touches(high, low, at, above, below, horizon) if len(at) else (np.zeros(0, np.int16), at)
+        with np.errstate(all="ignore"):
+            ret = np.where(label > 0, span * pt_mult, np.where(label < 0, -span * sl_mult, np.log(close[at + horizon] / close[at])))
+        take = lambda c, k: group.column(c).take(pa.array(k))
+        return pa.table({
+            "symbol": take("symbol", at), "idx": take("idx", at), "time": take("time", at), "label": pa.array(label), "ret": pa.array(ret, from_pandas=True), "sigma": pa.array(sigma[at]), "pt_level": pa.array(above), "sl_level": pa.array(below),
+            "t1": take("time", at + horizon), "touch_time": take("time", touch), "touch_barrier": pa.array(np.array(["sl", "vertical", "pt"])[label + 1]).cast(pa.string()), "touch_idx": take("idx", touch),
+        })
+
+    symbol, idx, time = (kinds[c] for c in ("symbol", "idx", "time"))
+    schema = f"symbol {symbol}, idx {idx}, time {time}, label short, ret double, sigma double, pt_level double, sl_level double, t1 {time}, touch_time {time}, touch_barrier string, touch_idx {idx}"
+    found = rows.groupBy("symbol", "_run").applyInArrow(find, schema)
+    return found.withColumns({"pt_mult": F.lit(float(pt_mult)), "sl_mult": F.lit(float(sl_mult)), "horizon_bars": F.lit(horizon)})
 
 
 def average_uniqueness(bars: DataFrame, labels: DataFrame) -> DataFrame:
@@ -99,11 +134,23 @@ def average_uniqueness(bars: DataFrame, labels: DataFrame) -> DataFrame:
     return met.withColumn("sample_weight", F.least((F.col("to") - F.col("from")) / (F.col("touch_idx") - F.col("idx") + 1), F.lit(1.0))).drop("to", "from")
 
 
-def labelled_bars(bars: DataFrame) -> DataFrame:
-    """Bars numbered within their symbol, with volatility and log return."""
+def labelled_bars(bars: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
+    """Bars numbered within their symbol, with volatility and log return.
+
+    Series of more than ROWS_A_CHUNK bars are cut into chunks with a halo, as for features; 0 cuts none.
+    """
+    chunk_seconds = chunk_seconds_of(bars) if chunk_seconds is None else chunk_seconds
     s = Series()
-    df = recursions(bars.select("symbol", "time", "high", "low", "close")).withColumnRenamed("sigma_ewma", "sigma")
-    return df.select("symbol", "time", "high", "low", "close", "sigma", s.index().cast("long").alias("idx"), log_return("close", s.lag("close")).alias("ret"))
+    rows = bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")], s.index().cast("long").alias("idx"), log_return("close", s.lag("close")).alias("ret"))
+    rows, by = (with_halo(rows, chunk_seconds, HALO), ["symbol", "chunk"]) if chunk_seconds else (rows.withColumn("own", F.lit(True)), ["symbol"])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("time")
+        found = group.append_column("sigma", pa.array(sigma(group.column("close").to_numpy(zero_copy_only=False)), from_pandas=True)).filter(group.column("own"))
+        return found.select(["symbol", "time", "high", "low", "close", "sigma", "idx", "ret"])
+
+    return rows.groupBy(*by).applyInArrow(run, f"symbol {kinds['symbol']}, time {kinds['time']}, high double, low double, close double, sigma double, idx long, ret double")
 
 
 def label_bars(bars: DataFrame, horizon: int = HORIZON, pt_mult: float = PT_MULT, sl_mult: float = SL_MULT, h_mult: float = H_MULT) -> DataFrame:
