@@ -449,6 +449,38 @@ def test_personal_data(odd, empty, spark):
     assert all("secret" in r.spans for r in pii.digest(pii.personal_data(secret)).collect())
 
 
+def test_added_spans_like_plain_loops(spark):
+    """Candidates, posteriors, classifier and decisions against one loop over all texts; candidates never overlap."""
+    rng = np.random.default_rng(6)
+    bits = ["token = " + "aB3" * 90, "call 555 123 4567 now", "Dr. Anna Lee said", "mail joe(at)site(dot)com", "+1 (523) 555-1055", "a@b.co", "order 12345678", "2024-01-02 10", "Mr Stone", "word", "10.0.0.1", "isbn 978 3 16 148410", "secret: x1y2z3w4v5u6t7s8r9q0k"]
+    texts = [" ".join(rng.choice(bits, int(rng.integers(0, 7)))) for _ in range(150)]
+    got = {r.doc_id: r for r in pii.digest(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))).collect()}
+    found, votes = [], Counter()
+    for text in texts:
+        base = pii.base_spans(text)
+        some = base + pii.nominated(text, base)
+        ends = sorted((s, e) for s, k, e in some if k >= 4) + [(10**9, 0)]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False)) and not any(s < f and t < e for s, k, e in some if k >= 4 for t, j, f in base)
+        marked = [(s, k, e, pii.votes(text, s, k, e)) for s, k, e in some]
+        found.append(marked)
+        votes.update(sum(v * 3**i for i, v in enumerate(x)) for *_, x in marked)
+    patterns = np.array(sorted(votes), np.int64)
+    _, post = pii.reliabilities(patterns, np.array([votes[p] for p in patterns.tolist()], float))
+    soft = dict(zip(patterns.tolist(), post.tolist(), strict=True))
+    xs, ys = [], []
+    for text, marked in zip(texts, found, strict=True):
+        for s, k, e, x in marked:
+            xs.append(pii.hashed(text, s, k, e, x))
+            ys.append(soft[sum(v * 3**i for i, v in enumerate(x))])
+    model = pii.fit_spans(xs, np.array(ys))
+    added = 0
+    for k, (text, marked) in enumerate(zip(texts, found, strict=True)):
+        want = sorted((s, kind, e) for s, kind, e, x in marked if kind < 4 or model.keeps(pii.hashed(text, s, kind, e, x)))
+        assert got[k].spans == ",".join(f"{pii.KINDS[kind]}:{s}:{e}" for s, kind, e in want)
+        added += sum(kind >= 4 for _, kind, _ in want)
+    assert added and any("token = " + "aB3" * 90 in t for t in texts) and all("secret" not in r.spans or int(r.spans.split("secret:")[1].split(":")[1].split(",")[0]) > 0 for r in got.values())
+
+
 def test_reliabilities():
     """A labeler that agrees with the majority gains weight, one at random does not."""
     rng = np.random.default_rng(0)

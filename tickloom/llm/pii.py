@@ -22,7 +22,8 @@ from .common import materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "number", "contact", "secret", "name")
-#: Candidates on which the span classifier is fitted, its hashed features, and the probability that adds a span.
+#: Candidates at most on which the span classifier is fitted (a parameter of personal_data), its hashed features, and the
+#: probability that adds a span.
 SAMPLE, FEATURES, CUT = 20_000, 1024, 0.8
 EM_STEPS, FIT_STEPS, RIDGE = 50, 300, 1e-3
 CONTEXT = 40
@@ -34,7 +35,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"(?<![\w.])[0-9][0-9 ().-]{5,22}[0-9](?![\w])")
 _CONTACT = re.compile(r"[A-Za-z0-9._-]{1,64}\s?[\[(]at[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[(]dot[\])]|\.)\s?[A-Za-z]{2,63}){1,4}", re.IGNORECASE)
-_SECRET = re.compile(r"(?:token|password|passwd|secret|api[_ -]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{8,200})", re.IGNORECASE)
+_SECRET = re.compile(r"(?:token|password|passwd|secret|api[_ -]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.-]{8,}+)", re.IGNORECASE)
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora|Señor|Mme)\b\.? ([A-Z][^\W\d_]{1,30}(?: [A-Z][^\W\d_]{1,30})?)")
 _HAS_DIGIT = re.compile(r"[0-9]")
 
@@ -204,11 +205,13 @@ def fit_spans(xs: list[list[int]], soft: np.ndarray) -> SpanClassifier:
     return SpanClassifier(w, float(b))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, spans array<struct<kind, start, end, base>> by start, then kind.
 
-    Offsets count code points, ends are exclusive.  Null and empty texts have no spans; equal texts have equal
-    spans; texts are read whole; other columns are not read.
+    Reliabilities come from the candidates of all documents; the span classifier is fitted on at most `sample` of them,
+    those with the least hashes.  Offsets count code points, ends are exclusive.  Null and empty texts have no spans; equal
+    texts have equal spans, repeated rows each have theirs; texts are read whole; an empty table gives an empty one; other
+    columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -218,8 +221,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     patterns, counts = np.array([r["pattern"] for r in seen], np.int64), np.array([r["count"] for r in seen], float)
     _, post = reliabilities(patterns, counts)
     soft = dict(zip(patterns.tolist(), post.tolist(), strict=True))
-    sample = spans.orderBy(F.xxhash64("pattern", "start", "end", "x"), "pattern", "x").limit(SAMPLE).select("pattern", "x").collect()
-    model = spark.sparkContext.broadcast(fit_spans([r["x"] for r in sample], np.array([soft[r["pattern"]] for r in sample])))
+    some = spans.orderBy(F.xxhash64("pattern", "start", "end", "x"), "pattern", "x").limit(sample).select("pattern", "x").collect()
+    model = spark.sparkContext.broadcast(fit_spans([r["x"] for r in some], np.array([soft[r["pattern"]] for r in some])))
 
     @F.arrow_udf("array<boolean>")
     def kept(found: pa.Array) -> pa.Array:
