@@ -139,7 +139,9 @@ def q_barriers(spark, sf):
 
 def q_labels(spark, sf):
     """The labels table by volatility-scaled events."""
-    return _labelled(spark, sf)
+    out = _labelled(spark, sf)
+    exact = ("ret", "sigma", "pt_level", "sl_level", "sample_weight")
+    return out.select(*[c for c in out.columns if c not in exact], *_round(out, exact))
 
 
 def _toy(spark, sf):

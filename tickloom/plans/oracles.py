@@ -153,6 +153,27 @@ select l.symbol, l.time, label, case label when 1 then 'pt' when -1 then 'sl' el
        {out({'ret': 'case label when 1 then 1.3 * 0.02 * sqrt(12) when -1 then -0.7 * 0.02 * sqrt(12) else drift end', 'pt_level': 'pt_level', 'sl_level': 'sl_level', 'sample_weight': 'least(sample_weight, 1.0)'})}
 from lab l join w using (symbol, idx)"""
 
+_WIDE = "sigma * sqrt(12)"
+LABELS = f"""with recursive {LOGRET},
+    sg as (select symbol, idx, 0.0::double x, 0.0::double xx, 0.0::double s1, 0.0::double s2 from lr where idx = 0
+           union all
+           select n.symbol, n.idx, n.r + {_D!r} * s.x, n.r * n.r + {_D!r} * s.xx, 1 + {_D!r} * s.s1, 1 + {_D * _D!r} * s.s2 from sg s join lr n on n.symbol = s.symbol and n.idx = s.idx + 1),
+    v as (select lr.*, case when idx >= 2 then sqrt(greatest(xx / s1 - (x / s1) * (x / s1), 0) * s1 * s1 / (s1 * s1 - s2)) end sigma from lr join sg using (symbol, idx)),
+    cs as (select symbol, idx, 0.0::double up, 0.0::double dn, false fired from v where idx = 0
+           union all
+           select symbol, idx, case when d >= -bar and u > bar then 0.0 else u end, case when d < -bar then 0.0 else d end, d < -bar or u > bar
+           from (select n.symbol, n.idx, greatest(0, s.up + n.r) u, least(0, s.dn + n.r) d, case when sigma > 0 then {_WIDE} else 1e300 end bar from cs s join v n on n.symbol = s.symbol and n.idx = s.idx + 1)),
+    z as (select symbol, max(idx) n from v group by symbol),
+    e as (select v.symbol, v.idx, time, close c0, sigma, close * exp({_WIDE}) pt_level, close * exp(-{_WIDE}) sl_level from cs join v using (symbol, idx) join z on v.symbol = z.symbol where fired and v.idx + 12 <= n and sigma > 0),
+    h as (select e.symbol, e.idx, min(case when y.low <= sl_level or y.high >= pt_level then y.idx end) hit, max(y.idx) last from e join v y on y.symbol = e.symbol and y.idx between e.idx + 1 and e.idx + 12 group by 1, 2),
+    lab as (select e.*, coalesce(hit, last) touch_idx, k.time touch_time, f.time t1, case when hit is null then 0 when k.low <= sl_level then -1 else 1 end::smallint label, ln(f.close / c0) drift
+            from e join h using (symbol, idx) join v k on k.symbol = e.symbol and k.idx = coalesce(hit, last) join v f on f.symbol = e.symbol and f.idx = last),
+    open as (select y.symbol, y.idx, count(l.idx) c from v y left join lab l on l.symbol = y.symbol and y.idx between l.idx and l.touch_idx group by 1, 2),
+    w as (select l.symbol, l.idx, avg(1.0::double / c) sample_weight from lab l join open o on o.symbol = l.symbol and o.idx between l.idx and l.touch_idx group by 1, 2)
+select l.symbol, l.time, label, 1.0::double pt_mult, 1.0::double sl_mult, 12 horizon_bars, t1, touch_time, case label when 1 then 'pt' when -1 then 'sl' else 'vertical' end touch_barrier,
+       {out({'ret': f'case label when 1 then {_WIDE} when -1 then -{_WIDE} else drift end', 'sigma': 'sigma', 'pt_level': 'pt_level', 'sl_level': 'sl_level', 'sample_weight': 'least(sample_weight, 1.0)'})}
+from lab l join w using (symbol, idx)"""
+
 TOY = f"""{barrier_sql(1.0, 1.0, 12)},
     f as (select symbol, time, idx, ln(close / {LAG('close')}) ret_1, ln(close / open) ret_co, {full('avg', 'volume', 5)} / {full('avg', 'volume', 30)} volume_ratio_5_30 from bi),
     ok as (select *, coalesce(isfinite(ret_1) and isfinite(ret_co) and isfinite(volume_ratio_5_30), false) fin from f),
@@ -216,7 +237,7 @@ select o.key, o.account, o.symbol, m.mark, n_nationkey * 1000.0::double equity,
 from o join nation on n_nationkey = o.account left join h on h.account = o.account and h.symbol = o.symbol left join m on m.symbol = o.symbol left join e on e.account = o.account"""
 
 ORACLES: dict[str, str] = {
-    "latest_windows": LATEST_WINDOWS, "labelled_events": LABELLED_EVENTS, "risk_state": RISK_STATE,
+    "labels": LABELS, "latest_windows": LATEST_WINDOWS, "labelled_events": LABELLED_EVENTS, "risk_state": RISK_STATE,
     "numbered_orders": "select o_orderdate::timestamp as time, o_orderpriority as symbol, lpad(o_orderkey::varchar, 12, '0') intent, row_number() over (order by o_orderdate, o_orderpriority, lpad(o_orderkey::varchar, 12, '0')) + 1000 order_id from orders",
     "bars": f"with {BARS} select * from b", "features_returns": RETURNS, "features_volatility": VOLATILITY, "features_volume": VOLUME, "features_microstructure": MICRO, "features_bands": BANDS, "features_temporal": TEMPORAL,
     "features_recursive": RECURSIVE, "features_adx": ADX, "features_all": ALL, "filled_rates": FILLED, "features_book": BOOK, "features_funding": FUNDING, "features_cross": CROSS, "asof_join": ASOF, "cusum_events": CUSUM, "triple_barrier": BARRIERS,
