@@ -347,13 +347,13 @@ def q_numbered(spark, sf):
 def q_risk_state(spark, sf):
     """Suppliers' orders with the exposure of their nation, whose positions are its customers' balances by segment."""
     c = table(spark, sf, "customer")
-    held = c.groupBy(F.col("c_nationkey").alias("account"), F.col("c_mktsegment").alias("symbol")).agg((F.sum(F.col("c_acctbal").cast("double")) / 1000).alias("position"))
+    held = c.groupBy(F.col("c_nationkey").alias("account"), F.col("c_mktsegment").alias("symbol")).agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / 1000).alias("position"))
     marks = c.select(F.col("c_mktsegment").alias("symbol")).distinct().filter("symbol <> 'BUILDING'").withColumn("mark", F.length("symbol").cast("double"))
     accounts = table(spark, sf, "nation").select(F.col("n_nationkey").alias("account"), (F.col("n_nationkey") * 1000.0).alias("equity"), F.lit(0.0).alias("daily_pnl"), F.col("n_regionkey").alias("open_orders"), (F.col("n_nationkey") == 3).alias("kill_switch"))
     names = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE")])
     orders = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("account"), F.get(names, (F.col("s_suppkey") % 6).cast("int")).alias("symbol"))
     out = decision.risk_state(orders, held, marks, accounts)
-    return out.select("key", "account", "symbol", "mark", "equity", "open_orders", "kill_switch", *_round(out, ("position", "exposure"), digits=4))
+    return out.select("key", "account", "symbol", "mark", "equity", "open_orders", "kill_switch", *_round(out, ("position", "exposure")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -231,9 +231,9 @@ LATEST_WINDOWS = f"""with {BARS}, f as (select symbol, time, ln(close / {LAG('cl
     g as (select symbol, max(time) as time, count(*) = 40 and bool_and(fin) ok, max_by(ret_1, time) r from l group by symbol)
 select symbol, time, case when ok then 40 else 0 end::integer n, case when ok then round(r::float::double, 5) + 0.0 end last_ret from g"""
 LABELLED_EVENTS = f"with {TOY} select l.symbol, f.idx e_idx, l.time, l.t1, l.label, 1.0::double weight from lab l join f on f.symbol = l.symbol and f.time = l.time"
-RISK_STATE = """with h as (select c_nationkey account, c_mktsegment as symbol, sum(c_acctbal::double) / 1000 pos from customer group by all), m as (select distinct c_mktsegment as symbol, length(c_mktsegment)::double mark from customer where c_mktsegment <> 'BUILDING'),
+RISK_STATE = """with h as (select c_nationkey account, c_mktsegment as symbol, sum(c_acctbal::decimal(18,2))::double / 1000 pos from customer group by all), m as (select distinct c_mktsegment as symbol, length(c_mktsegment)::double mark from customer where c_mktsegment <> 'BUILDING'),
     e as (select account, sum(abs(pos) * mark) x from h join m using (symbol) group by 1), o as (select s_suppkey as key, s_nationkey account, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'NONE'][s_suppkey % 6 + 1] as symbol from supplier)
-select o.key, o.account, o.symbol, m.mark, n_nationkey * 1000.0::double equity, n_regionkey open_orders, n_nationkey = 3 kill_switch, round(coalesce(h.pos, 0), 4) + 0.0 as position, round(coalesce(x, 0), 4) + 0.0 exposure
+select o.key, o.account, o.symbol, m.mark, n_nationkey * 1000.0::double equity, n_regionkey open_orders, n_nationkey = 3 kill_switch, round(coalesce(h.pos, 0), 6) + 0.0 as position, round(coalesce(x, 0), 6) + 0.0 exposure
 from o join nation on n_nationkey = o.account left join h on h.account = o.account and h.symbol = o.symbol left join m on m.symbol = o.symbol left join e on e.account = o.account"""
 
 ORACLES: dict[str, str] = {
