@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import recursive as R
 from tickloom.operators import features as O
 from tickloom.operators.asof import asof_join
 from tickloom.schemas import FEATURE_NAMES
@@ -89,7 +90,7 @@ def test_tail_of_bulk_equals_buffer(bulk, at_module):
 
 def test_chunks_equal_whole(bulk):
     bars, whole = bulk
-    cut = O.compute_features(bars, chunk_seconds=86400).toPandas().sort_values(["symbol", "time"], ignore_index=True)
+    cut = O.compute_features(bars, rows=4500).toPandas().sort_values(["symbol", "time"], ignore_index=True)
     all_ = whole.toPandas().sort_values(["symbol", "time"], ignore_index=True)
     assert len(cut) == len(all_)
     for n in FEATURE_NAMES:
@@ -134,7 +135,7 @@ def test_numpy_pass_equals_windows(spark):
     s = Series()
     windows = O.bands(O.microstructure(O.volumes(O.volatilities(O.returns(odd, s), s), s), s), s)
     want = O.recursions(windows).join(O.cross_features(windows), ["symbol", "time"], "left").toPandas().sort_values(["symbol", "time"], ignore_index=True)
-    for chunk in (0, 200 * 3600):
+    for chunk in (50_000, 4100):
         got = O.series_features(odd, chunk).toPandas().sort_values(["symbol", "time"], ignore_index=True)
         assert len(got) == len(want) and (got.time == want.time).all()
         for n in (*O.FROM_BARS, *O.FROM_OTHER):
@@ -142,7 +143,79 @@ def test_numpy_pass_equals_windows(spark):
             assert np.allclose(a, b, rtol=1e-9, atol=1e-12, equal_nan=True), (n, chunk)
 
 
-def test_long_series_are_cut(spark, monkeypatch):
-    df = spark.range(1000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 300).alias("time"))
-    assert O.chunk_seconds_of(df) == 0 and O.chunk_seconds_of(df.limit(0)) == 0
-    assert 99 * 300 <= O.chunk_seconds_of(df, 100) <= 101 * 300
+@pytest.mark.parametrize("rows", [3, 50, 999, 50_000])
+def test_recursions_by_chunks(spark, at_module, rows):
+    """One symbol in many chunks, the other in few; extra columns go through."""
+    n = 150 if rows == 3 else 2300
+    bars = make_bars(spark, at_module, n).filter((F.col("symbol") == "BTC") | (F.col("time") < at_module(40))).withColumn("chunk", F.lit("x"))
+    got = O.recursions(bars.drop("chunk"), rows=rows).toPandas().sort_values(["symbol", "time"], ignore_index=True)
+    assert len(got) == n + 40 and got.groupby("symbol")["rows"].first().tolist() == [n, 40]
+    for _, one in got.groupby("symbol"):
+        assert one.idx.tolist() == list(range(len(one)))
+        want = R.recursive_arrays(*(one[c].to_numpy() for c in ("high", "low", "close")))
+        for k in R.RECURSIVE:
+            assert np.allclose(one[k].astype(float), want[k], rtol=1e-9, atol=1e-10, equal_nan=True), k
+
+
+def test_hot_key_of_the_asof_join_is_spread(spark, at_module):
+    """One symbol over many days: the same rows as by whole keys, with matches several buckets back, in many groups."""
+    left = spark.range(4000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(1_767_225_600 + F.col("id") * 700).alias("time"), "id")
+    right = spark.range(300).filter("id < 40 or id > 200").select(F.lit("A").alias("symbol"), F.timestamp_seconds(1_767_225_600 + F.floor(F.col("id") / 2) * 9000 + 5).alias("time"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("x"), "id")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = key(asof_join(left, right.withColumnRenamed("id", "seq"), ["x"], tie=("seq",), bucket=None))
+    for bucket in (86_400, 3_600):
+        cut = asof_join(left, right.withColumnRenamed("id", "seq"), ["x"], tie=("seq",), bucket=bucket)
+        assert key(cut) == want
+        assert "_bucket" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sum(r[-1] is None for r in want) < len(want) and asof_join(left, right.limit(0), ["x"]).filter("x is null").count() == 4000
+
+
+def plain_book(rows, bar):
+    """Book features by loops over the snapshots of one symbol."""
+    rows, out = sorted(rows, key=lambda r: r[0]), {}
+    div = lambda a, b: math.nan if b == 0 and a == 0 else math.copysign(math.inf, a) if b == 0 else a / b
+    for k, (t, bp, bz, ap, az) in enumerate(rows):
+        start = t // bar * bar
+        end = start + bar
+        dwell = min(rows[k + 1][0] if k + 1 < len(rows) else end, end) - t
+        z = lambda side, i: side[i] if i < len(side) else 0.0
+        b5, a5 = sum(bz[:5]), sum(az[:5])
+        near, both = (sum((z(bz, i) + sign * z(az, i)) / (i + 1) for i in range(5)) for sign in (-1, 1))
+        state = {"obi_l1": div(z(bz, 0) - z(az, 0), z(bz, 0) + z(az, 0)), "obi_l5": div(b5 - a5, b5 + a5), "depth_ratio_5": div(b5, a5), "obi_weighted": div(near, both), "bid_slope": div(b5, bp[0] - bp[4]) if len(bp) > 4 else 0.0, "spread_bps": (ap[0] - bp[0]) / ((ap[0] + bp[0]) / 2) * 1e4 if bp and ap else 0.0}
+        flow = 0.0
+        if k:
+            _, bp0, bz0, ap0, az0 = rows[k - 1]
+            if bp and bp0:
+                flow += (z(bz, 0) if bp[0] >= bp0[0] else 0) - (z(bz0, 0) if bp[0] <= bp0[0] else 0)
+            if ap and ap0:
+                flow -= (z(az, 0) if ap[0] <= ap0[0] else 0) - (z(az0, 0) if ap[0] >= ap0[0] else 0)
+        have = out.setdefault(start, {"ofi": 0.0, "_w": 0.0} | dict.fromkeys(state, 0.0))
+        have["ofi"] += flow
+        have["_w"] += dwell
+        for n, v in state.items():
+            have[n] += v * dwell
+    return {t: {n: v if n == "ofi" else div(v, have["_w"]) for n, v in have.items() if n != "_w"} for t, have in out.items()}
+
+
+@pytest.mark.parametrize("bar", [300, 3600])
+def test_book_by_days_equals_loops(spark, bar):
+    """Snapshots over days, with sides that are short or empty; order flow crosses bars and days."""
+    rng = np.random.default_rng(5)
+    times = np.sort(rng.choice(4 * 86_400, 700, replace=False)) + 1_767_225_600
+    side = lambda sign, n: ([float(100 + sign * (1 + i) + rng.integers(0, 3)) for i in range(n)], [float(v) for v in rng.integers(1, 9, n)])
+    rows = {s: [(int(t), *side(-1, int(rng.integers(0, 12)) if k % 9 == 0 else 6), *side(1, int(rng.integers(0, 12)) if k % 11 == 0 else 6)) for k, t in enumerate(times)] for s in "AB"}
+    book = spark.createDataFrame([(s, *r) for s, some in rows.items() for r in some], "symbol string, s long, bid_px array<double>, bid_sz array<double>, ask_px array<double>, ask_sz array<double>").withColumn("time", F.timestamp_seconds("s"))
+    for chunk in (50_000, 70):
+        got = {(r.symbol, int(r.time.timestamp())): r for r in O.book_features(book, bar, chunk).withColumn("time", F.col("time")).collect()}
+        want = {(s, t): v for s, some in rows.items() for t, v in plain_book(some, bar).items()}
+        assert {(s, t - t % bar) for s, t in want} == {k for k in want} and len(got) == len(want)
+        zone = min(t for _, t in got) - min(t for _, t in want)  # collected times are those of the machine's zone
+        for (s, t), v in want.items():
+            for n, x in v.items():
+                assert math.isclose(got[s, t + zone][n], x, rel_tol=1e-9, abs_tol=1e-9) or (math.isnan(x) and math.isnan(got[s, t + zone][n])), (s, t, n)
+    series = O.book_features(book, bar).orderBy("symbol", "time").toPandas()
+    for _, one in series.groupby("symbol"):
+        x = one.spread_bps
+        assert np.allclose(one.spread_vol_30.astype(float), x.rolling(30).std(), equal_nan=True, atol=1e-9) and np.allclose(one.spread_z_60.astype(float), (x - x.rolling(60).mean()) / x.rolling(60).std(), equal_nan=True, atol=1e-9)
+    plan = O.book_bars(book, bar)._jdf.queryExecution().executedPlan().toString()
+    assert "_day" in plan and "Window" not in plan  # groups of a symbol and a day, and no order over a whole symbol

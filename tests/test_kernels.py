@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import carried as C
 from tickloom.functions import exprs as X
 from tickloom.functions import recursive as R
-from tickloom.functions.series import Series, latest, with_halo
+from tickloom.functions.series import Series, in_chunks, latest, numbered, running_sum
 from tickloom.schemas import FEATURE_CATEGORIES, FEATURE_NAMES, TABLES
 
 NAN = float("nan")
@@ -105,13 +106,70 @@ def test_latest(spark):
     assert sorted(map(tuple, latest(df).collect())) == [("A", 3), ("B", 2)]
 
 
-def test_halo_covers_look_back(spark):
-    rows = [("A", i * 60 + (10_000 if i > 40 else 0), i) for i in range(100)] + [("B", i * 600, i) for i in range(30)]
-    df = spark.createDataFrame(rows, "symbol string, s long, i int").withColumn("time", F.timestamp_seconds("s"))
-    got = with_halo(df, 900, 20)
-    own = got.filter("own").groupBy("symbol").count().collect()
-    assert {r.symbol: r["count"] for r in own} == {"A": 100, "B": 30}
+@pytest.mark.parametrize("rows", [20, 33, 1000])
+def test_halo_covers_look_back(spark, rows):
+    data = [("A", i * 60 + (200_000 if i > 40 else 0), i) for i in range(100)] + [("B", i * 9000, i) for i in range(30)]
+    df = spark.createDataFrame(data, "symbol string, s long, i int").withColumn("time", F.timestamp_seconds("s"))
+    got = in_chunks(numbered(df), 20, rows)
+    own = got.filter("own").select("symbol", "i", "idx", "rows").collect()
+    assert sorted((r.symbol, r.i, r.idx, r["rows"]) for r in own) == [*(("A", i, i, 100) for i in range(100)), *(("B", i, i, 30) for i in range(30))]
+    assert got.groupBy("symbol", "chunk").count().agg(F.max("count")).first()[0] <= rows + 20
     s = Series(("symbol", "chunk"))
     whole = {(r.symbol, r.i): r.v for r in df.select("symbol", "i", Series().sum("i", 21).alias("v")).collect()}
     cut = {(r.symbol, r.i): r.v for r in got.withColumn("v", s.sum("i", 21)).filter("own").collect()}
     assert cut == whole
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_running_sum(spark, rows):
+    df = spark.createDataFrame([(s, i, None if i % 5 == 3 else i) for s in "AB" for i in range(40)], "symbol string, idx long, x int")
+    got = {(r.symbol, r.idx): r.upto for r in running_sum(df, "x", "upto", rows=rows).collect()}
+    assert got == {(s, i): sum(k for k in range(i + 1) if k % 5 != 3) for s in "AB" for i in range(40)}
+
+
+def bars_of(n, flat=0, seed=0):
+    rng = np.random.default_rng(seed)
+    close = walk(n, seed)
+    close[:flat] = 100
+    before = np.concatenate([[100.0], close[:-1]])
+    high, low = np.maximum(close, before) * (1 + abs(rng.normal(0, 0.002, n))), np.minimum(close, before) * (1 - abs(rng.normal(0, 0.002, n)))
+    high[:flat] = low[:flat] = 100
+    return high, low, close
+
+
+@pytest.mark.parametrize("flat", [0, 5, 20, 40])
+def test_carried_state_equals_one_pass(flat):
+    """Chunks of any size, run from the state of the chunk before, give the features of the whole series."""
+    for n in (1, 2, 14, 15, 28, 29, 200):
+        high, low, close = bars_of(n, min(flat, n))
+        want = R.recursive_arrays(high, low, close)
+        for size in (1, 2, 3, 13, 14, 29, 64, 1000):
+            state, moments, ranged, index, maps, got = np.zeros(len(C.LINEAR)), C.Moments(), None, 0.0, [], {k: [] for k in C.CARRIED}
+            for a in range(0, n, size):
+                led = max(a - 1, 0)
+                part = C.Chunk(a, high[led : a + size], low[led : a + size], close[led : a + size])
+                for k, v in part.features(state, moments, ranged, index).items():
+                    got[k].append(v)
+                dx, at = part.direction(state, ranged)
+                index = C.rma_from(dx, at, index)[-1] if len(dx) else index
+                ranged = part.first_range() if ranged is None else ranged
+                maps.append(part.map())
+                state, moments = maps[-1][0] @ state + maps[-1][1], moments.then(C.Moments.of(part.ret))
+            _, states = C.prefix_maps(np.array([m for m, _ in maps]), np.array([b for _, b in maps]))
+            assert np.allclose(states[-1], state, rtol=1e-12, atol=1e-12)
+            for k in R.RECURSIVE:
+                assert np.allclose(np.concatenate(got[k]), want[k], rtol=1e-9, atol=1e-10, equal_nan=True), (n, size, k)
+
+
+def test_prices_must_be_positive():
+    with pytest.raises(ValueError, match="positive"):
+        C.Chunk(0, np.ones(2), np.ones(2), np.array([1.0, 0.0]))
+
+
+def test_maps_compose_in_any_grouping():
+    rng = np.random.default_rng(1)
+    a, b, c = ((rng.normal(size=(3, 3)), rng.normal(size=3)) for _ in range(3))
+    left, right = C.compose(C.compose(a, b), c), C.compose(a, C.compose(b, c))
+    assert np.allclose(left[0], right[0]) and np.allclose(left[1], right[1])
+    m, v = C.prefix_maps(*(np.array(x) for x in zip(a, b, c, strict=True)))
+    assert np.allclose(m[-1], left[0]) and np.allclose(v[-1], left[1])

@@ -19,6 +19,22 @@ def test_cusum(spark, moves, bars, want):
     assert sorted(r.idx for r in L.cusum_events(df).collect()) == want
 
 
+@pytest.mark.parametrize("rows", [1, 2, 7, 40, 1000])
+def test_cusum_by_chunks(spark, rows):
+    """Cuts at every place: chunks that are run from guessed states give the events of one run over the series."""
+    rng, data, want = np.random.default_rng(4), [], set()
+    kinds = {"A": (rng.normal(0, 0.01, 150), np.full(150, 0.03)), "drift": (np.full(40, 0.001), np.full(40, 0.0155)), "gaps": (np.where(rng.random(90) < 0.1, NAN, rng.normal(0, 0.02, 90)), np.where(rng.random(90) < 0.3, NAN, 0.02)), "never": (np.full(30, 0.01), np.zeros(30))}
+    for symbol, (moves, bars) in kinds.items():
+        state = L.Cusum()
+        for i, (m, b) in enumerate(zip(moves, bars, strict=True)):
+            data.append((symbol, i, float(m), float(b)))
+            if state.step(m, b):
+                want.add((symbol, i))
+    df = spark.createDataFrame(data, "symbol string, idx long, ret double, threshold double").repartition(3)
+    assert {tuple(r) for r in L.cusum_events(df, rows=rows).collect()} == want and len(want) > 20
+    assert L.cusum_events(df.limit(0), rows=rows).count() == 0
+
+
 def path(spark, at, n=6, sigma=0.01, **cells):
     rows = [["A", k, at(k), 100.0, 100.0, 100.0, sigma] for k in range(n)]
     for name, (k, v) in cells.items():

@@ -64,9 +64,6 @@ class Series:
         both = _c(x) * _c(y)
         return fdiv(self.full(n, both, F.covar_pop(_c(x), _c(y))), F.sqrt(self.full(n, both, F.var_pop(_c(x))) * self.full(n, both, F.var_pop(_c(y)))))
 
-    def cumsum(self, x) -> Column:
-        return F.sum(_c(x)).over(self.spec.rowsBetween(Window.unboundedPreceding, 0))
-
 
 def latest(df: DataFrame, by: Sequence[str] = ("symbol",), order: Sequence[str] = ("time",), n: int = 1) -> DataFrame:
     """The last n rows of each key by `order`; one pass with a map-side limit."""
@@ -74,18 +71,42 @@ def latest(df: DataFrame, by: Sequence[str] = ("symbol",), order: Sequence[str]
     return df.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_place")
 
 
-def with_halo(df: DataFrame, seconds: int, halo: int, by: str = "symbol", time: str = "time") -> DataFrame:
-    """Cut long series into time chunks, each led by at least `halo` rows of the chunks before it.
+DAY = 86_400
+#: Rows of one chunk of a long series.
+ROWS_A_CHUNK = 50_000
+
+
+def numbered(df: DataFrame, by: Sequence[str] = ("symbol",), time: str = "time", tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
+    """`df` with idx, the place of a row in its series from 0, and rows, the length of the series.
+
+    Rows are numbered within time buckets of `seconds`, after the rows of the buckets before, which come from one count a
+    bucket: no task orders more than a bucket of a series.
+    """
+    cut = df.withColumn("_bucket", F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long"))
+    whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    before = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select(*by, "_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("rows"))
+    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(time, *tie)) - 1
+    return cut.withColumn("_place", place).join(before, [*by, "_bucket"]).withColumn("idx", (F.col("_before") + F.col("_place")).cast("long")).drop("_bucket", "_before", "_place")
+
+
+def in_chunks(df: DataFrame, halo: int, rows: int = ROWS_A_CHUNK, idx: str = "idx") -> DataFrame:
+    """Numbered rows with chunk and own: runs of `rows` rows of a series, each led by the `halo` rows before it (own is false).
 
-    Adds `chunk` and `own` (false for the leading copies).  Kernels that look back less than `halo` rows give the same
-    results on (by, chunk) as on the whole series, in groups of bounded size; keep the rows with `own` afterwards.
+    Kernels that look back up to `halo` rows give the same results on (series, chunk) as on the whole series, in groups of
+    bounded size; keep the rows with `own` afterwards.
     """
-    cut = df.withColumn("chunk", F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long"))
-    sizes = cut.groupBy(by, "chunk").agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy(by).orderBy("chunk")
-    sizes = sizes.withColumn("upto", F.sum("rows").over(w))
-    # A later chunk needs this one if fewer than `halo` rows lie between them.
-    later = sizes.select(F.col(by).alias("_by"), F.col("chunk").alias("to"), (F.col("upto") - F.col("rows")).alias("start"))
-    need = sizes.join(later, (F.col(by) == F.col("_by")) & (F.col("to") > F.col("chunk")) & (F.col("start") - F.col("upto") < halo)).select(by, "chunk", "to")
-    copies = cut.join(need, [by, "chunk"]).withColumn("chunk", F.col("to")).drop("to").withColumn("own", F.lit(False))
-    return cut.withColumn("own", F.lit(True)).unionByName(copies)
+    rows = max(rows, halo, 1)
+    at = F.floor(F.col(idx) / rows).cast("long")
+    chunks = F.when(F.col(idx) % rows >= rows - halo, F.array(at, at + 1)).otherwise(F.array(at)) if halo else F.array(at)
+    return df.withColumn("chunk", F.explode(chunks)).withColumn("own", F.col("chunk") == at)
+
+
+def running_sum(df: DataFrame, x, out: str, by: Sequence[str] = ("symbol",), idx: str = "idx", rows: int = ROWS_A_CHUNK) -> DataFrame:
+    """`df` with `out`, the sum of x up to and with each row by idx: sums within chunks after the sums of the chunks before."""
+    cut = df.withColumns({"_chunk": F.floor(F.col(idx) / rows).cast("long"), "_x": F.coalesce(_c(x), F.lit(0))})
+    upto = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    before = cut.groupBy(*by, "_chunk").agg(F.sum("_x").alias("_sum")).select(*by, "_chunk", (F.sum("_sum").over(upto) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_x").over(Window.partitionBy(*by, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_inside", inside).join(before, [*by, "_chunk"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_chunk", "_x", "_inside", "_before")

@@ -9,16 +9,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import carried as C
 from ..functions.bar_series import FROM_BARS, FROM_FUNDING, FROM_OTHER, bar_arrays, funding_arrays, other_arrays
+from ..functions.book_series import BEST, LEVELS, PRICED, STATES, bar_sums, levels, quote
 from ..functions.exprs import day_cycle, fdiv, finite_or_null, flog
-from ..functions.recursive import HALO, RECURSIVE, recursive_features
-from ..functions.series import Series, with_halo
-from ..schemas import FEATURE_CATEGORIES, FEATURE_NAMES, RET_HORIZONS
+from ..functions.recursive import HALO
+from ..functions.series import DAY, ROWS_A_CHUNK, Series, in_chunks, numbered
+from ..schemas import BAR_SECONDS, FEATURE_CATEGORIES, FEATURE_NAMES, RET_HORIZONS
 from .asof import asof_join
 
-BOOK_STATES = (*FEATURE_CATEGORIES["obi"], "spread_bps")
-BOOK_FEATURES = (*BOOK_STATES, "spread_z_60", "spread_vol_30", "ofi")
+BOOK_FEATURES = (*STATES, "spread_z_60", "spread_vol_30", "ofi")
 FUNDING_FEATURES, CROSS_FEATURES = FEATURE_CATEGORIES["funding_oi"], FEATURE_CATEGORIES["cross_asset"]
 
 
@@ -70,59 +73,108 @@ def bands(df: DataFrame, s: Series) -> DataFrame:
     return df.drop("_m", "_s", "_lo", "_hi")
 
 
-def recursions(df: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Volatility, RSI, MACD, ATR and ADX of each series, by grouped tasks on the columns they need.
-
-    NaN warm-up comes back as null.
-    """
-    import pandas as pd
-
-    narrow = df.select(*by, "time", "high", "low", "close")
-    types = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in (*by, "time")), *(f"{c} double" for c in RECURSIVE)])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return recursive_features(group)[[*by, "time", *RECURSIVE]]
-
-    found = narrow.groupBy(*by).applyInPandas(run, schema)
-    return df.join(found.select(*by, "time", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in RECURSIVE]), [*by, "time"], "left")
-
-
-#: Bars of one chunk of a long series, and numbers a bar has on its way to the kernel.
-ROWS_A_CHUNK = 50_000
 BAR, OTHER = 0, 1
 _NUMBERS = ("open", "high", "low", "close", "volume", "trades", "_rate", "_interest")
+_STATE = "matrix array<double>, vector array<double>, n long, mean double, square double, ranged long"
 
 
-def chunk_seconds_of(bars: DataFrame, rows: int = ROWS_A_CHUNK) -> int:
-    """Seconds of chunks that hold about `rows` bars of the longest series; 0 where no series is longer."""
-    each = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.unix_seconds(F.max("time")) - F.unix_seconds(F.min("time")) + 1).alias("span"))
-    most = each.agg(F.max(F.struct("n", "span")).alias("m")).select("m.*").first()
-    return 0 if not most["n"] or most["n"] <= rows else max(1, int(most["span"] * rows / most["n"]))
+def recursions(df: DataFrame, by: tuple[str, ...] = ("symbol",), rows: int = ROWS_A_CHUNK) -> DataFrame:
+    """`df` with CARRIED: log return, volatility, RSI, MACD, ATR and ADX of each series, with idx and rows (place and length).
+
+    Series are cut into chunks of `rows` rows.  Every chunk but the last of a series gives the map of the linear state and
+    the moments of its returns; one scan over the chunks of a series turns them into the state at the start of each; the
+    averaged directional index, which needs those states, has a second such scan.  Then every chunk is run from its true
+    state.  A task holds one chunk; a series of one chunk takes a single pass.  NaN warm-up is null.
+    """
+    cut = in_chunks(numbered(df, by), 1, rows)
+    keys, kinds = [*by, "chunk"], {f.name: f.dataType.simpleString() for f in cut.schema}
+    names = ", ".join(f"{c} {kinds[c]}" for c in by)
+    followed = cut.filter(F.col("chunk") < F.floor((F.col("rows") - 1) / rows)).select(*keys, "idx", "high", "low", "close", "own")
+
+    def chunk_of(group: pa.Table) -> C.Chunk:
+        idx = group.column("idx").to_numpy()
+        return C.Chunk(int(idx[0]) + (0 if group.column("own")[0].as_py() else 1), *(_numbers(group, c) for c in ("high", "low", "close")))
+
+    def one(group: pa.Table, values: dict) -> pa.Table:
+        return pa.table({k: group.column(k).slice(0, 1) for k in keys} | {k: pa.array([v]) for k, v in values.items()})
+
+    def first_pass(group: pa.Table) -> pa.Table:
+        part = chunk_of(group.sort_by("idx"))
+        (m, b), seen, ranged = part.map(), C.Moments.of(part.ret), part.first_range()
+        return one(group, {"matrix": m.ravel().tolist(), "vector": b.tolist(), "n": seen.n, "mean": seen.mean, "square": seen.square}).append_column("ranged", pa.array([ranged], pa.int64()))
+
+    def scan(group: pa.Table) -> pa.Table:
+        """From the maps of a series' chunks the state at the start of the chunk after each."""
+        group, k = group.sort_by("chunk"), len(C.LINEAR)
+        m, b = (np.array(group.column(c).to_pylist()) for c in ("matrix", "vector"))
+        _, states = C.prefix_maps(m.reshape(-1, k, k), b)
+        seen, first, moments, ranged = C.Moments(), None, [], []
+        for n, mean, square, at in zip(*(group.column(c).to_pylist() for c in ("n", "mean", "square", "ranged")), strict=True):
+            seen, first = seen.then(C.Moments(n, mean, square)), at if first is None else first
+            moments.append(seen)
+            ranged.append(first)
+        return pa.table({k: group.column(k) for k in by} | {
+            "chunk": pc.add(group.column("chunk"), 1), "vector": pa.array(states.tolist(), pa.list_(pa.float64())), "n": pa.array([v.n for v in moments], pa.int64()), "mean": pa.array([v.mean for v in moments]),
+            "square": pa.array([v.square for v in moments]), "ranged": pa.array(ranged, pa.int64()),
+        })
+
+    def state_of(table: pa.Table) -> tuple[np.ndarray, C.Moments, int | None]:
+        if not table.num_rows:
+            return np.zeros(len(C.LINEAR)), C.Moments(), None
+        row = table.slice(0, 1).to_pylist()[0]
+        return np.array(row["vector"]), C.Moments(row["n"], row["mean"], row["square"]), row["ranged"]
+
+    def second_pass(group: pa.Table, state: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({k: state.column(k).slice(0, 0) for k in keys} | {"decay": pa.array([], pa.float64()), "add": pa.array([], pa.float64())})
+        vector, _, ranged = state_of(state)
+        dx, at = chunk_of(group.sort_by("idx")).direction(vector, ranged)
+        return one(group, {"decay": C._rma_decay(len(dx), at) if len(dx) else 1.0, "add": float(C.rma_from(dx, at, 0.0)[-1]) if len(dx) else 0.0})
+
+    def scan_index(group: pa.Table) -> pa.Table:
+        group, z, out = group.sort_by("chunk"), 0.0, []
+        for decay, add in zip(group.column("decay").to_pylist(), group.column("add").to_pylist(), strict=True):
+            z = decay * z + add
+            out.append(z)
+        return pa.table({k: group.column(k) for k in by} | {"chunk": pc.add(group.column("chunk"), 1), "index": pa.array(out)})
+
+    def last_pass(group: pa.Table, state: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return out_schema.empty_table()
+        group = group.sort_by("idx")
+        part, (vector, moments, ranged) = chunk_of(group), state_of(state)
+        found = part.features(vector, moments, ranged, state.column("index")[0].as_py() if state.num_rows else 0.0)
+        group = group.slice(0 if part.first else 1)
+        return pa.table([*(group.column(c) for c in kept), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in C.CARRIED)], [*kept, *C.CARRIED])
+
+    maps = followed.groupBy(*keys).applyInArrow(first_pass, f"{names}, chunk long, {_STATE}")
+    states = maps.groupBy(*by).applyInArrow(scan, f"{names}, chunk long, vector array<double>, n long, mean double, square double, ranged long")
+    indices = followed.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(second_pass, f"{names}, chunk long, decay double, add double")
+    states = states.join(indices.groupBy(*by).applyInArrow(scan_index, f"{names}, chunk long, index double"), keys)
+    kept = [c for c in cut.columns if c not in ("chunk", "own", *C.CARRIED)]
+    schema = T.StructType([*(cut.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in C.CARRIED)])
+    out_schema = to_arrow_schema(schema)
+    return cut.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(last_pass, schema)
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy(zero_copy_only=False).astype(float)
 
 
-def series_features(bars: DataFrame, chunk_seconds: int | None = None, funding: bool = False) -> DataFrame:
+def series_features(bars: DataFrame, rows: int = ROWS_A_CHUNK, funding: bool = False) -> DataFrame:
     """(symbol, time, features) that bars give: their own, those of the funding known at each (columns _rate and
     _interest), and those against the first other symbol.
 
-    Each series is one group of one numpy pass, with the other symbol's bars beside it.  Series of more than
-    ROWS_A_CHUNK bars are cut into time chunks with a halo longer than any look-back, so no task holds a whole one;
-    `chunk_seconds` sets the chunks, 0 for none.  Values that are missing or not numbers come back as null.
+    A series is worked on in one numpy pass, with the other symbol's bars beside it, in chunks of `rows` rows of both.  The
+    2 * HALO rows before lead a chunk: look-backs are at most 300 rows, and older values weigh below 1e-15 in every
+    recursion (`recursions` carries them exactly).  Values that are missing or not numbers come back as null.
     """
-    chunk_seconds = chunk_seconds_of(bars) if chunk_seconds is None else chunk_seconds
     missing = [F.lit(None).cast("double").alias(c) for c in ("_rate", "_interest")]
     own = bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in _NUMBERS[:6]], *(_NUMBERS[6:] if funding else missing), F.lit(BAR).alias("_kind"))
     beside = other_symbols(bars).withColumnsRenamed({"symbol": "_mine", "other": "symbol"})
     others = bars.select("symbol", "time", F.col("close").cast("double").alias("close")).join(beside, "symbol").select(F.col("_mine").alias("symbol"), "time", "close", F.lit(OTHER).alias("_kind"))
-    rows, by = own.unionByName(others, allowMissingColumns=True), ["symbol"]
-    if chunk_seconds:
-        rows, by = with_halo(rows, chunk_seconds, 2 * HALO), ["symbol", "chunk"]
-    else:
-        rows = rows.withColumn("own", F.lit(True))
+    both = numbered(own.unionByName(others, allowMissingColumns=True), tie=("_kind",))
+    rows, by = in_chunks(both, 2 * HALO, rows), ["symbol", "chunk"]
     names = (*FROM_BARS, *(FROM_FUNDING if funding else ()), *FROM_OTHER)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -140,46 +192,45 @@ def series_features(bars: DataFrame, chunk_seconds: int | None = None, funding:
     return rows.groupBy(*by).applyInArrow(run, ", ".join([f"symbol {kinds['symbol']}", f"time {kinds['time']}", *(f"{n} double" for n in names)]))
 
 
-def book_states(book: DataFrame, bar: str = "5 minutes", seconds: int = 300) -> DataFrame:
-    """Per snapshot: bar, dwell seconds within it, state features and the order-flow increment.
+def book_bars(book: DataFrame, bar: int = BAR_SECONDS) -> DataFrame:
+    """What each bar of `bar` seconds keeps of its snapshots: states weighted by dwell, order flow within the bar, the best
+    quotes of its first and last snapshot.
 
-    Prices past the end of a side are null, sizes 0.  The last snapshot dwells to the end of its bar.
+    Snapshots are grouped by symbol and day (whole bars), so that the dwell of each is known within its group.
     """
-    s = Series()
-    px = lambda side, i: F.get(f"{side}_px", F.lit(i))
-    sz = lambda side, i: F.coalesce(F.get(f"{side}_sz", F.lit(i)), F.lit(0.0))
-    top = lambda side, n: F.aggregate(F.slice(F.transform(f"{side}_sz", lambda v: F.coalesce(v, F.lit(0.0))), 1, n), F.lit(0.0), lambda a, b: a + b)
-    b0, a0, bs, as_ = px("bid", 0), px("ask", 0), sz("bid", 0), sz("ask", 0)
-    mid = (b0 + a0) / 2
-    near, both = F.lit(0.0), F.lit(0.0)
-    for i in range(5):
-        near, both = near + (sz("bid", i) - sz("ask", i)) / F.lit(i + 1.0), both + (sz("bid", i) + sz("ask", i)) / F.lit(i + 1.0)
-    df = book.withColumns({"bar": F.window("time", bar)["start"], "_b5": top("bid", 5), "_a5": top("ask", 5), "_b10": top("bid", 10), "_a10": top("ask", 10), "_b0": b0, "_a0": a0, "_bs": bs, "_as": as_, "_next": s.lead("time")})
-    ends = F.unix_micros("bar") + F.lit(seconds * 1_000_000)
-    dwell = (F.least(F.coalesce(F.unix_micros("_next"), ends), ends) - F.unix_micros("time")) / F.lit(1e6)
-    df = df.withColumns({
-        "dwell": F.greatest(dwell, F.lit(0.0)), "obi_l1": fdiv(bs - as_, bs + as_), "obi_l5": fdiv(F.col("_b5") - F.col("_a5"), F.col("_b5") + F.col("_a5")), "obi_l10": fdiv(F.col("_b10") - F.col("_a10"), F.col("_b10") + F.col("_a10")),
-        "bid_depth_5_log": F.log1p("_b5"), "ask_depth_5_log": F.log1p("_a5"), "depth_ratio_5": fdiv("_b5", "_a5"), "obi_weighted": fdiv(near, both), "microprice_dev": fdiv(fdiv(b0 * as_ + a0 * bs, bs + as_) - mid, mid),
-        "bid_slope": fdiv("_b5", b0 - px("bid", 4)), "ask_slope": fdiv("_a5", px("ask", 4) - a0), "spread_bps": fdiv(a0 - b0, mid) * 1e4, "ofi_inc": order_flow(s),
-    })
-    return df.drop("_b5", "_a5", "_b10", "_a10", "_b0", "_a0", "_bs", "_as", "_next")
+    sizes = lambda c: F.slice(F.col(c), 1, LEVELS).alias(c)
+    at = lambda side, i: F.get(f"{side}_px", F.lit(i)).cast("double").alias(f"{side[0]}{i}")
+    length = -(-DAY // bar) * bar
+    rows = book.select("symbol", "time", F.floor(F.unix_seconds("time") / F.lit(length)).cast("long").alias("_day"), *[at(side, i) for side in ("bid", "ask") for i in PRICED], sizes("bid_sz"), sizes("ask_sz"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    numbers = ("ofi", *STATES, *(f"{end}_{k}" for end in ("first", "last") for k in BEST))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("time")
+        found = bar_sums(group.column("time").cast(pa.timestamp("us", "UTC")).cast(pa.int64()).to_numpy(), levels(group.column("bid_sz")), levels(group.column("ask_sz")), {f"{s}{i}": quote(group.column(f"{s}{i}")) for s in "ba" for i in PRICED}, bar * 1_000_000)
+        time = pa.array(found["time"]).cast(pa.timestamp("us")).cast(group.schema.field("time").type)
+        return pa.table([group.column("symbol").take(pa.array(np.zeros(len(time), int))), time, *(pa.array(found[n]) for n in numbers)], ["symbol", "time", *numbers])
 
+    return rows.groupBy("symbol", "_day").applyInArrow(run, ", ".join([f"symbol {kinds['symbol']}", f"time {kinds['time']}", *(f"{n} double" for n in numbers)]))
 
-def order_flow(s: Series):
-    """Change of the best quotes against the snapshot before (of the symbol, in whichever bar); 0 for the first."""
-    was = {c: s.lag(c) for c in ("_b0", "_a0", "_bs", "_as")}
-    gain = lambda on, size: F.when(on, size).otherwise(0.0)
-    bid = gain(F.col("_b0") >= was["_b0"], F.col("_bs")) - gain(F.col("_b0") <= was["_b0"], was["_bs"])
-    ask = gain(F.col("_a0") <= was["_a0"], F.col("_as")) - gain(F.col("_a0") >= was["_a0"], was["_as"])
-    return bid - ask
 
+def book_features(book: DataFrame, bar: int = BAR_SECONDS, rows: int = ROWS_A_CHUNK) -> DataFrame:
+    """Per symbol and bar of `bar` seconds: states weighted by dwell (a missing state counts as 0), summed order flow against
+    the snapshot before (of the symbol, in whichever bar; 0 for the first), spread statistics on bars that have snapshots.
 
-def book_features(book: DataFrame, bar: str = "5 minutes", seconds: int = 300) -> DataFrame:
-    """Per symbol and bar: states weighted by dwell (a null state counts as 0), summed order flow, spread statistics on bars that have snapshots."""
-    weighted = lambda c: fdiv(F.coalesce(F.sum(F.col(c) * F.col("dwell")), F.lit(0.0)), F.sum("dwell"))
-    df = book_states(book, bar, seconds).groupBy("symbol", F.col("bar").alias("time")).agg(*[weighted(c).alias(c) for c in BOOK_STATES], F.coalesce(F.sum("ofi_inc"), F.lit(0.0)).alias("ofi"))
-    s = Series()
-    return df.withColumns({"spread_z_60": s.zscore("spread_bps", 60), "spread_vol_30": s.std("spread_bps", 30)}).select("symbol", "time", *BOOK_FEATURES)
+    Prices past the end of a side are missing, sizes 0.  Snapshots are read once, by symbol and day; the step from one bar
+    to the next and the rolling statistics look at one row a bar, in chunks led by the bars before.
+    """
+    cut = in_chunks(numbered(book_bars(book, bar)), 60, rows)
+    s = Series(("symbol", "chunk"), ("idx",))
+    was = {k: s.lag(f"last_{k}") for k in BEST}
+    gain = lambda on, size: F.when(on, size).otherwise(0.0)
+    step = lambda price, size, better, worse: gain(better(F.col(f"first_{price}"), was[price]), F.col(f"first_{size}")) - gain(worse(F.col(f"first_{price}"), was[price]), was[size])
+    at_least = lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a >= b)
+    at_most = lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a <= b)
+    flow = step("b0", "bs", at_least, at_most) - step("a0", "as", at_most, at_least)
+    df = cut.withColumns({"ofi": F.col("ofi") + flow, "spread_z_60": s.zscore("spread_bps", 60), "spread_vol_30": s.std("spread_bps", 30)})
+    return df.filter("own").select("symbol", "time", *BOOK_FEATURES)
 
 
 def funding_features(bars: DataFrame, funding: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -207,16 +258,16 @@ def cross_features(rets: DataFrame) -> DataFrame:
     return df.withColumns({"cross_corr_60": s.corr("_x", "_y", 60), "cross_beta_60": beta, "cross_ret_spread": F.col("_x") - F.col("_y")}).select("symbol", "time", *CROSS_FEATURES)
 
 
-def compute_features(bars: DataFrame, book: DataFrame | None = None, funding: DataFrame | None = None, chunk_seconds: int | None = None, finite: bool = False, bar: str = "5 minutes", seconds: int = 300, funding_tie: tuple[str, ...] = ()) -> DataFrame:
+def compute_features(bars: DataFrame, book: DataFrame | None = None, funding: DataFrame | None = None, rows: int = ROWS_A_CHUNK, finite: bool = False, seconds: int = BAR_SECONDS, funding_tie: tuple[str, ...] = ()) -> DataFrame:
     """[symbol, time, 58 features] for all symbols in one plan.
 
-    Of funding rows of one time the last by `funding_tie` counts.  `bar` and `seconds` are the length of the bars, into which book snapshots fall.  Missing inputs give null columns.  With `finite`, infinities become null too.
+    Of funding rows of one time the last by `funding_tie` counts.  `seconds` is the length of the bars, into which book snapshots fall.  Missing inputs give null columns.  With `finite`, infinities become null too.
     """
     if funding is not None:
         known = funding.select("symbol", "time", *funding_tie, F.col("funding_rate").alias("_rate"), F.col("open_interest").alias("_interest"))
         bars = asof_join(bars, known, ["_rate", "_interest"], tie=funding_tie)
-    df = series_features(bars, chunk_seconds, funding is not None).withColumns(day_cycle())
+    df = series_features(bars, rows, funding is not None).withColumns(day_cycle())
     if book is not None:
-        df = df.join(book_features(book, bar, seconds), ["symbol", "time"], "left")
+        df = df.join(book_features(book, seconds, rows), ["symbol", "time"], "left")
     df = df.withColumns({n: F.lit(None).cast("double") for n in FEATURE_NAMES if n not in df.columns})
     return df.select("symbol", "time", *[finite_or_null(n).alias(n) if finite else F.col(n) for n in FEATURE_NAMES])

@@ -12,11 +12,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import log_return, scale_to_horizon
-from ..functions.recursive import HALO, sigma
-from ..functions.series import Series, with_halo
+from ..functions.exprs import scale_to_horizon
+from ..functions.series import ROWS_A_CHUNK, running_sum
 from ..schemas import H_MULT, HORIZON, PT_MULT, SL_MULT
-from .features import chunk_seconds_of
+from ..sources.scratch import kept
+from .features import recursions
 
 
 class Cusum:
@@ -41,12 +41,92 @@ class Cusum:
         return False
 
 
-def cusum_events(df: DataFrame, move: str = "ret", bar: str = "threshold") -> DataFrame:
+#: Rounds in which chunks whose entry state was guessed wrong are run again, before what is left runs series by series.
+ROUNDS = 8
+
+
+def _path(up: float, down: float, moves: list[float], bars: list[float], at: int = 0) -> tuple[list[int], float, float]:
+    """(places of the events from `at` on, both sums at the end) of a run from a state."""
+    state, on = Cusum(), []
+    state.up, state.down = up, down
+    for k in range(at, len(moves)):
+        if state.step(moves[k], bars[k]):
+            on.append(k)
+    return on, state.up, state.down
+
+
+def _corrected(true: tuple[float, float], guess: tuple[float, float], moves: list[float], bars: list[float]) -> tuple[list[int], list[int], int]:
+    """Events of the true and of the guessed run up to where both have the same state, and that place (the end, if nowhere)."""
+    mine, other, on, off = Cusum(), Cusum(), [], []
+    (mine.up, mine.down), (other.up, other.down) = true, guess
+    for k in range(len(moves)):
+        if mine.up == other.up and mine.down == other.down:
+            return on, off, k
+        if mine.step(moves[k], bars[k]):
+            on.append(k)
+        if other.step(moves[k], bars[k]):
+            off.append(k)
+    return on, off, len(moves)
+
+
+def cusum_events(df: DataFrame, move: str = "ret", bar: str = "threshold", rows: int = ROWS_A_CHUNK) -> DataFrame:
     """(symbol, idx) of the rows at which the CUSUM filter fires, from (symbol, idx, move, bar).
 
-    Rows are sorted within partitions by symbol and streamed, so a task keeps two numbers a series.
+    Chunks of `rows` rows of a series run at once from a guessed entry, both sums at 0.  The guesses are then replaced by
+    the exits of the chunks before: a chunk is run again only to where its true state meets the guessed run (both are the
+    same after a reset or a bound at 0 of each sum), and keeps what it found from there on.  Where that changes its exit,
+    the next chunk has another round.  Series that are not settled after ROUNDS rounds are run as streams of sorted rows.
     """
-    narrow = df.select("symbol", "idx", F.col(move).alias("move"), F.col(bar).alias("bar"))
+    narrow = df.select("symbol", "idx", F.col(move).cast("double").alias("move"), F.col(bar).cast("double").alias("bar"), F.floor(F.col("idx") / rows).cast("long").alias("chunk"))
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    exits = f"symbol {kinds['symbol']}, chunk long, up double, down double, on array<bigint>"
+
+    def numbers(group: pa.Table) -> tuple[pa.Array, list[float], list[float]]:
+        group = group.sort_by("idx")
+        move, bar = (group.column(c).to_numpy(zero_copy_only=False).astype(float).tolist() for c in ("move", "bar"))
+        return group.column("idx").to_numpy(), move, bar
+
+    def answer(group: pa.Table, up: float, down: float, on: np.ndarray) -> pa.Table:
+        return pa.table({"symbol": group.column("symbol").slice(0, 1), "chunk": group.column("chunk").slice(0, 1), "up": [up], "down": [down], "on": pa.array([on.tolist()], pa.list_(pa.int64()))})
+
+    def guess(group: pa.Table) -> pa.Table:
+        idx, moves, bars = numbers(group)
+        on, up, down = _path(0.0, 0.0, moves, bars)
+        return answer(group, up, down, idx[on])
+
+    def again(group: pa.Table, state: pa.Table) -> pa.Table:
+        """One chunk from its new entry; `state` has its new and its last entry, and what it found from that."""
+        if not group.num_rows or not state.num_rows:
+            return pa.table({"symbol": state.column("symbol").slice(0, 0), "chunk": state.column("chunk").slice(0, 0), "up": pa.array([], pa.float64()), "down": pa.array([], pa.float64()), "on": pa.array([], pa.list_(pa.int64()))})
+        idx, moves, bars = numbers(group)
+        was = state.slice(0, 1).to_pylist()[0]
+        true = (was["in_up"], was["in_down"])
+        on, _, met = _corrected(true, (was["last_up"], was["last_down"]), moves, bars)
+        if met < len(moves):
+            return answer(group, was["up"], was["down"], np.concatenate([idx[on], [i for i in was["on"] if i >= idx[met]]]).astype(np.int64))
+        on, up, down = _path(*true, moves, bars)
+        return answer(group, up, down, idx[on])
+
+    earlier = Window.partitionBy("symbol").orderBy("chunk")
+    zero = F.lit(0.0)
+    found = kept(narrow.groupBy("symbol", "chunk").applyInArrow(guess, exits).withColumns({"last_up": zero, "last_down": zero}), "cusum")
+    for _ in range(ROUNDS):
+        entered = found.withColumns({"in_up": F.coalesce(F.lag("up").over(earlier), zero), "in_down": F.coalesce(F.lag("down").over(earlier), zero)})
+        wrong = entered.filter((F.col("in_up") != F.col("last_up")) | (F.col("in_down") != F.col("last_down")))
+        if wrong.limit(1).count() == 0:
+            return found.select("symbol", F.explode(F.col("on").cast(f"array<{kinds['idx']}>")).alias("idx"))
+        keys = wrong.select("symbol", "chunk")
+        redone = narrow.join(keys, ["symbol", "chunk"], "left_semi").groupBy("symbol", "chunk").cogroup(wrong.groupBy("symbol", "chunk")).applyInArrow(again, exits)
+        redone = redone.join(wrong.select("symbol", "chunk", F.col("in_up").alias("last_up"), F.col("in_down").alias("last_down")), ["symbol", "chunk"])
+        found = kept(found.join(keys, ["symbol", "chunk"], "left_anti").unionByName(redone), "cusum")
+    entered = found.withColumns({"in_up": F.coalesce(F.lag("up").over(earlier), zero), "in_down": F.coalesce(F.lag("down").over(earlier), zero)})
+    open_ = entered.filter((F.col("in_up") != F.col("last_up")) | (F.col("in_down") != F.col("last_down"))).select("symbol").distinct()
+    settled = found.join(open_, "symbol", "left_anti").select("symbol", F.explode(F.col("on").cast(f"array<{kinds['idx']}>")).alias("idx"))
+    return settled.unionByName(_streamed(narrow.join(open_, "symbol", "left_semi"), kinds))
+
+
+def _streamed(narrow: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """CUSUM events by one pass over each series, sorted within partitions; a task keeps two numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol, state = None, Cusum()
@@ -58,7 +138,7 @@ def cusum_events(df: DataFrame, move: str = "ret", bar: str = "threshold") -> Da
                 on.append(state.step(move, bar))
             yield batch.loc[on, ["symbol", "idx"]]
 
-    return narrow.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInPandas(run, "symbol string, idx long")
+    return narrow.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInPandas(run, f"symbol {kinds['symbol']}, idx {kinds['idx']}")
 
 
 #: Bars of one group in the search for barriers, and events looked at together.
@@ -119,38 +199,25 @@ def triple_barrier(bars: DataFrame, events: DataFrame, pt_mult: float = PT_MULT,
     return found.withColumns({"pt_mult": F.lit(float(pt_mult)), "sl_mult": F.lit(float(sl_mult)), "horizon_bars": F.lit(horizon)})
 
 
-def average_uniqueness(bars: DataFrame, labels: DataFrame) -> DataFrame:
+def average_uniqueness(bars: DataFrame, labels: DataFrame, rows: int = ROWS_A_CHUNK) -> DataFrame:
     """`labels` with sample_weight: the mean over [idx, touch_idx] of 1 / (labels open at the bar), at most 1.
 
-    Openings and closings are added up along the bars; two lookups of a prefix sum replace the interval join.
+    Openings and closings are added up along the bars; two lookups of a prefix sum replace the interval join.  Prefix sums
+    are made by chunks of `rows` bars, so a long series is spread over tasks.
     """
     moves = labels.select("symbol", "idx", F.lit(1).alias("d")).unionByName(labels.select("symbol", (F.col("touch_idx") + 1).alias("idx"), F.lit(-1).alias("d"))).groupBy("symbol", "idx").agg(F.sum("d").alias("d"))
-    upto = Window.partitionBy("symbol").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    grid = bars.select("symbol", "idx").join(moves, ["symbol", "idx"], "left").withColumn("open", F.sum(F.coalesce("d", F.lit(0))).over(upto))
-    grid = grid.withColumn("inv", F.when(F.col("open") > 0, 1 / F.greatest("open", F.lit(1)))).withColumn("sum", F.sum(F.coalesce("inv", F.lit(0.0))).over(upto))
+    grid = running_sum(bars.select("symbol", "idx").join(moves, ["symbol", "idx"], "left"), "d", "open", rows=rows)
+    grid = running_sum(grid.withColumn("inv", F.when(F.col("open") > 0, 1 / F.greatest("open", F.lit(1)))), "inv", "sum", rows=rows)
     at = grid.select("symbol", F.col("idx").alias("touch_idx"), F.col("sum").alias("to"))
     begin = grid.select("symbol", "idx", (F.col("sum") - F.coalesce("inv", F.lit(0.0))).alias("from"))
     met = labels.join(at, ["symbol", "touch_idx"]).join(begin, ["symbol", "idx"])
     return met.withColumn("sample_weight", F.least((F.col("to") - F.col("from")) / (F.col("touch_idx") - F.col("idx") + 1), F.lit(1.0))).drop("to", "from")
 
 
-def labelled_bars(bars: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
-    """Bars numbered within their symbol, with volatility and log return.
-
-    Series of more than ROWS_A_CHUNK bars are cut into chunks with a halo, as for features; 0 cuts none.
-    """
-    chunk_seconds = chunk_seconds_of(bars) if chunk_seconds is None else chunk_seconds
-    s = Series()
-    rows = bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")], s.index().cast("long").alias("idx"), log_return("close", s.lag("close")).alias("ret"))
-    rows, by = (with_halo(rows, chunk_seconds, HALO), ["symbol", "chunk"]) if chunk_seconds else (rows.withColumn("own", F.lit(True)), ["symbol"])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("time")
-        found = group.append_column("sigma", pa.array(sigma(group.column("close").to_numpy(zero_copy_only=False)), from_pandas=True)).filter(group.column("own"))
-        return found.select(["symbol", "time", "high", "low", "close", "sigma", "idx", "ret"])
-
-    return rows.groupBy(*by).applyInArrow(run, f"symbol {kinds['symbol']}, time {kinds['time']}, high double, low double, close double, sigma double, idx long, ret double")
+def labelled_bars(bars: DataFrame, rows: int = ROWS_A_CHUNK) -> DataFrame:
+    """Bars numbered within their symbol, with volatility and log return; chunks of `rows` bars carry their state on, as in `recursions`."""
+    found = recursions(bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")]), rows=rows)
+    return found.select("symbol", "time", "high", "low", "close", F.col("sigma_ewma").alias("sigma"), "idx", "ret")
 
 
 def label_bars(bars: DataFrame, horizon: int = HORIZON, pt_mult: float = PT_MULT, sl_mult: float = SL_MULT, h_mult: float = H_MULT) -> DataFrame:

@@ -95,7 +95,7 @@ def q_funding(spark, sf):
 
 
 def q_book(spark, sf):
-    df = features.book_features(book(spark, sf), "1 hour", HOUR)
+    df = features.book_features(book(spark, sf), HOUR)
     return df.select("symbol", "time", *_round(df, features.BOOK_FEATURES))
 
 
@@ -116,7 +116,7 @@ def q_adx(spark, sf):
 
 def q_features(spark, sf):
     """All 58 features of the hourly bars."""
-    df = features.compute_features(bars(spark, sf), book(spark, sf), funding(spark, sf), bar="1 hour", seconds=HOUR, funding_tie=("seq",))
+    df = features.compute_features(bars(spark, sf), book(spark, sf), funding(spark, sf), seconds=HOUR, funding_tie=("seq",))
     return df.select("symbol", "time", *_round(df, FEATURE_NAMES, SCALE))
 
 
