@@ -43,40 +43,44 @@ def hot_texts(rows: DataFrame, shards: int) -> list[str]:
     return [r["key"] for r in most.filter((F.col("size") * (F.lit(shards) - F.col("j")) >= F.col("left")) & (F.col("j") <= shards - 2)).orderBy("j").collect()]
 
 
-def needed(sizes: Column, capacity: Column) -> Column:
-    """Shards that filling in order needs at a capacity."""
+def needed(units: Column, capacity: Column) -> Column:
+    """Shards that filling in order with the sizes of `units` needs at a capacity."""
     start = F.struct(F.lit(1).alias("n"), F.lit(0).cast("long").alias("load"))
-    put = lambda s, x: F.when(s["load"] + x <= capacity, F.struct(s["n"].alias("n"), (s["load"] + x).alias("load"))).otherwise(F.struct((s["n"] + 1).alias("n"), x.alias("load")))
-    return F.aggregate(sizes, start, put, lambda s: s["n"])
+    put = lambda s, x: F.when(s["load"] + x["size"] <= capacity, F.struct(s["n"].alias("n"), (s["load"] + x["size"]).alias("load"))).otherwise(F.struct((s["n"] + 1).alias("n"), x["size"].alias("load")))
+    return F.aggregate(units, start, put, lambda s: s["n"])
 
 
 def capacity_and_cuts(units: DataFrame, shards: int) -> tuple[int, list[int]]:
     """The smallest capacity at which `units` (unit, size) need at most `shards` shards, and the first unit of each shard but the first."""
-    listed = units.agg(F.sort_array(F.collect_list(F.struct("unit", "size"))).alias("u")).select("u", F.transform("u", lambda x: x["size"]).alias("sizes"))
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    listed = listed.select("u", "sizes", total.alias("total"), F.ceil(total / F.lit(shards)).cast("long").alias("mean"), F.coalesce(F.array_max("sizes"), F.lit(0)).cast("long").alias("most"))
+    # One row; each search is a job of its own with the results of the one before as literals, else the optimiser would put
+    # one search inside the other and run it again for every group.
+    listed = materialise(units.agg(F.sort_array(F.collect_list(F.struct("unit", "size"))).alias("u")), "shard-units")
+    total, most = listed.select(F.aggregate("u", F.lit(0).cast("long"), lambda a, x: a + x["size"]), F.coalesce(F.array_max(F.transform("u", lambda x: x["size"])), F.lit(0))).first()
+    mean, long = -(-total // shards), lambda n: F.lit(n).cast("long")
     # No capacity below the mean or the largest group will do; their sum does, as only a shard beyond the mean is closed.
     # lo: too small, hi: enough.
-    begin = F.struct((F.greatest("mean", "most") - 1).cast("long").alias("lo"), (F.col("mean") + F.col("most")).cast("long").alias("hi"))
+    begin = F.struct(long(max(mean, most) - 1).alias("lo"), long(mean + most).alias("hi"))
     middle = lambda r: F.floor((r["lo"] + r["hi"]) / 2).cast("long")
-    halve = lambda r, _: F.when(r["hi"] - r["lo"] <= 1, r).when(needed(F.col("sizes"), middle(r)) <= shards, F.struct(r["lo"].alias("lo"), middle(r).alias("hi"))).otherwise(F.struct(middle(r).alias("lo"), r["hi"].alias("hi")))
-    searched = listed.select("u", "total", F.aggregate(F.sequence(F.lit(1), F.lit(64)), begin, halve, lambda r: r["hi"]).alias("capacity"))
+    halve = lambda r, _: F.when(r["hi"] - r["lo"] <= 1, r).when(needed(F.col("u"), middle(r)) <= shards, F.struct(r["lo"].alias("lo"), middle(r).alias("hi"))).otherwise(F.struct(middle(r).alias("lo"), r["hi"].alias("hi")))
+    capacity = listed.select(F.aggregate(F.sequence(F.lit(1), F.lit(64)), begin, halve, lambda r: r["hi"])).first()[0]
     # Filling from the end gives the first group at which each shard may begin, so that the rest still fits.
-    empty = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).cast("long").alias("load"), F.lit(0).alias("last"))
-    back = lambda s, x: F.when(s["load"] + x["size"] <= F.col("capacity"), F.struct(s["cuts"].alias("cuts"), (s["load"] + x["size"]).alias("load"), x["unit"].alias("last"))).otherwise(F.struct(F.array_append(s["cuts"], s["last"]).alias("cuts"), x["size"].alias("load"), x["unit"].alias("last")))
-    searched = searched.select("u", "total", "capacity", F.aggregate(F.reverse("u"), empty, back, lambda s: s["cuts"]).alias("back"))
+    empty = F.struct(F.array().cast("array<int>").alias("cuts"), long(0).alias("load"), F.lit(0).alias("last"))
+    back = lambda s, x: F.when(s["load"] + x["size"] <= capacity, F.struct(s["cuts"].alias("cuts"), (s["load"] + x["size"]).alias("load"), x["unit"].alias("last"))).otherwise(F.struct(F.array_append(s["cuts"], s["last"]).alias("cuts"), x["size"].alias("load"), x["unit"].alias("last")))
+    earliest = listed.select(F.aggregate(F.reverse("u"), empty, back, lambda s: s["cuts"])).first()[0]
     # Within those bounds each shard ends where it is nearest to the mean of what is left.
-    begin = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).cast("long").alias("load"), F.col("total").alias("left"))
+    begin = F.struct(F.array().cast("array<int>").alias("cuts"), long(0).alias("load"), long(total).alias("left"))
 
     def put(s: Column, x: Column) -> Column:
         k = F.size(s["cuts"])
-        after = F.coalesce(F.get("back", F.lit(shards - 2) - k), F.lit(-1))  # where shard k + 1, counted from 0, may begin
-        full = (s["load"] + x["size"] > F.col("capacity")) | ((k < shards - 1) & (x["unit"] >= after) & ((s["load"] + x["size"] / 2) * (shards - k) > s["left"]) & (s["load"] > 0))
+        after = F.lit(-1)  # where shard k + 1, counted from 0, may begin
+        for j, unit in enumerate(reversed(earliest)):
+            after = F.when(k == shards - 1 - len(earliest) + j, unit).otherwise(after)
+        full = (s["load"] + x["size"] > capacity) | ((k < shards - 1) & (x["unit"] >= after) & ((s["load"] + x["size"] / 2) * (shards - k) > s["left"]) & (s["load"] > 0))
         more = F.struct(s["cuts"].alias("cuts"), (s["load"] + x["size"]).alias("load"), s["left"].alias("left"))
         return F.when(full, F.struct(F.array_append(s["cuts"], x["unit"]).alias("cuts"), x["size"].alias("load"), (s["left"] - s["load"]).alias("left"))).otherwise(more)
 
-    row = searched.select("capacity", F.aggregate("u", begin, put, lambda s: s["cuts"]).alias("cuts")).first()
-    return row["capacity"], list(row["cuts"])
+    cuts = listed.select(F.aggregate("u", begin, put, lambda s: s["cuts"])).first()[0]
+    return capacity, list(cuts)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
