@@ -6,6 +6,7 @@ import math
 import os
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -24,6 +25,7 @@ from tickloom.llm import lm_scores as LM
 from tickloom.llm import mixing as M
 from tickloom.llm import pii, quality, token_counts, toxicity
 from tickloom.llm.buckets import bucket_counts
+from tickloom.llm.common import SPACE_WORDS, text_chunks, word_hashes, words_of
 from tickloom.llm.decontaminate import contamination, drop_contaminated
 from tickloom.llm.graph import components
 from tickloom.llm.html_text import extract_text, page_text
@@ -87,9 +89,9 @@ def test_sql(spark, name):
 
 def test_buckets(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("x")).repartition(5)
-    got = bucket_counts(df, lambda b: b.column(0).to_numpy() * 3, 8, top=100_000)
+    got = bucket_counts(df, lambda b: [b.column(0).to_numpy() * 3], 8, top=100_000)
     assert got.sum() == 1000 and got[[0, 3, 18]].tolist() == [143, 143, 142]
-    assert bucket_counts(df, lambda b: b.column(0).to_numpy() * 3, 17, top=2).sum() == 14
+    assert bucket_counts(df, lambda b: [b.column(0).to_numpy() * 3] * 2, 17, top=3).sum() == 21
 
 
 def test_components(spark):
@@ -694,3 +696,138 @@ def test_extract(spark):
 def test_all_queries_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert json.dumps(sorted(ORACLES)) and pa.array([1])
+
+
+def test_no_break_spaces_are_words():
+    """Words that the vocabulary would join over a space are encoded apart."""
+    code = LM._subwords(BYTE, public_tokenizers.PATTERN)
+    for text in ("\xa0 \xa0\xa0 x y z \xa0\xa0\xa0\xa0", "a \xa0 b \xa0\xa0 \xa0\xa0\xa0 \xa0\xa0\xa0\xa0\xa0 c d e f", " ".join("\xa0" * k for k in range(1, 60))):
+        code._forget()
+        for _, _, data, off in text_chunks(pa.array([text])):
+            starts, ends, _ = words_of(data, off, SPACE_WORDS)
+            unique, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            ids, n = code.ids_of(data.tobytes(), starts, ends, unique, at, which)
+            apart = [code.code.encode_ordinary(" " + w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+            assert ids.tolist() == [i for x in apart for i in x] and n.tolist() == [len(x) for x in apart]
+
+
+def test_a_phrase_of_many_items_is_no_hot_key(spark):
+    """Items that share eight words: each candidate of a document meets the one window that it holds."""
+    phrase = "one two three four five six seven eight"
+    items = spark.createDataFrame([(k, f"a{k} {phrase} b{k} c{k}") for k in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x a7 {phrase} b7 y"), (2, f"x {phrase} y z"), (3, f"a7 {phrase} b8"), (4, f"{phrase} b9 c9 tail")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination(docs, items).collect()}
+    assert got == {1: (10, 1), 2: (0, 0), 3: (0, 0), 4: (10, 1)}
+
+
+def plain_lines(node):
+    """A second renderer, for well-formed trees of a few tags: text by recursion, each block's lines made anew."""
+    tag, kids = node
+    out, run, gap = [], [], False
+    if tag == "closed":  # a block without lines
+        return out
+
+    def put(lines, spaced):
+        nonlocal gap
+        if lines:
+            out.extend([""] if out and (gap or spaced) else [])
+            out.extend(lines)
+            gap = spaced
+
+    def flush():
+        text = "".join(run)
+        run.clear()
+        if text.strip():
+            cut = [re.sub(r"\s+", " ", x).strip() for x in text.split("\0")]
+            put(cut[:-1] if cut[-1] == "" else cut, False)
+
+    def inline(x):
+        if isinstance(x, str):
+            return [x]
+        if x[0] == "br":
+            return ["\0"]
+        if x[0] in ("hidden", "template"):
+            return []
+        return [y for k in x[1] for y in inline(k)] if x[0] in ("b", "span", "a") else [x]
+
+    items = [y for k in kids for y in inline(k)]
+    if tag == "table":
+        rows = [[plain_lines(("cell", cell[1])) for cell in row[1]] for row in kids]
+        wide = [max([0, *(len(line) for row in rows if c < len(row) for line in row[c] if len(line) <= 120)]) for c in range(max(map(len, rows), default=0))]
+        for row in rows:
+            for k in range(max(map(len, row), default=0)):
+                line = ""
+                for c, cell in enumerate(row):
+                    if k < len(cell) and cell[k]:
+                        line += " " * max(sum(wide[:c]) + 2 * c - len(line), 2 if line else 0) + cell[k]
+                out.append(line)
+        return out
+    if tag in ("ul", "ol"):
+        for n, item in enumerate(kids):
+            mark = "- " if tag == "ul" else f"{n + 1}. "
+            lines = plain_lines(item)
+            out.extend([mark + lines[0], *(" " * len(mark) + x if x else x for x in lines[1:])] if lines else [])
+        return out
+    for item in items:
+        if isinstance(item, str):
+            run.append(item)
+        else:
+            flush()
+            put(plain_lines(item), item[0] in ("p", "h1", "ul", "ol", "table"))
+    flush()
+    return out
+
+
+def random_tree(rng, depth, inline=False):
+    def text():
+        return " ".join(rng.choice(["word", "two\n lines", "x", "long-word-here", "ä"]) for _ in range(rng.randint(0, 4))) + rng.choice(["", " "])
+
+    def kids(inline, most=4):
+        out = []
+        for _ in range(rng.randint(0, most)):
+            kind = rng.random()
+            out.append(text() if kind < 0.4 or depth == 0 else ("br", []) if kind < 0.46 else random_tree(rng, depth - 1, inline))
+        return out
+
+    tags = ["b", "span", "a", "hidden", "template"] + ([] if inline else ["div", "p", "h1", "ul", "ol", "table", "section", "closed"] * 2)
+    tag = rng.choice(tags)
+    if tag in ("ul", "ol"):
+        return tag, [("li", kids(False)) for _ in range(rng.randint(0, 3))]
+    if tag == "table":
+        return tag, [("tr", [("td", kids(True)) for _ in range(rng.randint(0, 3))]) for _ in range(rng.randint(0, 3))]
+    return tag, kids(inline or tag in ("b", "span", "a", "p", "h1"))
+
+
+def markup(node):
+    if isinstance(node, str):
+        return node
+    tag, inside = node[0], "".join(map(markup, node[1]))
+    return {"br": "<br>", "hidden": f'<b class="h {len(inside)}">{inside}</b>', "closed": f"<details>{inside}</details>"}.get(tag, f"<{tag}>{inside}</{tag}>")
+
+
+def test_html_equals_a_plain_renderer():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(2000):
+        tree = ("div", [random_tree(rng, 4) for _ in range(3)])
+        page = "<style>.h{display:none}</style>" + markup(tree)
+        assert page_text(page)[1] == "\n".join(plain_lines(tree)), page
+
+
+@pytest.mark.parametrize("unit", ["<table><tr><td>a", "<div>a", "<li>a", "<b>a", "<ul><li>a"])
+def test_html_is_linear_on_nested_pages(unit):
+    for page in ((unit * (1_000_000 // len(unit))), "<h1><div>" + "<b>" * 100_000 + "<h2>x</h2>" * 60_000, "<p><button>" + "<div>" * 180_000):
+        start = time.process_time()
+        text = page_text(page)[1]
+        assert time.process_time() - start < 20  # seconds; a pass that is quadratic takes hours
+        assert text.count("a") == (len(page) // len(unit) if page.startswith(unit) else 0)
+
+
+def test_html_shows_drawings_and_follows_rules_of_the_page():
+    show = lambda html: page_text(html)[1]
+    assert show("<svg><title>no</title><text>s</text><text>t</text></svg><math><mi>x</mi></math>") == "s\nt\nx" and page_text("<svg><title>no</title></svg><title>yes</title>")[0] == "yes"
+    assert show("<details><summary>S</summary>no<p>no</p></details>after<details open><summary>T</summary>shown</details>") == "S\nafter\nT\nshown"
+    rules = "<style>/* .c{display:none} */ .h, .g{display:none} @media print{.k{display:none}} #z , em{visibility:hidden} .g{display:block}</style>"
+    assert show(rules + "<p class='a h'>no</p><p class=k>1</p><i id=z>no</i><em>no</em><p class=g>2</p><p class=c>3</p><p class=h style='display:block'>4</p>") == "1\n\n2\n\n3\n\n4"
+    assert show("<select multiple><optgroup label=G><option>a<option>b</optgroup></select><select><optgroup label=G><option>c</select>") == "G\na\nbc"

@@ -9,7 +9,7 @@ are added as they stream in, so no task holds more than the slices dealt to it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ def _schema(kind: str) -> str:
     return f"slice int, at binary, {kind} binary"
 
 
-def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], np.ndarray], log2: int, top: int = 255) -> np.ndarray:
-    """Counts by bucket over all rows, at most `top` each; `positions` gives a batch's bucket numbers.
+def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], Iterable[np.ndarray]], log2: int, top: int = 255) -> np.ndarray:
+    """Counts by bucket over all rows, at most `top` each; `positions` gives a batch's bucket numbers, in parts of a bounded
+    size, which are counted one after the other.
 
     The result is one array of 2**log2 numbers (uint8 where top < 256, else uint32).
     """
@@ -36,13 +37,15 @@ def bucket_counts(df: DataFrame, positions: Callable[[pa.RecordBatch], np.ndarra
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros(size, kind)
         for batch in batches:
-            got = positions(batch)
-            if len(got) * 8 > size:
-                more = np.bincount(got, minlength=size)
-                have = np.minimum(have + more, top).astype(kind)
-            elif len(got):
-                at, n = np.unique(got, return_counts=True)
-                have[at] = np.minimum(have[at] + n, top)
+            for got in positions(batch):
+                if len(got) * 8 > size:
+                    more = np.bincount(got, minlength=size)
+                    np.minimum(more, top, out=more)
+                    np.add(have, more, out=more, casting="unsafe")
+                    np.copyto(have, np.minimum(more, top, out=more), casting="unsafe")
+                elif len(got):
+                    at, n = np.unique(got, return_counts=True)
+                    have[at] = np.minimum(have[at] + n, top)
         for s in range(size // step):
             part = have[s * step : (s + 1) * step]
             at = np.flatnonzero(part)

@@ -132,18 +132,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     lengths = sorted(r["n"] for r in windows.filter(F.col("n") < WINDOW).select("n").distinct().collect())
     log2 = min(LOG2_MOST, max(LOG2_LEAST, (BITS_A_WINDOW * max(size, 1) - 1).bit_length()))
     mask = (1 << log2) - 1
-    prints = bucket_counts(windows.select("fp"), lambda batch: batch.column(0).to_numpy(zero_copy_only=False) & mask, log2, top=1)
+    prints = bucket_counts(windows.select("fp"), lambda batch: [batch.column(0).to_numpy(zero_copy_only=False) & mask], log2, top=1)
     bits = spark.sparkContext.broadcast(BitSet(prints > 0))
 
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     rows = materialise(named.mapInArrow(_candidates(bits, lengths), _CANDIDATES.format(id=named.schema["doc_id"].dataType.simpleString())), "candidates")
 
-    # Hits by fingerprint, extended: the words around the document's K-gram hold the window where its K-gram stands in it.
-    keys = windows.select("n", "fp", "place", "w").distinct()
+    # Hits by fingerprint, extended: each place that the K-gram may have in a window gives the words that such a window would
+    # have around it, and the join is on fingerprint, place and those words, so that a phrase of many items is no hot key: a
+    # candidate meets one window at most.
+    keys = windows.select("n", "fp", "place", "w", F.xxhash64("w").alias("wh")).distinct()
     hits = rows.filter(F.size("found") > 0).select("rid", "n_words", F.explode("found").alias("f")).select("rid", "n_words", "f.*")
-    hits = hits.join(F.broadcast(keys) if size <= BROADCAST_WINDOWS else keys, ["n", "fp"])
-    same = F.substring("around", (SIDE - F.col("place")) * WORD_BYTES + 1, F.col("n") * WORD_BYTES) == F.col("w")
-    hits = hits.filter((F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.col("n") <= F.col("n_words")) & same)
+    hits = hits.withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - K, F.lit(0)))))
+    hits = hits.filter((F.col("at") >= F.col("place")) & (F.col("at") - F.col("place") + F.col("n") <= F.col("n_words")))
+    hits = hits.withColumn("w", F.substring("around", (SIDE - F.col("place")) * WORD_BYTES + 1, F.col("n") * WORD_BYTES)).withColumn("wh", F.xxhash64("w")).drop("around")
+    hits = hits.join(F.broadcast(keys) if size <= BROADCAST_WINDOWS else keys, ["n", "fp", "place", "wh", "w"])
     hits = hits.select("rid", (F.col("at") - F.col("place")).alias("at"), (F.col("at") - F.col("place") + F.col("n")).alias("end"), F.md5("w").alias("w"))
     before = Window.partitionBy("rid").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(before), F.lit(0)))))

@@ -48,8 +48,8 @@ def maybe_repeated(df: DataFrame, key: str, rows: int, log2: int | None = None):
     """
     log2 = log2 or min(LOG2_MOST, max(LOG2_LEAST, (BUCKETS_A_ROW * max(rows, 1) - 1).bit_length()))
 
-    def positions(batch: pa.RecordBatch) -> np.ndarray:
-        return _places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), log2).ravel().astype(np.int64)
+    def positions(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), log2).ravel().astype(np.int64)]
 
     twice = df.sparkSession.sparkContext.broadcast(BitSet(bucket_counts(df.select(key), positions, log2, top=2) >= 2))
 

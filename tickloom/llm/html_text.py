@@ -6,14 +6,18 @@ inline text is collapsed as browsers do, blocks stand on lines of their own (wit
 headings, lists and tables), list items keep markers and indentation, preformatted text keeps its spacing, and table
 cells are padded to their column's width (cells over several rows keep their columns free below).  Text in a table outside
 its cells comes before it.  Controls show their text (a select its chosen option).  Hidden elements emit nothing, but for
-visible elements inside ones with visibility: hidden.  Indents and padding are bounded, so the text of a page is at most
-a constant times as long as the page.
+visible elements inside ones with visibility: hidden; a page's own style rules for a class, an id or an element hide too (the
+last such rule counts, other selectors and media rules are not applied), and a closed details element shows its summary.
+Indents and padding are bounded.  The tree is MOST_DEEP elements deep at most, as in browsers: deeper elements stand beside
+each other in it, and tables deeper than DEEPEST elements are laid out cell below cell.  So time and text are at most a
+constant times the length of the page.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Elements without content, elements never shown, and elements laid out as blocks (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist area base link meta".split())
+UNSEEN = frozenset("head title script style template noscript noframes iframe object audio video canvas datalist area base link meta defs symbol desc metadata annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu".split())
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main address details summary dialog fieldset form li dt dd figcaption legend center caption hgroup search".split())
 #: Elements that may stand in head (any other, and text, ends it), and kinds of input elements whose value is shown.
@@ -43,6 +47,8 @@ ENDS: dict[str, tuple[frozenset, frozenset]] = {
     "body": (frozenset(("head",)), frozenset()),
 }
 _WALLS = frozenset(("td", "th", "caption", "table", "button", "html"))
+#: Elements of drawings whose text stands on a line of its own.
+LABELS = frozenset(("text", "foreignobject"))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.IGNORECASE)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(?:!important\s*)?(?=;|$)", re.IGNORECASE)
@@ -54,8 +60,27 @@ _NAME = re.compile(r"[^\t\n\r\f />]+")
 _ATTRIBUTE = re.compile(r"[\t\n\r\f /]*+(?:([^\t\n\r\f />][^\t\n\r\f />=]*+)(?:[\t\n\r\f ]*+=[\t\n\r\f ]*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\t\n\r\f >]*+)))?+)?+")
 #: Columns of text to which cells are padded at most, and columns of a table that are kept apart.
 WIDEST, MOST_COLUMNS = 120, 1000
-#: Elements inside each other within which lists and quotes are indented.
-DEEPEST = 100
+#: Elements inside each other within which lists and quotes are indented and tables have columns, and depth of the tree.
+DEEPEST, MOST_DEEP = 100, 512
+_BRACES = re.compile(r"[^{}]*+[{}]|/\*.*?\*/", re.DOTALL)
+_SELECTOR = re.compile(r"\s*([.#]?)(-?[A-Za-z_][\w-]*)\s*")
+
+
+def style_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selector, declarations) of the rules for one class, id or element, outside of any block."""
+    head, depth = "", 0
+    for part in _BRACES.findall(re.sub(r"/\*.*?(?:\*/|$)", " ", css, flags=re.DOTALL)):
+        if part[-1] == "{":
+            head, depth = part[:-1], depth + 1
+        else:
+            if depth == 1:
+                for one in head.split(","):
+                    m = _SELECTOR.fullmatch(one.rpartition(";")[2])
+                    if m:
+                        yield m[1] + (m[2] if m[1] else m[2].lower()), part[:-1]
+            head, depth = "@", max(depth - 1, 0)  # the end of a nested block leaves a head that is no selector
+            if depth == 0:
+                head = ""
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -140,7 +165,8 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("body", {}, True, True)
         self.open = [self.root]
-        self.count: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}  # where in `open` the elements of each tag are, rising
+        self.rules: dict[str, tuple[bool, str]] = {}  # (not displayed, visibility) by selector
         self.title: str | None = None
 
     def read(self, html: str) -> None:
@@ -154,24 +180,22 @@ class TreeBuilder:
 
     def _pop(self, upto: int) -> None:
         for node in self.open[upto:]:
-            self.count[node.tag] -= 1
+            self.places[node.tag].pop()
         del self.open[upto:]
 
+    def _innermost(self, tags: frozenset) -> int:
+        """Place of the innermost open element of `tags`, 0 without one."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
     def _end(self, tags: frozenset, walls: frozenset, last: bool) -> None:
         """Close the innermost open element of `tags` (the outermost before a wall with `last`)."""
-        if not any(self.count.get(t) for t in tags):
+        found = self._innermost(tags)
+        wall = self._innermost(walls - tags) if found else 0
+        if found <= wall:
             return
-        found = None
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                found = i
-                if not last:
-                    break
-            elif tag in walls:
-                break
-        if found:
-            self._pop(found)
+        if last:
+            found = min(at[k] for t in tags if (at := self.places.get(t)) and (k := bisect_right(at, wall)) < len(at))
+        self._pop(found)
 
     def _end_head(self) -> None:
         while self.open[-1].tag == "head":
@@ -186,22 +210,38 @@ class TreeBuilder:
             self._end(frozenset(("p",)), _WALLS, last=False)
         if tag in HEADINGS:
             self._end(HEADINGS, _WALLS | {"div", "section", "article"}, last=False)
-        if tag in CELLS and self.open[-1].tag in ("table", *PARTS):
+        if tag in CELLS and (self.open[-1].tag == "table" or self.open[-1].tag in PARTS):
             self.start("tr", {})
         if tag in ("html", "body") or (tag == "form" and self.open[-1].tag in ("table", "tr", *PARTS)):
             return  # a form between the parts of a table holds none of them
         top, style = self.open[-1], attrs.get("style", "")
-        seen = top.seen and tag not in UNSEEN and "hidden" not in attrs and not (style and _NO_DISPLAY.search(style))
-        said = _VISIBILITY.findall(style) if style else []
-        node = Node(tag, attrs, seen, said[-1].lower() == "visible" if said else top.shown)
+        gone, said = self._styled(tag, attrs) if self.rules else (False, "")
+        if style:
+            gone = bool(_NO_DISPLAY.search(style)) or (gone and "display" not in style.lower())
+            said = (_VISIBILITY.findall(style) or [said])[-1]
+        folded = top.tag == "details" and "open" not in top.attrs and (tag != "summary" or any(not isinstance(x, str) and x.tag == "summary" for x in top.children))
+        seen = top.seen and tag not in UNSEEN and "hidden" not in attrs and not gone and not folded
+        node = Node(tag, attrs, seen, said.lower() == "visible" if said else top.shown)
         if seen:
-            top.children.append(node)
+            self.open[min(len(self.open), MOST_DEEP) - 1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.count[tag] = self.count.get(tag, 0) + 1
+
+    def _styled(self, tag: str, attrs: dict[str, str]) -> tuple[bool, str]:
+        """(not displayed, visibility) by the page's rules; those for an id count before those for classes, then elements."""
+        found = [self.rules.get(tag), *(self.rules.get(f".{c}") for c in attrs.get("class", "").split()), self.rules.get(f"#{attrs.get('id', '')}")]
+        found = [x for x in found if x]
+        return (found[-1][0], next((x[1] for x in reversed(found) if x[1]), "")) if found else (False, "")
+
+    def _style(self, css: str) -> None:
+        for selector, said in style_rules(css):
+            if "display" in said.lower() or "visibility" in said.lower():
+                was = self.rules.get(selector, (False, ""))
+                self.rules[selector] = (bool(_NO_DISPLAY.search(said)) if "display" in said.lower() else was[0], (_VISIBILITY.findall(said) or [was[1]])[-1])
 
     def end(self, tag: str) -> None:
-        if tag in ("br", "p") and not self.count.get(tag):
+        if tag in ("br", "p") and not self.places.get(tag):
             self.start(tag, {})  # as browsers do
         if tag in ("html", "body", "br"):
             return
@@ -212,12 +252,22 @@ class TreeBuilder:
         if data.strip(" \t\n\r\f"):
             self._end_head()
         top = self.open[-1]
-        if top.seen:
-            if top.shown:
-                top.children.append(data.replace(BREAK, "�"))
-        elif top.tag == "title" and self.title is None:
+        if top.tag == "style":
+            self._style(data)
+        elif top.seen:
+            if top.shown and (top.tag != "details" or "open" in top.attrs):
+                self._keep(top, data.replace(BREAK, "�"))
+        elif top.tag == "title" and self.title is None and not self.places.get("svg"):
             self.title = _SPACE.sub(" ", data).strip()
 
+    def _keep(self, top: Node, data: str) -> None:
+        """Text into its element; where that is too deep and others came after it, into one like it beside them."""
+        if len(self.open) > MOST_DEEP:
+            beside = self.open[MOST_DEEP - 1].children
+            if not beside or beside[-1] is not top:
+                beside.append(top := Node("div" if top.tag in BLOCKS or top.tag in CELLS else "span", {}, True, True))
+        top.children.append(data)
+
 
 def _width(text: str) -> int:
     """Columns of a line: wide characters take two, combining ones none."""
@@ -310,7 +360,8 @@ def _list(node: Node, items: list, depth: int) -> list[str]:
 
 
 def _options(select: Node) -> list[str]:
-    """Texts that a select element shows: all of a list box, else the chosen or first option that can be chosen."""
+    """Texts that a select element shows: all of a list box with the labels of its groups, else the chosen or first option that can be chosen."""
+    box = "multiple" in select.attrs or _number(select.attrs.get("size", ""), 1) > 1
     found, stack = [], [(x, None) for x in reversed(select.children)]
     while stack:
         node, option = stack.pop()
@@ -320,8 +371,10 @@ def _options(select: Node) -> list[str]:
             continue
         if node.tag == "option":
             found.append(option := (node, []))
+        elif node.tag == "optgroup" and box and node.attrs.get("label"):
+            found.append((node, [node.attrs["label"].replace(BREAK, "�")]))
         stack.extend((x, option) for x in reversed(node.children))
-    if "multiple" not in select.attrs and _number(select.attrs.get("size", ""), 1) <= 1:
+    if not box:
         found = [x for x in found if "selected" in x[0].attrs][-1:] or [x for x in found if "disabled" not in x[0].attrs][:1]
     return [_SPACE.sub(" ", "".join(texts)).strip() for _, texts in found]
 
@@ -344,8 +397,13 @@ def _grid(rows: list[list[tuple]]) -> list[list[tuple[int, list[str], int]]]:
     return out
 
 
-def _table(rows: list[list[tuple]]) -> list[str]:
-    """Cells padded to the width of their column, two spaces apart; cells over several columns or wider than WIDEST widen none."""
+def _table(rows: list[list[tuple]], depth: int = 0) -> list[str]:
+    """Cells padded to the width of their column, two spaces apart; cells over several columns or wider than WIDEST widen none.
+
+    A table of one column, and one too deep in the page, is its cells below each other.
+    """
+    if depth > DEEPEST or all(len(row) <= 1 and all(down == 1 for _, _, down in row) for row in rows):
+        return [line for row in rows for lines, *_ in row for line in lines]
     widths: dict[int, int] = {}
     grid = _grid(rows)
     for row in grid:
@@ -395,7 +453,7 @@ def _layout(node: Node, items: list, pre: bool, depth: int) -> list:
                     rows.append([])
                 rows[-1].extend(x[3] if x[2] == "row" else [(x[0], x[3], x[4])])
                 bare = x[2] == "cell"
-        return [(_stack([x for x in items if isinstance(x, str) or len(x) < 4]) + _table(rows), True)]
+        return [(_stack([x for x in items if isinstance(x, str) or len(x) < 4]) + _table(rows, depth), True)]
     if tag == "input":
         return [node.attrs["value"].replace(BREAK, "�")] if node.attrs.get("value") and node.attrs.get("type", "").lower() in SHOWN_INPUTS and node.shown else []
     if tag == "textarea":
@@ -411,6 +469,8 @@ def _layout(node: Node, items: list, pre: bool, depth: int) -> list:
         return [(_indented(_stack(items), 2, depth), tag == "blockquote")]
     if tag in BLOCKS and not pre:
         return [(_stack(items), tag in SPACED, *(["li"] if tag == "li" else []))]
+    if tag in LABELS and not pre:
+        return [(_stack(items), False)]
     if tag == "q":
         return ['"', *items, '"']
     return items

@@ -168,8 +168,8 @@ def _picked(wanted, kind: str):
 def _of_classes(texts: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
     """(sig, n, bits or tokens) of the classes in the column `sig`; a fixed-size bit set picks them where texts are read."""
 
-    def positions(batch: pa.RecordBatch) -> np.ndarray:
-        return (mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << ACTIVE_LOG2) - 1)).astype(np.int64)
+    def positions(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [(mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << ACTIVE_LOG2) - 1)).astype(np.int64)]
 
     wanted = texts.sparkSession.sparkContext.broadcast(BitSet(bucket_counts(sigs.select("sig"), positions, ACTIVE_LOG2, top=1) > 0))
     columns = _COLUMNS[kind]
@@ -319,9 +319,8 @@ def similar_classes(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     mask = np.uint64((1 << SKETCH_LOG2) - 1)
 
-    def positions(batch: pa.RecordBatch) -> np.ndarray:
-        got = [(g & mask).astype(np.int64) for _, _, _, g in shingle_sets(batch.column(0))]
-        return np.concatenate(got) if got else np.zeros(0, np.int64)
+    def positions(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return ((g & mask).astype(np.int64) for _, _, _, g in shingle_sets(batch.column(0)))
 
     levels = spark.sparkContext.broadcast(_levels(bucket_counts(texts, positions, SKETCH_LOG2, top=1 << 31)))
     entries = texts.mapInArrow(_prefixes(levels), "token long, sig long, n int, left int, hot boolean")

@@ -86,6 +86,9 @@ class Subwords:
             words = [data[starts[i] : ends[i]] for i in at[new].tolist()]
             ids = np.array(self.code.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.uint16)
             cuts = np.append(np.flatnonzero(self.first[ids]), len(ids))
+            if len(cuts) != len(words) + 1:  # the pattern ran over a space (beside no-break spaces, say): one by one
+                apart = [self.code.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+                ids, cuts = np.array([i for x in apart for i in x], np.uint16), np.cumsum([0, *map(len, apart)])
             place[new] = np.arange(len(new)) + len(known)
             known.update(zip(unique[new].tolist(), place[new].tolist(), strict=True))
             self.begin = np.concatenate([self.begin, cuts[1:] + len(self.flat)])

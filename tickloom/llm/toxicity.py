@@ -111,10 +111,9 @@ def fit_presence(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, keep
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Ratios from every labelled row outside the held-out fold; weights from at most MOST_LABELLED of them."""
 
-    def positions(batch: pa.RecordBatch) -> np.ndarray:
+    def positions(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [y[a + row] << LOG2 | at for a, _, row, at in present(batch.column(0))]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        return (y[a + row] << LOG2 | at for a, _, row, at in present(batch.column(0)))
 
     rows = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col)
     n, toxic_rows = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
