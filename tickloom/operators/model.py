@@ -108,5 +108,5 @@ def infer_latest(features: DataFrame, logits: Callable[[np.ndarray], np.ndarray]
 
 def predictions(scored: DataFrame, version: str) -> DataFrame:
     """model_predictions rows: softmax of the logits; the stored signal is the likeliest class."""
-    df = scored.withColumn("p", softmax(F.col("logits")))
+    df = softmax(scored, "logits", "p")
     return df.select("symbol", "time", F.lit(version).alias("model_version"), F.col("p")[0].alias("prob_down"), F.col("p")[1].alias("prob_flat"), F.col("p")[2].alias("prob_up"), (argmax(F.col("p")) - 1).cast("short").alias("signal"), "sigma")

@@ -314,8 +314,7 @@ def q_table_stats(spark, sf):
 def q_softmax(spark, sf):
     """Probabilities (all, and those of the first three) and likeliest class of each vector."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
-    p = X.softmax(F.col("z"))
-    out = e.select("vec_id", p.alias("p"), X.argmax(F.col("z")).alias("best"))
+    out = X.softmax(e, "z", "p").select("vec_id", "p", X.argmax(F.col("z")).alias("best"))
     return out.select("vec_id", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)], F.round(F.array_max("p"), 6).alias("most"), "best")
 
 
