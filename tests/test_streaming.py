@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tickloom.operators.features import compute_features
 from tickloom.sources import decode, history, tables
 from tickloom.sources.tables import create_tables, recent, resolve_root, scan, write_keyed
 from tickloom.streaming import ingest as S
+from tickloom.streaming.subscribe import Journal, available, read_messages, receive, segments
 from tickloom.streaming.stateful import cusum_stream, incremental_features
 
 T0 = 1_700_000_000_000
@@ -165,7 +167,7 @@ def test_supervision():
 
     class Query:
         def __init__(self, alive):
-            self.isActive, self.lastProgress = alive, None
+            self.isActive, self.runId = alive, len(made)
 
         def stop(self):
             self.isActive = False
@@ -178,3 +180,68 @@ def test_supervision():
 
 def test_root():
     assert resolve_root({"TICKLOOM_ROOT": "/a"}) == "/a" and resolve_root({"TICKLOOM_HOME": "/b"}) == "/b/tables"
+
+
+def test_a_silent_query_is_started_again(spark, tmp_path):
+    """Progress events keep the clock: a query whose source falls silent is restarted, one that takes in rows is not."""
+    src, starts, clock = tmp_path / "in", [], [0.0]
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(src))
+    stream = spark.readStream.schema("x int").parquet(str(src))
+
+    def start():
+        starts.append(clock[0])
+        query = stream.writeStream.foreachBatch(lambda df, _: df.count()).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="100 milliseconds").start()
+        query.processAllAvailable()
+        return query
+
+    def sleep(seconds):
+        time.sleep(0.5)
+        clock[0] += seconds
+        if clock[0] in (15.0, 75.0):  # rows come in for a while
+            spark.createDataFrame([(int(clock[0]),)], "x int").write.mode("append").parquet(str(src))
+            time.sleep(3)
+
+    assert S.supervise(start, lambda: clock[0] >= 300, S.Supervision(), lambda: clock[0], sleep, spark) == len(starts) - 1 >= 1
+    assert starts[0] == 0 and 150 < starts[1] <= 200  # 90 idle seconds after the last rows came in, not after the start
+
+
+MESSAGES = [("candle", "BTC"), ("l2Book", "ETH")]
+
+
+def test_subscriptions_survive_restarts(spark, tmp_path):
+    """A query that is stopped between and within batches takes every message once; batches and tasks are bounded."""
+    journal, path, out = Journal(str(tmp_path / "j"), rows=7), str(tmp_path / "j"), tmp_path / "out"
+    sizes, kinds = [], "channel string, symbol string, number long, received_ms long, value string"
+
+    def start():
+        df = read_messages(spark, path, MESSAGES, rows=10)
+        return df.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="50 milliseconds").start()
+
+    def connect(first):
+        return lambda wanted: ((channel, symbol, f"{channel} {k}\n") for k in range(first, first + 45) for channel, symbol in [*wanted, ("trades", "BTC")])
+
+    for first in (0, 45, 90):
+        assert receive(connect(first), MESSAGES, journal) == 90
+        query = start()
+        time.sleep(0.5 if first == 45 else 2.5)  # the second run is stopped wherever it is
+        if first == 90:
+            end = time.time() + 60
+            while time.time() < end and spark.read.schema(kinds).parquet(str(out)).count() < 270:
+                time.sleep(0.5)
+        sizes += [p["numInputRows"] for p in query.recentProgress]
+        query.stop()
+        journal = Journal(path, rows=7)  # a receiver that starts anew goes on with the numbers
+    rows = spark.read.schema(kinds).parquet(str(out)).collect()
+    assert sorted((r.channel, r.symbol, r.number, r.value) for r in rows) == sorted((c, s, k, f"{c} {k}\n") for c, s in MESSAGES for k in range(135))
+    assert max(sizes) <= 20 and sum(n > 0 for n in sizes) > 3
+
+
+def test_journal_flushes_by_rows_and_time(tmp_path):
+    now = [0.0]
+    journal = Journal(str(tmp_path), rows=3, seconds=5, clock=lambda: now[0])
+    for k in range(4):
+        journal.add("candle", "BTC", str(k))
+    assert segments(str(tmp_path), "candle", "BTC") == [0] and available(str(tmp_path), "candle", "BTC") == 3
+    now[0] = 6.0
+    journal.add("candle", "BTC", "4")
+    assert segments(str(tmp_path), "candle", "BTC") == [0, 3] and available(str(tmp_path), "candle", "BTC") == 5 and available(str(tmp_path), "candle", "ETH") == 0

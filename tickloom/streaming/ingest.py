@@ -7,9 +7,9 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..sources.decode import books, candles, contexts
 from ..sources.tables import write_keyed
@@ -93,28 +93,43 @@ def backoff(attempt: int, first: float = 1.0, factor: float = 2.0, most: float =
     return min(first * factor ** max(attempt - 1, 0), most)
 
 
-class Freshness:
-    """Seconds since a query last took in rows."""
+class Freshness(StreamingQueryListener):
+    """Seconds since each query last took in rows, told by Spark's progress events.
+
+    Every batch counts, also those between two looks; a query that starts counts as fresh, one that ends is forgotten.
+    """
 
     def __init__(self, clock: Callable[[], float] = time.monotonic) -> None:
-        self.clock, self.last, self.batch = clock, clock(), None
+        self.clock, self.last = clock, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.last[str(event.runId)] = self.clock()
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.numInputRows:
+            self.last[str(event.progress.runId)] = self.clock()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.last.pop(str(event.runId), None)
 
-    def look(self, query: StreamingQuery) -> float:
-        progress = query.lastProgress
-        if progress and progress["batchId"] != self.batch and progress["numInputRows"]:
-            self.batch, self.last = progress["batchId"], self.clock()
-        return self.clock() - self.last
+    def idle(self, query: StreamingQuery) -> float:
+        return self.clock() - self.last.setdefault(str(query.runId), self.clock())
 
 
-def supervise(start: Callable[[], StreamingQuery], stop: Callable[[], bool], config: Supervision | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> int:
-    """Keep a query running until `stop`; returns the number of restarts."""
-    config, attempt, restarts = config or Supervision(), 0, 0
-    query, fresh = start(), Freshness(clock)
+def supervise(start: Callable[[], StreamingQuery], stop: Callable[[], bool], config: Supervision | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, spark: SparkSession | None = None) -> int:
+    """Keep a query running until `stop`; returns the number of restarts.  Liveness comes from a listener on the session's queries."""
+    config, attempt, restarts, fresh = config or Supervision(), 0, 0, Freshness(clock)
+    streams = (spark or SparkSession.getActiveSession()).streams if spark or SparkSession.getActiveSession() else None
+    if streams is not None:
+        streams.addListener(fresh)
+    query = start()
     try:
         while not stop():
             sleep(config.check_every)
-            idle = fresh.look(query)
-            if not should_restart(query.isActive, idle, config.stale_after):
+            if not should_restart(query.isActive, fresh.idle(query), config.stale_after):
                 attempt = 0
                 continue
             attempt += 1
@@ -123,8 +138,10 @@ def supervise(start: Callable[[], StreamingQuery], stop: Callable[[], bool], con
             if query.isActive:
                 query.stop()
             sleep(backoff(attempt, config.backoff_first, config.backoff_factor, config.backoff_most))
-            query, fresh, restarts = start(), Freshness(clock), restarts + 1
+            query, restarts = start(), restarts + 1
     finally:
         if query.isActive:
             query.stop()
+        if streams is not None:
+            streams.removeListener(fresh)
     return restarts
