@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.series import latest
-from ..schemas import BAR_SECONDS, CONFLICT, KEYS, SEQ_LEN, TABLES, WARMUP_BARS
+from ..schemas import BAR_SECONDS, CONFLICT, KEYS, TABLES
 
 
 def _stored(table: str) -> T.StructType:
@@ -31,9 +30,10 @@ def create_tables(spark: SparkSession, root: str) -> None:
         spark.createDataFrame([], schema).withColumn("date", F.to_date("time")).write.mode("ignore").partitionBy("symbol", "date").parquet(f"{root}/{name}")
 
 
-def scan(spark: SparkSession, root: str, table: str, columns: Sequence[str] | None = None, symbols: Sequence[str] | None = None, since=None) -> DataFrame:
-    """Columns of a table; symbol and time bounds prune partitions and reach the Parquet scan."""
+def scan(spark: SparkSession, root: str, table: str, columns: Sequence[str] | None = None, symbols: Sequence[str] | None = None, since=None, where: Column | None = None) -> DataFrame:
+    """Columns of a table (its date among them, if asked for); symbol and time bounds, and `where`, prune partitions and reach the Parquet scan."""
     df = spark.read.schema(_stored(table)).parquet(f"{root}/{table}")
+    df = df.filter(where) if where is not None else df
     if symbols:
         df = df.filter(F.col("symbol").isin(*symbols))
     if since is not None:
@@ -41,13 +41,6 @@ def scan(spark: SparkSession, root: str, table: str, columns: Sequence[str] | No
     return df.select(*(columns or TABLES[table].names))
 
 
-def recent(bars: DataFrame, others: Sequence[DataFrame], n: int = WARMUP_BARS + SEQ_LEN) -> tuple[DataFrame, list[DataFrame]]:
-    """The last n bars of each symbol, and the rows of the other tables from there on."""
-    tail = latest(bars, n=n)
-    start = tail.groupBy("symbol").agg(F.min("time").alias("_start"))
-    return tail, [o.join(F.broadcast(start), "symbol").filter(F.col("time") >= F.col("_start")).drop("_start") for o in others]
-
-
 def last_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), first: bool = False) -> DataFrame:
     """One whole row for each key: the last by `order` (the first with `first`)."""
     row, rank = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order) if order else F.lit(0)
@@ -83,7 +76,8 @@ def write_keyed(df: DataFrame, root: str, table: str, order: str = "_seq") -> No
     df = df if order in df.columns else df.withColumn(order, F.monotonically_increasing_id())
     fresh = df.withColumn("date", F.to_date("time"))
     names = [*TABLES[table].names, "date"]
-    fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(TABLES[table][c].dataType).alias(c) for c in names], order)
+    kinds = {f.name: f.dataType for f in _stored(table)}
+    fresh = fresh.select(*[(F.col(c) if c in fresh.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names], order)
     how = CONFLICT.get(table, "last")
     if how == "append":
         fresh.drop(order).write.mode("append").partitionBy("symbol", "date").parquet(path)
@@ -113,6 +107,10 @@ def closed_bars(bars: DataFrame, now: Column, seconds: int = BAR_SECONDS) -> Dat
     return bars.filter(F.unix_micros("time") + seconds * 1_000_000 <= F.unix_micros(now))
 
 
-def read_metadata(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def write_metadata(spark: SparkSession, path: str, content: dict) -> None:
+    """A JSON document in a folder of its own, by Spark's file system."""
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).filter("trim(value) <> ''").first()["value"])
