@@ -831,3 +831,31 @@ def test_html_shows_drawings_and_follows_rules_of_the_page():
     rules = "<style>/* .c{display:none} */ .h, .g{display:none} @media print{.k{display:none}} #z , em{visibility:hidden} .g{display:block}</style>"
     assert show(rules + "<p class='a h'>no</p><p class=k>1</p><i id=z>no</i><em>no</em><p class=g>2</p><p class=c>3</p><p class=h style='display:block'>4</p>") == "1\n\n2\n\n3\n\n4"
     assert show("<select multiple><optgroup label=G><option>a<option>b</optgroup></select><select><optgroup label=G><option>c</select>") == "G\na\nbc"
+
+
+def test_toxicity_fit_equals_dense_gradient_descent(monkeypatch):
+    """The fit over blocks of present buckets is plain gradient descent on the dense matrix of ratios, at any block size."""
+    rng = np.random.default_rng(8)
+    keep = rng.random(60) < 0.5
+    ratios, kept = rng.normal(size=60), np.flatnonzero(keep)
+    rows = [np.sort(rng.choice(kept, rng.integers(0, 9), replace=False)).astype(np.int32) for _ in range(80)]
+    y = (rng.random(80) < 0.4).astype(float)
+    x = np.zeros((80, len(kept)))
+    for k, r in enumerate(rows):
+        x[k, np.searchsorted(kept, r)] = ratios[r]
+    w, b, v, vb = np.zeros(len(kept)), math.log((y.sum() + 1) / (80 - y.sum() + 1)), np.zeros(len(kept)), 0.0
+    spread, losses = np.sqrt((x * x).mean(0)) + 1e-6, []
+    for _ in range(toxicity.STEPS):
+        z = x @ w + b
+        losses.append(np.mean(np.logaddexp(0, z) - y * z) + toxicity.RIDGE / 2 * (w * w * spread).sum())
+        if len(losses) > toxicity.PATIENCE and losses[-1] > losses[-1 - toxicity.PATIENCE] * (1 - toxicity.SMALL):
+            break
+        e = 1 / (1 + np.exp(-z)) - y
+        v = 0.9 * v - 0.1 * toxicity.RATE * (x.T @ e / 80 / spread + toxicity.RIDGE * w)
+        vb = 0.9 * vb - 0.1 * toxicity.RATE * e.mean()
+        w, b = w + v, b + vb
+    for block in (1 << 20, 40):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        got = toxicity.fit_presence(np.concatenate(rows), np.array([len(r) for r in rows]), y, ratios, keep)
+        assert np.allclose(got.weights[kept], w * ratios[kept], atol=1e-9) and abs(got.bias - b) < 1e-9 and not got.weights[~keep].any()
+    assert toxicity.fit_presence(np.zeros(0, np.int32), np.zeros(0, int), np.zeros(0), ratios, keep).weights.shape == (60,)

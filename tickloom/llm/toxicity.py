@@ -2,7 +2,7 @@
 
 Document frequencies of hashed n-grams are counted by class over all labelled training rows, in a table of fixed
 size.  N-grams whose frequencies tell the classes apart, whichever they speak for, are the features: those that pass a
-significance level, so there are as many as the labels support (up to a bound that only broadcast size sets).  Each is
+significance level, so there are as many as the labels support (the size of the table bounds them).  Each is
 scaled by its log-count ratio, and a logistic regression on their presence is fitted on a bounded sample.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,13 @@ from .quality import score_udf
 
 SIZES = (3, 4, 5, 6)
 LOG2 = 21
-#: Log-likelihood ratio from which a bucket is a feature (some hundred of 2**21 reach 8 by chance), features at most (those
-#: with most evidence), and rows of the bounded sample on which the weights are fitted: the last two bound what the driver gets.
-EVIDENCE, FEATURES, MOST_LABELLED = 8.0, 4096, 10_000
+#: Log-likelihood ratio from which a bucket is a feature (some hundred of 2**21 reach 8 by chance), and rows of the bounded
+#: sample on which the weights are fitted, which bounds what the driver gets.
+EVIDENCE, MOST_LABELLED = 8.0, 10_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 RIDGE, STEPS, RATE, SMOOTH = 1e-3, 400, 0.5, 0.5
+#: Steps over which the loss must fall by the share SMALL, and entries of a block.
+PATIENCE, SMALL, BLOCK = 20, 1e-3, 1 << 20
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,23 +91,42 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     return part(toxic, both * share) + part(clean, both * (1 - share))
 
 
-def fit_presence(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, keep: np.ndarray) -> ToxicityModel:
-    """Logistic regression, by gradient descent with momentum, on ratio-scaled presence of the kept buckets."""
-    size = np.array([len(r) for r in rows])
-    at, row = (np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)), np.repeat(np.arange(len(rows), dtype=np.int32), size)
+def fit_presence(at: np.ndarray, size: np.ndarray, y: np.ndarray, ratios: np.ndarray, keep: np.ndarray) -> ToxicityModel:
+    """Logistic regression, by gradient descent with momentum, on ratio-scaled presence of the kept buckets.
+
+    `at` holds the buckets of the rows one after the other, `size` their numbers.  A feature's value is its ratio wherever it
+    is present, so the ratios are applied to weights and gradients, and a step goes over the buckets in blocks: beside them
+    only arrays of a block's size are made.  Steps end when the loss has stopped falling.
+    """
     place = np.zeros(len(keep), np.int32)
     place[keep] = np.arange(keep.sum())
-    n, f, x = max(len(rows), 1), place[at], ratios[at].astype(np.float32)
-    w, b, v, vb = np.zeros(keep.sum()), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0, 0.0
-    spread = np.sqrt(np.bincount(f, x * x, len(w)) / n) + 1e-6  # steps by the scale of each feature
+    f, rows, ratio = place[at], len(size), ratios[keep]
+    cuts, n = np.concatenate([[0], np.cumsum(size)]), max(len(size), 1)
+    edges = [0]
+    while edges[-1] < rows:
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(cuts, cuts[edges[-1]] + BLOCK, "right")) - 1))
+    blocks = list(zip(edges[:-1], edges[1:], strict=True))
+    w, b, v, vb = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros(len(ratio)), 0.0
+    spread = np.sqrt(ratio * ratio * np.bincount(f, minlength=len(ratio)) / n) + 1e-6  # steps by the scale of each feature
+    losses: list[float] = []
     for _ in range(STEPS):
-        z = np.bincount(row, w[f] * x, len(rows)) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        v = 0.9 * v - RATE * 0.1 * ((np.bincount(f, e[row] * x, len(w)) / n) / spread + RIDGE * w)
-        vb = 0.9 * vb - RATE * 0.1 * e.mean() if len(e) else 0.0
+        scaled, grad, bias, loss = w * ratio, np.zeros(len(ratio)), 0.0, 0.0
+        for i, j in blocks:
+            some = f[cuts[i] : cuts[j]]
+            upto = np.concatenate([[0.0], np.cumsum(scaled[some])])
+            z = np.clip(upto[cuts[i + 1 : j + 1] - cuts[i]] - upto[cuts[i:j] - cuts[i]] + b, -30, 30)
+            e = 1 / (1 + np.exp(-z)) - y[i:j]
+            loss += float((np.logaddexp(0, z) - y[i:j] * z).sum())
+            bias += float(e.sum())
+            grad += np.bincount(some, np.repeat(e, size[i:j]), len(ratio))
+        losses.append(loss / n + RIDGE / 2 * float((w * w * spread).sum()))
+        if len(losses) > PATIENCE and losses[-1] > losses[-1 - PATIENCE] * (1 - SMALL):
+            break
+        v = 0.9 * v - RATE * 0.1 * (grad * ratio / n / spread + RIDGE * w)
+        vb = 0.9 * vb - RATE * 0.1 * bias / n
         w, b = w + v, b + vb
     full = np.zeros(len(keep))
-    full[keep] = w * ratios[keep]
+    full[keep] = w * ratio
     return ToxicityModel(keep, full, float(b))
 
 
@@ -122,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     counts = bucket_counts(rows, positions, LOG2 + 1, top=1 << 31)
     clean, toxic = counts[: 1 << LOG2].astype(float), counts[1 << LOG2 :].astype(float)
     ratios, found = log_count_ratios(toxic, clean), evidence(toxic, clean, toxic_rows / n)
-    keep = found >= max(EVIDENCE, np.partition(found, -FEATURES)[-FEATURES])
+    keep = found >= EVIDENCE
     held = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +154,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
                 yield pa.RecordBatch.from_arrays([pa.array([at[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(1).slice(a, n)], ["x", "y"])
 
     sample = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int")
-    found = sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).toArrow()  # an id may have any number of rows
-    rows = sorted(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True))
-    return fit_presence([np.frombuffer(x, np.int32) for x, _ in rows], np.array([y for _, y in rows], float), ratios, keep)
+    # In the order of a hash, so that the bounded sample is the same each time; an id may have any number of rows.
+    found = sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).toArrow()
+    y, texts = found.column("y").to_numpy().astype(float), found.column("x").combine_chunks()
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.binary())
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    packed = b"".join(v.as_buffer() for v in texts) if len(texts) else b""
+    del found, texts
+    return fit_presence(np.frombuffer(packed, np.int32), size, y, ratios, keep)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
