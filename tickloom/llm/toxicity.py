@@ -13,12 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_counts
-from .common import text_chunks
+from .common import discard, materialise, text_chunks
 from .labelled import labelled_texts, remainder
 from .quality import score_udf
 
@@ -145,6 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     clean, toxic = counts[: 1 << LOG2].astype(float), counts[1 << LOG2 :].astype(float)
     ratios, found = log_count_ratios(toxic, clean), evidence(toxic, clean, toxic_rows / n)
     keep = found >= EVIDENCE
+    del counts, clean, toxic, found
     held = docs.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +153,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([at[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(1).slice(a, n)], ["x", "y"])
 
+    # The rows of the least hashes, so that the bounded sample is the same each time (an id may have any number of rows; those
+    # of one hash are equal).  They come to the driver one partition after the other, and stay there as numbers only.
     sample = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int")
-    # In the order of a hash, so that the bounded sample is the same each time; an id may have any number of rows.
-    found = sample.orderBy(F.xxhash64("x"), "x", "y").limit(MOST_LABELLED).toArrow()
-    y, texts = found.column("y").to_numpy().astype(float), found.column("x").combine_chunks()
-    if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.binary())
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    packed = b"".join(v.as_buffer() for v in texts) if len(texts) else b""
-    del found, texts
-    return fit_presence(np.frombuffer(packed, np.int32), size, y, ratios, keep)
+    sample = materialise(sample.withColumn("h", F.xxhash64("x", "y")), "toxic-sample")
+    least = sample.select("h").orderBy("h").limit(MOST_LABELLED).agg(F.max("h")).first()[0]
+    hashes, y, parts = [], [], []
+    for row in sample.filter(F.col("h") <= least).toLocalIterator():
+        if len(parts) < MOST_LABELLED:
+            hashes.append(row["h"])
+            y.append(row["y"])
+            parts.append(np.frombuffer(bytes(row["x"]), np.int32))
+    order = np.argsort(np.array(hashes), kind="stable").tolist()
+    size = np.array([len(parts[k]) for k in order], np.int64)
+    at = np.empty(size.sum(), np.int32)
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    for k, i, j in zip(order, cuts[:-1], cuts[1:], strict=True):
+        at[i:j], parts[k] = parts[k], None
+    discard(sample)
+    return fit_presence(at, size, np.array(y, float)[order], ratios, keep)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
