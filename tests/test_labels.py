@@ -97,6 +97,9 @@ def test_samples_skip_gaps(spark, at):
     rows = [("A", at(k), float(k) if k != 5 else None) for k in range(12)]
     feats = spark.createDataFrame(rows, "symbol string, time timestamp, x double")
     labs = spark.createDataFrame([("A", at(k), None, k % 3 - 1, None) for k in range(12)], "symbol string, time timestamp, t1 timestamp, label int, sample_weight double")
+    for rows in (4, 5, 1000):
+        cut = D.samples(feats, labs, 4, ["x"], windows=True, rows=rows).orderBy("e_idx").collect()
+        assert [(r.e_idx, r.x) for r in cut] == [(k, [[float(k - 3 + j)] for j in range(4)]) for k in (3, 4, 9, 10, 11)]
     got = D.samples(feats, labs, 4, ["x"], windows=True).orderBy("e_idx").collect()
     assert [r.e_idx for r in got] == [3, 4, 9, 10, 11]
     assert [r.y for r in got] == [0, 1, 0, 1, 2] and got[0].w == 1.0 and got[0].t1 == got[0].t0 and got[0].x == [[0.0], [1.0], [2.0], [3.0]]

@@ -8,31 +8,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_finite, clip
-from ..functions.series import Series, latest
+from ..functions.series import ROWS_A_CHUNK, Series, in_chunks, latest, numbered
 from ..schemas import BAR_MINUTES, CLIP_SIGMA, EMBARGO_BARS, FEATURE_NAMES, N_SPLITS, SEQ_LEN, SYMBOLS, VAL_FRACTION
+from ..sources.scratch import kept
 from ..sources.tables import scan
 
 
 def labelled_events(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels with the row number of their feature row; labels without one are dropped, missing t1 and weight filled."""
-    rows = features.select("symbol", "time", Series().index().cast("long").alias("e_idx"))
+    rows = numbered(features.select("symbol", "time")).select("symbol", "time", F.col("idx").alias("e_idx"))
     found = labels.join(rows, ["symbol", "time"])
     return found.select("symbol", "e_idx", "time", F.coalesce("t1", "time").alias("t1"), "label", F.coalesce("sample_weight", F.lit(1.0)).alias("weight"))
 
 
-def samples(features: DataFrame, labels: DataFrame, seq_len: int = SEQ_LEN, names: Sequence[str] = FEATURE_NAMES, windows: bool = False) -> DataFrame:
+def samples(features: DataFrame, labels: DataFrame, seq_len: int = SEQ_LEN, names: Sequence[str] = FEATURE_NAMES, windows: bool = False, rows: int = ROWS_A_CHUNK) -> DataFrame:
     """(symbol, e_idx, t0, t1, y, w) of labels with `seq_len` feature rows that are finite throughout; y is label + 1.
 
-    A rolling count of finite rows replaces a look at every window; with `windows`, `x` holds the matrix itself.
+    A rolling count of finite rows replaces a look at every window, by chunks of a series that the rows before lead; with
+    `windows`, `x` holds the matrix itself, gathered for rows with a label only.
     """
-    s = Series()
-    rows = features.withColumns({"e_idx": s.index().cast("long"), "_ok": all_finite(names).cast("int")})
+    cut = in_chunks(numbered(features.select("symbol", "time", *names)), seq_len - 1, rows)
+    s, marked = Series(("symbol", "chunk"), ("idx",)), labels.select("symbol", "time", F.lit(True).alias("_labelled")).distinct()
+    cut = cut.withColumn("_ok", all_finite(names).cast("int"))
     keep = {"_n": F.sum("_ok").over(s.last(seq_len))}
     if windows:
-        rows = rows.withColumn("_row", F.array(*[F.col(n).cast("float") for n in names]))
-        keep["x"] = F.collect_list("_row").over(s.last(seq_len))
-    rows = rows.withColumns(keep).filter(F.col("_n") == seq_len).select("symbol", "time", "e_idx", *(["x"] if windows else []))
-    found = labels.join(rows, ["symbol", "time"])
+        cut = cut.join(marked, ["symbol", "time"], "left").withColumn("_row", F.array(*[F.col(n).cast("float") for n in names]))
+        keep["x"] = F.when(F.col("_labelled"), F.collect_list("_row").over(s.last(seq_len)))
+    kept = cut.withColumns(keep).filter(F.col("own") & (F.col("_n") == seq_len)).select("symbol", "time", F.col("idx").alias("e_idx"), *(["x"] if windows else []))
+    found = labels.join(kept, ["symbol", "time"])
     return found.select("symbol", "e_idx", F.col("time").alias("t0"), F.coalesce("t1", "time").alias("t1"), (F.col("label") + 1).cast("int").alias("y"), F.coalesce("sample_weight", F.lit(1.0)).alias("w"), *(["x"] if windows else []))
 
 
@@ -71,17 +74,22 @@ def fold_edges(found: DataFrame, n_splits: int = N_SPLITS) -> DataFrame:
 def walk_forward(found: DataFrame, n_splits: int = N_SPLITS, embargo_bars: int = EMBARGO_BARS, bar_minutes: int = BAR_MINUTES) -> DataFrame:
     """Samples with (fold, role): test blocks in time order; training samples end before the block by the embargo.
 
-    A sample has one row for each fold it serves in; folds without either role are left out.  There are `n_splits`
-    fold rows, so the range join broadcasts them.
+    A sample has one row for each fold it serves in; folds without either role are left out.  Samples are written once; the
+    edges of the few folds come to the driver and go back as literals, so that roles need no join.
     """
     embargo = F.expr(f"make_dt_interval(0, 0, {int(embargo_bars * bar_minutes)}, 0)")
-    folds = F.broadcast(fold_edges(found, n_splits))
-    t0, start, end = F.col("t0"), F.col("test_start"), F.col("test_end")
-    test = (t0 >= start) & ((t0 < end) | ((F.col("fold") == n_splits) & (t0 <= end)))
-    train = (t0 < start) & (F.col("t1") < start - embargo)
-    met = found.join(folds, train | test).withColumn("role", F.when(test, "test").otherwise("train"))
-    both = met.groupBy("fold").agg(F.count_distinct("role").alias("roles")).filter("roles = 2").select("fold")
-    return met.join(F.broadcast(both), "fold", "left_semi")
+    found = kept(found, "samples")
+    t0, roles = F.col("t0"), []
+    for k, start, end in fold_edges(found, n_splits).select("fold", "test_start", "test_end").collect():  # a row a fold
+        start, end = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+        test = (t0 >= start) & ((t0 <= end) if k == n_splits else (t0 < end))
+        train = (t0 < start) & (F.col("t1") < start - embargo)
+        roles.append((k, F.when(test, "test").when(train, "train")))
+    if roles:
+        counts = found.agg(*[F.count_distinct(role).alias(f"f{k}") for k, role in roles]).first()
+        roles = [(k, role) for k, role in roles if counts[f"f{k}"] == 2]
+    served = F.array(*[F.when(role.isNotNull(), F.struct(F.lit(k).alias("fold"), role.alias("role"))) for k, role in roles]) if roles else F.array().cast("array<struct<fold:int,role:string>>")
+    return found.withColumn("_f", F.explode(F.filter(served, lambda f: f.isNotNull()))).select(*found.columns, "_f.fold", "_f.role")
 
 
 def fold_cutoffs(split: DataFrame, embargo_bars: int = EMBARGO_BARS, bar_minutes: int = BAR_MINUTES) -> DataFrame:

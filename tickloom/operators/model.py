@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import argmax, softmax
 from ..schemas import BAR_MINUTES, EMBARGO_BARS, FEATURE_NAMES, N_SPLITS, SEQ_LEN, VAL_FRACTION
+from ..sources.tables import write_metadata
 from .datasets import final_split, fold_cutoffs, latest_windows, normalise, normaliser, walk_forward
 from .metrics import class_weights, scores
 
@@ -32,11 +31,11 @@ def predict_baseline(model, df: DataFrame) -> DataFrame:
     return out.withColumn("probs", vector_to_array("probability")).withColumn("p", F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def save_artifacts(folder: str, model, stats: dict[str, tuple[float, float]], config: dict, metrics: dict) -> None:
-    """Model folder and metadata.json with the normaliser, feature order, configuration and metrics."""
+def save_artifacts(folder: str, model, stats: dict[str, tuple[float, float]], config: dict, metrics: dict, spark: SparkSession | None = None) -> None:
+    """Model folder and a metadata document with the normaliser, feature order, configuration and metrics, by Spark's file system."""
     model.write().overwrite().save(f"{folder}/model")
-    text = json.dumps({"features": list(stats), "mean": [m for m, _ in stats.values()], "std": [s for _, s in stats.values()], "config": config, "metrics": metrics}, indent=1)
-    Path(folder, "metadata.json").write_text(text, encoding="utf-8")
+    content = {"features": list(stats), "mean": [m for m, _ in stats.values()], "std": [s for _, s in stats.values()], "config": config, "metrics": metrics}
+    write_metadata(spark or SparkSession.active(), f"{folder}/metadata", content)
 
 
 def _fitted(features: DataFrame, part: DataFrame, names: Sequence[str], cutoff, train_role: str) -> tuple:
@@ -53,15 +52,11 @@ def evaluate_and_refit(features: DataFrame, found: DataFrame, names: Sequence[st
 
     `found` are samples of `features`.  Each fold has its own normaliser, fitted on the bars before its cut-off.
     """
-    split, out = walk_forward(found, n_splits, embargo_bars, bar_minutes).persist(), []
-    try:
-        cutoffs = fold_cutoffs(split, embargo_bars, bar_minutes).orderBy("fold").collect()  # a row a fold
-        for c in cutoffs:
-            cutoff = features.sparkSession.createDataFrame([c], "fold int, cutoff timestamp")
-            _, _, scored = _fitted(features, split.filter(F.col("fold") == c["fold"]), names, cutoff, "train")
-            out.append({"fold": c["fold"]} | scores(scored).select("accuracy", "macro_f1").first().asDict())
-    finally:
-        split.unpersist()
+    split, out = walk_forward(found, n_splits, embargo_bars, bar_minutes), []
+    for c in fold_cutoffs(split, embargo_bars, bar_minutes).orderBy("fold").collect():  # a row a fold
+        cutoff = features.sparkSession.createDataFrame([c], "fold int, cutoff timestamp")
+        _, _, scored = _fitted(features, split.filter(F.col("fold") == c["fold"]), names, cutoff, "train")
+        out.append({"fold": c["fold"]} | scores(scored).select("accuracy", "macro_f1").first().asDict())
     last = final_split(found, val_frac, embargo_bars, bar_minutes)
     gap = F.expr(f"make_dt_interval(0, 0, {int(embargo_bars * bar_minutes)}, 0)")
     cutoff = last.filter("role = 'val'").agg((F.min("t0") - gap).alias("cutoff")).select(F.lit(0).alias("fold"), "cutoff")

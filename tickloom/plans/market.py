@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.series import Series, latest
-from ..operators import checks, datasets, decision, features, labels, metrics, serving
+from ..operators import checks, datasets, decision, features, labels, metrics, model, serving
 from ..operators.asof import asof_join
 from ..schemas import FEATURE_NAMES
 from ..sources import decode
@@ -166,6 +166,40 @@ def q_folds(spark, sf):
     return found.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("t0").alias("first"), F.max("t0").alias("last"), F.max("t1").alias("last_t1"))
 
 
+def q_cutoffs(spark, sf):
+    """The time before which bars may serve each fold's normaliser."""
+    df, made = _toy(spark, sf)
+    return datasets.fold_cutoffs(datasets.walk_forward(datasets.samples(df, made, 40, TOY), 5, 12, 60), 12, 60)
+
+
+def q_final_split(spark, sf):
+    """Samples by their role in the final fit."""
+    df, made = _toy(spark, sf)
+    found = datasets.final_split(datasets.samples(df, made, 40, TOY), 0.15, 12, 60)
+    return found.groupBy("symbol", "role").agg(F.count(F.lit(1)).alias("n"), F.min("t0").alias("first"), F.max("t0").alias("last"), F.max("t1").alias("last_t1"))
+
+
+def _drift(x):
+    """Logits of windows of TOY features: the mean return against nothing."""
+    import numpy as np
+
+    z = 1000 * x[:, :, 0].astype(np.float64).mean(1)
+    return np.stack([-z, 0 * z, z], axis=1)
+
+
+def q_predictions(spark, sf):
+    """Predictions for the latest bar of each symbol, by a fixed scorer."""
+    df = features.volumes(features.returns(bars(spark, sf), Series()), Series()).select("symbol", "time", *TOY)
+    out = model.infer_latest(df, _drift, "drift", 40, TOY)
+    return out.select("symbol", "time", "model_version", "signal", *_round(out, ("prob_down", "prob_flat", "prob_up"), digits=4))
+
+
+def q_pending(spark, sf):
+    """Orders as recorded before they are sent, by status."""
+    df = decision.gate(_gated(spark, sf), sent=False)
+    return df.groupBy("symbol", "intent", "order_type", "status", "risk_passed").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("size").cast("decimal(18,2)")), 2).cast("double").alias("size"))
+
+
 def q_normaliser(spark, sf):
     df, made = _toy(spark, sf)
     split = datasets.walk_forward(datasets.samples(df, made, 40, TOY), 5, 12, 60)
@@ -364,7 +398,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features_bands": _bar_query(("bb_pctb_20", "stoch_k_14"), features.bands),
     "features_temporal": q_temporal, "features_recursive": q_recursive, "features_adx": q_adx, "features_book": q_book, "features_funding": q_funding, "features_cross": q_cross, "features_all": q_features,
     "asof_join": q_asof, "book_levels": q_levels, "cusum_events": q_cusum, "triple_barrier": q_barriers, "labels": q_labels,
-    "samples": q_samples, "walk_forward": q_folds, "normaliser": q_normaliser, "normalised": q_normalised,
+    "samples": q_samples, "walk_forward": q_folds, "fold_cutoffs": q_cutoffs, "final_split": q_final_split, "latest_predictions": q_predictions, "pending_orders": q_pending, "normaliser": q_normaliser, "normalised": q_normalised,
     "class_weights": q_class_weights, "confusion": q_confusion, "classification_scores": q_scores, "weighted_cross_entropy": q_cross_entropy, "softmax_argmax": q_softmax,
     "order_plans": q_plans, "risk_gate": q_risk_gate, "latest_per_key": q_latest, "top_latest": q_top, "candles": q_candles, "monitoring": q_monitoring, "positions": q_positions,
     "last_by_key": q_last_by_key, "bars_held": q_held, "decode_candles": q_decode, "decode_numbers": q_props, "latest_windows": q_latest_windows, "labelled_events": q_labelled_events, "numbered_orders": q_numbered, "risk_state": q_risk_state, "filled_rates": q_filled_rates, "validation": q_validate, "table_stats": q_table_stats,

@@ -236,7 +236,17 @@ RISK_STATE = """with h as (select c_nationkey account, c_mktsegment as symbol, s
 select o.key, o.account, o.symbol, m.mark, n_nationkey * 1000.0::double equity, n_regionkey open_orders, n_nationkey = 3 kill_switch, round(coalesce(h.pos, 0), 6) + 0.0 as position, round(coalesce(x, 0), 6) + 0.0 exposure
 from o join nation on n_nationkey = o.account left join h on h.account = o.account and h.symbol = o.symbol left join m on m.symbol = o.symbol left join e on e.account = o.account"""
 
+CUTOFFS = f"with {SPLIT} select fold, min(t0) - interval '720 minutes' cutoff from rl where role = 'test' group by fold"
+FINAL_SPLIT = f"""with {TOY}, st as (select t0, row_number() over (order by t0) - 1 rn, count(*) over () n from smp), v as (select t0 vs from st where rn = n - round(n * 0.15::double)),
+    ro as (select *, case when t0 >= vs then 'val' when t1 < vs - interval '720 minutes' then 'train' end as role from smp, v)
+select symbol, role, count(*) n, min(t0) as first, max(t0) as last, max(t1) last_t1 from ro where role is not null group by all"""
+PENDING = RISK.rsplit("\nselect", 1)[0] + " select 'BTC' as symbol, intent, ot order_type, case when reason like 'ok%' then 'pending' else 'rejected' end status, reason like 'ok%' risk_passed, count(*) n, round(sum(size::decimal(18,2)), 2)::double size from r group by all"
+PREDICTIONS = LATEST_WINDOWS.rsplit(",\n    g as", 1)[0] + f""",
+    g as (select symbol, max(time) as time, 1000 * avg(ret_1::float::double) z from l group by symbol having count(*) = 40 and bool_and(fin)), e as (select *, exp(-z - abs(z)) dn, exp(-abs(z)) fl, exp(z - abs(z)) u from g)
+select symbol, time, 'drift' model_version, case when dn >= fl and dn >= u then -1 when fl >= u then 0 else 1 end::smallint signal, {out({'prob_down': 'dn / (dn + fl + u)', 'prob_flat': 'fl / (dn + fl + u)', 'prob_up': 'u / (dn + fl + u)'}, 4)} from e"""
+
 ORACLES: dict[str, str] = {
+    "fold_cutoffs": CUTOFFS, "final_split": FINAL_SPLIT, "pending_orders": PENDING, "latest_predictions": PREDICTIONS,
     "labels": LABELS, "latest_windows": LATEST_WINDOWS, "labelled_events": LABELLED_EVENTS, "risk_state": RISK_STATE,
     "numbered_orders": "select o_orderdate::timestamp as time, o_orderpriority as symbol, lpad(o_orderkey::varchar, 12, '0') intent, row_number() over (order by o_orderdate, o_orderpriority, lpad(o_orderkey::varchar, 12, '0')) + 1000 order_id from orders",
     "bars": f"with {BARS} select * from b", "features_returns": RETURNS, "features_volatility": VOLATILITY, "features_volume": VOLUME, "features_microstructure": MICRO, "features_bands": BANDS, "features_temporal": TEMPORAL,
