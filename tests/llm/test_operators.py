@@ -859,3 +859,14 @@ def test_toxicity_fit_equals_dense_gradient_descent(monkeypatch):
         got = toxicity.fit_presence(np.concatenate(rows), np.array([len(r) for r in rows]), y, ratios, keep)
         assert np.allclose(got.weights[kept], w * ratios[kept], atol=1e-9) and abs(got.bias - b) < 1e-9 and not got.weights[~keep].any()
     assert toxicity.fit_presence(np.zeros(0, np.int32), np.zeros(0, int), np.zeros(0), ratios, keep).weights.shape == (60,)
+
+
+def test_token_counts_of_every_character(spark):
+    """Every code point of planes 0 to 3, beside letters and digits: also those younger than Python's tables."""
+    from tokenizers import Tokenizer
+
+    points = [p for p in range(1, 0x40000) if not 0xD800 <= p < 0xE000]
+    texts = [f"a{chr(p)}b 1{chr(p)}" for p in points]
+    found = token_counts.count_texts(texts, token_counts.WordBpe(BPE))
+    library = Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)
+    assert [hex(p) for p, a, b in zip(points, found.tolist(), library, strict=True) if a != len(b.ids)] == []

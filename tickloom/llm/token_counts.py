@@ -5,9 +5,10 @@ transitions tell where pieces begin.  A text is cut into chunks of fixed length;
 to exit state is found for all states at once, the maps are composed by a parallel prefix scan, and a second sweep
 from the known entry states yields the pieces.
 
-Only the splitter is a transducer.  Merging inside a piece is ranked, not left to right, so counts of tokens cannot be put
-on transitions of a bounded number of states: each distinct piece is merged once by the merge list, its count is kept, and
-the transition that ends the piece emits that number.
+Only the splitter is a transducer.  Merging inside a piece is ranked, and a transducer for it would have a state for each
+prefix that matters to later merges, too many to compile beforehand: each distinct piece is merged once by the merge list, its
+count is kept, and the transition that ends the piece emits that number.  Character classes and lower case are those of the
+tokenizer library, also where its Unicode version is younger than Python's.
 """
 
 from __future__ import annotations
@@ -60,6 +61,33 @@ def compile_splitter() -> tuple[np.ndarray, np.ndarray]:
     return go, out
 
 
+#: Code points that the tables are checked for against the library: planes 0 to 3 without surrogates.
+CHECKED = [p for p in range(0x80, 0x40000) if not 0xD800 <= p < 0xE000]
+
+
+@cache
+def lower_overrides() -> dict[int, str]:
+    """Characters that the tokenizer library puts into lower case otherwise than Python does (it knows another Unicode version)."""
+    from tokenizers.normalizers import Lowercase
+
+    whole = "\n".join(map(chr, CHECKED))
+    mine, theirs = whole.lower().split("\n"), Lowercase().normalize_str(whole).split("\n")
+    return {p: b for p, a, b in zip(CHECKED, mine, theirs, strict=True) if a != b and chr(p) != "Σ"}
+
+
+def _younger_letters_and_digits() -> dict[int, int]:
+    """Classes of the characters that Python's tables do not know, as the tokenizer library's expressions see them."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    unknown = [p for p in CHECKED if unicodedata.category(chr(p)) == "Cn"]
+    out = {}
+    for kind, expression in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
+        found = Split(Regex(expression), "removed", invert=True).pre_tokenize_str(" ".join(map(chr, unknown)))
+        out |= {ord(piece): kind for piece, _ in found}
+    return out
+
+
 @cache
 def class_table() -> np.ndarray:
     """Class of every code point."""
@@ -68,6 +96,8 @@ def class_table() -> np.ndarray:
     for point in range(0x110000):
         if kind := kinds.get(unicodedata.category(chr(point))[0]):
             table[point] = kind
+    for point, kind in _younger_letters_and_digits().items():
+        table[point] = kind
     table[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
     for chars, kind in (("'", APOSTROPHE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         table[[ord(c) for c in chars]] = kind
@@ -189,6 +219,8 @@ def count_texts(texts: list[str | None], model: WordBpe) -> np.ndarray:
                 out[b] += found
             if not text.isascii() and not unicodedata.is_normalized("NFC", text):
                 text = " ".join(unicodedata.normalize("NFC", t) for t in text.split(" "))
+            if not text.isascii():
+                text = text.translate(lower_overrides()) if _overridden().search(text) else text
             parts.append(text.replace("Σ", "σ").lower() + " ")  # lower case here knows no word ends
             size += len(parts[-1])
             b += 1
@@ -215,6 +247,11 @@ def count_texts(texts: list[str | None], model: WordBpe) -> np.ndarray:
     return out
 
 
+@cache
+def _overridden() -> re.Pattern:
+    return re.compile("[" + "".join(map(chr, lower_overrides())) + "]" if lower_overrides() else "(?!)")
+
+
 @cache
 def _model(path: str) -> WordBpe:
     return WordBpe(path)
