@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .exprs import _c, fdiv
 
 
@@ -76,13 +77,14 @@ DAY = 86_400
 ROWS_A_CHUNK = 50_000
 
 
-def numbered(df: DataFrame, by: Sequence[str] = ("symbol",), time: str = "time", tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str] = ("symbol",), time: str = "time", tie: Sequence[str] = (), seconds: int = DAY, once: bool = True) -> DataFrame:
     """`df` with idx, the place of a row in its series from 0, and rows, the length of the series.
 
     Rows are numbered within time buckets of `seconds`, after the rows of the buckets before, which come from one count a
-    bucket: no task orders more than a bucket of a series.
+    bucket: no task orders more than a bucket of a series.  Rows are read for both; with `once`, what makes them runs once
+    and is written to the shared folder (leave it out for a stored table).
     """
-    cut = df.withColumn("_bucket", F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long"))
+    cut = (kept(df, "rows") if once else df).withColumn("_bucket", F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long"))
     whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     before = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -103,6 +105,18 @@ def in_chunks(df: DataFrame, halo: int, rows: int = ROWS_A_CHUNK, idx: str = "id
     return df.withColumn("chunk", F.explode(chunks)).withColumn("own", F.col("chunk") == at)
 
 
+def longest(df: DataFrame, by: Sequence[str] = ("symbol",)) -> int:
+    """Rows of the longest series of a stored table."""
+    return df.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
+def bounded(df: DataFrame, halo: int, rows: int = ROWS_A_CHUNK, tie: Sequence[str] = ()) -> DataFrame:
+    """A stored table with chunk and own, as `in_chunks` gives them; one chunk a series where none is longer than `rows`."""
+    if longest(df) <= rows:
+        return df.withColumns({"chunk": F.lit(0).cast("long"), "own": F.lit(True)})
+    return in_chunks(numbered(df, tie=tie, once=False), halo, rows)
+
+
 def running_sum(df: DataFrame, x, out: str, by: Sequence[str] = ("symbol",), idx: str = "idx", rows: int = ROWS_A_CHUNK) -> DataFrame:
     """`df` with `out`, the sum of x up to and with each row by idx: sums within chunks after the sums of the chunks before."""
     cut = df.withColumns({"_chunk": F.floor(F.col(idx) / rows).cast("long"), "_x": F.coalesce(_c(x), F.lit(0))})

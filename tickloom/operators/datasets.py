@@ -34,8 +34,8 @@ def samples(features: DataFrame, labels: DataFrame, seq_len: int = SEQ_LEN, name
     if windows:
         cut = cut.join(marked, ["symbol", "time"], "left").withColumn("_row", F.array(*[F.col(n).cast("float") for n in names]))
         keep["x"] = F.when(F.col("_labelled"), F.collect_list("_row").over(s.last(seq_len)))
-    kept = cut.withColumns(keep).filter(F.col("own") & (F.col("_n") == seq_len)).select("symbol", "time", F.col("idx").alias("e_idx"), *(["x"] if windows else []))
-    found = labels.join(kept, ["symbol", "time"])
+    whole = cut.withColumns(keep).filter(F.col("own") & (F.col("_n") == seq_len)).select("symbol", "time", F.col("idx").alias("e_idx"), *(["x"] if windows else []))
+    found = labels.join(whole, ["symbol", "time"])
     return found.select("symbol", "e_idx", F.col("time").alias("t0"), F.coalesce("t1", "time").alias("t1"), (F.col("label") + 1).cast("int").alias("y"), F.coalesce("sample_weight", F.lit(1.0)).alias("w"), *(["x"] if windows else []))
 
 

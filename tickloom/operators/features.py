@@ -17,8 +17,9 @@ from ..functions.bar_series import FROM_BARS, FROM_FUNDING, FROM_OTHER, bar_arra
 from ..functions.book_series import BEST, LEVELS, PRICED, STATES, bar_sums, levels, quote
 from ..functions.exprs import day_cycle, fdiv, finite_or_null, flog
 from ..functions.recursive import HALO
-from ..functions.series import DAY, ROWS_A_CHUNK, Series, in_chunks, numbered
+from ..functions.series import DAY, ROWS_A_CHUNK, Series, bounded, in_chunks, longest, numbered
 from ..schemas import BAR_SECONDS, FEATURE_CATEGORIES, FEATURE_NAMES, RET_HORIZONS
+from ..sources.scratch import kept
 from .asof import asof_join
 
 BOOK_FEATURES = (*STATES, "spread_z_60", "spread_vol_30", "ofi")
@@ -86,7 +87,10 @@ def recursions(df: DataFrame, by: tuple[str, ...] = ("symbol",), rows: int = ROW
     averaged directional index, which needs those states, has a second such scan.  Then every chunk is run from its true
     state.  A task holds one chunk; a series of one chunk takes a single pass.  NaN warm-up is null.
     """
-    cut = in_chunks(numbered(df, by), 1, rows)
+    df = kept(df, "series")
+    if longest(df, by) <= rows:
+        return _recursions_at_once(df, by)
+    cut = in_chunks(kept(numbered(df, by, once=False), "numbered"), 1, rows)
     keys, kinds = [*by, "chunk"], {f.name: f.dataType.simpleString() for f in cut.schema}
     names = ", ".join(f"{c} {kinds[c]}" for c in by)
     followed = cut.filter(F.col("chunk") < F.floor((F.col("rows") - 1) / rows)).select(*keys, "idx", "high", "low", "close", "own")
@@ -145,18 +149,31 @@ def recursions(df: DataFrame, by: tuple[str, ...] = ("symbol",), rows: int = ROW
         part, (vector, moments, ranged) = chunk_of(group), state_of(state)
         found = part.features(vector, moments, ranged, state.column("index")[0].as_py() if state.num_rows else 0.0)
         group = group.slice(0 if part.first else 1)
-        return pa.table([*(group.column(c) for c in kept), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in C.CARRIED)], [*kept, *C.CARRIED])
+        return pa.table([*(group.column(c) for c in carried), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in C.CARRIED)], [*carried, *C.CARRIED])
 
     maps = followed.groupBy(*keys).applyInArrow(first_pass, f"{names}, chunk long, {_STATE}")
     states = maps.groupBy(*by).applyInArrow(scan, f"{names}, chunk long, vector array<double>, n long, mean double, square double, ranged long")
     indices = followed.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(second_pass, f"{names}, chunk long, decay double, add double")
     states = states.join(indices.groupBy(*by).applyInArrow(scan_index, f"{names}, chunk long, index double"), keys)
-    kept = [c for c in cut.columns if c not in ("chunk", "own", *C.CARRIED)]
-    schema = T.StructType([*(cut.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in C.CARRIED)])
+    carried = [c for c in cut.columns if c not in ("chunk", "own", *C.CARRIED)]
+    schema = T.StructType([*(cut.schema[c] for c in carried), *(T.StructField(n, T.DoubleType()) for n in C.CARRIED)])
     out_schema = to_arrow_schema(schema)
     return cut.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(last_pass, schema)
 
 
+def _recursions_at_once(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """`recursions` of series that are one chunk each."""
+    schema = T.StructType([*df.schema.fields, T.StructField("rows", T.LongType()), T.StructField("idx", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in C.CARRIED)])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("time")
+        found = C.Chunk(0, *(_numbers(group, c) for c in ("high", "low", "close"))).features(np.zeros(len(C.LINEAR)), C.Moments(), None, 0.0)
+        counts = {"rows": pa.array(np.full(group.num_rows, group.num_rows)), "idx": pa.array(np.arange(group.num_rows))}
+        return pa.table([*group.columns, *counts.values(), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in C.CARRIED)], [*group.column_names, *counts, *C.CARRIED])
+
+    return df.groupBy(*by).applyInArrow(run, schema)
+
+
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy(zero_copy_only=False).astype(float)
 
@@ -169,12 +186,15 @@ def series_features(bars: DataFrame, rows: int = ROWS_A_CHUNK, funding: bool = F
     2 * HALO rows before lead a chunk: look-backs are at most 300 rows, and older values weigh below 1e-15 in every
     recursion (`recursions` carries them exactly).  Values that are missing or not numbers come back as null.
     """
+    bars = kept(bars.select("symbol", "time", *_NUMBERS[:6], *(_NUMBERS[6:] if funding else ())), "bars")  # read several times below
     missing = [F.lit(None).cast("double").alias(c) for c in ("_rate", "_interest")]
     own = bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in _NUMBERS[:6]], *(_NUMBERS[6:] if funding else missing), F.lit(BAR).alias("_kind"))
     beside = other_symbols(bars).withColumnsRenamed({"symbol": "_mine", "other": "symbol"})
     others = bars.select("symbol", "time", F.col("close").cast("double").alias("close")).join(beside, "symbol").select(F.col("_mine").alias("symbol"), "time", "close", F.lit(OTHER).alias("_kind"))
-    both = numbered(own.unionByName(others, allowMissingColumns=True), tie=("_kind",))
-    rows, by = in_chunks(both, 2 * HALO, rows), ["symbol", "chunk"]
+    both = own.unionByName(others, allowMissingColumns=True)
+    whole = 2 * longest(bars) <= rows
+    rows = both.withColumns({"chunk": F.lit(0), "own": F.lit(True)}) if whole else in_chunks(numbered(both, tie=("_kind",), once=False), 2 * HALO, rows)
+    by = ["symbol", "chunk"]
     names = (*FROM_BARS, *(FROM_FUNDING if funding else ()), *FROM_OTHER)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -221,8 +241,8 @@ def book_features(book: DataFrame, bar: int = BAR_SECONDS, rows: int = ROWS_A_CH
     Prices past the end of a side are missing, sizes 0.  Snapshots are read once, by symbol and day; the step from one bar
     to the next and the rolling statistics look at one row a bar, in chunks led by the bars before.
     """
-    cut = in_chunks(numbered(book_bars(book, bar)), 60, rows)
-    s = Series(("symbol", "chunk"), ("idx",))
+    cut = bounded(kept(book_bars(book, bar), "book-bars"), 60, rows)
+    s = Series(("symbol", "chunk"))
     was = {k: s.lag(f"last_{k}") for k in BEST}
     gain = lambda on, size: F.when(on, size).otherwise(0.0)
     step = lambda price, size, better, worse: gain(better(F.col(f"first_{price}"), was[price]), F.col(f"first_{size}")) - gain(worse(F.col(f"first_{price}"), was[price]), was[size])

@@ -205,9 +205,11 @@ def average_uniqueness(bars: DataFrame, labels: DataFrame, rows: int = ROWS_A_CH
     Openings and closings are added up along the bars; two lookups of a prefix sum replace the interval join.  Prefix sums
     are made by chunks of `rows` bars, so a long series is spread over tasks.
     """
+    labels = kept(labels, "barriers")
     moves = labels.select("symbol", "idx", F.lit(1).alias("d")).unionByName(labels.select("symbol", (F.col("touch_idx") + 1).alias("idx"), F.lit(-1).alias("d"))).groupBy("symbol", "idx").agg(F.sum("d").alias("d"))
-    grid = running_sum(bars.select("symbol", "idx").join(moves, ["symbol", "idx"], "left"), "d", "open", rows=rows)
+    grid = kept(running_sum(bars.select("symbol", "idx").join(moves, ["symbol", "idx"], "left"), "d", "open", rows=rows), "open-labels")
     grid = running_sum(grid.withColumn("inv", F.when(F.col("open") > 0, 1 / F.greatest("open", F.lit(1)))), "inv", "sum", rows=rows)
+    grid = kept(grid.select("symbol", "idx", "inv", "sum"), "uniqueness")
     at = grid.select("symbol", F.col("idx").alias("touch_idx"), F.col("sum").alias("to"))
     begin = grid.select("symbol", "idx", (F.col("sum") - F.coalesce("inv", F.lit(0.0))).alias("from"))
     met = labels.join(at, ["symbol", "touch_idx"]).join(begin, ["symbol", "idx"])
@@ -215,9 +217,12 @@ def average_uniqueness(bars: DataFrame, labels: DataFrame, rows: int = ROWS_A_CH
 
 
 def labelled_bars(bars: DataFrame, rows: int = ROWS_A_CHUNK) -> DataFrame:
-    """Bars numbered within their symbol, with volatility and log return; chunks of `rows` bars carry their state on, as in `recursions`."""
+    """Bars numbered within their symbol, with volatility and log return; chunks of `rows` bars carry their state on, as in `recursions`.
+
+    The result is written to the shared folder: events, barriers and weights all read it.
+    """
     found = recursions(bars.select("symbol", "time", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")]), rows=rows)
-    return found.select("symbol", "time", "high", "low", "close", F.col("sigma_ewma").alias("sigma"), "idx", "ret")
+    return kept(found.select("symbol", "time", "high", "low", "close", F.col("sigma_ewma").alias("sigma"), "idx", "ret"), "labelled-bars")
 
 
 def label_bars(bars: DataFrame, horizon: int = HORIZON, pt_mult: float = PT_MULT, sl_mult: float = SL_MULT, h_mult: float = H_MULT) -> DataFrame:
