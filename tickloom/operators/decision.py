@@ -91,6 +91,7 @@ def risk_reason(limits: dict | None = None) -> Column:
     leverage = total / F.when(c("equity") > 0, c("equity"))
     limit, kind = c("order_type") == "limit", F.coalesce(c("order_type"), F.lit(""))
     shaped = (c("intent").isin("entry", "take_profit") & (kind == "limit")) | ((c("intent") == "stop_loss") & (kind == "market"))
+    # The order of the rules; stored orders carry the reasons.
     rules = [
         (~F.coalesce(c("side").isin("buy", "sell"), F.lit(False)), F.concat(F.lit("invalid side: "), F.coalesce("side", F.lit("null")))),
         (~F.coalesce(c("intent").isin("entry", "take_profit", "stop_loss"), F.lit(False)), F.concat(F.lit("invalid intent: "), F.coalesce("intent", F.lit("null")))),

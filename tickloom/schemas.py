@@ -48,6 +48,7 @@ def _table(text: str) -> T.StructType:
     return out
 
 
+# Names and kinds of the tables' columns.
 TABLES: dict[str, T.StructType] = {
     "ohlcv_bars": _table("symbol string!, time timestamp!, open double, high double, low double, close double, volume double, trades int, vwap double"),
     "orderbook_snapshots": _table("symbol string!, time timestamp!, bid_px doubles, bid_sz doubles, ask_px doubles, ask_sz doubles"),
@@ -63,7 +64,7 @@ KEYS = {t: ("symbol", "time") for t in TABLES} | {"model_predictions": ("symbol"
 CONFLICT = {"orderbook_snapshots": "first", "orders": "append"}
 
 _IN = lambda c, *v: f"{c} in ({', '.join(repr(x) for x in v)})"
-#: Rules by table, as SQL predicates; a row is good where none is false.
+# The values that columns may have, by table, as SQL predicates; a row is good where none is false.
 RULES: dict[str, dict[str, str]] = {t: {"symbol": _IN("symbol", *SYMBOLS)} for t in TABLES}
 RULES["labels"] |= {"label": _IN("label", -1, 0, 1), "touch_barrier": _IN("touch_barrier", "pt", "sl", "vertical")}
 RULES["model_predictions"] |= {"signal": _IN("signal", -1, 0, 1)}
