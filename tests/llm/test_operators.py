@@ -870,3 +870,29 @@ def test_token_counts_of_every_character(spark):
     found = token_counts.count_texts(texts, token_counts.WordBpe(BPE))
     library = Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)
     assert [hex(p) for p, a, b in zip(points, found.tolist(), library, strict=True) if a != len(b.ids)] == []
+
+
+def plain_quality_features(text):
+    """The features by loops over bytes and words."""
+    data = (text or "").encode()
+    n, kinds = len(data), [int(quality._CLASS[b]) for b in data]
+    ones = [kinds.count(k) for k in range(quality.CLASSES)]
+    pairs = Counter(zip(kinds, kinds[1:]))  # noqa: B905, RUF007
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    w, many = len(words), Counter(x.lower() for x in words)
+    share = lambda values: sum(values) / max(w, 1)
+    mean = share(len(x) for x in words)
+    extra = [
+        math.log1p(n), math.log1p(w), mean / 10, math.sqrt(max(share(len(x) ** 2 for x in words) - mean**2, 0)) / 10, len(many) / max(w, 1), max(many.values(), default=0) / max(w, 1), share(quality._CLASS[x[-1]] >= 7 for x in words),
+        share(quality._CLASS[x[0]] == 1 for x in words), math.log1p(w / max(ones[4] + (n > 0), 1)), share(len(x) <= 3 for x in words),
+    ]
+    return [*(v / max(n, 1) for v in ones), *(pairs[i, j] / max(n, 1) for i in range(quality.CLASSES) for j in range(quality.CLASSES)), *extra]
+
+
+def test_quality_features_equal_loops(spark):
+    texts = [t for _, t, _ in ODD] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ["A|b\r\nC  d!?", "\n\n", "x", "Ünï 12%"]
+    got = quality.features(pa.array(texts, pa.string()))
+    assert got.shape == (len(texts), quality.FEATURES)
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_quality_features(text), rtol=1e-5, atol=1e-6), text and text[:80]
+    assert quality.features(pa.array(texts, pa.string()).slice(3, 5)).tolist() == got[3:8].tolist()
