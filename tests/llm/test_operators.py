@@ -848,7 +848,7 @@ def test_toxicity_fit_equals_dense_gradient_descent(monkeypatch):
     for _ in range(toxicity.STEPS):
         z = x @ w + b
         losses.append(np.mean(np.logaddexp(0, z) - y * z) + toxicity.RIDGE / 2 * (w * w * spread).sum())
-        if len(losses) > toxicity.PATIENCE and losses[-1] > losses[-1 - toxicity.PATIENCE] * (1 - toxicity.SMALL):
+        if len(losses) > toxicity.PATIENCE and losses[-1 - toxicity.PATIENCE] - losses[-1] < toxicity.SMALL * losses[0]:
             break
         e = 1 / (1 + np.exp(-z)) - y
         v = 0.9 * v - 0.1 * toxicity.RATE * (x.T @ e / 80 / spread + toxicity.RIDGE * w)

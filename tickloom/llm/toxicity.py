@@ -28,7 +28,7 @@ LOG2 = 21
 EVIDENCE, MOST_LABELLED = 8.0, 10_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 RIDGE, STEPS, RATE, SMOOTH = 1e-3, 400, 0.5, 0.5
-#: Steps over which the loss must fall by the share SMALL, and entries of a block.
+#: Steps over which the loss must fall by the share SMALL of what it began with, and entries of a block.
 PATIENCE, SMALL, BLOCK = 20, 1e-3, 1 << 20
 
 
@@ -52,16 +52,26 @@ def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def present(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row, bucket): each n-gram of a text once; with `keep`, only buckets flagged there."""
+    """(first row, rows, row, bucket): each n-gram of a text once, by rows; with `keep`, only buckets flagged there.
+
+    Of the places of a bucket in a text the one that is written last into a table by bucket is kept, which needs no sort.
+    """
+    place = np.empty(1 << LOG2, np.int32)
     for a, b, data, off in text_chunks(texts):
-        got = []
+        got, rows = [], b - a
         for row, at in grams(data, off):
             if keep is not None:
                 on = keep[at]
                 row, at = row[on], at[on]
-            got.append(row.astype(np.int64) << LOG2 | at)
-        both = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
-        yield a, b - a, both >> LOG2, both & ((1 << LOG2) - 1)
+            got.append((at, np.searchsorted(row, np.arange(rows + 1)).tolist()))
+        found = []
+        for r in range(rows):
+            every = np.concatenate([at[cuts[r] : cuts[r + 1]] for at, cuts in got]) if got else np.zeros(0, np.uint32)
+            order = np.arange(len(every), dtype=np.int32)
+            place[every] = order
+            found.append(every[place[every] == order])
+        size = [len(x) for x in found]
+        yield a, rows, np.repeat(np.arange(rows), size), np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -119,7 +129,7 @@ def fit_presence(at: np.ndarray, size: np.ndarray, y: np.ndarray, ratios: np.nda
             bias += float(e.sum())
             grad += np.bincount(some, np.repeat(e, size[i:j]), len(ratio))
         losses.append(loss / n + RIDGE / 2 * float((w * w * spread).sum()))
-        if len(losses) > PATIENCE and losses[-1] > losses[-1 - PATIENCE] * (1 - SMALL):
+        if len(losses) > PATIENCE and losses[-1 - PATIENCE] - losses[-1] < SMALL * losses[0]:
             break
         v = 0.9 * v - RATE * 0.1 * (grad * ratio / n / spread + RIDGE * w)
         vb = 0.9 * vb - RATE * 0.1 * bias / n
