@@ -100,16 +100,14 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     return part(toxic, both * share) + part(clean, both * (1 - share))
 
 
-def fit_presence(at: np.ndarray, size: np.ndarray, y: np.ndarray, ratios: np.ndarray, keep: np.ndarray) -> ToxicityModel:
+def fit_presence(f: np.ndarray, size: np.ndarray, y: np.ndarray, ratios: np.ndarray, keep: np.ndarray) -> ToxicityModel:
     """Logistic regression, by gradient descent with momentum, on ratio-scaled presence of the kept buckets.
 
-    `at` holds the buckets of the rows one after the other, `size` their numbers.  A feature's value is its ratio wherever it
+    `f` holds the features of the rows one after the other (numbers among the kept buckets), `size` their numbers.  A feature's value is its ratio wherever it
     is present, so the ratios are applied to weights and gradients, and a step goes over the buckets in blocks: beside them
     only arrays of a block's size are made.  Steps end when the loss has stopped falling.
     """
-    place = np.zeros(len(keep), np.int32)
-    place[keep] = np.arange(keep.sum())
-    f, rows, ratio = place[at], len(size), ratios[keep]
+    rows, ratio = len(size), ratios[keep]
     cuts, n = np.concatenate([[0], np.cumsum(size)]), max(len(size), 1)
     edges = [0]
     while edges[-1] < rows:
@@ -134,7 +132,7 @@ def fit_presence(at: np.ndarray, size: np.ndarray, y: np.ndarray, ratios: np.nda
         v = 0.9 * v - RATE * 0.1 * (grad * ratio / n / spread + RIDGE * w)
         vb = 0.9 * vb - RATE * 0.1 * bias / n
         w, b = w + v, b + vb
-    full = np.zeros(len(keep))
+    full = np.zeros(len(keep), np.float32)
     full[keep] = w * ratio
     return ToxicityModel(keep, full, float(b))
 
@@ -155,33 +153,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     ratios, found = log_count_ratios(toxic, clean), evidence(toxic, clean, toxic_rows / n)
     keep = found >= EVIDENCE
     del counts, clean, toxic, found
-    held = docs.sparkSession.sparkContext.broadcast(keep)
+    rank = np.full(len(keep), -1, np.int32)
+    rank[keep] = np.arange(keep.sum())
+    held = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, n, row, at in present(batch.column(0), held.value):
-                cuts = np.searchsorted(row, np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([at[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(1).slice(a, n)], ["x", "y"])
+            for a, n, row, at in present(batch.column(0), held.value >= 0):
+                cuts, at = np.searchsorted(row, np.arange(n + 1)), held.value[at]
+                yield pa.RecordBatch.from_arrays([pa.array([at[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(1).slice(a, n)], ["x", "y"])
 
     # The rows of the least hashes, so that the bounded sample is the same each time (an id may have any number of rows; those
     # of one hash are equal).  They come to the driver one partition after the other, and stay there as numbers only.
     sample = labelled_texts(docs, labels, label, FOLDS, HELD_OUT, id_col, text_col, MOST_LABELLED).mapInArrow(run, "x binary, y int")
     sample = materialise(sample.withColumn("h", F.xxhash64("x", "y")), "toxic-sample")
+    held.unpersist()
     least = sample.select("h").orderBy("h").limit(MOST_LABELLED).agg(F.max("h")).first()[0]
-    hashes, y, parts = [], [], []
-    for row in sample.filter(F.col("h") <= least).toLocalIterator():
-        if len(parts) < MOST_LABELLED:
-            hashes.append(row["h"])
+    chosen = sample.filter(F.col("h") <= least)
+    f, y, size, done = np.empty(chosen.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0] // 4, np.int32), [], [], 0
+    for row in chosen.select("x", "y").toLocalIterator():
+        if len(y) < MOST_LABELLED:
+            part = np.frombuffer(row["x"], np.int32)
+            f[done : done + len(part)] = part
             y.append(row["y"])
-            parts.append(np.frombuffer(bytes(row["x"]), np.int32))
-    order = np.argsort(np.array(hashes), kind="stable").tolist()
-    size = np.array([len(parts[k]) for k in order], np.int64)
-    at = np.empty(size.sum(), np.int32)
-    cuts = np.concatenate([[0], np.cumsum(size)])
-    for k, i, j in zip(order, cuts[:-1], cuts[1:], strict=True):
-        at[i:j], parts[k] = parts[k], None
+            size.append(len(part))
+            done += len(part)
     discard(sample)
-    return fit_presence(at, size, np.array(y, float)[order], ratios, keep)
+    return fit_presence(f[:done], np.array(size, np.int64), np.array(y, float), ratios, keep)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
