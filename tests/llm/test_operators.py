@@ -694,7 +694,7 @@ def test_extract(spark):
 
 
 def test_all_queries_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert json.dumps(sorted(ORACLES)) and pa.array([1])
 
 
