@@ -508,6 +508,33 @@ def test_lm_base_scores(odd, empty):
     assert all(r.score < 0 for r in got) and LM.lm_scores(empty, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_lm_sums_by_id():
+    """The embedding's gradient comes from one sum for each id, frequent or absent, in the rows' own precision."""
+    rng = np.random.default_rng(5)
+    key, rows = np.minimum(rng.zipf(1.2, 3000), LM.INPUTS), rng.standard_normal((3000, LM.WIDTH))
+    for kind, off in ((np.float64, 1e-9), (np.float32, 1e-3)):
+        got, want = np.zeros((LM.INPUTS + 1, LM.WIDTH), kind), np.zeros((LM.INPUTS + 1, LM.WIDTH))
+        LM._sum_by(key, rows.astype(kind), got)
+        for k, row in zip(key.tolist(), rows, strict=True):
+            want[k] += row
+        assert got.dtype == kind and np.allclose(got, want, atol=off)
+
+
+def test_lm_known_words_keep_their_ids(monkeypatch):
+    """Words that come again, that are new, and that were forgotten all get the tokenizer's ids; known words stay in order."""
+    monkeypatch.setattr(LM, "KEPT", 40)
+    rng, code = np.random.default_rng(6), LM.Subwords(BYTE, public_tokenizers.PATTERN)
+    for n in (0, 1, 30, 30, 5, 30, 30):
+        text = " ".join(f"Word{k} x" for k in rng.integers(0, 60, n)).lower()
+        data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+        starts, ends, _ = LM.words_of(data, off, LM.SPACE_WORDS) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+        unique, at, which = np.unique(LM.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        ids, many = code.ids_of(text.encode(), starts, ends, unique, at, which)
+        want = [code.code.encode_ordinary(" " + w) for w in text.split()]
+        assert ids.tolist() == [i for x in want for i in x] and many.tolist() == [len(x) for x in want]
+        assert (np.diff(code.known.astype(object)) > 0).all() and len(code.number) == len(code.known)
+
+
 def random_targets(rng, rows):
     return rng.integers(0, LM.INPUTS, (rows, LM.LENGTH)), rng.integers(0, LM.GROUPS, (rows, LM.LENGTH)), rng.integers(0, LM.PLACES, (rows, LM.LENGTH))
 

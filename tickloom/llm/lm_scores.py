@@ -38,8 +38,10 @@ PARTS, ROUNDS, RATES, SUMS = 64, (1, 4, 16, 64), (1e-2, 1e-2, 8e-3, 4e-3), 8
 #: Windows of a step: the least up to FEW windows seen by a task, from there on with their square; steps over which the
 #: model is averaged.
 LEAST_BATCH, MOST_BATCH, FEW, AVERAGED = 16, 512, 1 << 13, 50
+#: Bytes of one untouched array that a task makes and frees, see `keep_pages`.
+HELD_BYTES = 30 << 20
 #: Windows in one block of the attention (their arrays stay in a core's cache), and ids handled at a time.
-BLOCK, IDS_AT_ONCE = 32, 1 << 19
+BLOCK, IDS_AT_ONCE = 64, 1 << 19
 SEED = 11
 #: Counts of at most this many frequent words are broadcast (12 bytes each); all others are joined by shuffle.
 HEAD_WORDS = 1 << 19
@@ -71,17 +73,18 @@ class Subwords:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Hashes of the known words in order, and the number of each.
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.begin = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def ids_of(self, data: bytes, starts: np.ndarray, ends: np.ndarray, unique: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, ids of each word); `unique`, `at`, `which` as np.unique gives them for the words' hashes."""
         if len(self.known) > KEPT:
             self._forget()
-        known = self.known
-        places = [known.get(h, -1) for h in unique.tolist()]
-        place = np.array(places, np.int64)
-        new = np.flatnonzero(place < 0)
+        to = np.searchsorted(self.known, unique)
+        there = to < len(self.known)
+        there[there] = self.known[to[there]] == unique[there]
+        new = np.flatnonzero(~there)
         if len(new):
             words = [data[starts[i] : ends[i]] for i in at[new].tolist()]
             ids = np.array(self.code.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.uint16)
@@ -89,10 +92,12 @@ class Subwords:
             if len(cuts) != len(words) + 1:  # the pattern ran over a space (beside no-break spaces, say): one by one
                 apart = [self.code.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
                 ids, cuts = np.array([i for x in apart for i in x], np.uint16), np.cumsum([0, *map(len, apart)])
-            place[new] = np.arange(len(new)) + len(known)
-            known.update(zip(unique[new].tolist(), place[new].tolist(), strict=True))
+            self.number = np.insert(self.number, to[new], np.arange(len(new)) + len(self.known))
+            self.known = np.insert(self.known, to[new], unique[new])
+            to = np.searchsorted(self.known, unique)
             self.begin = np.concatenate([self.begin, cuts[1:] + len(self.flat)])
             self.flat = np.concatenate([self.flat, ids])
+        place = self.number[to]
         begin = self.begin[place][which]
         n = self.begin[place + 1][which] - begin
         return self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)], n
@@ -110,6 +115,7 @@ def _encode(path: str, pattern: str):
     """The rows with ids instead of their texts; the last row of a batch holds its counts of training words and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         code = _subwords(path, pattern)
         for batch in batches:
             held, words, counts, by_id = batch.column(2).to_numpy(zero_copy_only=False), [], [], np.zeros(code.size, np.int64)
@@ -219,27 +225,45 @@ _LAG = np.maximum(np.arange(LENGTH)[:, None] - np.arange(LENGTH)[None, :], 0)
 _SEEN = np.arange(LENGTH)[:, None] >= np.arange(LENGTH)[None, :]
 
 
+def keep_pages() -> None:
+    """Lets the process keep freed pages for the next arrays, up to twice HELD_BYTES.
+
+    The C library gives memory back beyond twice the largest block that it has mapped and freed (32 MB at most); the arrays
+    of a step are a few MB, so without this each step's are mapped and cleared by the kernel anew.
+    """
+    held = np.empty(HELD_BYTES, np.uint8)
+    del held
+
+
 def _flat(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
-def _ones(n: int, like: np.ndarray) -> np.ndarray:
-    return np.ones((n, 1), like.dtype)
+def _sum_by(key: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Writes the sum of the rows of each key to out[key]; by a sort, since adding row by row waits for each frequent key's last sum."""
+    key = key.astype(np.uint16)  # numbers of 16 bits are sorted by radix
+    order = np.argsort(key, kind="stable")
+    key = key.take(order)
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    out[key[new]] = np.add.reduceat(rows.take(order, axis=0), new)
 
 
 def _choice(h: np.ndarray, matrix: np.ndarray, chosen: np.ndarray, weight: np.ndarray | None = None):
-    """log P(chosen) under softmax(h @ matrix); with `weight`, also the weighted loss's gradients by h and matrix."""
+    """log P(chosen) under softmax(h @ matrix); with `weight`, also the weighted loss's gradients by h (without its one) and matrix."""
     z = h @ matrix
     flat, at = z.ravel(), np.arange(0, z.size, z.shape[1]) + chosen
     log = flat.take(at)
     np.exp(z, out=z)
-    total = z @ _ones(z.shape[1], z)
-    log -= np.log(total[:, 0])
+    total = z @ np.ones(z.shape[1], z.dtype)
+    log -= np.log(total)
     if weight is None:
         return log, None
-    z *= weight[:, None] / total
-    flat[at] -= weight
-    return log, (z @ matrix.T, h.T @ z)
+    # Rows keep the factor weight / total back, so that it meets the narrow matrices only.
+    flat[at] -= total
+    scale = (weight / total)[:, None]
+    dh = z @ matrix[:WIDTH].T
+    dh *= scale
+    return log, (dh, (z.T @ (h * scale)).T)
 
 
 class AttentionModel:
@@ -256,84 +280,98 @@ class AttentionModel:
         self.p["u"][-1] = np.log(of_groups)
         self.p["v"][:, -1] = np.log(np.maximum(mass / mass.sum(1, keepdims=True), 1e-9))
 
-    def _attend(self, put: np.ndarray, q: int):
-        """Hidden rows of the inputs from place q on, and what the gradient needs."""
-        p = self.p
-        x = p["e"].take(put, axis=0)
+    def _attend(self, put: np.ndarray, q: int, tables: tuple, keep: bool, h: np.ndarray):
+        """Writes the hidden rows of the inputs from place q on to h; with `keep`, gives what the gradient needs.
+
+        The weights of the attention stay undivided by their sums; the narrower products are divided.
+        """
+        e, by_a, by_b, by_c, both, lag = tables
+        x = e.take(put, axis=0)
         own = x[:, q:]
-        y = (_flat(own) @ p["a"]).reshape(own.shape)
+        y = by_a.take(put[:, q:], axis=0)
         s = y @ x.transpose(0, 2, 1)
-        s += np.where(_SEEN[q:], p["lag"][_LAG[q:]], np.float32(-1e9))
+        s += lag
         np.exp(s, out=s)
-        s /= s @ _ones(LENGTH, s)
-        c = s @ x
-        before = np.zeros_like(own)
-        before[:, 0 if q else 1 :] = x[:, q - 1 if q else 0 : -1]
-        h = np.empty((len(y) * y.shape[1], WIDTH + 1), x.dtype)
-        h[:, WIDTH] = 1
-        np.add(_flat(own), _flat(c) @ p["b"], out=h[:, :WIDTH])
-        h[:, :WIDTH] += _flat(before) @ p["c"]
-        return h, (x, y, s, c, before)
+        over = 1 / (_flat(s) @ np.ones(LENGTH, s.dtype))[:, None]
+        if not keep:
+            c = _flat(s @ by_b.take(put, axis=0))
+            c *= over
+            c = c.reshape(own.shape)
+            c += own
+            c[:, 0 if q else 1 :] += by_c.take(put[:, q - 1 if q else 0 : -1], axis=0)
+            h[:, :WIDTH] = _flat(c)
+            return None
+        seen = np.empty((len(h), 2 * WIDTH), x.dtype)  # what attention sees, and the input before
+        np.multiply(_flat(s @ x), over, out=seen[:, :WIDTH])
+        before = seen.reshape(*own.shape[:2], -1)[:, :, WIDTH:]
+        before[:, 0] = 0
+        before[:, 1:] = x[:, :-1]
+        np.add(seen @ both, _flat(own), out=h[:, :WIDTH])
+        return x, y, s, over, seen
 
     def log_places(self, put: np.ndarray, group: np.ndarray, place: np.ndarray, q: int = 0) -> np.ndarray:
         """Natural log of P(group and place of each target)."""
         return self._run(put, group, place, q, None)[0].reshape(group.shape)
 
     def _run(self, put: np.ndarray, group: np.ndarray, place: np.ndarray, q: int, weight: np.ndarray | None):
-        p, blocks = self.p, [slice(a, a + BLOCK) for a in range(0, len(put), BLOCK)]
+        p, learn, n = self.p, weight is not None, LENGTH - q
+        kind = p["e"].dtype
+        lag = np.where(_SEEN[q:], p["lag"][_LAG[q:]], kind.type(-1e9))
+        by_b, by_c = (None, None) if learn else (p["e"] @ p["b"], p["e"] @ p["c"])
+        tables = (p["e"], p["e"] @ p["a"], by_b, by_c, np.concatenate([p["b"], p["c"]]), lag)
         group, place = group.ravel(), place.ravel()
-        hidden, kept, log = [], [], np.empty(len(group), p["e"].dtype)
-        g = {k: np.zeros_like(v) for k, v in p.items()} if weight is not None else None
-        n, back = LENGTH - q, []
-        for b in blocks:
-            h, more = self._attend(put[b], q)
-            rows = slice(b.start * n, b.start * n + len(h))
-            log[rows], d = _choice(h, p["u"], group[rows], None if g is None else weight[rows])
-            hidden.append(h)
-            if g is not None:
-                kept.append(more)
+        hidden, log, kept, back = np.ones((len(group), WIDTH + 1), kind), np.empty(len(group), kind), [], []
+        g = {k: np.zeros_like(v) for k, v in p.items()} if learn else None
+        blocks = [(slice(a, a + BLOCK), slice(a * n, (a + BLOCK) * n)) for a in range(0, len(put), BLOCK)]
+        for b, rows in blocks:
+            h = hidden[rows]
+            kept.append(self._attend(put[b], q, tables, learn, h))
+            log[rows], d = _choice(h, p["u"], group[rows], weight[rows] if learn else None)
+            if learn:
                 back.append(d[0])
                 g["u"] += d[1]
         order = np.argsort(group, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-        h, place, found = np.concatenate(hidden).take(order, axis=0), place.take(order), np.empty(len(group), p["e"].dtype)
-        w, dh = (None, None) if g is None else (weight.take(order), np.empty_like(h))
+        h, place, found = hidden.take(order, axis=0), place.take(order), np.empty(len(group), kind)
+        w, dh = (weight.take(order), np.empty((len(h), WIDTH), kind)) if learn else (None, None)
         for j in range(GROUPS):
             some = slice(cuts[j], cuts[j + 1])
             if cuts[j] < cuts[j + 1]:
-                found[some], d = _choice(h[some], p["v"][j], place[some], None if g is None else w[some])
-                if g is not None:
+                found[some], d = _choice(h[some], p["v"][j], place[some], w[some] if learn else None)
+                if learn:
                     dh[some], g["v"][j] = d
         log[order] += found
-        if g is None:
+        if not learn:
             return log, None
-        whole = np.empty_like(dh)
-        whole[order] = dh
-        dx = np.empty((*put.shape, WIDTH), p["e"].dtype)
-        for b, d, more in zip(blocks, back, kept, strict=True):
-            d += whole[b.start * n : b.start * n + len(d)]
-            dx[b] = self._back(d[:, :WIDTH], more, g)
-        at = put.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        g["e"] = np.bincount(at.ravel(), dx.ravel(), g["e"].size).reshape(g["e"].shape).astype(p["e"].dtype)
+        at = np.empty_like(order)
+        at[order] = np.arange(len(order))
+        whole, dx, both, by_lag = dh.take(at, axis=0), np.empty((*put.shape, WIDTH), kind), np.zeros_like(tables[4]), np.zeros_like(lag)
+        for (b, rows), d, more in zip(blocks, back, kept, strict=True):
+            d += whole[rows]
+            self._back(d, more, tables[4], g["a"], both, by_lag, dx[b])
+        g["b"], g["c"] = both[:WIDTH], both[WIDTH:]
+        g["lag"] = np.bincount(_LAG.ravel(), by_lag.ravel(), LENGTH).astype(kind)
+        _sum_by(put.ravel(), _flat(dx), g["e"])
         return log, g
 
-    def _back(self, dh: np.ndarray, kept, g: dict[str, np.ndarray]) -> np.ndarray:
-        """Gradient by the embedded inputs of one block; adds those of the matrices to g."""
-        p, (x, y, s, c, before) = self.p, kept
-        g["b"] += _flat(c).T @ dh
-        g["c"] += _flat(before).T @ dh
-        dc = (dh @ p["b"].T).reshape(x.shape)
-        dx = dh.reshape(x.shape) + s.transpose(0, 2, 1) @ dc
-        dx[:, :-1] += (dh @ p["c"].T).reshape(x.shape)[:, 1:]
+    def _back(self, dh: np.ndarray, kept, both: np.ndarray, by_a: np.ndarray, by_both: np.ndarray, by_lag: np.ndarray, dx: np.ndarray) -> None:
+        """Writes the gradient by the embedded inputs of one block to dx; adds those of the matrices to by_a, by_both and by_lag."""
+        x, y, s, over, seen = kept
+        by_both += seen.T @ dh
+        dseen = dh @ both.T
+        dc = dseen[:, :WIDTH] * over
+        shift = np.einsum("ij,ij->i", dc, seen[:, :WIDTH]).reshape(len(x), LENGTH, 1)
+        dc = dc.reshape(x.shape)
+        np.add(dh.reshape(x.shape), s.transpose(0, 2, 1) @ dc, out=dx)
+        dx[:, :-1] += dseen.reshape(len(x), LENGTH, -1)[:, 1:, WIDTH:]
         ds = dc @ x.transpose(0, 2, 1)
-        ds -= (dc * c) @ _ones(WIDTH, c)
+        ds -= shift
         ds *= s
-        g["lag"] += np.bincount(_LAG.ravel(), ds.sum(0).ravel(), LENGTH).astype(g["lag"].dtype)
-        dy = ds @ x
+        by_lag += ds.sum(0)
+        dy = _flat(ds @ x)
         dx += ds.transpose(0, 2, 1) @ y
-        g["a"] += _flat(x).T @ _flat(dy)
-        dx += (_flat(dy) @ p["a"].T).reshape(x.shape)
-        return dx
+        by_a += _flat(x).T @ dy
+        dx += (dy @ self.p["a"].T).reshape(x.shape)
 
     def gradient(self, put: np.ndarray, group: np.ndarray, place: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the targets that are there, and its gradient."""
@@ -373,6 +411,7 @@ def _learn(held, rate: float, seen: int):
     """(n, p): windows of the task's rows and the parameters after steps on each of them once, by chunks in random order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         start, voc, end = held.value
         model = AttentionModel(voc.mass)
         model.p = {k: v.copy() for k, v in start.items()}
@@ -385,7 +424,7 @@ def _learn(held, rate: float, seen: int):
                     size = int(np.clip(LEAST_BATCH * ((seen + n) / FEW) ** 2, LEAST_BATCH, MOST_BATCH))
                     on = found[order[done : done + size]]
                     aim = on[:, 1:]
-                    _, g = model.gradient(voc.input[on[:, :-1]], voc.group[aim], voc.place[aim], aim != NOTHING)
+                    _, g = model.gradient(voc.input.take(on[:, :-1]), voc.group.take(aim), voc.place.take(aim), aim != NOTHING)
                     adam.step(g, rate * min(1, len(on) / LEAST_BATCH))
                     done, n = done + len(on), n + len(on)
         if n:
@@ -446,7 +485,8 @@ class Scorer:
             for a in range(0, len(on), MOST_BATCH):
                 some = on[a : a + MOST_BATCH]
                 put, aim = found[some, :-1], found[some, 1 + q :]
-                log = self.model.log_places(voc.input[put], voc.group[aim], voc.place[aim], q) + voc.share[aim]
+                log = self.model.log_places(voc.input.take(put), voc.group.take(aim), voc.place.take(aim), q)
+                log += voc.share.take(aim)
                 at = (first[row[some]] + row[some] + k[some] * step)[:, None] + np.arange(q, LENGTH)
                 there = aim != NOTHING
                 out[at[there]] = log[there] / np.log(10)
@@ -469,6 +509,7 @@ _ROWS = "rid long, doc_id {id}, held_out boolean, n_tokens long, known long, log
 
 def _score(held, path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_pages()
         code, it = _subwords(path, pattern), held.value
         ends = np.log10(it.ends + SMOOTH)
         for batch in batches:
